@@ -47,7 +47,7 @@ def write_file(path: str, chunks) -> int:
     fs, name = store(path)
     fs.create_dir(posixpath.dirname(name), recursive=True)
     half, size = f"{name}.{uuid.uuid4().hex}.tmp", 0
-    with fs.open_output_stream(half) as out:
+    with fs.open_output_stream(half, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
@@ -57,7 +57,7 @@ def write_file(path: str, chunks) -> int:
 
 def read_file(path: str) -> bytes:
     fs, name = store(path)
-    with fs.open_input_stream(name) as f:
+    with fs.open_input_stream(name, compression=None) as f:
         return f.read()
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from cindermap.llm.linedup import OP9_SQL, op9_line_dedup
+from cindermap.llm.packing import op10_best_fit_packing
 from cindermap.llm.tokenbin import op8_token_files
+from cindermap.llm.warc import OP7_SQL, op7_warc_archives
 
 QUERIES = {
+    "op7_warc_archives": op7_warc_archives,
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL}
+ORACLES = {"op7_warc_archives": OP7_SQL, "op9_line_dedup": OP9_SQL}
