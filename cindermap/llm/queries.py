@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cindermap.llm.decontaminate import op5_benchmark_decontamination
 from cindermap.llm.linedup import OP9_SQL, op9_line_dedup
 from cindermap.llm.packing import op10_best_fit_packing
 from cindermap.llm.simhash import op2_simhash_near_dedup
@@ -10,6 +11,7 @@ from cindermap.llm.warc import OP7_SQL, op7_warc_archives
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_warc_archives": op7_warc_archives,
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
