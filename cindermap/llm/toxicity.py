@@ -1,6 +1,6 @@
 """Operator 3: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The unit is the token: a word without its non-letters, lower-cased, so that "i-d*iot" is "idiot"; runs of single
+The unit is the token: a word without its non-letters, lower-cased, so that "i-d*iot" is "idiot"; a letter written more than twice in a row counts twice; runs of single
 letters ("i d i o t") count as one more token. The kernel compares two tokens by the triples of letters (with marks at
 both ends) they have in common as subsequences: a triple that skips g letters counts ``DECAY`` ** g, up to ``REACH``
 letters apart, over the square root of the token's number of triples. An inserted or lost letter changes few triples.
@@ -11,7 +11,7 @@ fewer):
 1. Landmarks are the tokens that tell the labels apart best, and tokens of the other texts. Their kernel matrix gives the
    Nystroem features.
 2. Labels belong to texts, insults are single tokens: the most toxic token stands for a toxic text (first by its odds,
-   then by the machine's own margin), all tokens of a clean text are negative, the hardest of them in each round.
+   then by the machine's own margin), besides tokens that clean texts hardly have and chance does not explain; all tokens of a clean text are negative, the hardest of them in each round.
 3. A squared-hinge support vector machine is fitted by Newton steps, and its margins, the largest token's margin of
    held-back training texts, become probabilities by a logistic fit that weighs labels as they occur.
 
@@ -44,7 +44,7 @@ POSITIVES, NEGATIVES = 2000, 4000
 LANDMARKS = 160
 REACH, DECAY = 3, 0.6
 THRESHOLD = 0.3
-ROUNDS, HARDEST, PENALTY = 4, 4000, 4.0
+ROUNDS, HARDEST, PENALTY = 5, 2000, 4.0
 LOWEST = -3.0
 LETTERS = 64
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\W_]+){3,}[^\W\d_](?![^\W_])")
@@ -76,6 +76,7 @@ def coded(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code[starts] = END
     code[starts + sizes - 1] = END
     keep = code > 0
+    keep[2:] &= (code[2:] != code[1:-1]) | (code[2:] != code[:-2]) | (code[2:] == END)
     before = np.cumsum(keep) - keep
     return code[keep], before[starts]
 
@@ -123,11 +124,11 @@ def features(tokens: list[str], marks: list[str]) -> np.ndarray:
     parts = [(number, owner[first], np.full(len(first), weight)) for first, number, weight in triples(code, starts)]
     number, owner, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     present, slot = np.unique(number, return_inverse=True)
-    by_slot = np.zeros((len(present) + 1, len(marks)), np.float32)
+    by_slot = np.zeros((len(present) + 1, len(marks)))
     np.add.at(by_slot, (slot, owner), weight * scales(starts, len(code))[owner])
     where = np.full(LETTERS**3, len(present))
     where[present] = np.arange(len(present))
-    out = np.zeros((len(tokens), len(marks)), np.float32)
+    out = np.zeros((len(tokens), len(marks)))
     for i in range(0, len(tokens), 2000):
         code, starts = coded(tokens[i : i + 2000])
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
@@ -196,30 +197,27 @@ def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float]
             df[label].update(tokens)
     n = [max(1, int((fitted & (toxic_ == k)).sum())) for k in (0, 1)]
     odds = {t: np.log((c + 0.1) / (n[1] + 1)) - np.log((df[0][t] + 0.1) / (n[0] + 1)) + 0.3 * np.log(c) for t, c in df[1].items()}
+    # Tokens that hardly stand in clean texts, and in so many toxic ones that chance does not explain it.
+    sure = {t: float(np.sqrt(c)) for t, c in df[1].items() if c >= 3 and df[0][t] * n[1] < 0.02 * c * n[0] and c * np.log((n[0] + n[1]) / n[1]) > 7}
     told = sorted(odds, key=lambda t: (-odds[t], t))
     plain = sorted(df[0], key=lambda t: (-df[0][t], t))
     marks = list(dict.fromkeys([*told[: LANDMARKS * 3 // 5], *plain[: LANDMARKS // 5], *plain[LANDMARKS // 5 :: max(1, len(plain) * 5 // LANDMARKS)]]))[:LANDMARKS]
-    values, vectors = np.linalg.eigh(features(marks, marks).astype(float))
-    good = values > 1e-6 * values.max()
-    white = vectors[:, good] / np.sqrt(values[good])
-
-    def phi(tokens: list[str]) -> np.ndarray:
-        return np.hstack([features(tokens, marks) @ white, np.ones((len(tokens), 1))])
-
     negatives = sorted(t for t in df[0])
     hard = negatives[:: max(1, len(negatives) // HARDEST)]
     witness = [max(t, key=lambda x: (odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
     model = Model(np.zeros(LETTERS**3), 0.0, 1.0, 0.0)
     for _ in range(ROUNDS):
-        positives = Counter(witness)
+        values, vectors = np.linalg.eigh(features(marks, marks))
+        white = vectors[:, values > 1e-4 * values.max()] / np.sqrt(values[values > 1e-4 * values.max()])
+        positives = Counter(witness) | sure
         names = [*positives, *hard]
         y = np.where(np.arange(len(names)) < len(positives), 1.0, -1.0)
         cost = PENALTY * np.array([*(float(c) for c in positives.values()), *[1.0] * len(hard)])
-        w = fit_svm(phi(names), y, cost)
+        w = fit_svm(np.hstack([features(names, marks) @ white, np.ones((len(names), 1))]), y, cost)
         model = Model(collapsed(marks, white @ w[:-1]), float(w[-1]), 1.0, 0.0)
         order = np.argsort(-model.margins(negatives), kind="stable")[:HARDEST]
-        hard = list(dict.fromkeys([*(negatives[i] for i in order), *negatives[:: max(1, len(negatives) // HARDEST)]]))
-        known = {}
+        hard = list(dict.fromkeys([*(negatives[i] for i in order), *hard]))
+        marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 4], *(sorted(sure, key=lambda t: (-sure[t], t))[: LANDMARKS // 4])]))
         every = sorted({t for x, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 for t in x})
         known = dict(zip(every, model.margins(every), strict=True))
         witness = [max(t, key=lambda x: (known[x] + 0.05 * odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
