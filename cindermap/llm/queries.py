@@ -8,6 +8,7 @@ from cindermap.llm.linedup import OP9_SQL, op9_line_dedup
 from cindermap.llm.packing import op10_best_fit_packing
 from cindermap.llm.shards import op6_size_tiered_shards
 from cindermap.llm.simhash import op2_simhash_near_dedup
+from cindermap.llm.substrings import op4_repeated_passages
 from cindermap.llm.tokenbin import op8_token_files
 from cindermap.llm.toxicity import op3_toxicity
 from cindermap.llm.warc import OP7_SQL, op7_warc_archives
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_size_tiered_shards": op6_size_tiered_shards,
     "op7_warc_archives": op7_warc_archives,
