@@ -72,19 +72,22 @@ class Lake:
             self._fs.delete(half, False)
             raise FileExistsError(f"version {version} is taken")
 
+    def _new(self, merged: int) -> str:
+        return f"{self.folder}/shards/m{merged}-{uuid.uuid4().hex}"
+
     def _written(self, folder: str, merged: int) -> list[Shard]:
         found = [] if not self._fs.exists(self._path(folder)) else self._fs.listStatus(self._path(folder))
         return sorted((Shard(str(s.getPath().toString()), int(s.getLen()), merged) for s in found if s.getPath().getName().endswith(".parquet")), key=lambda s: s.path)
 
     def append(self, rows: DataFrame) -> None:
         """One arrival: its partitions become shards, without a shuffle."""
-        folder = f"{self.folder}/shards/{uuid.uuid4().hex}"
+        folder = self._new(0)
         rows.write.option("compression", "snappy").parquet(folder)
         self.commit(self.version() + 1, self.manifest() + self._written(folder, 0))
 
     def append_dealt(self, rows: DataFrame, arrival: str) -> None:
         """Arrivals 0, 1, 2... of ``rows`` by the column ``arrival``, written in one pass and committed one by one."""
-        folder = f"{self.folder}/shards/{uuid.uuid4().hex}"
+        folder = self._new(0)
         rows.write.option("compression", "snappy").partitionBy(arrival).parquet(folder)
         dirs = [s.getPath() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
         for d in sorted(dirs, key=lambda p: int(p.getName().rpartition("=")[2])):
@@ -110,23 +113,23 @@ class Lake:
         merges = 0
         while run := self.due():
             files = max(1, sum(s.bytes for s in run) // self.target)
-            folder = f"{self.folder}/shards/{uuid.uuid4().hex}"
+            merged = 1 + max(s.merged for s in run)
+            folder = self._new(merged)
             rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in run))
             rows.coalesce(files).write.option("compression", "snappy").parquet(folder)
             gone = {s.path for s in run}
-            self.commit(self.version() + 1, [s for s in self.manifest() if s.path not in gone] + self._written(folder, 1 + max(s.merged for s in run)))
+            self.commit(self.version() + 1, [s for s in self.manifest() if s.path not in gone] + self._written(folder, merged))
             merges += 1
         return merges
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the number of their shard in its manifest and how often they were merged."""
+        """The rows of a version, with a number that names their shard and how often they were merged, both from the shard's path."""
         shards = self.manifest(version)
         if not shards:
             return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("shard_id", T.LongType()), T.StructField("merged", T.IntegerType())]))
-        rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards)).select("*", F.xxhash64(F.element_at(F.split("_metadata.file_path", "/shards/"), -1)).alias("_file"))
-        # A row for each file: the manifest itself.
-        names = self.spark.createDataFrame([(s.path.rpartition("/shards/")[2], i, s.merged) for i, s in enumerate(shards)], "name string, shard_id long, merged int")
-        return rows.join(names.select(F.xxhash64("name").alias("_file"), "shard_id", "merged"), "_file").drop("_file")
+        name = F.element_at(F.split("_metadata.file_path", "/shards/"), -1)
+        rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards))
+        return rows.select("*", F.xxhash64(name).alias("shard_id"), F.regexp_extract(name, "^m([0-9]+)-", 1).cast("int").alias("merged"))
 
     def vacuum(self) -> int:
         """Delete the shards that the newest version does not list; readers of older versions must have ended."""
