@@ -41,7 +41,8 @@ ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 2**64)
 FAR = 1 << 40
 RANGES_DDL = "key long, weight int, doc_id long, start int, n int"
-PLACES_DDL = "key long, sure int, doc_id long, start int, n int, known boolean"
+#: n is 0 where earlier places are not known yet, else the length of a run of later copies.
+PLACES_DDL = "key long, sure int, doc_id long, start int, n int"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -184,8 +185,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             length = lp[np.append(run[1:], len(lp)) - 1] - lp[run] + 1 if len(run) else np.zeros(0, np.int64)
             own = mixed(ld[run].view(np.uint64) * np.uint64(ODD) + lp[run].astype(np.uint64)) if len(run) else np.zeros(0, np.uint64)
             lead = np.flatnonzero(lead)
-            columns = [np.concatenate([key[lead], own]).view(np.int64), np.concatenate([sure[lead], np.zeros(len(own), np.uint64)]), np.concatenate([ids[d[lead]] if len(lead) else ld[:0], ld[run]]), np.concatenate([place[lead], lp[run]]), np.concatenate([np.ones(len(lead), np.int64), length]), np.arange(len(lead) + len(own)) >= len(lead)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["key", "sure", "doc_id", "start", "n", "known"])
+            lead = lead[np.argsort(s[lead])]  # in the documents' order, rows of a shuffle compress better
+            columns = [np.concatenate([key[lead], own]).view(np.int64), np.concatenate([sure[lead], np.zeros(len(own), np.uint64)]), np.concatenate([ids[d[lead]] if len(lead) else ld[:0], ld[run]]), np.concatenate([place[lead], lp[run]]), np.concatenate([np.zeros(len(lead), np.int64), length])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "sure", "doc_id", "start", "n"])
 
 
 def kept_words(text: str | None, runs: list[dict] | None, width: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -218,8 +220,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     asked = ranges.withColumn("weight", weight).where("weight > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     places = docs.join(asked, "doc_id").mapInArrow(_places, PLACES_DDL)
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("key", "sure"))
-    later = places.withColumn("first", first).where(F.col("known") | (F.struct("doc_id", "start") > F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    later = places.withColumn("first", first).where((F.col("n") > 0) | (F.struct("doc_id", "start") > F.col("first")))
+    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.greatest("n", F.lit(1)).alias("n"))).alias("runs"))
 
 
 def passage_report(docs: DataFrame) -> DataFrame:
