@@ -97,7 +97,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVO
     size, n, queries = sizes[0] if sizes else (0, 0, 0)
     rows = rows.where(F.size("embedding") == size)
     drawn = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    marks = np.array([r["embedding"] for r in drawn]).reshape(len(drawn), -1)
+    marks = np.array([r["embedding"] for r in drawn], float).reshape(len(drawn), size)
     blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-queries // CHUNK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     stored = rows.withColumn("is_query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
