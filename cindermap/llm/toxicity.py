@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from cindermap.llm.common import table
 
 #: Bounds of the labelled sample.
-POSITIVES, NEGATIVES = 2000, 4000
+POSITIVES, NEGATIVES = 1500, 3000
 LANDMARKS = 160
 REACH, DECAY = 3, 0.6
 THRESHOLD = 0.3
 ROUNDS, HARDEST, PENALTY = 5, 2000, 4.0
 LOWEST = -3.0
+#: Tokens scored at once, which bounds memory.
+AT_ONCE = 50_000
 LETTERS = 64
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\W_]+){3,}[^\W\d_](?![^\W_])")
 #: RE2's form of SPACED, to find the few texts that need it.
@@ -104,6 +106,8 @@ class Model:
     offset: float
 
     def margins(self, tokens: list[str]) -> np.ndarray:
+        if len(tokens) > AT_ONCE:
+            return np.concatenate([self.margins(tokens[i : i + AT_ONCE]) for i in range(0, len(tokens), AT_ONCE)])
         if not tokens:
             return np.zeros(0)
         code, starts = coded(tokens)
@@ -189,7 +193,8 @@ def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float]
     toxic_ = np.array(toxic)
     if len({*toxic}) < 2:
         return None
-    own = [text_tokens(t) for t in texts]
+    one: dict[str, str] = {}  # equal tokens of all texts are one object
+    own = [[one.setdefault(t, t) for t in text_tokens(text)] for text in texts]
     fitted = np.arange(len(own)) % 4 != 3
     df = [Counter(), Counter()]
     for tokens, label, f in zip(own, toxic, fitted, strict=True):
