@@ -157,29 +157,50 @@ def spanned(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
+def _by_group(of, columns: list[str]):
+    """``of(group, *columns)`` on whole groups, of rows that come ordered by ``bucket``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * (len(columns) + 1)
+        for rows in batches:
+            held = [np.concatenate([h, rows.column(c).to_numpy()]) for h, c in zip(held, ["bucket", *columns], strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
+            if last:
+                yield of(np.unique(held[0][:last], return_inverse=True)[1], *(h[:last] for h in held[1:]))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield of(np.unique(held[0], return_inverse=True)[1], *held[1:])
+
+    return each
+
+
 def _links(max_bits: int):
-    def of(code: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        _, group = np.unique(group, return_inverse=True)  # already sorted
+    def of(group: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
         root = spanned(len(code), GrayIndex(code.view(np.uint64), group).close_pairs(max_bits))
         own = np.flatnonzero(root != np.arange(len(root)))
         return batch(LINKS, code[own], code[root[own]])
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, group = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for rows in batches:
-            code, group = np.concatenate([code, rows.column("fp").to_numpy()]), np.concatenate([group, rows.column("bucket").to_numpy()])
-            last = np.searchsorted(group, group[-1]) if len(group) else 0  # the last group may go on
-            if last:
-                yield of(code[:last], group[:last])
-                code, group = code[last:], group[last:]
-        if len(code):
-            yield of(code, group)
+    return _by_group(of, ["fp"])
 
-    return links
 
+def _partners(max_bits: int):
+    def of(group: np.ndarray, code: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        best = np.full(len(code), 2**62)
+        for i, j in GrayIndex(code.view(np.uint64), group).close_pairs(max_bits):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            bits = bits_differ(code[i].view(np.uint64), code[j].view(np.uint64)).astype(np.int64) << 40
+            np.minimum.at(best, i, bits + j)
+            np.minimum.at(best, j, bits + i)
+        own = np.flatnonzero(best < 2**62)
+        other = best[own] & ((1 << 40) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(code[own]), pa.array(best[own] >> 40, pa.int32()), pa.array(code[other])], ["fp", "bits", "partner"])
 
-def near_links(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct ``fp`` within ``max_bits``. ``n``: rows of ``classes``."""
+    return _by_group(of, ["fp", "root"])
+
+
+def bucketed(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """The rows of ``classes`` (fp and others), once for each table and part, in groups (``bucket``) that lie in one task in Gray order."""
     fp = F.col("fp")
     keys = []
     for t, spans in enumerate(tables(n, max_bits)):
@@ -187,31 +208,92 @@ def near_links(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
         for shift, width in spans:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
         keys.append(key)
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = classes.select("*", F.explode(F.array(*keys)).alias("key"))
     hot = rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
     dealt = rows.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     # Two pairs of parts that share a 64-bit hash would only be compared together.
-    grouped = dealt.select("fp", F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("bucket"))
-    ordered = grouped.repartition("bucket").sortWithinPartitions("bucket", gray_rank(fp))
-    return ordered.mapInArrow(_links(max_bits), "a long, b long")
+    grouped = dealt.select(*classes.columns, F.when(F.col("parts") == 1, F.col("key")).otherwise(pair).alias("bucket"))
+    return grouped.repartition("bucket").sortWithinPartitions("bucket", gray_rank(fp))
+
+
+def near_links(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of distinct ``fp`` within ``max_bits``. ``n``: rows of ``classes``."""
+    return bucketed(classes.select("fp"), n, max_bits).mapInArrow(_links(max_bits), "a long, b long")
+
+
+def nearest_partners(rooted: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(fp, partner): the nearest fingerprint of another ``root`` within ``max_bits``, one row for each fingerprint that has any."""
+    found = bucketed(rooted.select("fp", "root"), n, max_bits).mapInArrow(_partners(max_bits), "fp long, bits int, partner long")
+    return found.groupBy("fp").agg(F.min(F.struct("bits", "partner")).alias("best")).select("fp", "best.partner")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's word shingles, A-Z lowered."""
+    own = [w.lower() for w in words(text)]
+    n = max(1, len(own) - shingle + 1) if own else 0
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + shingle])) for i in range(n)), np.uint32, n))
+
+
+def _shingle_sets(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in rows.column("text")], pa.binary())], ["doc_id", "shingles"])
+
+    return sets
+
+
+def _similar(least: float):
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = []
+            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return similar
+
+
+def verified_links(docs: DataFrame, rooted: DataFrame, n: int, shingle: int, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): nearest partners of different roots whose texts' shingle sets have at least the Jaccard ``similarity``."""
+    pairs = nearest_partners(rooted, n, max_bits).select(F.least("fp", "partner").alias("a"), F.greatest("fp", "partner").alias("b")).distinct()
+    first = rooted.where("first IS NOT NULL").select("fp", "first")
+    named = staged(pairs.join(first.toDF("a", "a_doc"), "a").join(first.toDF("b", "b_doc"), "b"), "partners")
+    asked = named.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
+    sets = staged(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
+    both = named.join(sets.toDF("a_doc", "x"), "a_doc").join(sets.toDF("b_doc", "y"), "b_doc")
+    return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, far_bits: int = 0, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, one row a document.
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, one row a document."""
+    With ``far_bits`` over ``max_bits``, each fingerprint's nearest partner outside its group, within ``far_bits``, links
+    too if the two texts' shingle sets have at least the Jaccard ``similarity``.
+    """
     prints = staged(fingerprints(docs, shingle), "prints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    groups = components(near_links(classes, classes.count(), max_bits), "groups")
-    rooted = classes.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    n = classes.count()
+
+    def rooted(links: DataFrame) -> DataFrame:
+        groups = components(links, "groups").select(F.col("node").alias("fp"), "root")
+        return classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    grouped = rooted(near_links(classes, n, max_bits))
+    if far_bits > max_bits:
+        grouped = staged(grouped, "grouped")
+        grouped = rooted(grouped.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(verified_links(docs, grouped, n, shingle, far_bits, similarity)))
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = grouped.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, far_bits: int = 0, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, with the document of the smallest doc_id of each group; null doc_ids stay, and rows that repeat a doc_id become one."""
-    found = near_duplicates(docs, shingle, max_bits)
+    found = near_duplicates(docs, shingle, max_bits, far_bits, similarity)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 

@@ -458,3 +458,27 @@ def test_perfect_hash():
     assert (got[0] == n).all() and (got[1] == last).all()
     other = rng.integers(0, 2**63, 1000).astype(np.uint64)
     assert not made.probe(other, rng.integers(0, 2**62, 1000))[0].any()
+
+
+def test_far_partners_link_when_their_texts_are_similar(spark):
+    rng = np.random.default_rng(12)
+    rows, near = [], {}
+    for g in range(40):
+        base = [f"t{x}" for x in rng.integers(0, 5000, 160)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            copy = list(base)
+            copy[int(rng.integers(0, 160))] = f"edit{k}"
+            copy[int(rng.integers(0, 160))] = f"edit{g}"
+            rows.append((10 * g + k, " ".join(copy)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(d, 5, 4, 12, 0.8).toPandas().set_index("doc_id")["component_id"].to_dict()
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    fps = {i: slow_fingerprint(t, 5) for i, t in rows}
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    for a in got:
+        near[a] = got[a]
+        assert got[a] == a or alike(a, got[a]) > 0.5  # never across the groups
+        others = [b for b in got if b != a and (fps[a] ^ fps[b]).bit_count() <= 4]
+        assert all(got[b] == got[a] for b in others)
+    assert len(set(near.values())) < 60
