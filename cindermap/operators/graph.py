@@ -1,22 +1,12 @@
-"""Road graphs: edges (graph, u, v, length, damaged), many graphs at once. Iterations write each round to the checkpoint folder."""
+"""Road graphs: edges (graph, u, v, length, damaged), many graphs at once. Iterations write each round to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="cindermap-"))
-    return df.checkpoint()
+from cindermap.sources.shared import staged
 
 
 def build_graph(lines: DataFrame) -> DataFrame:
@@ -25,48 +15,84 @@ def build_graph(lines: DataFrame) -> DataFrame:
     return ends.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (node, root): the smallest node that each named node reaches."""
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
+    """``edges`` (a, b: long) to (node, root: long): each node that an edge names, and the smallest node it reaches.
+
+    Every round is two aggregations and joins on the edges that are left, whose number never grows; the rounds are
+    about logarithmic in the longest path. Each is written to the shared folder, so a lost executor costs one round.
+    """
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), purpose)
+    before = None
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("low"))
-        lower = label.join(near, label["node"] == near["a"], "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("low"))
-        # Follow the new label once: halves the distance to the root.
-        jump = lower.select(F.col("node").alias("j"), F.col("low").alias("beyond"))
-        after = settled(lower.join(jump, lower["low"] == jump["j"], "left").select("node", "root", F.least("low", F.coalesce("beyond", "low")).alias("new")))
-        moved = after.where("new < root").limit(1).count()
-        label = after.select("node", F.col("new").alias("root"))
-        if not moved:
-            return label
-
-
-def raster_components(mask: DataFrame, same_class: bool) -> DataFrame:
-    """4-connected regions of non-zero cells (of one class, or of any): raster_id, r, c, value, region (smallest cell number)."""
-    side = 1 << 20
-    cells = mask.where("value > 0").withColumn("cell", (F.col("raster_id") * side + F.col("r")) * side + F.col("c"))
-    right = cells.select(F.col("cell").alias("b"), F.col("value").alias("other"), "raster_id", "r", "c")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
+        now = staged(small.where("u <> v").distinct(), purpose)
+        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _tile_regions(same_class: bool):
+    """Regions within one tile by union-find; a region's number is its smallest cell number."""
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cell").reset_index(drop=True)
+        at, values, root = {rc: i for i, rc in enumerate(zip(rows["r"], rows["c"]))}, rows["value"].to_numpy(), list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for (r, c), i in at.items():
+            for near in ((r - 1, c), (r, c - 1)):
+                j = at.get(near)
+                if j is not None and (not same_class or values[i] == values[j]):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        cells = rows["cell"].to_numpy()
+        return rows.assign(region=[cells[find(i)] for i in range(len(rows))])
+
+    return label
+
+
+def raster_components(mask: DataFrame, same_class: bool, tile: int = 256) -> DataFrame:
+    """4-connected regions of non-zero cells (of one class, or of any): raster_id, r, c, value, region (its smallest cell number).
+
+    Tiles of bounded size are labelled each in one task; only cells on the tiles' edges link regions of different tiles.
+    """
+    cell = (F.col("raster_id") * (1 << 20) + F.col("r")) * (1 << 20) + F.col("c")
+    cells = mask.where("value > 0").select("raster_id", "r", "c", "value", cell.alias("cell"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", region long"
+    labelled = staged(cells.groupBy("raster_id", "tr", "tc").applyInPandas(_tile_regions(same_class), schema).drop("tr", "tc", "cell"), "regions")
     links = None
-    for dr, dc in ((0, 1), (1, 0)):
-        near = cells.select("cell", "value", "raster_id", (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")).join(right, ["raster_id", "r", "c"])
-        near = (near.where("value = other") if same_class else near).select(F.col("cell").alias("a"), "b")
+    for axis in ("r", "c"):
+        last = labelled.where(F.col(axis) % tile == tile - 1).withColumn(axis, F.col(axis) + 1).select("raster_id", "r", "c", F.col("value").alias("other"), F.col("region").alias("a"))
+        near = labelled.where(F.col(axis) % tile == 0).join(last, ["raster_id", "r", "c"])
+        near = (near.where("value = other") if same_class else near).select("a", F.col("region").alias("b"))
         links = near if links is None else links.union(near)
     found = components(links)
-    return cells.join(found, cells["cell"] == found["node"], "left").select("raster_id", "r", "c", "value", F.coalesce("root", "cell").alias("region"))
+    return labelled.join(found, labelled["region"] == found["node"], "left").select("raster_id", "r", "c", "value", F.coalesce("root", "region").alias("region"))
 
 
 def shortest(edges: DataFrame, source: int, cost) -> DataFrame:
     """Least cost from ``source`` to each node it reaches, in each graph; ``cost`` is a struct or number column of the edges."""
     one_way = edges.select(F.col("graph").alias("g"), F.col("u").alias("from"), F.col("v").alias("to"), cost.alias("w"))
-    both = settled(one_way.union(one_way.select("g", "to", "from", "w")))
+    both = staged(one_way.union(one_way.select("g", "to", "from", "w")), "edges")
     zero = F.lit(0).cast("long")
-    best = settled(edges.select("graph").distinct().select("graph", F.lit(source).cast("long").alias("node"), F.struct(zero.alias("repairs"), zero.alias("length")).alias("d")))
+    best = staged(edges.select("graph").distinct().select("graph", F.lit(source).cast("long").alias("node"), F.struct(zero.alias("repairs"), zero.alias("length")).alias("d")), "front")
     front = best
     while True:
         step = front.join(both, (F.col("graph") == F.col("g")) & (F.col("node") == F.col("from")))
         offers = step.select("graph", F.col("to").alias("node"), F.struct((F.col("d.repairs") + F.col("w.repairs")).alias("repairs"), (F.col("d.length") + F.col("w.length")).alias("length")).alias("d"))
         offers = offers.groupBy("graph", "node").agg(F.min("d").alias("offer"))
-        after = settled(best.join(offers, ["graph", "node"], "full").select("graph", "node", F.least("d", "offer").alias("d"), (F.col("d").isNull() | (F.col("offer") < F.col("d"))).alias("moved")))
+        after = staged(best.join(offers, ["graph", "node"], "full").select("graph", "node", F.least("d", "offer").alias("d"), (F.col("d").isNull() | (F.col("offer") < F.col("d"))).alias("moved")), "front")
         front = after.where("moved").select("graph", "node", "d")
         best = after.select("graph", "node", "d")
         if not front.limit(1).count():

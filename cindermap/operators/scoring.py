@@ -102,6 +102,15 @@ def lcs(gold: Column, pred: Column) -> Column:
     return F.when(F.size(gold) == 0, 1.0).when(F.size(pred) == 0, 0.0).otherwise(F.element_at(both, -1) / F.size(gold))
 
 
+def parameter_accuracy(gold: DataFrame, pred: DataFrame, by: str) -> DataFrame:
+    """Steps are compared place by place; a step with another call scores 0, else the share of its gold arguments (a map of numbers) that are close."""
+    both = gold.select(by, "step", F.col("call").alias("g"), F.col("args").alias("ga")).join(pred.select(by, "step", F.col("call").alias("p"), F.col("args").alias("pa")), [by, "step"], "left")
+    near = F.aggregate(F.map_entries("ga"), F.lit(0.0), lambda n, e: n + close(e["value"], F.try_element_at(F.col("pa"), e["key"])))
+    share = F.when(F.col("g") == F.col("p"), F.when(F.size("ga") > 0, near / F.size("ga")).otherwise(1.0)).otherwise(0.0)
+    there = pred.select(by).distinct()
+    return both.groupBy(by).agg(F.avg(F.coalesce(share, F.lit(0.0))).alias("score")).join(there, by, "left_semi")
+
+
 def averages(scores: DataFrame, dimension: str, task: str, score: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Task means, dimension means of tasks, and the plain mean of dimensions."""
     tasks = scores.groupBy(dimension, task).agg(F.avg(score).alias("score"))

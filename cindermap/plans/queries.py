@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cindermap.functions import crs
 from cindermap.functions import scalar as S
-from cindermap.operators import evidence, graph, raster, records, scoring, vector
+from cindermap.operators import evidence, graph, perceive, raster, records, scoring, vector
 from cindermap.plans import trajectory
+from cindermap.sources import files
 from cindermap.sources import tables as T
+from cindermap.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -667,3 +670,60 @@ def heatmap_kde(spark, d):
     off = F.explode(F.sequence(F.lit(-3), F.lit(3)))
     spread = n.select("gx", "gy", "points", off.alias("i")).select("*", off.alias("j"))
     return spread.groupBy((C("gx") + C("i")).alias("gx"), (C("gy") + C("j")).alias("gy")).agg(six(F.sum(C("points") * F.exp(-(C("i") * C("i") + C("j") * C("j")) / 2.0))).alias("density"))
+
+
+@query("SELECT id, round(radians(lon) * 6378137, 2) + 0.0 AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) + 0.0 AS y FROM pois WHERE abs(lat) < 85", "pois")
+def web_mercator(spark, d):
+    x, y = crs.mercator(C("lat"), C("lon"))
+    return T.pois(spark, d).where("abs(lat) < 85").select("id", (F.round(x, 2) + 0.0).alias("x"), (F.round(y, 2) + 0.0).alias("y"))
+
+
+@query("SELECT id, CAST(floor((lon + 180) / 6) AS BIGINT) % 60 + 1 AS zone, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon FROM pois WHERE abs(lat) < 80", "pois")
+def utm_round_trip(spark, d):
+    """To UTM and back."""
+    rows = T.pois(spark, d).where("abs(lat) < 80").withColumn("zone", crs.utm_zone(C("lon")))
+    east, north = crs.utm(C("lat"), C("lon"), C("zone"))
+    lat, lon = crs.from_utm(C("east"), C("north"), C("zone"))
+    return rows.select("id", "zone", east.alias("east"), north.alias("north")).select("id", "zone", (six(lat) + 0.0).alias("lat"), (six(lon) + 0.0).alias("lon"))
+
+
+@query("SELECT s_suppkey AS raster_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(greatest(0, least(i * 4, h - 6)) AS INT) AS r0, CAST(greatest(0, least(j * 4, w - 6)) AS INT) AS c0 FROM (SELECT s_suppkey, 10 + s_suppkey % 7 AS h, 12 + s_suppkey % 5 AS w FROM supplier), range(9) a(i), range(9) b(j) WHERE i <= ceil((h - 6) / 4) AND j <= ceil((w - 6) / 4)")
+def sliding_windows(spark, d):
+    sizes = T.table(spark, d, "supplier").select(C("s_suppkey").alias("raster_id"), (10 + C("s_suppkey") % 7).cast("int").alias("height"), (12 + C("s_suppkey") % 5).cast("int").alias("width"))
+    return perceive.sliding_windows(sizes, 6, 4)
+
+
+@query("SELECT raster_id, r, c, CASE WHEN value IN (1, 3) THEN 255 ELSE 0 END AS value FROM mask", "mask")
+def class_mask(spark, d):
+    return perceive.class_mask(T.mask(spark, d), [1, 3])
+
+
+@query(None)
+def road_centerline(spark, d):
+    return perceive.centerlines(T.mask(spark, d), T.SIDE, T.SIDE)
+
+
+@query("SELECT raster_id, r // 4 AS r, c // 4 AS c, round(avg(value), 6) AS value FROM dem GROUP BY ALL", "dem")
+def decimated_read(spark, d):
+    return T.dem(spark, d).groupBy("raster_id", F.floor(C("r") / 4).cast("int").alias("r"), F.floor(C("c") / 4).cast("int").alias("c")).agg(six(F.avg("value")).alias("value"))
+
+
+@query("SELECT id, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, name FROM pois", "pois")
+def geojson_round_trip(spark, d):
+    """Points of interest written as GeoJSON lines to the shared folder and read back."""
+    path = shared_dir(spark, "geojson")
+    files.write_geojson_lines(T.pois(spark, d), path, "px", "py", ["id", "name"])
+    return files.points(files.read_geojson_lines(spark, path)).select(C("props")["id"].cast("long").alias("id"), "px", "py", C("props")["name"].alias("name"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (value < 80) AS success, count(*) FILTER (value >= 80) AS failed, round(avg(value), 6) AS avg_time FROM events")
+def run_stats(spark, d):
+    runs = T.table(spark, d, "events").select(C("event_type").alias("predicted_answer"), F.when(C("value") >= 80, "late").alias("error"), C("value").alias("elapsed_time"))
+    return files.run_stats(runs).withColumn("avg_time", six("avg_time"))
+
+
+@query(PAIRS.replace("step, call FROM", "step, call, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM") + "SELECT t.task, round(coalesce((SELECT sum(CASE WHEN a.call = b.call AND abs(b.k - a.k) <= 1 + 0.2 * abs(a.k) THEN 1.0 ELSE 0.0 END) FROM x a JOIN x b ON a.task = b.task AND a.step = b.step AND a.side = 0 AND b.side = 1 WHERE a.task = t.task), 0) / ng, 6) AS score FROM t", "steps")
+def traj_params(spark, d):
+    """Matching arguments of steps at the same place with the same call, over the gold steps."""
+    rows = T.steps(spark, d).where("step <= 12").select(F.floor(C("user_id") / 2).alias("task"), (C("user_id") % 2).alias("side"), "step", "call", F.from_json("props", "map<string,double>").alias("args"))
+    return scoring.parameter_accuracy(rows.where("side = 0"), rows.where("side = 1"), "task").withColumn("score", six("score"))

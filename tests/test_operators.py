@@ -72,10 +72,61 @@ def test_clip_is_idempotent_and_threshold_complements(spark):
 
 def test_diagonal_cells_are_two_components(spark):
     mask = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 1, 1), (0, 1, 2, 2)], "raster_id long, r int, c int, value int")
-    assert raster and graph.raster_components(mask, False).select("region").distinct().count() == 2
+    assert graph.raster_components(mask, False).select("region").distinct().count() == 2
     assert graph.raster_components(mask, True).select("region").distinct().count() == 3
 
 
+@pytest.mark.parametrize("same_class", [False, True])
+def test_components_do_not_depend_on_tiles(spark, same_class):
+    import numpy as np
+
+    x = np.random.default_rng(4).integers(0, 3, (2, 14, 11))
+    mask = spark.createDataFrame([(i, r, c, int(v)) for (i, r, c), v in np.ndenumerate(x)], "raster_id long, r int, c int, value int")
+    regions = [sorted(map(tuple, graph.raster_components(mask, same_class, t).collect())) for t in (256, 4)]
+    assert regions[0] == regions[1]
+
+
+def test_thinning_gives_lines(spark):
+    from cindermap.operators import perceive
+
+    bar = spark.createDataFrame([(0, r, c, 1) for r in range(4, 9) for c in range(2, 18)], "raster_id long, r int, c int, value int")
+    got = perceive.centerlines(bar, 20, 20).collect()
+    assert 8 <= len(got) <= 20 and {r["r"] for r in got} <= {5, 6, 7}
+
+
+def test_files(spark, tmp_path):
+    import json
+
+    from cindermap.sources import files
+
+    (tmp_path / "layer.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.5, 2]}, "properties": {"name": "a"}}]}))
+    got = files.points(files.read_geojson(spark, str(tmp_path / "layer.json"))).first()
+    assert (got["px"], got["py"], got["props"]["name"]) == (1.5, 2.0, "a")
+    (tmp_path / "graph.json").write_text(json.dumps({"nodes": [{"id": 1}], "edges": [{"source": 1, "target": 2, "weight": 3.0}, {"source": 2, "target": 3, "length_m": 4.0, "length": 9.0, "damaged": True}]}))
+    assert sorted((r["length"], r["damaged"]) for r in files.read_graph(spark, str(tmp_path / "graph.json")).collect()) == [(3.0, False), (4.0, True)]
+    (tmp_path / "tasks.json").write_text(json.dumps([{"sample_id": "s", "tasks": [{"question": "q0"}, {"question": "q1"}]}]))
+    tasks = files.read_tasks(spark, str(tmp_path / "tasks.json"))
+    assert [r["question_id"] for r in tasks.orderBy("pos").collect()] == ["s_task0", "s_task1"]
+    runs = spark.createDataFrame([("s_task0", "x", None, 2.0), ("s_task1", "y", "timeout", 4.0)], "question_id string, predicted_answer string, error string, elapsed_time double")
+    files.append_runs(runs, str(tmp_path / "runs"))
+    again = files.read_runs(spark, str(tmp_path / "runs"))
+    assert tuple(files.run_stats(again).first()) == (2, 1, 1, 3.0)
+    assert [r["question_id"] for r in files.unanswered(tasks, again).collect()] == ["s_task1"]
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "f.bin").write_bytes(b"abc")
+    import hashlib
+
+    manifest = spark.createDataFrame([("f.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("g.bin", 1, "")], "name string, size long, sha256 string")
+    assert {r["name"]: r["status"] for r in files.verify_manifest(spark, str(tmp_path / "data"), manifest).collect()} == {"f.bin": "ok", "g.bin": "missing"}
+
+
+def test_utm_of_a_known_point(spark):
+    from cindermap.functions import crs
+
+    east, north = crs.utm(F.lit(48.8583), F.lit(2.2945), F.lit(31))
+    assert one(spark, east) == pytest.approx(448_252, abs=2) and one(spark, north) == pytest.approx(5_411_943, abs=2)
+
+
 def rect(spark, *rows):
     return spark.createDataFrame(rows, "id long, x0 long, y0 long, x1 long, y1 long")
 
