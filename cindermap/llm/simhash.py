@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindermap.llm.common import batch, staged, table, words
-from cindermap.llm.components import components
+from cindermap.operators.graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints that one group compares at most with as many others.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cindermap.llm import ann, decontaminate, linedup, packing, shards, simhash, substrings, tokenbin, toxicity, warc
 from cindermap.llm.common import shared_dir
-from cindermap.llm.components import components
+from cindermap.operators.graph import components
 
 WORDS = [f"w{i:02d}" for i in range(60)]
 #: Extra columns whose names the operators use inside.
