@@ -41,8 +41,9 @@ ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 2**64)
 FAR = 1 << 40
 RANGES_DDL = "key long, weight int, doc_id long, start int, n int"
-#: n is 0 where earlier places are not known yet, else the length of a run of later copies.
-PLACES_DDL = "key long, sure int, doc_id long, start int, n int"
+#: Three numbers a place keep the largest shuffle small. ``at`` is a check hash in the high half and the start in the low one; or
+#: negative, for a run of later copies: -1 - (its length in the high half, its start in the low one).
+PLACES_DDL = "key long, at long, doc_id long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -186,8 +187,10 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = mixed(ld[run].view(np.uint64) * np.uint64(ODD) + lp[run].astype(np.uint64)) if len(run) else np.zeros(0, np.uint64)
             lead = np.flatnonzero(lead)
             lead = lead[np.argsort(s[lead])]  # in the documents' order, rows of a shuffle compress better
-            columns = [np.concatenate([key[lead], own]).view(np.int64), np.concatenate([sure[lead], np.zeros(len(own), np.uint64)]), np.concatenate([ids[d[lead]] if len(lead) else ld[:0], ld[run]]), np.concatenate([place[lead], lp[run]]), np.concatenate([np.zeros(len(lead), np.int64), length])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "sure", "doc_id", "start", "n"])
+            at = np.concatenate([(sure[lead].astype(np.int64) << 32) | place[lead], -1 - ((length << 32) | lp[run])])
+            columns = [np.concatenate([key[lead], own]).view(np.int64), at, np.concatenate([ids[d[lead]] if len(lead) else ld[:0], ld[run]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "at", "doc_id"])
+
 
 
 def kept_words(text: str | None, runs: list[dict] | None, width: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -219,9 +222,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     weight = F.sum("weight").over(Window.partitionBy("key"))
     asked = ranges.withColumn("weight", weight).where("weight > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     places = docs.join(asked, "doc_id").mapInArrow(_places, PLACES_DDL)
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("key", "sure"))
-    later = places.withColumn("first", first).where((F.col("n") > 0) | (F.struct("doc_id", "start") > F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.greatest("n", F.lit(1)).alias("n"))).alias("runs"))
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    at, run = F.col("at"), -1 - F.col("at")
+    place = F.struct("doc_id", low(at).alias("start"))
+    first = F.min(place).over(Window.partitionBy("key", F.shiftright(at, 32)))
+    later = places.withColumn("first", first).where((at < 0) | (place > F.col("first")))
+    found = F.when(at < 0, F.struct(low(run).alias("start"), F.shiftright(run, 32).cast("int").alias("n"))).otherwise(F.struct(low(at).alias("start"), F.lit(1).alias("n")))
+    return later.groupBy("doc_id").agg(F.collect_list(found).alias("runs"))
 
 
 def passage_report(docs: DataFrame) -> DataFrame:
