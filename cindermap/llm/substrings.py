@@ -222,12 +222,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     weight = F.sum("weight").over(Window.partitionBy("key"))
     asked = ranges.withColumn("weight", weight).where("weight > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     places = docs.join(asked, "doc_id").mapInArrow(_places, PLACES_DDL)
-    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     at, run = F.col("at"), -1 - F.col("at")
     place = F.struct("doc_id", low(at).alias("start"))
     first = F.min(place).over(Window.partitionBy("key", F.shiftright(at, 32)))
     later = places.withColumn("first", first).where((at < 0) | (place > F.col("first")))
-    found = F.when(at < 0, F.struct(low(run).alias("start"), F.shiftright(run, 32).cast("int").alias("n"))).otherwise(F.struct(low(at).alias("start"), F.lit(1).alias("n")))
+    found = F.when(at < 0, F.struct(low(run).alias("start"), F.shiftright(run, 32).alias("n"))).otherwise(F.struct(low(at).alias("start"), F.lit(1).cast("long").alias("n")))
     return later.groupBy("doc_id").agg(F.collect_list(found).alias("runs"))
 
 
@@ -236,7 +236,7 @@ def passage_report(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     named = rows.where("doc_id IS NOT NULL")
     joined = named.join(repeated_runs(named), "doc_id", "left")
-    unnamed = rows.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<start:int,n:int>>"))
+    unnamed = rows.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<start:long,n:long>>"))
     return joined.select("doc_id", "text", "runs").union(unnamed).mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
