@@ -27,3 +27,12 @@ def shares(rows: DataFrame, by: str, key: str, value: str) -> DataFrame:
     totals = rows.groupBy(by).agg(F.sum(value).alias("total"), F.max(value).alias("top"))
     over = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
     return rows.join(totals, by).select(by, key, (F.col(value) / over("total")).alias("share"), (F.col(value) / over("top")).alias("height"))
+
+
+def prominent(rows: DataFrame, by: str, key: str, value: str, hints: list[str], most: int = 20) -> DataFrame:
+    """The first ``most`` statistics of each ``by``: keys that contain an earlier hint first, then by name."""
+    order = F.lit(len(hints))
+    for i, hint in reversed(list(enumerate(hints))):
+        order = F.when(F.lower(F.col(key)).contains(hint), i).otherwise(order)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order, key))
+    return rows.withColumn("place", rank).where(F.col("place") <= most).select(by, "place", key, value)

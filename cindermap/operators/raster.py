@@ -144,6 +144,21 @@ def resample_nearest(cells: DataFrame, height: int, width: int, factor: float) -
     return at.join(cells.select("raster_id", "r", "c", "value"), ["raster_id", "r", "c"]).select("raster_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "value")
 
 
+def resample_bilinear(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
+    """Each target cell takes the weighted mean of the four source cells around its centre; edge cells repeat outward."""
+    h, w = max(1, int(height * factor)), max(1, int(width * factor))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = cells.select("raster_id").distinct().select("raster_id", steps(h).alias("tr")).select("*", steps(w).alias("tc"))
+    centre = lambda c, n, full: F.greatest(F.lit(0.0), F.least(F.lit(full - 1.0), (F.col(c) + 0.5) * full / n - 0.5))
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    at = grid.withColumn("y", centre("tr", h, height)).withColumn("x", centre("tc", w, width)).select("*", near.alias("n"))
+    r, c = F.floor("y") + F.col("n.i"), F.floor("x") + F.col("n.j")
+    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("y") - r)) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("x") - c))
+    asked = at.select("raster_id", "tr", "tc", r.cast("int").alias("r"), c.cast("int").alias("c"), weight.alias("weight")).where("weight > 0")
+    took = asked.join(cells.select("raster_id", "r", "c", "value"), ["raster_id", "r", "c"])
+    return took.groupBy("raster_id", F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+
 def argmax_of_patches(scores: DataFrame) -> DataFrame:
     """Average the overlapping patches' scores of each pixel and class; the best class, the smaller on ties."""
     mean = scores.groupBy("pixel", "class").agg(F.avg("score").alias("score"))

@@ -727,3 +727,17 @@ def traj_params(spark, d):
     """Matching arguments of steps at the same place with the same call, over the gold steps."""
     rows = T.steps(spark, d).where("step <= 12").select(F.floor(C("user_id") / 2).alias("task"), (C("user_id") % 2).alias("side"), "step", "call", F.from_json("props", "map<string,double>").alias("args"))
     return scoring.parameter_accuracy(rows.where("side = 0"), rows.where("side = 1"), "task").withColumn("score", six("score"))
+
+
+AXIS = "greatest(0.0, least(15.0, ({t} + 0.5) * 16 / 6 - 0.5))"
+
+
+@query(f"WITH t AS (SELECT i.i AS r, j.j AS c, {AXIS.format(t='i.i')} AS y, {AXIS.format(t='j.j')} AS x FROM range(6) i(i), range(6) j(j)) SELECT d.raster_id, CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, round(sum(CAST(d.value AS DOUBLE) * (1 - abs(CAST(y AS DOUBLE) - d.r)) * (1 - abs(CAST(x AS DOUBLE) - d.c))), 4) AS value FROM t JOIN dem d ON abs(y - d.r) < 1 AND abs(x - d.c) < 1 GROUP BY ALL", "dem")
+def resample_bilinear(spark, d):
+    return raster.resample_bilinear(T.dem(spark, d), T.SIDE, T.SIDE, 0.4).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT user_id, CAST(place AS INT) AS place, k, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN lower(k) LIKE '%purchase%' THEN 0 WHEN lower(k) LIKE '%c%' THEN 1 ELSE 2 END, k) AS place FROM (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL)) WHERE place <= 3")
+def prominent_statistics(spark, d):
+    counts = T.table(spark, d, "events").groupBy("user_id", C("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return evidence.prominent(counts, "user_id", "k", "n", ["purchase", "c"], 3)
