@@ -72,6 +72,11 @@ class Lake:
             self._fs.delete(half, False)
             raise FileExistsError(f"version {version} is taken")
 
+    def release(self, version: int) -> bool:
+        """Give up the claim of a writer that died before its manifest was there; False if the version exists or was not claimed."""
+        claim = self._path(f"{self.folder}/manifests/{version:012d}.claim")
+        return not self._fs.exists(self._path(f"{self.folder}/manifests/{version:012d}.json")) and bool(self._fs.delete(claim, False))
+
     def _new(self, merged: int) -> str:
         return f"{self.folder}/shards/m{merged}-{uuid.uuid4().hex}"
 

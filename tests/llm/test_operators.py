@@ -304,6 +304,12 @@ def test_lake(spark, docs, empty):
     assert lake.read(before).count() == len(texts())
     with pytest.raises(FileExistsError):
         lake.commit(before, [])
+    dead = lake.version() + 1
+    lake._fs.createNewFile(lake._path(f"{lake.folder}/manifests/{dead:012d}.claim"))
+    with pytest.raises(FileExistsError):
+        lake.commit(dead, lake.manifest())
+    assert lake.release(dead) and not lake.release(dead) and not lake.release(dead - 1)
+    lake.commit(dead, lake.manifest())
     assert lake.vacuum() > 0 and lake.read().count() == len(texts())
     none = shards.Lake(spark, shared_dir(spark, "lake"), docs.schema)
     assert none.read().count() == 0
