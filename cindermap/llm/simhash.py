@@ -38,6 +38,8 @@ from cindermap.operators.graph import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints that one group compares at most with as many others.
 BUCKET = 4096
+#: Random fingerprints that a bucket is to hold at most, which decides on the number of blocks.
+EXPECTED = 256
 FAN = 16
 #: Pairs of nodes held at once.
 PAIRS = 2_000_000
@@ -89,7 +91,7 @@ def tables(n: int, max_bits: int) -> list[list[tuple[int, int]]]:
         agree = blocks - max_bits
         edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
         spans = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-        if n >> sum(w for _, w in spans[:agree]) < BUCKET // 2:
+        if n >> sum(w for _, w in spans[:agree]) < EXPECTED:
             break
     return [list(c) for c in combinations(spans, agree)]
 
