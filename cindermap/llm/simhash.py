@@ -38,8 +38,8 @@ from cindermap.operators.graph import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Fingerprints that one group compares at most with as many others.
 BUCKET = 4096
-#: Random fingerprints that a bucket is to hold at most, which decides on the number of blocks.
-EXPECTED = 256
+#: Comparisons that cost about as much as one more row to deal out, which decides on the number of blocks.
+ROW_COST = 800
 FAN = 16
 #: Pairs of nodes held at once.
 PAIRS = 2_000_000
@@ -86,14 +86,19 @@ def gray_rank(fp: Column) -> Column:
 
 
 def tables(n: int, max_bits: int) -> list[list[tuple[int, int]]]:
-    """For each table the (shift, width) of its blocks. Of b blocks, b - max_bits agree; b grows until a bucket of n random fingerprints is small."""
-    for blocks in range(max_bits + 1, max_bits + 5):
-        agree = blocks - max_bits
+    """For each table the (shift, width) of its blocks. Of b blocks, b - max_bits agree.
+
+    More blocks make smaller buckets but more tables; b is where rows and comparisons of n random fingerprints cost least.
+    """
+
+    def split(blocks: int) -> list[list[tuple[int, int]]]:
         edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-        spans = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-        if n >> sum(w for _, w in spans[:agree]) < EXPECTED:
-            break
-    return [list(c) for c in combinations(spans, agree)]
+        return [list(c) for c in combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], blocks - max_bits)]
+
+    def cost(made: list[list[tuple[int, int]]]) -> float:
+        return sum(1 + n / 2 ** sum(w for _, w in spans) / ROW_COST for spans in made)
+
+    return min((split(blocks) for blocks in range(max_bits + 1, max_bits + 5)), key=cost)
 
 
 def bits_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
