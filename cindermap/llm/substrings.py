@@ -221,11 +221,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ranges = docs.select("doc_id", "text").mapInArrow(_ranges, RANGES_DDL)
     weight = F.sum("weight").over(Window.partitionBy("key"))
     asked = ranges.withColumn("weight", weight).where("weight > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    places = docs.join(asked, "doc_id").mapInArrow(_places, PLACES_DDL)
+    # Dealt out before the columns that the window needs are made, so that only the three numbers are shuffled.
+    places = docs.join(asked, "doc_id").mapInArrow(_places, PLACES_DDL).repartition("key").withColumn("check", F.shiftright("at", 32))
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     at, run = F.col("at"), -1 - F.col("at")
     place = F.struct("doc_id", low(at).alias("start"))
-    first = F.min(place).over(Window.partitionBy("key", F.shiftright(at, 32)))
+    first = F.min(place).over(Window.partitionBy("key", "check"))
     later = places.withColumn("first", first).where((at < 0) | (place > F.col("first")))
     found = F.when(at < 0, F.struct(low(run).alias("start"), F.shiftright(run, 32).alias("n"))).otherwise(F.struct(low(at).alias("start"), F.lit(1).cast("long").alias("n")))
     return later.groupBy("doc_id").agg(F.collect_list(found).alias("runs"))
