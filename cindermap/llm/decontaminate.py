@@ -2,12 +2,12 @@
 
 1. Benchmark items are cut into word n-grams. A filter of fixed size (``FILTER_BITS`` bits, whatever the benchmark's
    size) lets each task drop, while it scans documents, nearly all n-grams that no item has.
-2. The n-grams that pass are joined to the items' n-grams; their document frequencies over the whole corpus rank each
-   item's n-grams, and the rarer half (all that tie with the median included) are its seeds. Rarity is relative to the item,
-   so that a passage which a third of all documents copied still has seeds.
+2. The n-grams that pass are joined to the items' n-grams, all of which are seeds. None is left out for being frequent:
+   copies raise the frequency of the very n-grams that edited copies keep.
 3. A document and an item that share a seed are a candidate. The item is aligned with the stretches of the document
-   around the seeds (+``MATCH``, ``MISMATCH``, ``GAP`` a word); score over the item's best possible score is the pair's
-   score, and pairs of at least ``min_score`` are reported.
+   around the seeds (+``MATCH``, ``MISMATCH``, ``GAP`` a word), as wide as the gaps that a passage of ``min_score`` can
+   have; score over the item's best possible score is the pair's score, and pairs of at least ``min_score`` are reported.
+   A stretch that shares too few words with the item to reach ``min_score`` in any order is not aligned.
 
 Words are runs of letters and digits, lower case. Defined cases: null or empty texts and items of fewer than n words
 match nothing; rows with a null doc_id or item_id take no part (and stay in ``drop_contaminated``); rows that repeat a doc_id
@@ -104,9 +104,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def aligned(item: list[str], own: list[str], diagonals: list[int]) -> tuple[float, int]:
-    """Score (1: the whole item stands in the text) and the number of the word behind the passage."""
-    slack = max(8, len(item) // 3)
+def aligned(item: list[str], own: list[str], diagonals: list[int], min_score: float) -> tuple[float, int]:
+    """Score (1: the whole item stands in the text) and the number of the word behind the passage; 0 if it cannot reach ``min_score``."""
+    slack = max(8, -int(MATCH * len(item) * (1 - min_score) // GAP))
     code: dict[str, int] = {}
     a = np.array([code.setdefault(w, len(code)) for w in item])
     best, end = 0, 0
@@ -117,8 +117,13 @@ def aligned(item: list[str], own: list[str], diagonals: list[int]) -> tuple[floa
             spans[-1][1] = max(hi, spans[-1][1])
         else:
             spans.append([lo, hi])
+    wanted = np.bincount(a, minlength=len(code))
     for lo, hi in spans:
-        score, at = align(a, np.array([code.get(w, -1) for w in own[lo:hi]], np.int64))
+        text = np.array([code.get(w, -1) for w in own[lo:hi]], np.int64)
+        shared = np.minimum(wanted, np.bincount(text[text >= 0], minlength=len(code))).sum()
+        if shared < min_score * len(item):
+            continue
+        score, at = align(a, text)
         if score > best:
             best, end = score, lo + at
     return best / (MATCH * len(item)), end
@@ -132,7 +137,7 @@ def _verify(min_score: float):
                 own = split(text.as_py())
                 for x in found.as_py():
                     item = split(x["item"])
-                    score, end = aligned(item, own, x["diagonals"])
+                    score, end = aligned(item, own, x["diagonals"], min_score)
                     if score >= min_score:
                         out.append((doc_id.as_py(), x["item_id"], score, end))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["doc_id", "item_id", "score", "end_word"])
@@ -147,11 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: f
     item_grams = staged(items.mapInArrow(_item_grams(n), "gram long, item_id long, at int"), "item-grams")
     scanned = docs.mapInArrow(_scan(n, gram_filter(item_grams)), "doc_id long, gram long, places array<int>")
     hits = staged(scanned, "gram-hits")
-    frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = item_grams.join(frequency, "gram")
-    middle = ranked.groupBy("item_id").agg(F.expr("percentile(df, 0.5)").alias("middle"))
-    seeds = ranked.join(middle, "item_id").where("df <= middle").select("gram", "item_id", "at")
-    found = hits.join(seeds, "gram").select("doc_id", "item_id", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("diagonal"))
+    found = hits.join(item_grams, "gram").select("doc_id", "item_id", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("diagonal"))
     pairs = found.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
     named = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id")
     each = named.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("found"))

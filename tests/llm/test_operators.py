@@ -278,6 +278,18 @@ def test_contaminated(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    item = passage(40, 24)
+    edited = [w if i % 5 != 4 else f"other{i}" for i, w in enumerate(item.split())]  # 8 of 22 3-grams are left
+    gap = item.split()[:12] + passage(47, 16).split() + item.split()[12:]
+    rows = [(1, f"{passage(41, 50)} {item} {passage(42, 30)}")]
+    rows += [(k, f"{passage(40 + 10 * k, 50)} {' '.join(edited)} {passage(41 + 10 * k, 30)}") for k in (2, 3, 4)]
+    rows += [(5, f"{passage(95, 30)} {' '.join(gap)}"), (6, f"{passage(96, 30)} {' '.join(item.split()[:3])} {passage(97, 30)}")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert got == {1: 1.0, 2: 36 / 48, 3: 36 / 48, 4: 36 / 48, 5: 32 / 48}
+
+
 def test_alignment_against_the_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(30):
