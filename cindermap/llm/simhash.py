@@ -101,10 +101,6 @@ def tables(n: int, max_bits: int) -> list[list[tuple[int, int]]]:
     return min((split(blocks) for blocks in range(max_bits + 1, max_bits + 5)), key=cost)
 
 
-def bits_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 class GrayIndex:
     """Levels of nodes over Gray-sorted codes. Nodes don't reach over the starts of groups."""
 
@@ -191,19 +187,17 @@ def _links(max_bits: int):
 
 
 def _partners(max_bits: int):
-    def of(group: np.ndarray, code: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-        best = np.full(len(code), 2**62)
+    def of(group: np.ndarray, code: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i, j in GrayIndex(code.view(np.uint64), group).close_pairs(max_bits):
             apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            bits = bits_differ(code[i].view(np.uint64), code[j].view(np.uint64)).astype(np.int64) << 40
-            np.minimum.at(best, i, bits + j)
-            np.minimum.at(best, j, bits + i)
-        own = np.flatnonzero(best < 2**62)
-        other = best[own] & ((1 << 40) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(code[own]), pa.array(best[own] >> 40, pa.int32()), pa.array(code[other])], ["fp", "bits", "partner"])
+            a, b = code[i[apart]], code[j[apart]]
+            yield batch(LINKS, np.minimum(a, b), np.maximum(a, b))
 
-    return _by_group(of, ["fp", "root"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in _by_group(of, ["fp", "root"])(batches):
+            yield from made
+
+    return each
 
 
 def bucketed(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
@@ -230,10 +224,9 @@ def near_links(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
     return bucketed(classes.select("fp"), n, max_bits).mapInArrow(_links(max_bits), "a long, b long")
 
 
-def nearest_partners(rooted: DataFrame, n: int, max_bits: int) -> DataFrame:
-    """(fp, partner): the nearest fingerprint of another ``root`` within ``max_bits``, one row for each fingerprint that has any."""
-    found = bucketed(rooted.select("fp", "root"), n, max_bits).mapInArrow(_partners(max_bits), "fp long, bits int, partner long")
-    return found.groupBy("fp").agg(F.min(F.struct("bits", "partner")).alias("best")).select("fp", "best.partner")
+def partners(rooted: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(a, b): every pair of fingerprints a < b of different ``root`` within ``max_bits``."""
+    return bucketed(rooted.select("fp", "root"), n, max_bits).mapInArrow(_partners(max_bits), "a long, b long").distinct()
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -265,8 +258,8 @@ def _similar(least: float):
 
 
 def verified_links(docs: DataFrame, rooted: DataFrame, n: int, shingle: int, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): nearest partners of different roots whose texts' shingle sets have at least the Jaccard ``similarity``."""
-    pairs = nearest_partners(rooted, n, max_bits).select(F.least("fp", "partner").alias("a"), F.greatest("fp", "partner").alias("b")).distinct()
+    """(a, b): pairs of different roots within ``max_bits`` whose texts' shingle sets have at least the Jaccard ``similarity``."""
+    pairs = partners(rooted, n, max_bits)
     first = rooted.where("first IS NOT NULL").select("fp", "first")
     named = staged(pairs.join(first.toDF("a", "a_doc"), "a").join(first.toDF("b", "b_doc"), "b"), "partners")
     asked = named.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
@@ -278,8 +271,8 @@ def verified_links(docs: DataFrame, rooted: DataFrame, n: int, shingle: int, max
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, far_bits: int = 0, similarity: float = 0.8) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row a document.
 
-    With ``far_bits`` over ``max_bits``, each fingerprint's nearest partner outside its group, within ``far_bits``, links
-    too if the two texts' shingle sets have at least the Jaccard ``similarity``.
+    With ``far_bits`` over ``max_bits``, every pair of fingerprints of different groups within ``far_bits`` links too if the
+    two texts' shingle sets have at least the Jaccard ``similarity``.
     """
     prints = staged(fingerprints(docs, shingle), "prints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")

@@ -4,7 +4,7 @@
 2. line dedup: lines that many documents share stay in one of them.
 3. near dedup: of documents whose SimHash fingerprints link, the one with the smallest doc_id stays. Fingerprints are over
    shingles of five words. Those within four bits link; since copies with a Jaccard similarity of 0.8 to 0.9 differ in five to
-   ten bits, a document's nearest partner within ten bits links as well if their shingle sets have a similarity of 0.8.
+   ten bits, pairs of other groups within ten bits link as well if their shingle sets have a similarity of 0.8.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: what is left is packed into sequences of 1024 tokens; one row a piece.
 

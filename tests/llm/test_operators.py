@@ -478,6 +478,15 @@ def test_perfect_hash():
     assert not made.probe(other, rng.integers(0, 2**62, 1000))[0].any()
 
 
+def test_far_pairs_behind_nearer_false_neighbours(spark):
+    base = passage(60, 120)
+    rows = [(1, base), (2, passage(61, 120)), (3, base + " tail"), (4, passage(62, 120))]
+    fps = [0, 0x1F, 0x7F << 20, 0x7F << 20 ^ 0x1F << 40]  # 1 and 3 differ in 7 bits, but either is 5 bits from an unlike text
+    rooted = spark.createDataFrame([(f, i, f) for f, (i, _) in zip(fps, rows, strict=True)], "fp long, first long, root long")
+    got = simhash.verified_links(spark.createDataFrame(rows, "doc_id long, text string"), rooted, 4, 5, 10, 0.8).collect()
+    assert [tuple(r) for r in got] == [(fps[0], fps[2])]
+
+
 def test_far_partners_link_when_their_texts_are_similar(spark):
     rng = np.random.default_rng(12)
     rows, near = [], {}
