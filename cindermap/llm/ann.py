@@ -8,7 +8,9 @@ compared exactly, and the nearest stay.
 Vectors are dealt to blocks of about ``BLOCK`` rows by a hash, each block with inverted files of its own; the stated
 queries go to every block, in chunks (``CHUNK``), so no task holds more than a block and a chunk, and hot pivots are spread
 over all blocks. Each block reranks ``SHARE`` of its rows and returns a query's k best, so that what is shuffled grows
-with queries times blocks times k. Pivots are a bounded sample (the ``PIVOTS`` smallest hashes of vec_id); all rows are indexed.
+with queries times blocks times k. Equal vectors of a block are indexed once, with all their ids, and entries that tie with the
+last one to be reranked are reranked too, so a hot vector keeps neither its smaller ids nor other vectors out. Pivots are
+the distinct vectors of a bounded sample (the ``PIVOTS`` smallest hashes of vec_id); all rows are indexed.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose number
 of components is not the most frequent one (the larger, if two are); rows with a null vec_id take no part; rows that repeat a
@@ -75,15 +77,29 @@ def _search(pivots: np.ndarray, prefix: int, share: float, k: int) -> Callable[[
         own, queries, own_ids, query_ids = x[~is_query], x[is_query], ids[~is_query], ids[is_query]
         out: list[tuple] = []
         if len(own) and len(queries):
-            files = InvertedFiles(nearest_pivots(own, pivots, prefix), len(pivots))
-            most = min(len(own), max(20 * k, round(share * len(own))))
+            # Equal vectors are one entry, with the rows that hold it in the order of their ids.
+            distinct, entry = np.unique(own, axis=0, return_inverse=True)
+            entry = entry.ravel()
+            by_entry = np.lexsort((own_ids, entry))
+            held = np.bincount(entry)
+            starts = np.cumsum(held) - held
+            files = InvertedFiles(nearest_pivots(distinct, pivots, prefix), len(pivots))
+            most = min(len(distinct), max(20 * k, round(share * len(own))))
             for order, q, q_id in zip(nearest_pivots(queries, pivots, prefix), queries, query_ids, strict=True):
                 apart = files.footrule(order)
-                near = np.argpartition(apart, most - 1)[:most]
-                near = near[own_ids[near] != q_id]
-                score = np.sqrt(((own[near] - q) ** 2).sum(1))
-                best = np.lexsort((own_ids[near], score))[:k]
-                out.append((np.full(len(best), q_id), own_ids[near[best]], score[best]))
+                near = np.flatnonzero(apart <= np.partition(apart, most - 1)[most - 1])
+                same_id = np.bincount(entry[own_ids == q_id], minlength=len(held))
+                near = near[held[near] > same_id[near]]
+                if not len(near):
+                    continue
+                score = np.sqrt(((distinct[near] - q) ** 2).sum(1))
+                kept = np.flatnonzero(score <= np.partition(score, min(k, len(near)) - 1)[min(k, len(near)) - 1])
+                rows_of = [by_entry[starts[e] : starts[e] + min(held[e], k + same_id[e])] for e in near[kept]]
+                score = np.repeat(score[kept], list(map(len, rows_of)))
+                found = own_ids[np.concatenate(rows_of)]
+                found, score = found[found != q_id], score[found != q_id]
+                best = np.lexsort((found, score))[:k]
+                out.append((np.full(len(best), q_id), found[best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
@@ -97,12 +113,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVO
     size, n, queries = sizes[0] if sizes else (0, 0, 0)
     rows = rows.where(F.size("embedding") == size)
     drawn = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    marks = np.array([r["embedding"] for r in drawn], float).reshape(len(drawn), size)
+    marks = np.unique(np.array([r["embedding"] for r in drawn], float).reshape(len(drawn), size), axis=0)
     blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-queries // CHUNK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     stored = rows.withColumn("is_query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
     asked = rows.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))
-    found = stored.unionByName(asked).groupBy("block", "chunk").applyInArrow(_search(marks, min(prefix, max(1, len(drawn))), share, k), "query_id long, vec_id long, score double")
+    found = stored.unionByName(asked).groupBy("block", "chunk").applyInArrow(_search(marks, min(prefix, max(1, len(marks))), share, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -97,6 +97,20 @@ def test_nearest_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_among_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[rng.permutation(6000)[:2000]] = x[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
+    same = np.flatnonzero((x == x[0]).all(1))
+    queries = [q for q in range(0, 6000, 100) if q in set(same)]
+    assert len(queries) > 10
+    for q in queries:
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert own["vec_id"].tolist() == same[same != q][:10].tolist() and (own["score"] == 0).all()
+
+
 def test_footrule_of_inverted_files():
     rng = np.random.default_rng(3)
     orders = np.stack([rng.permutation(20)[:6] for _ in range(50)])
