@@ -1,22 +1,33 @@
 """Operator 6: size-tiered compaction of shards under a versioned manifest.
 
-Arrivals are appended as small immutable Parquet shards. A manifest lists the shards of one version; a new version is
-written aside and renamed to its number, which fails if another writer has that number already, so readers see a
-version whole or not at all. A shard's tier is how many times ``FAN`` it is smaller than the target; when a tier holds
-``FAN`` shards (a run of similar sizes), they are merged into files of about the target's size or, if they are too little, one
-of the next tier, and a version commits the exchange. Old shards stay for readers of old versions until ``vacuum``.
+Arrivals are appended as small immutable Parquet shards. A manifest lists the shards of one version. A shard's tier is how
+many times ``FAN`` it is smaller than the target; when a tier holds ``FAN`` shards (a run of similar sizes), they are merged into
+files of about the target's size or, if they are too little, one of the next tier, and a version commits the exchange. Old
+shards stay for readers of old versions until ``vacuum``.
+
+Every change names the version it is based on. A writer claims the next version by creating the claim file of its first
+attempt, which one writer alone can; it then renames the manifest into place. Who finds the version taken looks at the newest
+manifest again and makes its change on that one: an append adds its shards, a merge is dropped if a shard of its run has gone
+(another compactor was faster). A claim without a manifest expires after ``lease`` seconds; then the next attempt may be
+claimed, which voids the former one. If the slow writer's manifest is there after all, the new attempt passes it on
+unchanged, and as shards have unique names, a writer sees whether its change is already in. Readers see only versions
+whose last attempt has a manifest, so they see a version whole or not at all.
 
 Rows are only copied, partition by partition, without a shuffle; each row is written about log_FAN(target / arrival) times.
 The driver handles file names and sizes, never rows.
 
-Defined cases: rows are kept as they are, repeated ones, nulls and all columns; an empty arrival appends a version
-without new shards; an empty table is a manifest without shards and reads as an empty table.
+Defined cases: rows are kept as they are, repeated ones, nulls and all columns; an arrival without shards changes nothing; an
+empty table is a manifest without rows and reads as an empty table; the columns that ``read`` adds get underscores in front
+where the table has their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +38,10 @@ from cindermap.llm.common import shared_dir, table
 
 #: Bytes of a full shard, and how many shards of a tier are merged.
 TARGET, FAN = 32 << 20, 4
+#: Seconds after which a claim without a manifest counts as a dead writer's.
+LEASE = 60.0
+#: The claim and the manifest of an attempt at a version.
+NAME = re.compile(r"(\d+)\.(\d+)\.(claim|json)")
 
 
 @dataclass(frozen=True)
@@ -36,46 +51,94 @@ class Shard:
     merged: int  # how often its rows were merged
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    lower = {t.lower() for t in taken}
+    while name in lower:
+        name = f"_{name}"
+    return name
+
+
 class Lake:
     """A table of shards in one folder of a file system that Spark reaches."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, target: int = TARGET, fan: int = FAN):
-        self.spark, self.folder, self.schema, self.target, self.fan = spark, folder, schema, target, fan
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, target: int = TARGET, fan: int = FAN, lease: float = LEASE):
+        self.spark, self.folder, self.schema, self.target, self.fan, self.lease = spark, folder, schema, target, fan, lease
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
         self._fs.mkdirs(self._path(f"{folder}/manifests"))
+        #: Names of the columns that ``read`` adds.
+        self.shard_column, self.merged_column = (free_name(n, schema.names) for n in ("shard_id", "merged"))
+
+    def _attempts(self) -> dict[int, dict[int, set[str]]]:
+        """For each version, its attempts and what there is of them."""
+        found: dict[int, dict[int, set[str]]] = {}
+        for status in self._fs.listStatus(self._path(f"{self.folder}/manifests")):
+            if m := NAME.fullmatch(status.getPath().getName()):
+                found.setdefault(int(m[1]), {}).setdefault(int(m[2]), set()).add(m[3])
+        return found
+
+    def _file(self, version: int, attempt: int, kind: str):
+        return self._path(f"{self.folder}/manifests/{version:012d}.{attempt:04d}.{kind}")
+
+    def versions(self) -> dict[int, int]:
+        """The committed versions, and the attempt that counts for each."""
+        return {v: max(tries) for v, tries in self._attempts().items() if "json" in tries[max(tries)]}
 
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if version == 0:
-            return []
-        lines = self.spark.read.text(f"{self.folder}/manifests/{version:012d}.json", wholetext=True).first()[0]
-        return [Shard(**x) for x in json.loads(lines)["shards"]]
-
-    def commit(self, version: int, shards: list[Shard]) -> None:
-        """Write the manifest of ``version``; FileExistsError if someone else has committed it."""
-        name, half = self._path(f"{self.folder}/manifests/{version:012d}.json"), self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
-        text = json.dumps({"version": version, "shards": [asdict(s) for s in shards]})
+        known = self.versions()
+        version = max(known, default=0) if version is None else version
+        return self._read(version, known[version]) if version else []
+
+    def _read(self, version: int, attempt: int) -> list[Shard]:
+        text = self.spark.read.text(self._file(version, attempt, "json").toString(), wholetext=True).first()[0]
+        return [Shard(**x) for x in json.loads(text)["shards"]]
+
+    def _claim(self, version: int) -> int | None:
+        """The number of our attempt at a version; None if it is committed or another writer is at it."""
+        tries = self._attempts().get(version, {})
+        last = max(tries, default=-1)
+        if last >= 0:
+            if "json" in tries[last]:
+                return None
+            age = time.time() - self._fs.getFileStatus(self._file(version, last, "claim")).getModificationTime() / 1000
+            if age < self.lease:
+                return None
+        return last + 1 if self._fs.createNewFile(self._file(version, last + 1, "claim")) else None
+
+    def _publish(self, version: int, attempt: int, shards: list[Shard]) -> None:
+        """The rename makes the manifest visible whole; the name is this attempt's own."""
+        half = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(half, False)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             out.close()
-        # Exactly one writer creates the claim; the rename then makes the version visible whole.
-        if not self._fs.createNewFile(self._path(f"{self.folder}/manifests/{version:012d}.claim")) or not self._fs.rename(half, name):
-            self._fs.delete(half, False)
-            raise FileExistsError(f"version {version} is taken")
-
-    def release(self, version: int) -> bool:
-        """Give up the claim of a writer that died before its manifest was there; False if the version exists or was not claimed."""
-        claim = self._path(f"{self.folder}/manifests/{version:012d}.claim")
-        return not self._fs.exists(self._path(f"{self.folder}/manifests/{version:012d}.json")) and bool(self._fs.delete(claim, False))
+        if not self._fs.rename(half, self._file(version, attempt, "json")):
+            raise OSError(f"cannot write the manifest of version {version}")
+
+    def update(self, change: Callable[[list[Shard]], list[Shard] | None]) -> bool:
+        """Commit ``change(newest manifest)``; on the then newest one if another writer is faster. False if it gives None: nothing to do (any more)."""
+        while True:
+            base = self.version()
+            shards = change(self.manifest(base))
+            if shards is None:
+                return False
+            attempt = self._claim(base + 1)
+            if attempt is None:
+                time.sleep(0.05)
+                continue
+            earlier = [k for k, kinds in self._attempts()[base + 1].items() if k < attempt and "json" in kinds]
+            if earlier:
+                self._publish(base + 1, attempt, self._read(base + 1, max(earlier)))
+                continue
+            self._publish(base + 1, attempt, shards)
+            if max(self._attempts()[base + 1]) == attempt:
+                return True
 
     def _new(self, merged: int) -> str:
         return f"{self.folder}/shards/m{merged}-{uuid.uuid4().hex}"
@@ -84,11 +147,15 @@ class Lake:
         found = [] if not self._fs.exists(self._path(folder)) else self._fs.listStatus(self._path(folder))
         return sorted((Shard(str(s.getPath().toString()), int(s.getLen()), merged) for s in found if s.getPath().getName().endswith(".parquet")), key=lambda s: s.path)
 
+    def _add(self, new: list[Shard]) -> None:
+        names = {s.path for s in new}
+        self.update(lambda now: None if names <= {s.path for s in now} else now + new)
+
     def append(self, rows: DataFrame) -> None:
         """One arrival: its partitions become shards, without a shuffle."""
         folder = self._new(0)
         rows.write.option("compression", "snappy").parquet(folder)
-        self.commit(self.version() + 1, self.manifest() + self._written(folder, 0))
+        self._add(self._written(folder, 0))
 
     def append_dealt(self, rows: DataFrame, arrival: str) -> None:
         """Arrivals 0, 1, 2... of ``rows`` by the column ``arrival``, written in one pass and committed one by one."""
@@ -96,7 +163,7 @@ class Lake:
         rows.write.option("compression", "snappy").partitionBy(arrival).parquet(folder)
         dirs = [s.getPath() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
         for d in sorted(dirs, key=lambda p: int(p.getName().rpartition("=")[2])):
-            self.commit(self.version() + 1, self.manifest() + self._written(d.toString(), 0))
+            self._add(self._written(d.toString(), 0))
 
     def tier(self, shard: Shard) -> int:
         """0: at least half of the target; else how many times ``fan`` it is smaller."""
@@ -113,33 +180,44 @@ class Lake:
             tiers.setdefault(self.tier(s), []).append(s)
         return next((tiers[t] for t in sorted(tiers, reverse=True) if t and len(tiers[t]) >= self.fan), [])
 
+    def merge(self, run: list[Shard]) -> bool:
+        """Write the run's rows anew and commit the exchange; False, and nothing written stays, if a shard of the run has gone meanwhile."""
+        merged = 1 + max(s.merged for s in run)
+        folder = self._new(merged)
+        rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in run))
+        rows.coalesce(max(1, sum(s.bytes for s in run) // self.target)).write.option("compression", "snappy").parquet(folder)
+        new, gone = self._written(folder, merged), {s.path for s in run}
+        done = {s.path for s in new}
+
+        def exchange(now: list[Shard]) -> list[Shard] | None:
+            names = {s.path for s in now}
+            return [s for s in now if s.path not in gone] + new if gone <= names else None
+
+        if self.update(exchange) or done <= {s.path for s in self.manifest()}:
+            return True
+        self._fs.delete(self._path(folder), True)
+        return False
+
     def compact(self) -> int:
-        """Merge until no tier is due; returns the number of merges."""
+        """Merge until no tier is due; returns the number of merges committed here."""
         merges = 0
         while run := self.due():
-            files = max(1, sum(s.bytes for s in run) // self.target)
-            merged = 1 + max(s.merged for s in run)
-            folder = self._new(merged)
-            rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in run))
-            rows.coalesce(files).write.option("compression", "snappy").parquet(folder)
-            gone = {s.path for s in run}
-            self.commit(self.version() + 1, [s for s in self.manifest() if s.path not in gone] + self._written(folder, merged))
-            merges += 1
+            merges += self.merge(run)
         return merges
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with a number that names their shard and how often they were merged, both from the shard's path."""
         shards = self.manifest(version)
         if not shards:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("shard_id", T.LongType()), T.StructField("merged", T.IntegerType())]))
+            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField(self.shard_column, T.LongType()), T.StructField(self.merged_column, T.IntegerType())]))
         name = F.element_at(F.split("_metadata.file_path", "/shards/"), -1)
         rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards))
-        return rows.select("*", F.xxhash64(name).alias("shard_id"), F.regexp_extract(name, "^m([0-9]+)-", 1).cast("int").alias("merged"))
+        return rows.select("*", F.xxhash64(name).alias(self.shard_column), F.regexp_extract(name, "^m([0-9]+)-", 1).cast("int").alias(self.merged_column))
 
     def vacuum(self) -> int:
         """Delete the shards that the newest version does not list; readers of older versions must have ended."""
         used = {s.path for s in self.manifest()}
-        gone = [s.path for v in range(1, self.version()) for s in self.manifest(v) if s.path not in used]
+        gone = [s.path for v in sorted(self.versions())[:-1] for s in self.manifest(v) if s.path not in used]
         return sum(bool(self._fs.delete(self._path(p), False)) for p in dict.fromkeys(gone))
 
 
@@ -147,6 +225,8 @@ def op6_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight portions of doc_id; returns where each row stands after compaction, and its text's check sum."""
     docs = table(spark, sf_dir, "documents")
     lake = Lake(spark, shared_dir(spark, "lake"), docs.schema)
-    lake.append_dealt(docs.withColumn("_arrival", F.coalesce(F.pmod(F.col("doc_id"), F.lit(8)), F.lit(0)).cast("int")), "_arrival")
+    arrival = free_name("arrival", docs.columns)
+    lake.append_dealt(docs.withColumn(arrival, F.coalesce(F.pmod(F.col("doc_id"), F.lit(8)), F.lit(0)).cast("int")), arrival)
     lake.compact()
-    return lake.read().select("doc_id", "shard_id", "merged", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"), F.octet_length("text").alias("text_bytes"))
+    placed = lake.read().select("doc_id", F.col(lake.shard_column).alias("shard_id"), F.col(lake.merged_column).alias("merged"), "text")
+    return placed.select("doc_id", "shard_id", "merged", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"), F.octet_length("text").alias("text_bytes"))
