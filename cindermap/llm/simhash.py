@@ -18,7 +18,7 @@ their fingerprints differ in at most ``max_bits`` bits; a group is what links co
 Defined cases: a null, empty or blank text has no shingles and fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle; rows that repeat a doc_id each get a row; a null doc_id gets a row too, but a group's
 id is its smallest doc_id that is not null (null if it has none); an empty table gives an empty result; other columns are
-ignored or, by ``drop_near_duplicates``, passed on.
+ignored.
 """
 
 from __future__ import annotations
@@ -47,22 +47,30 @@ PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits that over half of the shingles' hashes have; A-Z lowered, words joined by one space."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; A-Z lowered, words joined by one space; a text of fewer words is one shingle."""
     own = [w.lower() for w in words(text)]
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(own)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(own) - shingle + 1)
     starts, ends = starts[:n].tolist(), ends[min(shingle, len(own)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def _fingerprints(shingle: int):
@@ -186,20 +194,6 @@ def _links(max_bits: int):
     return _by_group(of, ["fp"])
 
 
-def _partners(max_bits: int):
-    def of(group: np.ndarray, code: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j in GrayIndex(code.view(np.uint64), group).close_pairs(max_bits):
-            apart = root[i] != root[j]
-            a, b = code[i[apart]], code[j[apart]]
-            yield batch(LINKS, np.minimum(a, b), np.maximum(a, b))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made in _by_group(of, ["fp", "root"])(batches):
-            yield from made
-
-    return each
-
-
 def bucketed(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
     """The rows of ``classes`` (fp and others), once for each table and part, in groups (``bucket``) that lie in one task in Gray order."""
     fp = F.col("fp")
@@ -224,79 +218,22 @@ def near_links(classes: DataFrame, n: int, max_bits: int) -> DataFrame:
     return bucketed(classes.select("fp"), n, max_bits).mapInArrow(_links(max_bits), "a long, b long")
 
 
-def partners(rooted: DataFrame, n: int, max_bits: int) -> DataFrame:
-    """(a, b): every pair of fingerprints a < b of different ``root`` within ``max_bits``."""
-    return bucketed(rooted.select("fp", "root"), n, max_bits).mapInArrow(_partners(max_bits), "a long, b long").distinct()
+def fingerprint_groups(prints: DataFrame, max_bits: int) -> DataFrame:
+    """fp, root: the groups of the distinct fingerprints (column ``fp``) under links of at most ``max_bits`` bits."""
+    classes = staged(prints.select("fp").distinct(), "classes")
+    groups = components(near_links(classes, classes.count(), max_bits), "groups").select(F.col("node").alias("fp"), "root")
+    return classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a text's word shingles, A-Z lowered."""
-    own = [w.lower() for w in words(text)]
-    n = max(1, len(own) - shingle + 1) if own else 0
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + shingle])) for i in range(n)), np.uint32, n))
-
-
-def _shingle_sets(shingle: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in rows.column("text")], pa.binary())], ["doc_id", "shingles"])
-
-    return sets
-
-
-def _similar(least: float):
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return similar
-
-
-def verified_links(docs: DataFrame, rooted: DataFrame, n: int, shingle: int, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of different roots within ``max_bits`` whose texts' shingle sets have at least the Jaccard ``similarity``."""
-    pairs = partners(rooted, n, max_bits)
-    first = rooted.where("first IS NOT NULL").select("fp", "first")
-    named = staged(pairs.join(first.toDF("a", "a_doc"), "a").join(first.toDF("b", "b_doc"), "b"), "partners")
-    asked = named.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
-    sets = staged(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
-    both = named.join(sets.toDF("a_doc", "x"), "a_doc").join(sets.toDF("b_doc", "y"), "b_doc")
-    return both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, far_bits: int = 0, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, one row a document.
-
-    With ``far_bits`` over ``max_bits``, every pair of fingerprints of different groups within ``far_bits`` links too if the
-    two texts' shingle sets have at least the Jaccard ``similarity``.
-    """
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, one row a document."""
     prints = staged(fingerprints(docs, shingle), "prints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    n = classes.count()
-
-    def rooted(links: DataFrame) -> DataFrame:
-        groups = components(links, "groups").select(F.col("node").alias("fp"), "root")
-        return classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-    grouped = rooted(near_links(classes, n, max_bits))
-    if far_bits > max_bits:
-        grouped = staged(grouped, "grouped")
-        grouped = rooted(grouped.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(verified_links(docs, grouped, n, shingle, far_bits, similarity)))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    grouped = staged(fingerprint_groups(prints, max_bits).join(firsts, "fp"), "grouped")
     lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, far_bits: int = 0, similarity: float = 0.8) -> DataFrame:
-    """``docs``, all columns, with the document of the smallest doc_id of each group; null doc_ids stay, and rows that repeat a doc_id become one."""
-    found = near_duplicates(docs, shingle, max_bits, far_bits, similarity)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
-
-
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cindermap.llm import ann, decontaminate, linedup, packing, shards, simhash, substrings, tokenbin, toxicity, warc
+from cindermap.llm import ann, decontaminate, linedup, neardup, packing, shards, simhash, substrings, tokenbin, toxicity, warc
 from cindermap.llm.common import shared_dir
 from cindermap.operators.graph import components
 
@@ -179,10 +179,55 @@ def test_near_duplicates_cases(docs, empty):
     assert {tuple(r) for r in got.where("doc_id IN (6, 7, 8)").collect()} == {(i, "0" * 16, 6) for i in (6, 7, 8)}
     assert got.where("doc_id IS NULL").first()["component_id"] == 1
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.drop_near_duplicates(docs)
+
+
+def test_kept_documents(docs, empty):
+    kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 1 in ids and 2 not in ids and None in ids and ids.count(21) <= 1
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    ids = [i for i, _ in rows]
+    # 20's two texts are two documents; its second one equals 21's, so of that group 20 stays.
+    assert 1 in ids and 2 not in ids and None in ids and ids.count(20) == 2 and 21 not in ids
+    assert len(rows) == len(set(rows))
+    assert neardup.drop_near_duplicates(empty).count() == 0
+
+
+def edited(seed, groups, copies, size, edits):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"t{x}" for x in rng.integers(0, 5000, size)]
+        rows.append((1000 * g, " ".join(base)))
+        for k in range(1, copies):
+            copy = list(base)
+            for e in range(edits):
+                copy[int(rng.integers(0, size))] = f"e{g}x{k}x{e}"
+            rows.append((1000 * g + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("stars,part", [(3, 256), (0, 3), (1, 2)])
+def test_similar_texts_share_a_group(spark, monkeypatch, stars, part):
+    """All pairs over the limit that share a band, by stars or by parts, against all pairs."""
+    monkeypatch.setattr(neardup, "STARS", stars)
+    monkeypatch.setattr(neardup, "PART", part)
+    rows = [*edited(12, 20, 4, 160, 2), *((i + 100_000, t) for i, t in edited(13, 1, 40, 120, 2))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["root"] for r in neardup.near_duplicate_groups(d).collect()}
+    h = {i: simhash.shingle_hashes(t, 5) for i, t in rows}
+    sets, fps = {i: neardup.shingle_set(x) for i, x in h.items()}, {i: simhash.majority(x) for i, x in h.items()}
+    keys = {i: set(neardup.bands(x)) for i, x in sets.items()}
+    links = []
+    for a in h:
+        for b in h:
+            if a < b:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                alike = both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+                if (fps[a] ^ fps[b]).bit_count() <= 4 or (alike and keys[a] & keys[b]):
+                    links.append((a, b))
+    want = grouped(links, h)
+    assert {frozenset(i for i in got if got[i] == r) for r in set(got.values())} == {frozenset(i for i in want if want[i] == r) for r in set(want.values())}
+    assert len(links) > 100
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------
@@ -328,19 +373,76 @@ def test_lake(spark, docs, empty):
     assert got.count() == len(texts()) and got.columns == [*docs.columns, "shard_id", "merged"]
     assert {r["text"] for r in got.collect()} == {t for _, t in texts()}
     assert lake.read(before).count() == len(texts())
-    with pytest.raises(FileExistsError):
-        lake.commit(before, [])
-    dead = lake.version() + 1
-    lake._fs.createNewFile(lake._path(f"{lake.folder}/manifests/{dead:012d}.claim"))
-    with pytest.raises(FileExistsError):
-        lake.commit(dead, lake.manifest())
-    assert lake.release(dead) and not lake.release(dead) and not lake.release(dead - 1)
-    lake.commit(dead, lake.manifest())
     assert lake.vacuum() > 0 and lake.read().count() == len(texts())
     none = shards.Lake(spark, shared_dir(spark, "lake"), docs.schema)
     assert none.read().count() == 0
     none.append(empty)
-    assert none.read().count() == 0 and none.version() == 1
+    assert none.read().count() == 0
+
+
+def filled(spark, arrivals=4, rows=250, **options):
+    table = spark.range(arrivals * rows).withColumns({"merged": F.lit("own"), "shard_id": F.col("id"), "_arrival": F.lit(1)})
+    lake = shards.Lake(spark, shared_dir(spark, "lake"), table.schema, target=1 << 20, fan=4, **options)
+    for i in range(arrivals):
+        lake.append(table.where(F.floor(F.col("id") / rows) == i).coalesce(1))
+    return table, lake
+
+
+def ids_in(lake):
+    return sorted(r["id"] for r in lake.read().select("id").collect())
+
+
+def test_two_compactors_and_an_append(spark):
+    table, lake = filled(spark)
+    assert lake.read().columns == ["id", "merged", "shard_id", "_arrival", "_shard_id", "_merged"]
+    other = shards.Lake(spark, lake.folder, table.schema, target=1 << 20, fan=4)
+    run = lake.due()
+    assert other.due() == run and len(run) == 4
+    other.append(table.where("id < 3").coalesce(1))  # arrives while both merge
+    assert lake.merge(run) and not other.merge(run)
+    assert ids_in(lake) == sorted([*range(1000), 0, 1, 2])
+    assert {r["merged"] for r in lake.read().collect()} == {"own"}
+
+
+def test_append_between_a_change_and_its_commit(spark):
+    table, lake = filled(spark, arrivals=1)
+    calls = []
+
+    def change(now):
+        calls.append(len(now))
+        if len(calls) == 1:
+            lake.append(table.where("id < 2").coalesce(1))
+        return now[1:] if len(calls) > 1 else now
+
+    assert lake.update(change) and calls == [1, 2]
+    assert ids_in(lake) == [0, 1]
+
+
+def test_dead_and_slow_writers(spark):
+    table, lake = filled(spark, arrivals=1, rows=10, lease=0.0)
+    # Dead after its claim: the version is not there, and the next writer takes it over.
+    dead = lake.version() + 1
+    assert lake._claim(dead) == 0 and lake.version() == dead - 1
+    lake.append(table.where("id < 2").coalesce(1))
+    assert lake.versions()[dead] == 1 and ids_in(lake) == sorted([*range(10), 0, 1])
+    # A live claim is waited for, not taken.
+    waiting = shards.Lake(spark, lake.folder, table.schema, lease=1e6)
+    assert waiting._claim(dead + 1) == 0 and waiting._claim(dead + 1) is None
+    # The slow writer's manifest is in place before the one who took over looks: it is passed on, and nobody's change is lost or doubled.
+    slow = lake.manifest()[:1]
+    real, done = lake._claim, []
+
+    def claim(version):
+        if not done:
+            done.append(version)
+            lake._publish(version, 0, slow)
+            assert lake._fs.createNewFile(lake._file(version, 1, "claim"))
+            return 1
+        return real(version)
+
+    lake._claim = claim
+    lake.append(table.where("id = 5").coalesce(1))
+    assert lake.manifest(done[0]) == slow and ids_in(lake) == sorted([*range(10), 5])
 
 
 # --- 7 -----------------------------------------------------------------------------------------------------------------
@@ -490,36 +592,3 @@ def test_perfect_hash():
     assert (got[0] == n).all() and (got[1] == last).all()
     other = rng.integers(0, 2**63, 1000).astype(np.uint64)
     assert not made.probe(other, rng.integers(0, 2**62, 1000))[0].any()
-
-
-def test_far_pairs_behind_nearer_false_neighbours(spark):
-    base = passage(60, 120)
-    rows = [(1, base), (2, passage(61, 120)), (3, base + " tail"), (4, passage(62, 120))]
-    fps = [0, 0x1F, 0x7F << 20, 0x7F << 20 ^ 0x1F << 40]  # 1 and 3 differ in 7 bits, but either is 5 bits from an unlike text
-    rooted = spark.createDataFrame([(f, i, f) for f, (i, _) in zip(fps, rows, strict=True)], "fp long, first long, root long")
-    got = simhash.verified_links(spark.createDataFrame(rows, "doc_id long, text string"), rooted, 4, 5, 10, 0.8).collect()
-    assert [tuple(r) for r in got] == [(fps[0], fps[2])]
-
-
-def test_far_partners_link_when_their_texts_are_similar(spark):
-    rng = np.random.default_rng(12)
-    rows, near = [], {}
-    for g in range(40):
-        base = [f"t{x}" for x in rng.integers(0, 5000, 160)]
-        rows.append((10 * g, " ".join(base)))
-        for k in range(1, 4):
-            copy = list(base)
-            copy[int(rng.integers(0, 160))] = f"edit{k}"
-            copy[int(rng.integers(0, 160))] = f"edit{g}"
-            rows.append((10 * g + k, " ".join(copy)))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = simhash.near_duplicates(d, 5, 4, 12, 0.8).toPandas().set_index("doc_id")["component_id"].to_dict()
-    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
-    fps = {i: slow_fingerprint(t, 5) for i, t in rows}
-    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
-    for a in got:
-        near[a] = got[a]
-        assert got[a] == a or alike(a, got[a]) > 0.5  # never across the groups
-        others = [b for b in got if b != a and (fps[a] ^ fps[b]).bit_count() <= 4]
-        assert all(got[b] == got[a] for b in others)
-    assert len(set(near.values())) < 60
