@@ -2,9 +2,8 @@
 
 1. toxicity: documents that the string-kernel machine, trained on ``labels``, predicts toxic go.
 2. line dedup: lines that many documents share stay in one of them.
-3. near dedup: of documents whose SimHash fingerprints link, the one with the smallest doc_id stays. Fingerprints are over
-   shingles of five words. Those within four bits link; since copies with a Jaccard similarity of 0.8 to 0.9 differ in five to
-   ten bits, pairs of other groups within ten bits link as well if their shingle sets have a similarity of 0.8.
+3. near dedup: of documents whose SimHash fingerprints (shingles of five words, four bits) link, or whose shingle sets have a
+   verified Jaccard similarity of 0.8, the one with the smallest doc_id stays.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: what is left is packed into sequences of 1024 tokens; one row a piece.
 
@@ -21,11 +20,11 @@ from pyspark.sql import functions as F
 from cindermap.llm.common import staged, table
 from cindermap.llm.decontaminate import drop_contaminated
 from cindermap.llm.linedup import drop_repeated_lines
+from cindermap.llm.neardup import drop_near_duplicates
 from cindermap.llm.packing import pack_documents
-from cindermap.llm.simhash import drop_near_duplicates
 from cindermap.llm.toxicity import drop_toxic
 
-NEAR_SHINGLE, NEAR_BITS, FAR_BITS, SIMILARITY = 5, 4, 10, 0.8
+NEAR_SHINGLE, NEAR_BITS, SIMILARITY = 5, 4, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs, NEAR_SHINGLE, NEAR_BITS, FAR_BITS, SIMILARITY)
+    return drop_near_duplicates(docs, NEAR_SHINGLE, NEAR_BITS, SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
