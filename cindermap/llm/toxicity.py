@@ -1,7 +1,9 @@
 """Operator 3: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The unit is the token: a word without its non-letters, lower-cased, so that "i-d*iot" is "idiot"; a letter written more than twice in a row counts twice; runs of single
-letters ("i d i o t") count as one more token. The kernel compares two tokens by the triples of letters (with marks at
+The unit is the token. Texts are split at white space (any of Unicode's); a word without its non-letters, lower-cased, is a token, so
+that "i-d*iot" is "idiot", and so is each run of three or more letters in it, so that "good,idiot" holds "idiot"; a letter written more
+than twice in a row counts twice; runs of single letters ("i d i o t") count as one more token. Training and scoring use
+the same rule (``word_tokens``). The kernel compares two tokens by the triples of letters (with marks at
 both ends) they have in common as subsequences: a triple that skips g letters counts ``DECAY`` ** g, up to ``REACH``
 letters apart, over the square root of the token's number of triples. An inserted or lost letter changes few triples.
 
@@ -13,13 +15,17 @@ fewer):
 2. Labels belong to texts, insults are single tokens: the most toxic token stands for a toxic text (first by its odds,
    then by the machine's own margin), besides tokens that clean texts hardly have and chance does not explain; all tokens of a clean text are negative, the hardest of them in each round.
 3. A squared-hinge support vector machine is fitted by Newton steps, and its margins, the largest token's margin of
-   held-back training texts, become probabilities by a logistic fit that weighs labels as they occur.
+   held-back training texts, become probabilities by a logistic fit that weighs labels as they occur. The round whose fit
+   has the smallest loss on the held-back texts stays.
+4. So that an inserted, lost or starred letter stays near the original, the positive tokens are joined by one-letter
+   variants of themselves, and the logistic fit sees the held-back toxic texts a second time with variants in place of their words.
 
 The machine is linear in the triples, so scoring needs one table of 2^18 weights: Spark's tasks score the distinct tokens of
 their texts, whole, and each text gets its largest margin. Only the text is used.
 
 Defined cases: a null, empty or letterless text has the lowest margin and score; labels with a null doc_id or label are not
-used, of repeated ones the largest counts; without both labels among the training texts all scores are 0; rows that
+used, of repeated ones the largest counts, and of texts that repeat a doc_id the smallest is trained on; texts of over ``LONGEST``
+characters are scored whole but not trained on; without both labels among the training texts all scores are 0; rows that
 repeat a doc_id each get a row; a null doc_id is not held out; empty tables give an empty result; other columns are
 ignored or, by ``drop_toxic``, passed on.
 """
@@ -41,7 +47,12 @@ from cindermap.llm.common import table
 
 #: Bounds of the labelled sample.
 POSITIVES, NEGATIVES = 1500, 3000
-LANDMARKS = 160
+LONGEST = 1_000_000
+LANDMARKS = 240
+#: Tokens that are miswritten in training, the one-letter variants of each, and these variants' share of its cost.
+MISWRITTEN, VARIANTS, VARIANT_COST = 20, 12, 4.0
+#: The variants' share of a held-back toxic text's weight in the logistic fit.
+VARIANT_WEIGHT = 0.4
 REACH, DECAY = 3, 0.6
 THRESHOLD = 0.3
 ROUNDS, HARDEST, PENALTY = 5, 2000, 4.0
@@ -137,8 +148,11 @@ def features(tokens: list[str], marks: list[str]) -> np.ndarray:
         code, starts = coded(tokens[i : i + 2000])
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
         for first, number, weight in triples(code, starts):
-            known = where[number] < len(present)
-            np.add.at(out, i + owner[first[known]], weight * by_slot[where[number[known]]])
+            known = np.flatnonzero(where[number] < len(present))
+            if len(known):
+                of = owner[first[known]]  # in order
+                heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                out[i + of[heads]] += np.add.reduceat(weight * by_slot[where[number[known]]], heads, axis=0)
         out[i : i + len(starts)] *= scales(starts, len(code))[:, None]
     return out
 
@@ -182,10 +196,33 @@ def logistic(margin: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return max(a, 1e-3), b
 
 
+def word_tokens(word: str) -> list[str]:
+    """Tokens of one lower-case word: its letters, and each run of three or more of them if others stand between."""
+    if word.isalpha():
+        return [word]
+    runs = "".join(c if c.isalpha() else " " for c in word).split()
+    return ["".join(runs), *(r for r in runs if len(r) >= 3 and len(runs) > 1)]
+
+
+def spaced_tokens(text: str) -> list[str]:
+    """Tokens of a lower-case text that are spelled out in single letters."""
+    return ["".join(filter(str.isalpha, m)) for m in SPACED.findall(text)]
+
+
 def text_tokens(text: str | None) -> list[str]:
     """Distinct tokens of one text."""
     text = (text or "").lower()
-    return sorted({t for w in text.split() if len(t := "".join(filter(str.isalpha, w))) >= 3} | {"".join(filter(str.isalpha, m)) for m in SPACED.findall(text)})
+    return sorted({t for w in set(text.split()) for t in word_tokens(w) if len(t) >= 3} | set(spaced_tokens(text)))
+
+
+def variants(token: str, most: int = VARIANTS) -> list[str]:
+    """One-letter edits of a token of four or more letters: each inner letter lost, and a letter inserted at each inner place."""
+    n = len(token)
+    lost = [token[:i] + token[i + 1 :] for i in range(1, n - 1)] if n > 3 else []
+    letters = "xetqoanz"
+    more = [token[:i] + letters[(i + n + ord(token[0])) % 8] + token[i:] for i in range(1, n)] if n > 3 else []
+    both = [v for pair in zip(lost, more, strict=False) for v in pair] + more[len(lost) :]
+    return list(dict.fromkeys(both[:: max(1, len(both) // most)]))[:most]
 
 
 def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0)) -> Model | None:
@@ -210,16 +247,23 @@ def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float]
     negatives = sorted(t for t in df[0])
     hard = negatives[:: max(1, len(negatives) // HARDEST)]
     witness = [max(t, key=lambda x: (odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
-    model = Model(np.zeros(LETTERS**3), 0.0, 1.0, 0.0)
+    back = np.flatnonzero(~fitted) if len({*toxic_[~fitted]}) == 2 else np.arange(len(own))
+    best, least = None, np.inf
     for _ in range(ROUNDS):
         values, vectors = np.linalg.eigh(features(marks, marks))
         white = vectors[:, values > 1e-4 * values.max()] / np.sqrt(values[values > 1e-4 * values.max()])
         positives = Counter(witness) | sure
-        names = [*positives, *hard]
-        y = np.where(np.arange(len(names)) < len(positives), 1.0, -1.0)
-        cost = PENALTY * np.array([*(float(c) for c in positives.values()), *[1.0] * len(hard)])
+        # The tokens that most texts bear out stand for their one-letter edits as well.
+        known = sorted((t for t in positives if df[1][t] > 1), key=lambda t: (-df[1][t], t))[:MISWRITTEN]
+        edits = {v: VARIANT_COST * positives[t] / VARIANTS for t in known for v in variants(t) if v not in df[0]}
+        names = [*positives, *edits, *hard]
+        y = np.where(np.arange(len(names)) < len(positives) + len(edits), 1.0, -1.0)
+        cost = PENALTY * np.array([*(float(c) for c in positives.values()), *edits.values(), *[1.0] * len(hard)])
         w = fit_svm(np.hstack([features(names, marks) @ white, np.ones((len(names), 1))]), y, cost)
         model = Model(collapsed(marks, white @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        loss = calibrated(model, [own[i] for i in back], toxic_[back], rates)
+        if loss < least:
+            best, least = model, loss
         order = np.argsort(-model.margins(negatives), kind="stable")[:HARDEST]
         hard = list(dict.fromkeys([*(negatives[i] for i in order), *hard]))
         marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 4], *(sorted(sure, key=lambda t: (-sure[t], t))[: LANDMARKS // 4])]))
@@ -227,9 +271,23 @@ def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float]
         known = dict(zip(every, model.margins(every), strict=True))
         witness = [max(t, key=lambda x: (known[x] + 0.05 * odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
     back = np.flatnonzero(~fitted) if len({*toxic_[~fitted]}) == 2 else np.arange(len(own))
-    margin = np.array([max([LOWEST, *model.margins(own[i])]) for i in back])
-    model.slope, model.offset = logistic(margin, toxic_[back], np.where(toxic_[back] == 1, rates[1], rates[0]))
-    return model
+    return best
+
+
+def calibrated(model: Model, own: list[list[str]], toxic: np.ndarray, rates: tuple[float, float]) -> float:
+    """Fit slope and offset on held-back texts (their tokens and labels); returns the loss of the fit."""
+    distinct = sorted({t for x in own for t in x})
+    known = dict(zip(distinct, model.margins(distinct).tolist(), strict=True))
+    margin = [max([LOWEST, *map(known.__getitem__, x)]) for x in own]
+    # Toxic texts once more, with their most toxic word miswritten.
+    worst = [max(x, key=lambda t: (known[t], t)) for x, label in zip(own, toxic, strict=True) if label == 1 and x]
+    edits = [v[i % len(v)] for i, t in enumerate(worst) if (v := variants(t))]
+    margin, label = np.array([*margin, *model.margins(edits)]), np.array([*toxic, *[1] * len(edits)])
+    weight = np.where(label == 1, float(rates[1]), float(rates[0]))
+    weight[len(own) :] *= VARIANT_WEIGHT
+    model.slope, model.offset = logistic(margin, label, weight)
+    p = np.clip(model.probability(margin), 1e-9, 1 - 1e-9)
+    return float(-(weight * np.log(np.where(label == 1, p, 1 - p))).sum() / weight.sum())
 
 
 def held_out_column():
@@ -243,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.where("toxic = 1").orderBy(*order).limit(positives).union(usable.where("toxic = 0").orderBy(*order).limit(negatives))
     # At most positives + negatives rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas()
+    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas()
     if not len(rows):
         return None
     rows = rows.assign(h=rows["doc_id"].map(lambda x: hash((x * 2654435761) % 2**32))).sort_values(["h", "doc_id"])
@@ -254,14 +313,17 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
 def largest_margins(model: Model, texts: pa.Array) -> np.ndarray:
     """The largest token margin of each text. Each distinct token of the batch is scored once."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    words = pc.utf8_split_whitespace(texts)
     code = words.values.dictionary_encode()
-    scored = model.margins(["".join(w.split()) for w in code.dictionary.to_pylist()])
+    tokens = [word_tokens(w.lower()) for w in code.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    scored = np.maximum.reduceat(model.margins([t for own in tokens for t in own]), np.cumsum(sizes) - sizes) if len(tokens) else np.zeros(0)
     each = scored[code.indices.to_numpy()] if len(scored) else np.zeros(0)
-    out = np.maximum.reduceat(np.append(each, LOWEST), words.offsets.to_numpy()[:-1].astype(np.int64)) if len(texts) else np.zeros(0)
+    starts = words.offsets.to_numpy()[:-1].astype(np.int64)
+    out = np.maximum.reduceat(np.append(each, LOWEST), starts) if len(texts) else np.zeros(0)
+    out[np.diff(words.offsets.to_numpy()) == 0] = LOWEST
     for i in np.flatnonzero(pc.match_substring_regex(texts, SPACED_RE2).to_numpy(zero_copy_only=False)):
-        runs = ["".join(filter(str.isalpha, m)) for m in SPACED.findall(texts[int(i)].as_py().lower())]
-        out[i] = max([out[i], *model.margins(runs)])
+        out[i] = max([out[i], *model.margins(spaced_tokens(texts[int(i)].as_py().lower()))])
     return out
 
 
