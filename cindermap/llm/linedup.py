@@ -9,8 +9,10 @@ that holds them.
 2. The keys that reach ``min_docs`` (no other key changes any decision) are dealt to shards by their hash. Every shard gets
    a minimal perfect hash - levels of bit arrays in which each key owns the first bit that no other key of its level
    claims, ranked by popcounts - and, in the ranks' order, an array of 64-bit fingerprints, one of counts and one of
-   largest doc_ids. Shards are files in the shared folder, of bounded size.
-3. Documents probe: a task reads a shard when a line first needs it and keeps it; no line is shuffled or joined.
+   largest doc_ids. All 128 bits decide on a key's places, so two keys would have to share them all to meet. Shards are
+   files in the shared folder, of bounded size.
+3. Documents probe: a task collects the lines of a batch of documents (of ``PROBED`` lines at least) and goes through them
+   shard by shard, so each batch reads a shard at most once, and the last ones stay in memory; no line is shuffled or joined.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as documents and, if theirs is
 the largest doc_id, all keep their lines; rows with a null doc_id count too but are never the largest (if only null ids
@@ -24,9 +26,11 @@ import hashlib
 import io
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1_000_000
 #: Shards that a worker keeps in memory.
 KEPT_SHARDS = 8
+#: Lines that are probed together, of whole Arrow batches.
+PROBED = 500_000
 NO_ID = -(2**63)
 COUNTS = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
 _shards: OrderedDict[str, "PerfectHash"] = OrderedDict()
@@ -60,8 +66,12 @@ def mixed(h: np.ndarray, level: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slot(h: np.ndarray, fp: np.ndarray, level: int, size: int) -> np.ndarray:
+    return ((mixed(h, level) ^ mixed(fp.view(np.uint64), level + 1000)) % np.uint64(size)).astype(np.int64)
+
+
 class PerfectHash:
-    """Maps n distinct 64-bit keys to 0..n-1, with arrays in that order. Keys that were not given may map anywhere: compare fingerprints."""
+    """Maps n distinct 128-bit keys to 0..n-1, with arrays in that order. Keys that were not given may map anywhere: compare fingerprints."""
 
     def __init__(self, levels: list[np.ndarray], fp: np.ndarray, count: np.ndarray, last: np.ndarray):
         self.levels, self.fp, self.count, self.last = levels, fp, count, last
@@ -74,27 +84,26 @@ class PerfectHash:
 
     @classmethod
     def build(cls, h: np.ndarray, fp: np.ndarray, count: np.ndarray, last: np.ndarray) -> PerfectHash:
-        levels, left = [], np.unique(h)
-        if len(left) != len(h):
-            raise ValueError("two keys of one shard share a 64-bit hash")
+        """``h`` and ``fp``: the halves of distinct 128-bit keys."""
+        levels, left = [], np.arange(len(h))
         while len(left):
             size = max(2, len(left) * 3 // 2)
-            at = mixed(left, len(levels)) % np.uint64(size)
-            claims = np.bincount(at.astype(np.int64), minlength=size)
+            at = slot(h[left], fp[left], len(levels), size)
+            claims = np.bincount(at, minlength=size)
             levels.append((claims == 1).astype(np.uint8))
-            left = left[claims[at.astype(np.int64)] > 1]
+            left = left[claims[at] > 1]
         made = cls(levels, fp, count, last)
-        rank = made.rank(h)
+        rank = made.rank(h, fp)
         for name, values in (("fp", fp), ("count", count), ("last", last)):
             placed = np.empty_like(values)
             placed[rank] = values
             setattr(made, name, placed)
         return made
 
-    def rank(self, h: np.ndarray) -> np.ndarray:
+    def rank(self, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
         out, open_ = np.full(len(h), -1, np.int64), np.arange(len(h))
         for level, bits in enumerate(self.levels):
-            at = (mixed(h[open_], level) % np.uint64(len(bits))).astype(np.int64)
+            at = slot(h[open_], fp[open_], level, len(bits))
             hit = bits[at] == 1
             out[open_[hit]] = self.before[level][at[hit]]
             open_ = open_[~hit]
@@ -104,7 +113,7 @@ class PerfectHash:
         """Count and largest doc_id of each key; count 0 for keys that are not in."""
         if not len(self.fp):
             return np.zeros(len(h), np.int64), np.full(len(h), NO_ID)
-        rank = self.rank(h)
+        rank = self.rank(h, fp)
         found = (rank >= 0) & (self.fp[rank] == fp)
         return np.where(found, self.count[rank], 0), np.where(found, self.last[rank], NO_ID)
 
@@ -194,11 +203,10 @@ def shard_of(folder: str, s: int) -> PerfectHash:
 
 
 def kept_lines(doc_ids: list[int | None], texts: list[str | None], folder: str, shards: int, min_chars: int) -> Iterator[tuple[int, list[bytes]]]:
-    """For each document: its number of lines, and the lines that stay."""
-    lines = [encoded(t).split(b"\n") for t in texts]
+    """For each document: its number of lines, and the lines that stay. Every shard is visited once."""
     asked, where = [], []
-    for d, own in enumerate(lines):
-        for i, line in enumerate(own):
+    for d, text in enumerate(texts):
+        for i, line in enumerate(encoded(text).split(b"\n")):
             if len(line) >= min_chars and long_enough(key := line_key(line), min_chars):
                 asked.append(_hash(key))
                 where.append((d, i))
@@ -207,30 +215,46 @@ def kept_lines(doc_ids: list[int | None], texts: list[str | None], folder: str,
         h, fp = np.ascontiguousarray(np.array(asked, np.uint64).T)
         own = np.array([NO_ID if doc_ids[d] is None else doc_ids[d] for d, _ in where], np.int64)
         dropped, shard = np.zeros(len(h), bool), h.view(np.int64) % shards
-        for s in np.unique(shard):
-            mine = np.flatnonzero(shard == s)
-            n, last = shard_of(folder, int(s)).probe(h[mine], fp[mine].view(np.int64))
+        order = np.argsort(shard, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            n, last = shard_of(folder, int(shard[mine[0]])).probe(h[mine], fp[mine].view(np.int64))
             dropped[mine] = (n > 0) & (own[mine] != last)
         for j in np.flatnonzero(dropped):
             d, i = where[j]
             drop.setdefault(d, set()).add(i)
-    for d, own in enumerate(lines):
-        yield len(own), [x for i, x in enumerate(own) if i not in drop[d]] if d in drop else own
+    for d, text in enumerate(texts):
+        lines = encoded(text).split(b"\n")
+        yield len(lines), [x for i, x in enumerate(lines) if i not in drop[d]] if d in drop else lines
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches put together until they hold ``PROBED`` lines."""
+    held, lines = [], 0
+    for rows in batches:
+        held.append(rows)
+        lines += rows.num_rows + (pc.sum(pc.count_substring(rows.column("text"), "\n")).as_py() or 0)
+        if lines >= PROBED:
+            yield held
+            held, lines = [], 0
+    if held:
+        yield held
 
 
 def _probe(folder: str, shards: int, min_chars: int, digest: bool, names: list[str]):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                rows = whole.slice(i, 1000)
-                texts = rows.column("text").to_pylist()
-                found = list(kept_lines(rows.column("doc_id").to_pylist(), texts, folder, shards, min_chars))
-                kept = [b"\n".join(x) for _, x in found]
+        for portion in portions(batches):
+            ids, texts = ([x for rows in portion for x in rows.column(c).to_pylist()] for c in ("doc_id", "text"))
+            found = kept_lines(ids, texts, folder, shards, min_chars)
+            for rows in portion:
+                sizes, kept = [], []
+                for n, lines in islice(found, rows.num_rows):
+                    sizes.append((n, n - len(lines)))
+                    kept.append(b"\n".join(lines))
                 if digest:
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(x) for n, x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 else:
-                    texts = [None if t is None else k.decode("utf-8", "surrogatepass") for t, k in zip(texts, kept, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(texts, rows.schema.field("text").type) if c == "text" else rows.column(c) for c in names], names)
+                    own = [None if t is None else k.decode("utf-8", "surrogatepass") for t, k in zip(rows.column("text").to_pylist(), kept, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, rows.schema.field("text").type) if c == "text" else rows.column(c) for c in names], names)
 
     return probe
 
