@@ -4,12 +4,16 @@ A document longer than a sequence is cut into pieces of a whole sequence, its fi
 then is an item of 1 to ``capacity`` tokens. What a solution looks like depends only on how many items have each
 length, and there are at most ``capacity`` lengths, so the search works on that histogram (bounded whatever the input):
 
-* Take the largest length left and complete its bin: enumerate fillings of the rest of the bin that no other filling
-  dominates (none whose two items could give way to one larger item that is at hand), tightest first.
-* A filling is used as often as the counts allow at once.
+* Take the largest length left and complete its bin: enumerate the undominated fillings of the rest of the bin, tightest first
+  (one is dominated if some of its items could give way to one larger item that is at hand and still fits).
+* A filling is first used as often as the counts allow at once; going back, it is also tried for one bin alone, so that
+  nothing is left out.
 * A branch ends when the space wasted so far exceeds what the best solution found leaves room for; that solution (the
   incumbent) starts as best-fit decreasing, and the search ends early at the lower bound (total tokens over capacity, or more if there are many large items).
 
+The fillings of a node are made when they are asked for. The search is exact if it ends by itself; ``STEPS`` bounds its work,
+which is the only limit, and then the best solution found stays.
+
 The work on documents is Spark's: tokens, pieces, the histogram, a rank for every item among those of its length
 (counted by hashed buckets, then prefix sums over the bucket counts, so that a length which a third of all items share
 is spread out), and the join of (length, rank) with the solution's runs of bins.
@@ -32,8 +36,8 @@ from cindermap.llm.common import batch, staged, table
 from cindermap.llm.tokens import encoded_texts
 
 CAPACITY = 1024
-#: Nodes of the search beyond the first dive.
-MORE_NODES = 500
+#: Steps (nodes, and items tried in fillings) of the search.
+STEPS = 50_000
 #: Items a bucket, in which ranks are counted by one task.
 BUCKET_ITEMS = 50_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -82,14 +86,36 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     return out
 
 
-def fillings(counts: dict[int, int], space: int, most: int, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``space``, tightest first, at most ``most`` of them and none that wastes over ``most_waste``."""
-    if space <= 0:
-        return [()]
+class Steps:
+    """What is left of the search's budget."""
+
+    def __init__(self, n: int):
+        self.left = n
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def dominated(items: tuple[int, ...], counts: dict[int, int], space: int) -> bool:
+    """Whether some of the items could give way to one item that is larger than they are together, at hand and fits."""
+    slack, used = space - sum(items), {k: items.count(k) for k in set(items)}
+    spare = [k for k, v in counts.items() if v > used.get(k, 0)]
+    #: Sums of the filling's subsets, as bits; an empty one stands for an item that fits besides.
+    sums = 1
+    for k in items:
+        sums |= sums << k
+    # A single item that could be replaced by itself is none.
+    return any(sums >> total & 1 for k in spare for total in range(max(0, k - slack), k + 1) if total != k or not used.get(k)) if len(items) > 1 or slack else False
+
+
+def fillings(counts: dict[int, int], space: int, most_waste: int, steps: Steps) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of ``space`` that waste at most ``most_waste``, tightest first, largest items first."""
     sizes = sorted((k for k, v in counts.items() if v and k <= space), reverse=True)
-    if not sizes:
-        return [()] if space <= most_waste else []
-    at_hand = set(sizes)
+    if space <= 0 or not sizes:
+        if space <= most_waste:
+            yield ()
+        return
     #: sums[i]: bit s is set if sizes[i:] can make the sum s.
     sums, mask = [1], (1 << space + 1) - 1
     for k in reversed(sizes):
@@ -101,34 +127,26 @@ def fillings(counts: dict[int, int], space: int, most: int, most_waste: int) ->
             reach = more
         sums.append(reach)
     sums.reverse()
-    found: list[tuple[int, ...]] = []
 
-    def dominated(items: tuple[int, ...]) -> bool:
-        return any(a + b in at_hand and a + b not in items for i, a in enumerate(items) for b in items[i + 1 :])
-
-    def fill(i: int, goal: int, items: tuple[int, ...], budget: list[int]) -> None:
-        if budget[0] <= 0 or len(found) >= most:
+    def fill(i: int, goal: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not steps.take():
             return
-        budget[0] -= 1
         if goal == 0:
-            if not dominated(items):
-                found.append(items)
+            if not dominated(items, counts, space):
+                yield items
             return
         for j in range(i, len(sizes)):
             if not sums[j] >> goal & 1:
                 return
             for n in range(min(counts[sizes[j]], goal // sizes[j]), 0, -1):
                 if sums[j + 1] >> (goal - n * sizes[j]) & 1:
-                    fill(j + 1, goal - n * sizes[j], items + (sizes[j],) * n, budget)
+                    yield from fill(j + 1, goal - n * sizes[j], items + (sizes[j],) * n)
 
     for goal in range(space, max(0, space - most_waste) - 1, -1):
-        if len(found) >= most:
-            break
+        if steps.left <= 0:
+            return
         if sums[0] >> goal & 1:
-            fill(0, goal, (), budget := [200])
-            if not found and budget[0] <= 0:
-                continue
-    return found
+            yield from fill(0, goal, ())
 
 
 def fewest(counts: dict[int, int], capacity: int) -> int:
@@ -145,41 +163,59 @@ def fewest(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, more_nodes: int = MORE_NODES) -> list[Run]:
+def completions(left: dict[int, int], capacity: int, allowed: int, steps: Steps) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Ways to fill bins around the largest length: (lengths, bins). First each filling as often as it goes, then once."""
+    largest = max(left)
+    rest = dict(left)
+    rest[largest] -= 1
+    once = []
+    for items in fillings(rest, capacity - largest, allowed, steps):
+        items = (largest, *items)
+        times = min(left[k] // items.count(k) for k in set(items))
+        if lost := capacity - sum(items):
+            times = min(times, allowed // lost)
+        yield items, times
+        if times > 1:
+            once.append(items)
+    for items in once:
+        yield items, 1
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Run]:
     """Bin completion on a histogram of lengths; the runs of equal bins of the best solution found."""
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
-    least = fewest(counts, capacity)
-    best = best_fit(counts, capacity)
+    least, best, budget = fewest(counts, capacity), best_fit(counts, capacity), Steps(steps)
     used = sum(n for _, n in best)
-    #: Each open node: what is left, waste so far, bins so far, the runs as a linked list.
-    stack: list[tuple[dict[int, int], int, tuple | None]] = [(counts, 0, None)]
-    nodes, dive = 0, len(counts) * 4
-    while stack and used > least and nodes < dive + more_nodes:
-        nodes += 1
-        left, waste, runs = stack.pop()
-        allowed = (used - 1) * capacity - total - waste
-        if allowed < 0:
+    if used <= least:
+        return best
+    #: Open nodes from the root down: what is left, waste, and the ways to go on that were not tried yet.
+    room = lambda waste: (used - 1) * capacity - total - waste
+    path: list[tuple[dict[int, int], int, Iterator]] = [(counts, 0, completions(counts, capacity, room(0), budget))]
+    runs: list[Run] = []
+    while path and budget.take():
+        left, waste, ways = path[-1]
+        step = next(ways, None)
+        if step is None:
+            path.pop()
+            if runs:
+                runs.pop()
             continue
-        if not left:
-            best, used = [], (total + waste) // capacity
-            while runs:
-                best.append(runs[0])
-                runs = runs[1]
+        items, times = step
+        lost = (capacity - sum(items)) * times
+        if room(waste + lost) < 0:
             continue
-        largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        for items in reversed(fillings(rest, capacity - largest, 3, allowed)):
-            need: dict[int, int] = {}
-            for k in (largest, *items):
-                need[k] = need.get(k, 0) + 1
-            lost = capacity - largest - sum(items)
-            times = min(left[k] // n for k, n in need.items())
-            if lost:
-                times = min(times, allowed // lost)
-            after = {k: v - need.get(k, 0) * times for k, v in left.items()}
-            stack.append(({k: v for k, v in after.items() if v}, waste + lost * times, (((largest, *items), times), runs)))
+        after = dict(left)
+        for k in items:
+            after[k] -= times
+        after = {k: v for k, v in after.items() if v}
+        if after:
+            runs.append(step)
+            path.append((after, waste + lost, completions(after, capacity, room(waste + lost), budget)))
+            continue
+        best, used = [*runs, step], (total + waste + lost) // capacity
+        if used <= least:
+            break
     return best
 
 
@@ -201,16 +237,21 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a written table with doc_id, piece and length), with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    places = spark.createDataFrame(slots(pack(histogram, capacity)), "length long, from_rank long, to_rank long, first_sequence long, offset long")
+    runs: dict[int, list[tuple]] = {}
+    for length, *run in slots(pack(histogram, capacity)):
+        runs.setdefault(length, []).append(tuple(run))
+    places = spark.createDataFrame(list(runs.items()), "length long, runs array<struct<from_rank:long,to_rank:long,first_sequence:long,offset:long>>")
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ITEMS))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
     ranked = dealt.withColumn("within", rank).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within"))
-    # The solution has at most a few runs for each of the ``capacity`` lengths.
-    placed = ranked.join(F.broadcast(places), "length").where((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-    return placed.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("from_rank")).select(*pieces.columns, "sequence_id", "offset")
+    # One row a length, with the solution's runs of it: at most ``capacity`` rows, of a few runs each.
+    placed = ranked.join(F.broadcast(places), "length")
+    at = F.filter("runs", lambda r: (placed["rank"] >= r["from_rank"]) & (placed["rank"] < r["to_rank"]))[0]
+    placed = placed.withColumn("at", at)
+    return placed.select(*pieces.columns, (F.col("at.first_sequence") + F.col("rank") - F.col("at.from_rank")).alias("sequence_id"), F.col("at.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
