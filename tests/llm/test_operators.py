@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -257,15 +258,51 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert ((held["score"] >= 0.3).astype(int) == held["predicted"]).all()
     assert (held["predicted"] == want).mean() > 0.97
     model = toxicity.fit(docs, labels)
-    clean = model.margins(["wordcck"])[0]
-    for x in ("scoundrel", "s-c*oundrel", "scooundrel", "scounxdrel"):
-        assert model.margins([x])[0] > clean
     assert toxicity.text_tokens("s c o u n d r e l!") == ["scoundrel"]
+    assert toxicity.text_tokens("good,scoundrel\u00a0tr*sh") == ["good", "goodscoundrel", "scoundrel", "trsh"]
+
+    def reached(texts):
+        return model.probability(toxicity.largest_margins(model, pa.array(texts))) >= 0.3
+
+    plain = ("scoundrel", "blockhead", "numbskull")
+    edits = [e for w in plain for i in range(1, len(w)) for e in (w[:i] + "y" + w[i:], w[:i] + w[i] + w[i:], w[:i] + "*" + w[i + 1 :], w[:i] + w[i + 1 :])]
+    around = [f"{a}{w}{b}" for w in plain for a, b in (("", ""), ("wordaaak,", ""), ("wordbbm\t", "\twordccn"), ("wordddo\u00a0", "\u00a0"), ("(", ")!"), ("", ".wordeep"))]
+    assert reached(around).all() and reached(edits).mean() >= 0.9
+    assert reached(["-".join(w) for w in plain]).all() and reached([" ".join(w) for w in plain]).all()
+    clean = {t for _, text, toxic in rows if not toxic for t in text.split()}
+    assert not reached([*clean, " ".join(clean), "", None, "wordaaxk wordbybl"]).any()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (None, "s c o u n d r e l")], "doc_id long, text string")
     scored = {r["doc_id"]: (r["score"], r["held_out"]) for r in odd.select("doc_id", "text", toxicity.held_out_column().alias("held_out")).mapInArrow(toxicity._score(model, None), "doc_id long, held_out boolean, score double, predicted int").collect()}
     assert scored[1] == scored[2] and scored[3][0] == scored[1][0] and scored[None][0] > 0.3 and scored[None][1] is False
 
 
+def slow_triples(token):
+    """Weights of a token's letter triples, counted one by one."""
+    code, out = [toxicity.END, *(int(toxicity.CODES[ord(c)]) for c in token), toxicity.END], {}
+    for i in range(len(code)):
+        for j in range(i + 1, min(len(code), i + 1 + toxicity.REACH)):
+            for k in range(j + 1, min(len(code), j + 1 + toxicity.REACH)):
+                key = (code[i], code[j], code[k])
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (j - i - 1 + k - j - 1)
+    return out
+
+
+def slow_scale(token):
+    n = len(token) + 2
+    return 1 / np.sqrt(sum(toxicity.DECAY ** (2 * (a + b - 2)) * max(0, n - a - b) for a in range(1, toxicity.REACH + 1) for b in range(1, toxicity.REACH + 1)))
+
+
+def test_kernel_against_plain_triple_counts():
+    tokens, marks = ["idiot", "idot", "trash", "abcabc", "été"], ["idiot", "trxash", "abcabc", "mmnop"]
+    got = toxicity.features(tokens, marks)
+    for i, t in enumerate(tokens):
+        for j, m in enumerate(marks):
+            a, b = slow_triples(t), slow_triples(m)
+            assert np.isclose(got[i, j], sum(v * b.get(k, 0.0) for k, v in a.items()) * slow_scale(t) * slow_scale(m), rtol=1e-6)
+    model = toxicity.Model(toxicity.collapsed(marks, np.array([1.0, -0.5, 0.25, 2.0])), 0.1, 1.0, 0.0)
+    assert np.allclose(model.margins(tokens), np.maximum(got @ [1.0, -0.5, 0.25, 2.0] + 0.1, toxicity.LOWEST))
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.0}
@@ -543,6 +580,34 @@ def test_pack_is_valid_and_no_worse_than_best_fit(seed):
     assert packing.fewest(counts, 1024) <= used <= sum(n for _, n in packing.best_fit(counts, 1024))
 
 
+def least_bins(items, capacity):
+    """The optimum, by trying every place of every item."""
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in sorted({x for x in bins if x + items[i] <= capacity}):
+            j = bins.index(b)
+            go(i + 1, [*bins[:j], b + items[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pack_finds_the_optimum_of_small_instances(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(12, 60))
+    items = sorted((int(x) for x in rng.integers(1, capacity // 2 + 6, rng.integers(3, 11))), reverse=True)
+    counts = {k: items.count(k) for k in set(items)}
+    assert sum(n for _, n in packing.pack(counts, capacity, 400_000)) == least_bins(items, capacity)
+
+
 def test_bin_completion_beats_best_fit():
     # Best fit puts 6 with 4 and needs three bins of 10.
     assert sum(n for _, n in packing.pack({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10)) == 2
@@ -574,6 +639,12 @@ def test_lines(plain):
     assert got == want and sum(n for _, n, _ in want.values()) > 3
 
 
+def test_lines_over_many_shards(plain, monkeypatch):
+    monkeypatch.setattr(linedup, "SHARD_KEYS", 1)
+    got = {r["doc_id"]: tuple(r)[1:] for r in linedup.line_report(plain, min_chars=4, min_docs=2).collect()}
+    assert got == slow_lines(distinct_texts(), 4, 2)
+
+
 def test_lines_cases(docs, empty):
     assert linedup.line_report(docs).count() == len(texts())
     assert linedup.line_report(docs).where("doc_id = 6").first()["n_lines"] == 1
@@ -587,8 +658,12 @@ def test_perfect_hash():
     h = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     fp, n, last = (rng.integers(0, 2**62, len(h)) for _ in range(3))
     made = linedup.PerfectHash.from_bytes(linedup.PerfectHash.build(h, fp, n, last).to_bytes())
-    assert sorted(made.rank(h)) == list(range(len(h)))
+    assert sorted(made.rank(h, fp)) == list(range(len(h)))
     got = made.probe(h, fp)
     assert (got[0] == n).all() and (got[1] == last).all()
+    # Keys that share one half are told apart by the other.
+    same = np.full(50, h[0])
+    twins = linedup.PerfectHash.build(same, fp[:50], n[:50], last[:50])
+    assert (twins.probe(same, fp[:50])[0] == n[:50]).all() and not twins.probe(same, fp[50:100])[0].any()
     other = rng.integers(0, 2**63, 1000).astype(np.uint64)
     assert not made.probe(other, rng.integers(0, 2**62, 1000))[0].any()
