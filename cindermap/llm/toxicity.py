@@ -139,13 +139,13 @@ def features(tokens: list[str], marks: list[str]) -> np.ndarray:
     parts = [(number, owner[first], np.full(len(first), weight)) for first, number, weight in triples(code, starts)]
     number, owner, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     present, slot = np.unique(number, return_inverse=True)
-    by_slot = np.zeros((len(present) + 1, len(marks)))
+    by_slot = np.zeros((len(present) + 1, len(marks)), np.float32)
     np.add.at(by_slot, (slot, owner), weight * scales(starts, len(code))[owner])
     where = np.full(LETTERS**3, len(present))
     where[present] = np.arange(len(present))
     out = np.zeros((len(tokens), len(marks)))
-    for i in range(0, len(tokens), 2000):
-        code, starts = coded(tokens[i : i + 2000])
+    for i in range(0, len(tokens), 500):
+        code, starts = coded(tokens[i : i + 500])
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
         for first, number, weight in triples(code, starts):
             known = np.flatnonzero(where[number] < len(present))
@@ -330,8 +330,8 @@ def largest_margins(model: Model, texts: pa.Array) -> np.ndarray:
 def _score(model: Model | None, names: list[str] | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                rows = whole.slice(i, 2000)
+            for i in range(0, whole.num_rows, 500):
+                rows = whole.slice(i, 500)
                 p = model.probability(largest_margins(model, rows.column("text"))) if model else np.zeros(rows.num_rows)
                 if names is None:
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

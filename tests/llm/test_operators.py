@@ -298,9 +298,9 @@ def test_kernel_against_plain_triple_counts():
     for i, t in enumerate(tokens):
         for j, m in enumerate(marks):
             a, b = slow_triples(t), slow_triples(m)
-            assert np.isclose(got[i, j], sum(v * b.get(k, 0.0) for k, v in a.items()) * slow_scale(t) * slow_scale(m), rtol=1e-6)
+            assert np.isclose(got[i, j], sum(v * b.get(k, 0.0) for k, v in a.items()) * slow_scale(t) * slow_scale(m), rtol=1e-5)
     model = toxicity.Model(toxicity.collapsed(marks, np.array([1.0, -0.5, 0.25, 2.0])), 0.1, 1.0, 0.0)
-    assert np.allclose(model.margins(tokens), np.maximum(got @ [1.0, -0.5, 0.25, 2.0] + 0.1, toxicity.LOWEST))
+    assert np.allclose(model.margins(tokens), np.maximum(got @ [1.0, -0.5, 0.25, 2.0] + 0.1, toxicity.LOWEST), atol=1e-5)
 
 
 def test_toxicity_without_labels(docs, empty, spark):
