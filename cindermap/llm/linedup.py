@@ -11,7 +11,7 @@ that holds them.
    claims, ranked by popcounts - and, in the ranks' order, an array of 64-bit fingerprints, one of counts and one of
    largest doc_ids. All 128 bits decide on a key's places, so two keys would have to share them all to meet. Shards are
    files in the shared folder, of bounded size.
-3. Documents probe: a task collects the lines of a batch of documents (of ``PROBED`` lines at least) and goes through them
+3. Documents probe: a task collects the lines of a batch of documents (of ``PROBED`` bytes at least) and goes through them
    shard by shard, so each batch reads a shard at most once, and the last ones stay in memory; no line is shuffled or joined.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as documents and, if theirs is
@@ -42,8 +42,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1_000_000
 #: Shards that a worker keeps in memory.
 KEPT_SHARDS = 8
-#: Lines that are probed together, of whole Arrow batches.
-PROBED = 500_000
+#: Bytes of text whose lines are probed together, in whole Arrow batches.
+PROBED = 16 << 20
 NO_ID = -(2**63)
 COUNTS = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
 _shards: OrderedDict[str, "PerfectHash"] = OrderedDict()
@@ -228,14 +228,14 @@ def kept_lines(doc_ids: list[int | None], texts: list[str | None], folder: str,
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches put together until they hold ``PROBED`` lines."""
-    held, lines = [], 0
+    """Batches put together until they hold ``PROBED`` bytes of text."""
+    held, size = [], 0
     for rows in batches:
         held.append(rows)
-        lines += rows.num_rows + (pc.sum(pc.count_substring(rows.column("text"), "\n")).as_py() or 0)
-        if lines >= PROBED:
+        size += pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0
+        if size >= PROBED:
             yield held
-            held, lines = [], 0
+            held, size = [], 0
     if held:
         yield held
 
