@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import islice
@@ -202,29 +203,34 @@ def shard_of(folder: str, s: int) -> PerfectHash:
     return _shards[name]
 
 
-def kept_lines(doc_ids: list[int | None], texts: list[str | None], folder: str, shards: int, min_chars: int) -> Iterator[tuple[int, list[bytes]]]:
-    """For each document: its number of lines, and the lines that stay. Every shard is visited once."""
-    asked, where = [], []
-    for d, text in enumerate(texts):
-        for i, line in enumerate(encoded(text).split(b"\n")):
-            if len(line) >= min_chars and long_enough(key := line_key(line), min_chars):
-                asked.append(_hash(key))
-                where.append((d, i))
-    drop: dict[int, set[int]] = {}
+def kept_lines(docs: list[tuple[pa.Array, pa.Array]], folder: str, shards: int, min_chars: int) -> Iterator[tuple[int, list[bytes]]]:
+    """``docs``: arrays of doc_ids and texts. For each document: its number of lines, and the lines that stay. Every shard is visited once."""
+    asked, own, where = array("Q"), array("q"), array("q")
+    n = 0
+    for ids, texts in docs:
+        for doc_id, text in zip(ids, texts, strict=True):
+            doc_id = doc_id.as_py()
+            for line in encoded(text.as_py()).split(b"\n"):
+                if len(line) >= min_chars and long_enough(key := line_key(line), min_chars):
+                    asked.extend(_hash(key))
+                    own.append(NO_ID if doc_id is None else doc_id)
+                    where.append(n)
+                n += 1
+    gone: set[int] = set()  # numbers of lines
     if asked:
-        h, fp = np.ascontiguousarray(np.array(asked, np.uint64).T)
-        own = np.array([NO_ID if doc_ids[d] is None else doc_ids[d] for d, _ in where], np.int64)
-        dropped, shard = np.zeros(len(h), bool), h.view(np.int64) % shards
+        h, fp = np.ascontiguousarray(np.frombuffer(asked, np.uint64).reshape(-1, 2).T)
+        own, dropped, shard = np.frombuffer(own, np.int64), np.zeros(len(h), bool), h.view(np.int64) % shards
         order = np.argsort(shard, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            n, last = shard_of(folder, int(shard[mine[0]])).probe(h[mine], fp[mine].view(np.int64))
-            dropped[mine] = (n > 0) & (own[mine] != last)
-        for j in np.flatnonzero(dropped):
-            d, i = where[j]
-            drop.setdefault(d, set()).add(i)
-    for d, text in enumerate(texts):
-        lines = encoded(text).split(b"\n")
-        yield len(lines), [x for i, x in enumerate(lines) if i not in drop[d]] if d in drop else lines
+            count, last = shard_of(folder, int(shard[mine[0]])).probe(h[mine], fp[mine].view(np.int64))
+            dropped[mine] = (count > 0) & (own[mine] != last)
+        gone = set(np.frombuffer(where, np.int64)[dropped].tolist())
+    n = 0
+    for _, texts in docs:
+        for text in texts:
+            lines = encoded(text.as_py()).split(b"\n")
+            yield len(lines), [x for i, x in enumerate(lines, n) if i not in gone]
+            n += len(lines)
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -243,9 +249,8 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
 def _probe(folder: str, shards: int, min_chars: int, digest: bool, names: list[str]):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion in portions(batches):
-            ids, texts = ([x for rows in portion for x in rows.column(c).to_pylist()] for c in ("doc_id", "text"))
-            found = kept_lines(ids, texts, folder, shards, min_chars)
-            for rows in portion:
+            found = kept_lines([(rows.column("doc_id"), rows.column("text")) for rows in portion], folder, shards, min_chars)
+            for rows in (whole.slice(i, 1000) for whole in portion for i in range(0, whole.num_rows, 1000)):
                 sizes, kept = [], []
                 for n, lines in islice(found, rows.num_rows):
                     sizes.append((n, n - len(lines)))
@@ -253,7 +258,7 @@ def _probe(folder: str, shards: int, min_chars: int, digest: bool, names: list[s
                 if digest:
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 else:
-                    own = [None if t is None else k.decode("utf-8", "surrogatepass") for t, k in zip(rows.column("text").to_pylist(), kept, strict=True)]
+                    own = [None if not t.is_valid else k.decode("utf-8", "surrogatepass") for t, k in zip(rows.column("text"), kept, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own, rows.schema.field("text").type) if c == "text" else rows.column(c) for c in names], names)
 
     return probe
