@@ -143,7 +143,7 @@ def features(tokens: list[str], marks: list[str]) -> np.ndarray:
     np.add.at(by_slot, (slot, owner), weight * scales(starts, len(code))[owner])
     where = np.full(LETTERS**3, len(present))
     where[present] = np.arange(len(present))
-    out = np.zeros((len(tokens), len(marks)))
+    out = np.zeros((len(tokens), len(marks)), np.float32)
     for i in range(0, len(tokens), 500):
         code, starts = coded(tokens[i : i + 500])
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
@@ -172,9 +172,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        xs, cs = x[inside], cost[inside]
-        new = np.linalg.solve(np.diag(ridge) + (xs * cs[:, None]).T @ xs, (xs * cs[:, None]).T @ y[inside])
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        gram, pull = np.diag(ridge), np.zeros(len(w))
+        for i in range(0, len(inside), 1000):
+            at = inside[i : i + 1000]
+            xs = x[at].astype(np.float64)
+            weighed = (xs * cost[at, None]).T
+            gram += weighed @ xs
+            pull += weighed @ y[at]
+        new = np.linalg.solve(gram, pull)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -225,71 +231,89 @@ def variants(token: str, most: int = VARIANTS) -> list[str]:
     return list(dict.fromkeys(both[:: max(1, len(both) // most)]))[:most]
 
 
-def train(texts: list[str | None], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0)) -> Model | None:
-    """``rates``: how many texts of label 0 and 1 stand for each one given. None without both labels."""
+def train(tokens: list[str], own: list[np.ndarray], toxic: list[int], rates: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """``tokens``: the distinct ones, sorted; ``own``: the numbers of each text's. ``rates``: how many texts of label 0 and 1 stand for each one given. None without both labels."""
     toxic_ = np.array(toxic)
     if len({*toxic}) < 2:
         return None
-    one: dict[str, str] = {}  # equal tokens of all texts are one object
-    own = [[one.setdefault(t, t) for t in text_tokens(text)] for text in texts]
     fitted = np.arange(len(own)) % 4 != 3
-    df = [Counter(), Counter()]
-    for tokens, label, f in zip(own, toxic, fitted, strict=True):
+    df = np.zeros((2, len(tokens)))
+    for numbers, label, f in zip(own, toxic, fitted, strict=True):
         if f:
-            df[label].update(tokens)
+            df[label, numbers] += 1
     n = [max(1, int((fitted & (toxic_ == k)).sum())) for k in (0, 1)]
-    odds = {t: np.log((c + 0.1) / (n[1] + 1)) - np.log((df[0][t] + 0.1) / (n[0] + 1)) + 0.3 * np.log(c) for t, c in df[1].items()}
+    with np.errstate(divide="ignore"):
+        odds = np.where(df[1] > 0, np.log((df[1] + 0.1) / (n[1] + 1)) - np.log((df[0] + 0.1) / (n[0] + 1)) + 0.3 * np.log(df[1]), -9.0)
     # Tokens that hardly stand in clean texts, and in so many toxic ones that chance does not explain it.
-    sure = {t: float(np.sqrt(c)) for t, c in df[1].items() if c >= 3 and df[0][t] * n[1] < 0.02 * c * n[0] and c * np.log((n[0] + n[1]) / n[1]) > 7}
-    told = sorted(odds, key=lambda t: (-odds[t], t))
-    plain = sorted(df[0], key=lambda t: (-df[0][t], t))
-    marks = list(dict.fromkeys([*told[: LANDMARKS * 3 // 5], *plain[: LANDMARKS // 5], *plain[LANDMARKS // 5 :: max(1, len(plain) * 5 // LANDMARKS)]]))[:LANDMARKS]
-    negatives = sorted(t for t in df[0])
-    hard = negatives[:: max(1, len(negatives) // HARDEST)]
-    witness = [max(t, key=lambda x: (odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
+    sure = np.flatnonzero((df[1] >= 3) & (df[0] * n[1] < 0.02 * df[1] * n[0]) & (df[1] * np.log((n[0] + n[1]) / n[1]) > 7))
+    surest = sure[np.argsort(-df[1][sure], kind="stable")]
+    told = np.argsort(-odds, kind="stable")[: int((df[1] > 0).sum())]
+    negatives = np.flatnonzero(df[0] > 0)
+    plain = negatives[np.argsort(-df[0][negatives], kind="stable")]
+    first = [*told[: LANDMARKS * 3 // 5], *plain[: LANDMARKS // 5], *plain[LANDMARKS // 5 :: max(1, len(plain) * 5 // LANDMARKS)]]
+    marks = list(dict.fromkeys(first))[:LANDMARKS]
+    hard = list(negatives[:: max(1, len(negatives) // HARDEST)])
+    positive_texts = [x for x, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and len(x)]
     back = np.flatnonzero(~fitted) if len({*toxic_[~fitted]}) == 2 else np.arange(len(own))
-    best, least = None, np.inf
+    named = lambda numbers: [tokens[i] for i in numbers]
+    clean = {tokens[i] for i in negatives}
+    toxicity_of, best, least = odds, None, np.inf
     for _ in range(ROUNDS):
-        values, vectors = np.linalg.eigh(features(marks, marks))
+        landmarks = named(marks)
+        values, vectors = np.linalg.eigh(features(landmarks, landmarks).astype(np.float64))
         white = vectors[:, values > 1e-4 * values.max()] / np.sqrt(values[values > 1e-4 * values.max()])
-        positives = Counter(witness) | sure
+        # A toxic text's witness is its most toxic token.
+        positives = Counter(int(x[np.argmax(toxicity_of[x])]) for x in positive_texts) | Counter({int(t): float(np.sqrt(df[1, t])) for t in sure})
         # The tokens that most texts bear out stand for their one-letter edits as well.
-        known = sorted((t for t in positives if df[1][t] > 1), key=lambda t: (-df[1][t], t))[:MISWRITTEN]
-        edits = {v: VARIANT_COST * positives[t] / VARIANTS for t in known for v in variants(t) if v not in df[0]}
-        names = [*positives, *edits, *hard]
+        known = sorted((t for t in positives if df[1, t] > 1), key=lambda t: (-df[1, t], t))[:MISWRITTEN]
+        edits = {v: VARIANT_COST * positives[t] / VARIANTS for t in known for v in variants(tokens[t]) if v not in clean}
+        names = [*named(positives), *edits, *named(hard)]
         y = np.where(np.arange(len(names)) < len(positives) + len(edits), 1.0, -1.0)
-        cost = PENALTY * np.array([*(float(c) for c in positives.values()), *edits.values(), *[1.0] * len(hard)])
-        w = fit_svm(np.hstack([features(names, marks) @ white, np.ones((len(names), 1))]), y, cost)
-        model = Model(collapsed(marks, white @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        loss = calibrated(model, [own[i] for i in back], toxic_[back], rates)
+        cost = PENALTY * np.array([*positives.values(), *edits.values(), *[1.0] * len(hard)])
+        x = np.ones((len(names), white.shape[1] + 1), np.float32)
+        for i in range(0, len(names), 1000):
+            x[i : i + 1000, :-1] = features(names[i : i + 1000], landmarks) @ white
+        w = fit_svm(x, y, cost)
+        model = Model(collapsed(landmarks, white @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        margin = model.margins(tokens)
+        loss = calibrated(model, tokens, margin, [own[i] for i in back], toxic_[back], rates)
         if loss < least:
             best, least = model, loss
-        order = np.argsort(-model.margins(negatives), kind="stable")[:HARDEST]
-        hard = list(dict.fromkeys([*(negatives[i] for i in order), *hard]))
-        marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 4], *(sorted(sure, key=lambda t: (-sure[t], t))[: LANDMARKS // 4])]))
-        every = sorted({t for x, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 for t in x})
-        known = dict(zip(every, model.margins(every), strict=True))
-        witness = [max(t, key=lambda x: (known[x] + 0.05 * odds.get(x, -9), x)) for t, label, f in zip(own, toxic, fitted, strict=True) if f and label == 1 and t]
-    back = np.flatnonzero(~fitted) if len({*toxic_[~fitted]}) == 2 else np.arange(len(own))
+        hard = list(dict.fromkeys([*negatives[np.argsort(-margin[negatives], kind="stable")[:HARDEST]], *hard]))
+        marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 4], *surest[: LANDMARKS // 4]]))
+        toxicity_of = margin + 0.05 * odds
     return best
 
 
-def calibrated(model: Model, own: list[list[str]], toxic: np.ndarray, rates: tuple[float, float]) -> float:
-    """Fit slope and offset on held-back texts (their tokens and labels); returns the loss of the fit."""
-    distinct = sorted({t for x in own for t in x})
-    known = dict(zip(distinct, model.margins(distinct).tolist(), strict=True))
-    margin = [max([LOWEST, *map(known.__getitem__, x)]) for x in own]
+def calibrated(model: Model, tokens: list[str], margin: np.ndarray, own: list[np.ndarray], toxic: np.ndarray, rates: tuple[float, float]) -> float:
+    """Fit slope and offset on held-back texts (their tokens' numbers, and labels); returns the loss of the fit."""
+    top = [max(LOWEST, margin[x].max()) if len(x) else LOWEST for x in own]
     # Toxic texts once more, with their most toxic word miswritten.
-    worst = [max(x, key=lambda t: (known[t], t)) for x, label in zip(own, toxic, strict=True) if label == 1 and x]
+    worst = [tokens[x[np.argmax(margin[x])]] for x, label in zip(own, toxic, strict=True) if label == 1 and len(x)]
     edits = [v[i % len(v)] for i, t in enumerate(worst) if (v := variants(t))]
-    margin, label = np.array([*margin, *model.margins(edits)]), np.array([*toxic, *[1] * len(edits)])
+    top, label = np.array([*top, *model.margins(edits)]), np.array([*toxic, *[1] * len(edits)])
     weight = np.where(label == 1, float(rates[1]), float(rates[0]))
     weight[len(own) :] *= VARIANT_WEIGHT
-    model.slope, model.offset = logistic(margin, label, weight)
-    p = np.clip(model.probability(margin), 1e-9, 1 - 1e-9)
+    model.slope, model.offset = logistic(top, label, weight)
+    p = np.clip(model.probability(top), 1e-9, 1 - 1e-9)
     return float(-(weight * np.log(np.where(label == 1, p, 1 - p))).sum() / weight.sum())
 
 
+def numbered(token_lists: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct tokens of all lists, sorted, and each list as numbers of them."""
+    values = token_lists.flatten()
+    distinct = pc.unique(values)
+    distinct = distinct.take(pc.sort_indices(distinct))
+    numbers = pc.index_in(values, distinct).to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes = pc.list_value_length(token_lists).to_numpy(zero_copy_only=False)
+    return distinct.to_pylist(), np.split(numbers, np.cumsum(sizes)[:-1])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array([text_tokens(t.as_py()) for t in rows.column("text")], pa.list_(pa.string()))], ["doc_id", "toxic", "tokens"])
+
+
 def held_out_column():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -300,14 +324,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.where("toxic = 1").orderBy(*order).limit(positives).union(usable.where("toxic = 0").orderBy(*order).limit(negatives))
-    # At most positives + negatives rows of two numbers.
+    # At most positives + negatives rows of two numbers; of their texts, the driver gets the distinct tokens.
     texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas()
-    if not len(rows):
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = one.mapInArrow(_tokens, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic {labels.schema['toxic'].dataType.simpleString()}, tokens array<string>").toArrow()
+    if not rows.num_rows:
         return None
-    rows = rows.assign(h=rows["doc_id"].map(lambda x: hash((x * 2654435761) % 2**32))).sort_values(["h", "doc_id"])
-    drawn = {k: max(1, int((rows["toxic"] == k).sum())) for k in (0, 1)}
-    return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), (counts.get(0, 0) / drawn[0], counts.get(1, 0) / drawn[1]))
+    # In an order that does not depend on partitions or labels.
+    ids = rows.column("doc_id").to_numpy()
+    rows = rows.take(np.lexsort((ids, (ids * 2654435761) % 2**32))).combine_chunks()
+    toxic = rows.column("toxic").to_numpy().astype(int)
+    drawn = [max(1, int((toxic == k).sum())) for k in (0, 1)]
+    tokens, own = numbered(rows.column("tokens").combine_chunks())
+    return train(tokens, own, toxic.tolist(), (counts.get(0, 0) / drawn[0], counts.get(1, 0) / drawn[1]))
 
 
 def largest_margins(model: Model, texts: pa.Array) -> np.ndarray:
