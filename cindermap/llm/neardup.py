@@ -173,7 +173,9 @@ def similar_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame, shingl
     sets = staged(texts.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     for turn in range(STARS + 1):
         now = rows.join(groups, "fp").select("key", "node", "root")
-        groups = merged(groups, links_between(star(now, turn) if turn < STARS else whole(now), sets, similarity))
+        links = staged(links_between(star(now, turn) if turn < STARS else whole(now), sets, similarity), "links")
+        if not links.isEmpty():
+            groups = merged(groups, links)
     return groups
 
 
