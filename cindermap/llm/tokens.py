@@ -23,7 +23,7 @@ UNCLEAN = r"[ \t-\r][ \t-\r]|[\x{1}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{
 #: Stands before the first chunk of a text, which has no space before it.
 FIRST = "\x01"
 #: Distinct chunks that a worker remembers (about 200 bytes each); beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 330_000
 #: A word of plain letters and the ASCII punctuation behind it: two pre-tokens, on which the merges alone decide.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
