@@ -65,9 +65,13 @@ def normalize_tool(x: Column) -> Column:
 
 
 def canonical(x: Column) -> Column:
-    """Form in which answers are compared: trimmed, lower case, one spelling for booleans and whole numbers."""
-    t = F.lower(F.trim(x))
-    return F.when(t.isin("true", "yes"), "true").when(t.isin("false", "no"), "false").otherwise(F.regexp_replace(t, r"^(-?\d+)\.0+$", "$1"))
+    """Form in which answers are compared: whole numbers without decimals, else ``normalize_text``, one spelling for booleans and for phases ("Phase 3" and "p_3" are "p3", "phase t1" is "t1")."""
+    t = normalize_text(x)
+    whole = F.regexp_extract(F.trim(x), r"^(-?\d+)(\.0+)?$", 1)
+    phase = lambda pattern: F.regexp_extract(t, pattern, 1)
+    t1, p1 = phase(r"^(?:phase[\s_]*t|t[\s_]+)(\d+)$"), phase(r"^(?:phase[\s_]*|p[\s_]+)(\d+)$")
+    out = F.when(whole != "", whole).when(t.isin("true", "yes"), "true").when(t.isin("false", "no"), "false")
+    return out.when(t1 != "", F.concat(F.lit("t"), t1)).when(p1 != "", F.concat(F.lit("p"), p1)).otherwise(t)
 
 
 def pixel_to_world(r: Column, c: Column, transform: tuple[float, ...]) -> tuple[Column, Column]:

@@ -118,20 +118,19 @@ def focal(cells: DataFrame, stat: str, size: int, nodata: float | None, height:
     The mean leaves nodata out, the others read it as 0; a nodata centre stays nodata; an even size grows by one.
     """
     k = size // 2
-    step = F.explode(F.sequence(F.lit(-k), F.lit(k)))
     ok = valid(F.col("value"), nodata)
-    base = cells.select("raster_id", "r", "c", "value", F.when(ok, F.col("value")).otherwise(0.0).alias("v"), ok.cast("int").alias("ok"))
-    for axis, last in (("r", height - 1), ("c", width - 1)):
-        # Each cell asks for the cells its window covers along one axis, clamped to the edge; sums and extremes separate by axis.
-        near = base.select("raster_id", F.col("r").alias("r0"), F.col("c").alias("c0"), "value", step.alias("d")).withColumn(axis, F.greatest(F.lit(0), F.least(F.lit(last), F.col(f"{axis}0") + F.col("d"))))
-        other = "c" if axis == "r" else "r"
-        near = near.withColumn(other, F.col(f"{other}0")).select("raster_id", "r", "c", "r0", "c0", F.col("value").alias("centre"))
-        took = near.join(base.drop("value"), ["raster_id", "r", "c"])
-        first = "lo" not in base.columns
-        agg = [F.sum("v" if first else "total").alias("total"), F.sum("ok" if first else "n").alias("n"), F.sum(F.col("v") * F.col("v") if first else F.col("squares")).alias("squares"), F.min("v" if first else "lo").alias("lo"), F.max("v" if first else "hi").alias("hi"), F.count(F.lit(1)).alias("all") if first else F.sum("all").alias("all")]
-        base = took.groupBy("raster_id", F.col("r0").alias("r"), F.col("c0").alias("c"), F.col("centre").alias("value")).agg(*agg)
-    mean = F.col("total") / F.col("all")
-    out = {"sum": F.col("total"), "min": F.col("lo"), "max": F.col("hi"), "mean": F.try_divide(F.col("total"), F.col("n")), "std": F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("all") - mean * mean))}[stat]
+    v = F.when(ok, F.col("value")).otherwise(0.0)
+    base = cells.select("raster_id", "r", "c", "value", v.alias("total"), ok.cast("int").alias("n"), (v * v).alias("squares"), v.alias("lo"), v.alias("hi"))
+    for axis, other, last in (("r", "c", height - 1), ("c", "r", width - 1)):
+        line = Window.partitionBy("raster_id", other).orderBy(axis)
+        near, whole = line.rowsBetween(-k, k), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        # Places of the window beyond either end repeat the end's cell; extremes have it already.
+        before, behind = (F.greatest(F.lit(0), x) for x in (k - F.col(axis), k - last + F.col(axis)))
+        summed = [(F.sum(c).over(near) + F.first(c).over(whole) * before + F.last(c).over(whole) * behind).alias(c) for c in ("total", "n", "squares")]
+        base = base.select("raster_id", "r", "c", "value", *summed, F.min("lo").over(near).alias("lo"), F.max("hi").over(near).alias("hi"))
+    every = (2 * k + 1) ** 2
+    mean = F.col("total") / every
+    out = {"sum": F.col("total"), "min": F.col("lo"), "max": F.col("hi"), "mean": F.try_divide(F.col("total"), F.col("n")), "std": F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / every - mean * mean))}[stat]
     return base.select("raster_id", "r", "c", F.when(valid(F.col("value"), nodata), out).otherwise(F.col("value")).alias("value"))
 
 
@@ -173,6 +172,6 @@ def flood(pre: DataFrame, post: DataFrame) -> DataFrame:
 
 def stretch_uint8(cells: DataFrame) -> DataFrame:
     """Minimum to maximum of each raster and band onto 0 to 255; constant ones become 0."""
-    w = Window.partitionBy("raster_id", "band")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return cells.withColumn("lo", lo).withColumn("hi", hi).select("raster_id", "band", "r", "c", F.when(F.col("hi") > F.col("lo"), ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0.0).cast("int").alias("value"))
+    ends = cells.groupBy("raster_id", "band").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = cells.join(ends, ["raster_id", "band"])
+    return rows.select("raster_id", "band", "r", "c", F.when(F.col("hi") > F.col("lo"), ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0.0).cast("int").alias("value"))

@@ -65,19 +65,23 @@ def priority_score(rows: DataFrame, criteria: dict[str, float], top_k: int) -> D
 
 
 def allocate(demands: DataFrame, by: str, supply: float, least: float) -> DataFrame:
-    """First ``least`` to each site in order while supply lasts, then one proportional pass by what is still needed.
+    """First ``least`` to each site in order while supply lasts; the rest is shared out by how far needs exceed ``least``.
 
-    ``demands``: by, id, need. Nothing that a site cannot take is given again.
+    ``demands``: by, id, need, and optionally cap, which a site's allocation does not pass. Shares do not stop at the need, and
+    nothing that a cap leaves over is given again.
     """
     order = Window.partitionBy(by).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     # Each site asks for the same, so what went before it is a count.
     before = F.count(F.lit(1)).over(order) * least
     base = F.greatest(F.lit(0.0), F.least(F.lit(float(least)), supply - before))
-    rows = demands.withColumn("base", base).withColumn("short", F.greatest(F.lit(0.0), F.col("need") - F.col("base")))
-    totals = rows.groupBy(by).agg(F.sum("base").alias("given"), F.sum("short").alias("wanted"))
-    left = F.greatest(F.lit(0.0), supply - F.col("given"))
-    share = F.when(F.col("wanted") > 0, F.least(F.col("short"), left * F.col("short") / F.col("wanted"))).otherwise(0.0)
-    return rows.join(totals, by).select(by, "id", "need", (F.col("base") + share).alias("allocated"))
+    above = F.greatest(F.lit(0.0), F.coalesce(F.col("need"), F.lit(0)) - least)
+    rows = demands.withColumn("base", base).withColumn("above", above)
+    totals = rows.groupBy(by).agg((supply - F.sum("base")).alias("left"), F.sum("above").alias("total"))
+    extra = F.col("above") / F.col("total") * F.col("left")
+    if "cap" in demands.columns:
+        extra = F.least(extra, F.coalesce(F.col("cap"), F.lit(float("inf"))) - F.col("base"))
+    extra = F.when((F.col("total") > 0) & (F.col("left") > 0), F.greatest(F.lit(0.0), extra)).otherwise(0.0)
+    return rows.join(totals, by).select(by, "id", "need", (F.col("base") + extra).alias("allocated"))
 
 
 def loop_windows(cells: DataFrame, height: int, width: int, n: int, value: Column) -> DataFrame:

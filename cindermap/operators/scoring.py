@@ -9,8 +9,10 @@ from cindermap.functions.scalar import EARTH_M, canonical
 
 
 def close(gold: Column, pred: Column, absolute: float = 1.0, relative: float = 0.2) -> Column:
-    """1 if within absolute + relative * |gold|; a missing prediction scores 0."""
-    return F.coalesce((F.abs(pred - gold) <= absolute + relative * F.abs(gold)).cast("double"), F.lit(0.0))
+    """1 if equal or within absolute + relative * |gold|; NaN is close to NaN alone; a missing prediction scores 0."""
+    g, p = gold.cast("double"), pred.cast("double")
+    near = (p == g) | (F.abs(p - g) <= absolute + relative * F.abs(g))
+    return F.when(F.isnan(g) | F.isnan(p), (F.isnan(g) & F.isnan(p)).cast("double")).otherwise(F.coalesce(near.cast("double"), F.lit(0.0)))
 
 
 def ratio_close(gold: Column, pred: Column) -> Column:
@@ -39,11 +41,19 @@ def dict_score(gold: DataFrame, pred: DataFrame, by: list[str], key: str, value:
 
 
 def ranking_score(gold: DataFrame, pred: DataFrame, by: str, item: str, rank: str) -> DataFrame:
-    """(tau + 1) / 2 over the items both rankings have: the share of pairs in one order. Ranks are distinct."""
-    both = gold.select(by, item, F.col(rank).alias("g")).join(pred.select(by, item, F.col(rank).alias("p")), [by, item])
-    # The pairs in one order: for each item, those of smaller gold rank that also come first in the prediction.
-    pairs = both.join(both.select(by, F.col("g").alias("g2"), F.col("p").alias("p2")), by).where("g < g2")
-    return pairs.groupBy(by).agg(F.avg((F.col("p") < F.col("p2")).cast("double")).alias("score"))
+    """(tau + 1) / 2 over the items both rankings have: the share of pairs in one order; ranks are distinct.
+
+    With fewer than two common items: 1 if both rank the same items, else 0. One row for each gold ranking.
+    """
+    g = gold.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("x")))).alias("g"))
+    p = pred.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(item, rank))).alias("p"))
+    ranks = F.filter(F.transform("g", lambda e: F.try_element_at("p", e["x"])), lambda r: r.isNotNull())
+    rows = g.join(p, by, "left").withColumn("s", F.coalesce(ranks, F.array().cast(f"array<{pred.schema[rank].dataType.simpleString()}>")))
+    n = F.size("s")
+    later = F.transform("s", lambda v, i: F.size(F.filter(F.slice("s", i + 2, F.greatest(F.lit(0), n - i - 1)), lambda w: w > v)))
+    same = (n == F.size("g")) & (n == F.coalesce(F.size("p"), F.lit(0)))
+    share = F.aggregate(later, F.lit(0), lambda a, x: a + x) / (n * (n - 1) / 2)
+    return rows.select(by, F.when(n < 2, same.cast("double")).otherwise(share).alias("score"))
 
 
 def point_score(row: Column, col: Column, gold_row: Column, gold_col: Column, most: float = 20.0) -> Column:
@@ -72,9 +82,14 @@ def sequences(steps: DataFrame, by: str) -> DataFrame:
     return kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "call"))), lambda s: s["call"]).alias("calls"))
 
 
+def of_nothing(pred: Column) -> Column:
+    """The score where gold has no steps: 1 if the prediction has none either, else 0."""
+    return (F.size(pred) == 0).cast("double")
+
+
 def recall(gold: Column, pred: Column) -> Column:
     g = F.array_distinct(gold)
-    return F.when(F.size(g) == 0, 1.0).otherwise(F.size(F.array_intersect(g, pred)) / F.size(g))
+    return F.when(F.size(g) == 0, of_nothing(pred)).otherwise(F.size(F.array_intersect(g, pred)) / F.size(g))
 
 
 def prefix(gold: Column, pred: Column) -> Column:
@@ -82,7 +97,7 @@ def prefix(gold: Column, pred: Column) -> Column:
     same = F.zip_with(gold, pred, lambda g, p: F.coalesce(g == p, F.lit(False)))
     first = F.array_position(same, False)
     n = F.when(first == 0, F.size(same)).otherwise(first - 1)
-    return F.when(F.size(gold) == 0, 1.0).otherwise(F.least(n, F.size(gold)) / F.size(gold))
+    return F.when(F.size(gold) == 0, of_nothing(pred)).otherwise(F.least(n, F.size(gold)) / F.size(gold))
 
 
 def efficiency(gold: Column, pred: Column) -> Column:
@@ -99,7 +114,7 @@ def lcs(gold: Column, pred: Column) -> Column:
         return F.aggregate(steps, F.array(F.lit(0)), lambda out, s: F.concat(out, F.array(F.when(s["p"] == g, F.get(before, s["j"] - 1) + 1).otherwise(F.greatest(F.get(before, s["j"]), F.element_at(out, -1))))))
 
     both = F.aggregate(gold, start, row)
-    return F.when(F.size(gold) == 0, 1.0).when(F.size(pred) == 0, 0.0).otherwise(F.element_at(both, -1) / F.size(gold))
+    return F.when(F.size(gold) == 0, of_nothing(pred)).when(F.size(pred) == 0, 0.0).otherwise(F.element_at(both, -1) / F.size(gold))
 
 
 def parameter_accuracy(gold: DataFrame, pred: DataFrame, by: str) -> DataFrame:

@@ -10,12 +10,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindermap.functions.scalar import haversine_m
+from cindermap.sources.shared import staged
 
 
 def rect_area(pixel_m: float = 1.0) -> Column:
     return (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * pixel_m * pixel_m
 
 
+def _edges(ring: Column, of) -> Column:
+    """Sum of ``of(a, b)`` over the edges of a ring, an array of (x, y) structs that may repeat its first vertex at the end."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.lit(0), F.size(ring) - 1)), F.slice(ring, 1, 1))
+    return F.aggregate(F.zip_with(ring, after, of), F.lit(0.0), lambda total, x: total + x)
+
+
+def _cross(a: Column, b: Column) -> Column:
+    return (a["x"] * b["y"] - b["x"] * a["y"]).cast("double")
+
+
+def ring_area(ring: Column) -> Column:
+    """Shoelace area; 0 for fewer than three vertices."""
+    return F.abs(_edges(ring, _cross)) / 2
+
+
+def ring_perimeter(ring: Column) -> Column:
+    return _edges(ring, lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)))
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Row (y) and column (x) of a ring's centre of area; of its vertices' mean if it has no area."""
+    twice = _edges(ring, _cross)
+    axis = lambda k: F.when(twice != 0, _edges(ring, lambda a, b: (a[k] + b[k]) * _cross(a, b)) / (3 * twice)).otherwise(F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[k]) / F.size(ring))
+    return axis("y"), axis("x")
+
+
+def ring_contains(ring: Column, x: Column, y: Column) -> Column:
+    """Ray casting: whether an odd number of edges lies right of the point."""
+
+    def crosses(a: Column, b: Column) -> Column:
+        straddles = (a["y"] > y) != (b["y"] > y)
+        return F.when(straddles & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]), 1.0).otherwise(0.0)
+
+    return _edges(ring, crosses) % 2 == 1
+
+
+def with_bounds(layer: DataFrame) -> DataFrame:
+    """x0, y0, x1, y1 of the column ``ring``."""
+    at = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+    return layer.withColumns({"x0": at(F.array_min, "x"), "y0": at(F.array_min, "y"), "x1": at(F.array_max, "x"), "y1": at(F.array_max, "y")})
+
+
+def point_in_ring(points: DataFrame, layer: DataFrame, size: int = 16) -> DataFrame:
+    """Pairs of points and polygons (column ``ring``) around them: candidates by grid cell, then ray casting."""
+    both = binned(points, size, "p_").join(binned(with_bounds(layer), size, "a_"), ["bx", "by"])
+    inside = (F.col("p_px") >= F.col("a_x0")) & (F.col("p_px") <= F.col("a_x1")) & (F.col("p_py") >= F.col("a_y0")) & (F.col("p_py") <= F.col("a_y1"))
+    return both.where(inside).where(ring_contains(F.col("a_ring"), F.col("p_px"), F.col("p_py")))
+
+
 def filter_by_area(layer: DataFrame, min_m2: float, pixel_m: float) -> DataFrame:
     return layer.withColumn("area_m2", rect_area(pixel_m)).where(F.col("area_m2") >= min_m2)
 
@@ -86,7 +136,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, size: int = 16) -> DataFrame
     """The k nearest points of b for each point of a (a_id, rank, b_id, d2), ties to the smaller id.
 
     Each point looks at the 3 x 3 grid cells around it; one whose k-th neighbour lies no farther than a cell's width is
-    done, the others go on with cells of four times the width. The rounds are logarithmic in the extent.
+    done, the others go on with cells of four times the width. The rounds are logarithmic in the extent; each is written to the shared folder.
     """
     left, done = a.select("id", "px", "py"), None
     extent = b.agg(F.max("px") - F.min("px"), F.max("py") - F.min("py")).first()
@@ -100,13 +150,15 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, size: int = 16) -> DataFrame
         there = b.select(F.col("id").alias("b_id"), F.col("px").alias("qx"), F.col("py").alias("qy"), cell("px").alias("bx"), cell("py").alias("by"))
         dx, dy = F.col("ax") - F.col("qx"), F.col("ay") - F.col("qy")
         found = asked.join(there, ["bx", "by"]).withColumn("d2", dx * dx + dy * dy)
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "d2")
+        ranked = staged(found.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "d2"), "nearest")
         if size >= widest:
             return ranked if done is None else done.unionByName(ranked)
         settled = ranked.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far")).where((F.col("n") >= k) & (F.col("far") <= size * size)).select("a_id")
         part = ranked.join(settled, "a_id", "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = left.join(settled, left["id"] == settled["a_id"], "left_anti")
+        left = staged(left.join(settled, left["id"] == settled["a_id"], "left_anti"), "unsettled")
+        if left.isEmpty():
+            return done
         size = size * 4 if size * 4 < widest else int(widest) + 1
 
 

@@ -360,9 +360,9 @@ def dissolve_counts(spark, d):
     return vector.dissolve(T.rects(spark, d), "brand", 0.5)
 
 
-@query(f"WITH RECURSIVE own AS (SELECT * FROM rects WHERE class = 2 AND id % 2 = 0), near AS (SELECT a.id AS a, b.id AS b FROM own a JOIN own b ON a.id <> b.id AND {OVERLAP}), reach(a, b) AS (SELECT id, id FROM own UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a), root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a) SELECT root, count(*) AS members, arg_max(id, (x1 - x0) * (y1 - y0) * 1000000000 - id) AS largest_id FROM root JOIN own USING (id) GROUP BY root", "rects")
+@query(f"WITH RECURSIVE own AS (SELECT * FROM rects WHERE class = 2), near AS (SELECT a.id AS a, b.id AS b FROM own a JOIN own b ON a.id <> b.id AND {OVERLAP}), reach(a, b) AS (SELECT id, id FROM own UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a), root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a) SELECT root, count(*) AS members, arg_max(id, (x1 - x0) * (y1 - y0) * 1000000000 - id) AS largest_id FROM root JOIN own USING (id) GROUP BY root", "rects")
 def merge_overlapping(spark, d):
-    return vector.merge_overlapping(T.rects(spark, d).where("class = 2 AND id % 2 = 0"), graph.components)
+    return vector.merge_overlapping(T.rects(spark, d).where("class = 2"), graph.components)
 
 
 @query(None)
@@ -383,6 +383,26 @@ def polygon_iou(spark, d):
     return both.select("id", six(scoring.rect_iou("a_", "b_")).alias("iou"))
 
 
+def polygons(spark, d):
+    """A triangle (even ids) or an L-shape (odd ids) in each rectangle, as a ring; the L lacks its upper right quarter."""
+    xy = lambda x, y: F.struct((C("x0") + (C("x1") - C("x0")) * x).cast("double").alias("x"), (C("y0") + (C("y1") - C("y0")) * y).cast("double").alias("y"))
+    triangle, ell = F.array(xy(0, 0), xy(1, 0), xy(1, 1)), F.array(xy(0, 0), xy(1, 0), xy(1, 0.5), xy(0.5, 0.5), xy(0.5, 1), xy(0, 1), xy(0, 0))
+    return T.rects(spark, d).select("id", F.when(C("id") % 2 == 0, triangle).otherwise(ell).alias("ring"))
+
+
+@query("SELECT id, round(w * h * CASE WHEN id % 2 = 0 THEN 0.5 ELSE 0.75 END, 6) AS area, round(w + h + CASE WHEN id % 2 = 0 THEN sqrt(w * w + h * h) ELSE w + h END, 6) AS perimeter, round(y0 + h * CASE WHEN id % 2 = 0 THEN 1 / 3.0 ELSE 5 / 12.0 END, 6) AS row, round(x0 + w * CASE WHEN id % 2 = 0 THEN 2 / 3.0 ELSE 5 / 12.0 END, 6) AS col FROM (SELECT *, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM rects)", "rects")
+def polygon_measures(spark, d):
+    row, col = vector.ring_centroid(C("ring"))
+    return polygons(spark, d).select("id", six(vector.ring_area(C("ring"))).alias("area"), six(vector.ring_perimeter(C("ring"))).alias("perimeter"), six(row).alias("row"), six(col).alias("col"))
+
+
+@query("SELECT p.id AS point_id, count(*) AS polygons, min(a.id) AS first_polygon FROM (SELECT id, px + 0.26 AS px, py + 0.17 AS py FROM pois) p JOIN (SELECT *, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM rects) a ON p.px > a.x0 AND p.px < a.x1 AND p.py > a.y0 AND p.py < a.y1 AND CASE WHEN a.id % 2 = 0 THEN (p.py - a.y0) * w < (p.px - a.x0) * h ELSE p.px < a.x0 + w / 2 OR p.py < a.y0 + h / 2 END GROUP BY p.id", "pois", "rects")
+def point_in_polygon_rings(spark, d):
+    points = T.pois(spark, d).select("id", (C("px") + 0.26).alias("px"), (C("py") + 0.17).alias("py"))
+    hits = vector.point_in_ring(points, polygons(spark, d))
+    return hits.groupBy(C("p_id").alias("point_id")).agg(F.count(F.lit(1)).alias("polygons"), F.min("a_id").alias("first_polygon"))
+
+
 # --- points of interest and records ----------------------------------------------------------------------------------
 
 
@@ -450,9 +470,10 @@ def priority_score(spark, d):
     return records.priority_score(T.sites(spark, d), {"need": 0.7, "region": 3.0}, 15).select("id", F.round("score", 4).alias("score"))
 
 
-@query("WITH b AS (SELECT *, greatest(0, least(200.0, 900 - 200 * (row_number() OVER (PARTITION BY region ORDER BY id) - 1))) AS base FROM sites), t AS (SELECT *, greatest(0, need - base) AS short FROM b), s AS (SELECT *, sum(base) OVER (PARTITION BY region) AS given, sum(short) OVER (PARTITION BY region) AS wanted FROM t) SELECT region, id, need, round(CAST(base + CASE WHEN wanted > 0 THEN least(short, greatest(0, 900 - given) * CAST(short AS DOUBLE) / wanted) ELSE 0 END AS DOUBLE), 4) AS allocated FROM s", "sites")
+@query("WITH b AS (SELECT *, need % 700 + 100 AS cap, greatest(0, least(200.0, 900 - 200 * (row_number() OVER (PARTITION BY region ORDER BY id) - 1))) AS base, greatest(need - 200, 0) AS above FROM sites), s AS (SELECT *, CAST(900 - sum(base) OVER w AS DOUBLE) AS rest, sum(above) OVER w AS total FROM b WINDOW w AS (PARTITION BY region)) SELECT region, id, need, round(CAST(base AS DOUBLE) + CASE WHEN total > 0 AND rest > 0 THEN greatest(0, least(CAST(above AS DOUBLE) / total * rest, CAST(cap - base AS DOUBLE))) ELSE 0 END, 4) AS allocated FROM s", "sites")
 def resource_allocation(spark, d):
-    return records.allocate(T.sites(spark, d).select("region", "id", "need"), "region", 900.0, 200.0).withColumn("allocated", F.round("allocated", 4))
+    demands = T.sites(spark, d).select("region", "id", "need", (C("need") % 700 + 100).alias("cap"))
+    return records.allocate(demands, "region", 900.0, 200.0).withColumn("allocated", F.round("allocated", 4))
 
 
 @query("SELECT raster_id, CAST(least(2, r // 5) AS INT) AS row_idx, CAST(least(2, c // 5) AS INT) AS col_idx, count(*) FILTER (value = 3) AS value FROM mask GROUP BY ALL", "mask")
@@ -564,7 +585,7 @@ def score_dict(spark, d):
 RANKS = "SELECT user_id, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY sum({v}) DESC, event_type) AS n FROM events GROUP BY user_id, event_type"
 
 
-@query(f"WITH g AS ({RANKS.format(v='1')}), p AS ({RANKS.format(v='event_id % 7')}), x AS (SELECT g.user_id, g.n AS g, p.n AS p FROM g JOIN p USING (user_id, k)) SELECT a.user_id, round(avg(CASE WHEN a.p < b.p THEN 1.0 ELSE 0.0 END), 6) AS score FROM x a JOIN x b ON a.user_id = b.user_id AND a.g < b.g GROUP BY a.user_id")
+@query(f"WITH g AS ({RANKS.format(v='1')}), p AS ({RANKS.format(v='event_id % 7')}), x AS (SELECT g.user_id, g.n AS g, p.n AS p FROM g JOIN p USING (user_id, k)), pairs AS (SELECT a.user_id, avg(CASE WHEN a.p < b.p THEN 1.0 ELSE 0.0 END) AS score FROM x a JOIN x b ON a.user_id = b.user_id AND a.g < b.g GROUP BY a.user_id), n AS (SELECT user_id, count(*) AS ng, (SELECT count(*) FROM p WHERE p.user_id = g.user_id) AS np, (SELECT count(*) FROM x WHERE x.user_id = g.user_id) AS k FROM g GROUP BY user_id) SELECT user_id, round(CASE WHEN k < 2 THEN CASE WHEN k = ng AND k = np THEN 1.0 ELSE 0.0 END ELSE score END, 6) AS score FROM n LEFT JOIN pairs USING (user_id)")
 def score_ranking(spark, d):
     e = T.table(spark, d, "events")
 
@@ -604,14 +625,14 @@ def overall_score(spark, d):
 
 
 def trajectories(spark, d):
-    """Pairs of gold (even users) and predicted (the next user) call sequences, first twelve steps."""
-    calls = scoring.sequences(T.steps(spark, d).where("step <= 12"), "user_id")
+    """Pairs of gold (even users) and predicted (the next user) call sequences, all steps."""
+    calls = scoring.sequences(T.steps(spark, d), "user_id")
     gold = calls.where("user_id % 2 = 0").select((C("user_id") / 2).cast("long").alias("task"), C("calls").alias("g"))
     pred = calls.where("user_id % 2 = 1").select(((C("user_id") - 1) / 2).cast("long").alias("task"), C("calls").alias("p"))
     return gold.join(pred, "task")
 
 
-PAIRS = "WITH x AS (SELECT user_id // 2 AS task, user_id % 2 AS side, step, call FROM steps WHERE step <= 12), t AS (SELECT task, count(*) FILTER (side = 0) AS ng, count(*) FILTER (side = 1) AS np FROM x GROUP BY task HAVING count(DISTINCT side) = 2) "
+PAIRS = "WITH x AS (SELECT user_id // 2 AS task, user_id % 2 AS side, step, call FROM steps), t AS (SELECT task, count(*) FILTER (side = 0) AS ng, count(*) FILTER (side = 1) AS np FROM x GROUP BY task HAVING count(DISTINCT side) = 2) "
 
 
 @query(PAIRS + "SELECT t.task, round(CAST((SELECT count(DISTINCT a.call) FROM x a JOIN x b ON a.task = b.task AND a.call = b.call AND a.side = 0 AND b.side = 1 WHERE a.task = t.task) AS DOUBLE) / (SELECT count(DISTINCT call) FROM x WHERE x.task = t.task AND side = 0), 6) AS score FROM t", "steps")
@@ -725,7 +746,7 @@ def run_stats(spark, d):
 @query(PAIRS.replace("step, call FROM", "step, call, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM") + "SELECT t.task, round(coalesce((SELECT sum(CASE WHEN a.call = b.call AND abs(b.k - a.k) <= 1 + 0.2 * abs(a.k) THEN 1.0 ELSE 0.0 END) FROM x a JOIN x b ON a.task = b.task AND a.step = b.step AND a.side = 0 AND b.side = 1 WHERE a.task = t.task), 0) / ng, 6) AS score FROM t", "steps")
 def traj_params(spark, d):
     """Matching arguments of steps at the same place with the same call, over the gold steps."""
-    rows = T.steps(spark, d).where("step <= 12").select(F.floor(C("user_id") / 2).alias("task"), (C("user_id") % 2).alias("side"), "step", "call", F.from_json("props", "map<string,double>").alias("args"))
+    rows = T.steps(spark, d).select(F.floor(C("user_id") / 2).alias("task"), (C("user_id") % 2).alias("side"), "step", "call", F.from_json("props", "map<string,double>").alias("args"))
     return scoring.parameter_accuracy(rows.where("side = 0"), rows.where("side = 1"), "task").withColumn("score", six("score"))
 
 

@@ -164,8 +164,25 @@ def test_repair_prefers_fewest_repairs(spark):
 
 
 def test_allocation(spark):
-    d = spark.createDataFrame([(0, 1, 10.0), (0, 2, 30.0)], "g int, id int, need double")
-    assert [r["allocated"] for r in records.allocate(d, "g", 20.0, 0.0).orderBy("id").collect()] == [5.0, 15.0]
+    d = spark.createDataFrame([("g", 1, 10.0, None), ("g", 2, 30.0, None)], "g string, id int, need double, cap double")
+    got = lambda rows, supply, least: [r["allocated"] for r in records.allocate(rows, "g", supply, least).orderBy("id").collect()]
+    assert got(d, 20.0, 0.0) == [5.0, 15.0]
+    assert got(d, 100.0, 0.0) == [25.0, 75.0]  # shares don't stop at the need
+    assert got(d, 7.0, 5.0) == [5.0, 2.0]
+    capped = spark.createDataFrame([("g", 1, 10.0, 12.0), ("g", 2, 30.0, 40.0)], "g string, id int, need double, cap double")
+    assert got(capped, 100.0, 0.0) == [12.0, 40.0] and got(capped.drop("cap"), 100.0, 0.0) == [25.0, 75.0]
+
+
+def test_odd_scores(spark):
+    nan = F.lit(float("nan"))
+    assert [one(spark, scoring.close(g, p)) for g, p in ((nan, F.lit(5.0)), (F.lit(5.0), nan), (nan, nan), (F.lit(float("inf")), F.lit(float("inf"))), (F.lit(5.0), F.lit(None).cast("double")))] == [0.0, 0.0, 1.0, 1.0, 0.0]
+    none, some = F.array().cast("array<string>"), F.array(F.lit("a"))
+    for metric in (scoring.recall, scoring.prefix, scoring.lcs):
+        assert [one(spark, metric(none, p)) for p in (none, some)] == [1.0, 0.0]
+    for a, b in (("Phase 3", "p3"), ("phase_t1", "T 1"), ("p_2", "Phase2"), ("Yes!", "true"), ("5.0", "5"), ("A-b.", "a b")):
+        assert one(spark, S.canonical(F.lit(a))) == one(spark, S.canonical(F.lit(b)))
+    ranks = lambda items: spark.createDataFrame([("t", x, i) for i, x in enumerate(items)], "t string, k string, n int")
+    assert [scoring.ranking_score(ranks(g), ranks(p), "t", "k", "n").first()["score"] for g, p in (("a", "a"), ("a", "b"), ("ab", "ac"), ("abc", "acb"))] == [1.0, 0.0, 0.0, pytest.approx(2 / 3)]
 
 
 def test_reduce_takes_the_first_of_ties(spark):
