@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cindermap.functions import answers as A
 from cindermap.functions import crs
 from cindermap.functions import scalar as S
-from cindermap.operators import evidence, graph, perceive, raster, records, scoring, vector
+from cindermap.operators import evaluation, evidence, graph, perceive, raster, records, scoring, vector
 from cindermap.plans import trajectory
 from cindermap.sources import files
 from cindermap.sources import tables as T
@@ -492,6 +493,34 @@ def trajectory_loop_reduce(spark, d):
     return trajectory.compiled(spark, d, plan).select("raster_id", C("best_index").cast("int").alias("best_index"), "best_value")
 
 
+@query("SELECT id, CAST(floor(id / 4) AS INT) AS row_idx, CAST(id % 4 AS INT) AS col_idx, round(CAST(need AS DOUBLE) / (region + 1), 6) AS per_region, round(greatest(0, ceil(need / 40.0)), 6) AS trips, round(need / (SELECT CAST(max(need) AS DOUBLE) FROM sites), 6) AS share, round(need / (SELECT CAST(max(need) AS DOUBLE) FROM sites) * 0.5 + CAST(need AS DOUBLE) / (region + 1) * 0.25, 6) AS score FROM sites", "sites")
+def trajectory_loop_nested(spark, d):
+    """A loop of four calls that name the item's nested fields, each other's results and an earlier step of one row."""
+    items = T.sites(spark, d).select("id", F.struct(F.struct("need", (C("region") + 1).alias("regions")).alias("facts")).alias("properties"))
+    most = T.sites(spark, d).agg(F.max("need").alias("most"))
+    calls = [
+        {"call": "functions.calc_div", "args": {"a": "<item.properties.facts.need>", "b": "<item.properties.facts.regions>"}},
+        {"tool": "logi.truck_trips", "args": {"volume": "<item.properties.facts.need>", "capacity": 40}},
+        {"call": "calc.div", "args": {"a": "<item.properties.facts.need>", "b": "<most> from trajectory[0].obs"}},
+        {"call": "calc.weighted_sum", "args": {"values": ["<value> from step[2].obs", "<value> from step[0].obs"], "weights": [0.5, 0.25]}},
+    ]
+    out = trajectory.loop(items, calls, grid_n=4, index="id", trajectory=[most])
+    step = lambda n: six(C(f"steps.step_{n}.value").cast("double"))
+    return out.select("id", "row_idx", "col_idx", step(0).alias("per_region"), step(1).alias("trips"), step(2).alias("share"), six("last_obs.value").alias("score"))
+
+
+@query("WITH w AS (SELECT raster_id, row_idx, col_idx, col_idx * 5 AS x1, row_idx * 5 AS y1, value FROM (SELECT raster_id, CAST(least(2, r // 5) AS INT) AS row_idx, CAST(least(2, c // 5) AS INT) AS col_idx, count(*) FILTER (value = 3) AS value FROM mask GROUP BY ALL)) SELECT raster_id, row_idx, col_idx, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, round(value / 25.0, 6) AS share FROM w", "mask")
+def trajectory_loop_windows(spark, d):
+    """A compiled plan in which a loop takes an earlier step's windows, binds an argument and divides by a literal."""
+    plan = [
+        {"call": "source.mask", "args": {}},
+        {"call": "loop.count_class", "args": {"cells": "<0>", "side": T.SIDE, "n": 3, "class": 3}},
+        {"call": "tool.loop", "args": {"items": "<1>", "bind": {"a": "value"}, "calls": [{"call": "ras.window", "args": {"row_idx": "<item.row_idx>", "col_idx": "<item.col_idx>", "size": 5}}, {"call": "calc.div", "args": {"a": 0, "b": 25}}]}},
+    ]
+    window = lambda c: C(f"steps.step_0.{c}").cast("int").alias(c)
+    return trajectory.compiled(spark, d, plan).select("raster_id", "row_idx", "col_idx", window("x1"), window("y1"), six("last_obs.value").alias("share"))
+
+
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 
@@ -762,3 +791,95 @@ def resample_bilinear(spark, d):
 def prominent_statistics(spark, d):
     counts = T.table(spark, d, "events").groupBy("user_id", C("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return evidence.prominent(counts, "user_id", "k", "n", ["purchase", "c"], 3)
+
+
+# --- answers as text -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 < 4 THEN json_extract_string(props, '$.k') END AS k, event_id % 6 < 4 AS found FROM events")
+def parsed_answers(spark, d):
+    """Objects that answers wrap in nothing, tags, a fence or prose; the rest hold none or a broken one."""
+    e, p, n = T.table(spark, d, "events"), C("props"), C("event_id") % 6
+    text = F.when(n == 0, p).when(n == 1, F.concat(F.lit("Sure. <Answer> "), p, F.lit(" </answer> {}"))).when(n == 2, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
+    text = text.when(n == 3, F.concat(F.lit("I {think} it is "), p, F.lit(" {or so}"))).when(n == 4, C("event_type")).otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    got = A.parsed_answer(text)
+    return e.select("event_id", F.get_json_object(got, "$.k").alias("k"), got.isNotNull().alias("found"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[' || event_id || ']' WHEN 1 THEN '\"[' || event_id || '\"' ELSE '\"' || event_type || '\"' END AS arg FROM events")
+def coerced_arguments(spark, d):
+    n, own = C("event_id") % 3, C("event_id").cast("string")
+    value = F.when(n == 0, F.concat(F.lit(" ["), own, F.lit("] "))).when(n == 1, F.concat(F.lit("["), own)).otherwise(C("event_type"))
+    return T.table(spark, d, "events").select("event_id", A.coerced(value).alias("arg"))
+
+
+@query("SELECT p_partkey, '{\"pre_image\": {\"file\": \"/data/t/' || p_partkey || '.TIF\"}, \"a.png\": \"' || CASE WHEN p_partkey % 2 = 0 THEN '/abs/b.png' ELSE 'note.txt' END || '\", \"post_image\": {\"pixel_size_m\": ' || p_size || '}}' AS manifest, CAST(p_size AS DOUBLE) AS pixel_m, CAST(p_partkey AS VARCHAR) AS stem FROM part")
+def resolved_paths(spark, d):
+    key = C("p_partkey").cast("string")
+    other = F.when(C("p_partkey") % 2 == 0, "/abs/b.png").otherwise("note.txt")
+    manifest = F.concat(F.lit('{"pre_image": {"file": "t/'), key, F.lit('.TIF"}, "a.png": "'), other, F.lit('", "post_image": {"pixel_size_m": '), C("p_size").cast("string"), F.lit("}}"))
+    out = A.resolved_paths(manifest, "/data")
+    return T.table(spark, d, "part").select("p_partkey", out.alias("manifest"), A.pixel_size(manifest).alias("pixel_m"), A.path_stem(F.get_json_object(out, "$.pre_image.file")).alias("stem"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'p' || c_custkey WHEN 1 THEN 't' || c_custkey WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN lower(c_mktsegment) || '_building' ELSE 'glass_' || c_custkey END AS k, c_custkey % 5 = 3 AS is_ratio FROM customer")
+def same_keys(spark, d):
+    n, own, segment = C("c_custkey") % 5, C("c_custkey").cast("string"), C("c_mktsegment")
+    key = F.when(n == 0, F.concat(F.lit("Phase "), own)).when(n == 1, F.concat(F.lit("phase_T"), own)).when(n == 2, F.concat(F.lit("Rank_"), own)).when(n == 3, F.concat(segment, F.lit(" -Buildings"))).otherwise(F.concat(F.lit(" glass-"), own))
+    name = F.when(n == 3, F.concat(segment, F.lit("_Share"))).otherwise(segment)
+    return T.table(spark, d, "customer").select("c_custkey", A.same_key(key).alias("k"), A.is_ratio_name(name).alias("is_ratio"))
+
+
+#: Fields of every order: counts, shares, exact names, maps, sets, rankings, pixels, places, and ignored ones.
+EVAL_KINDS = ["scalar_count", "scalar_continuous", "exact_match", "scalar_dict", "set_f1", "ranking_kendall", "point_pixel", "point_pixel", "point_haversine", "point_haversine", "ignore"]
+EVAL_FIELDS = ["n", "burnt_share", "phase", "areas", "names", "order", "at_row", "at_col", "seen_lat", "seen_lon", "note"]
+EVAL_SQL = """SELECT o_orderkey AS task, unnest([
+  {'field': 'n', 'score': CASE WHEN k % 25 <= 1 + 0.2 * k THEN 1.0 ELSE 0.0 END},
+  {'field': 'burnt_share', 'score': CASE WHEN k % 3 = 0 THEN 0.0 ELSE 1.0 END},
+  {'field': 'phase', 'score': CASE WHEN k % 2 = 0 THEN 1.0 ELSE 0.0 END},
+  {'field': 'areas', 'score': CASE WHEN k % 4 = 0 THEN 2.0 / 3 ELSE 1.0 / 3 END},
+  {'field': 'names', 'score': CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0.8 END},
+  {'field': 'order', 'score': CASE WHEN k % 2 = 0 THEN 2.0 / 3 ELSE 0.0 END},
+  {'field': 'at__point_px', 'score': CASE WHEN k % 30 <= 20 THEN 1.0 ELSE 0.0 END},
+  {'field': 'seen__point_geo', 'score': CASE WHEN k % 7 < 4 THEN 1.0 ELSE 0.0 END}], recursive := true) FROM (SELECT o_orderkey, CAST(o_orderkey % 97 + 1 AS BIGINT) AS k FROM orders)"""
+
+
+def evaluated(spark, d):
+    k = C("o_orderkey") % 97 + 1
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    own = text(k)
+    gold = [own, F.lit("0.4"), text("Phase ", k), text('{"Phase 1": 200, "way_id": ', k, ', "Roads": 0.25}'), F.when(k % 5 == 0, '["Road"]').otherwise('["Road", "school", "Park"]'), F.lit('["a", "b", "c"]'), F.lit("10"), own, F.lit("12.5"), F.lit("45"), own]
+    pred = [
+        text(k + k % 25), F.when(k % 3 == 0, "0.9").when(k % 3 == 1, "42%").otherwise("0.38"), F.when(k % 2 == 0, text("p", k)).otherwise(own),
+        F.when(k % 4 == 0, text('{"p1": 210, "way_id": ', k, "}")).otherwise(text('{"p1": 400, "way_id": ', k + 1, ', "road": "26"}')),
+        F.when(k % 5 == 0, '["road"]').otherwise('["ROAD", "park"]'), F.when(k % 2 == 0, '["a", "c", "b"]').otherwise('["c", "b", "a", "d"]'),
+        text(k % 30 + 10), own, text(F.lit(12.5) + (k % 7) / 100000.0), F.lit("45"), F.lit("other"),
+    ]
+    made = [F.struct(F.lit(f).alias("field"), F.lit(t).alias("kind"), g.cast("string").alias("gold"), p.cast("string").alias("pred")) for f, t, g, p in zip(EVAL_FIELDS, EVAL_KINDS, gold, pred)]
+    fields = T.table(spark, d, "orders").select(C("o_orderkey").alias("task"), F.lit(0.2).alias("pixel_m"), F.explode(F.array(*made)).alias("f")).select("task", "pixel_m", "f.*")
+    return evaluation.field_scores(fields)
+
+
+@query(f"SELECT task, field, round(score, 6) AS score FROM ({EVAL_SQL})")
+def field_scores(spark, d):
+    return evaluated(spark, d).withColumn("score", six("score"))
+
+
+@query(f"WITH t AS (SELECT task, round(avg(score), 9) AS score FROM ({EVAL_SQL}) GROUP BY task), x AS (SELECT 'D' || task % 5 AS dimension, CASE WHEN task % 11 = 0 THEN NULL ELSE score END AS score, CAST(task % 2 AS DOUBLE) AS eff FROM t), g AS (SELECT dimension, count(*) AS n_tasks, count(score) AS n_scored, avg(score) AS score, avg(eff) AS eff FROM x GROUP BY dimension) SELECT dimension, n_tasks, n_scored, round(score, 6) AS score, round(eff, 6) AS eff FROM g UNION ALL SELECT 'overall', sum(n_tasks), sum(n_scored), round(avg(score), 6), round(avg(eff), 6) FROM g")
+def results_table(spark, d):
+    """Tasks of five dimensions, of which every eleventh holds ignored fields alone."""
+    task = C("task")
+    tasks = evaluated(spark, d).groupBy("task").agg(F.avg("score").alias("score"))
+    tasks = tasks.select(F.concat(F.lit("D"), (task % 5).cast("string")).alias("dimension"), F.when(task % 11 != 0, C("score")).alias("score"), (task % 2).cast("double").alias("eff"))
+    return evaluation.results_table(tasks, "dimension", "score", ["eff"])
+
+
+@query("SELECT c_custkey AS sample, CASE WHEN c_custkey % 3 = 0 THEN 'by id ' || c_custkey WHEN c_custkey % 7 = 0 THEN NULL ELSE 'by id ' || CASE WHEN c_custkey % 3 = 1 THEN c_custkey + 2 ELSE c_custkey - 2 END END AS pred FROM customer")
+def matched_predictions(spark, d):
+    """Predictions by sample id; samples without one take what stands at their place, if anything does."""
+    own, n = C("c_custkey"), C("c_custkey") % 3
+    c = T.table(spark, d, "customer").select("c_custkey")
+    gold = c.select(F.concat(F.when(n == 0, "s").otherwise("g"), own.cast("string")).alias("sample_id"), own.alias("pos"), own.alias("gold"))
+    place = F.when(n == 0, own).when(n == 1, own + 2).otherwise(own - 2)
+    pred = c.where((n == 0) | (own % 7 != 0)).select(F.concat(F.lit("s"), F.when(n == 0, own).otherwise(-own).cast("string")).alias("sample_id"), own.alias("pos"), F.concat(F.lit("by id "), place.cast("string")).alias("pred"))
+    return evaluation.matched(gold, pred).select(C("gold").alias("sample"), "pred")

@@ -226,3 +226,41 @@ def test_haversine_forms_agree(spark):
     a = one(spark, S.haversine_m(F.lit(10.0), F.lit(20.0), F.lit(-33.0), F.lit(151.0)))
     b = one(spark, scoring.haversine_score_m(F.lit(10.0), F.lit(20.0), F.lit(-33.0), F.lit(151.0)))
     assert a == pytest.approx(b) and math.isfinite(a)
+
+
+def test_answers_as_text(spark):
+    from cindermap.functions import answers as A
+
+    texts = ['{} {"a": 1}', '} {"a": 5}', '{"a": 6', "[1]", "", None, 'x {no} {"a": {"c": 4}} y']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(A.parsed_answer(F.col("t"))).collect()]
+    assert got == ["{}", None, None, None, None, None, '{"a": {"c": 4}}']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(A.coerced(F.col("t"))).collect()]
+    assert got[2:6] == ['"{\\"a\\": 6"', "[1]", '""', None]
+    paths = spark.createDataFrame([("a/b.tif",), ("/x",), ("abc.d",), ("./q/r.tar.gz",), (None,)], "p string")
+    assert [tuple(r) for r in paths.select(A.looks_like_path(F.col("p")), A.path_stem(F.col("p"))).collect()] == [(True, "b"), (False, "x"), (False, "abc"), (True, "r.tar"), (False, None)]
+    sizes = spark.createDataFrame([('{"temporal_images": {"t1": {}, "t2": {"pixel_size_m": 3}}}',), ("{}",), (None,)], "m string")
+    assert [r[0] for r in sizes.select(A.pixel_size(F.col("m"))).collect()] == [3.0, None, None]
+
+
+def test_field_scores_of_odd_answers(spark):
+    from cindermap.operators import evaluation
+
+    rows = [
+        (1, "both_missing", "scalar_count", None, None), (1, "text", "scalar_count", "abc", "5"), (1, "empty_map", "scalar_dict", "{}", "{}"), (1, "no_map", "scalar_dict", "5", "{}"),
+        (1, "other", "unknown", "True", "yes"), (1, "a_row", "point_pixel", "5", None), (1, "a_col", "point_pixel", "5", "19"), (1, "half_row", "point_pixel", "5", "5"),
+        (1, "no_list", "ranking_kendall", "1", "[]"), (1, "twice", "ranking_kendall", '["a", "b", "a"]', '["b", "a"]'), (1, "skip", "ignore", "1", "2"),
+    ]
+    frame = spark.createDataFrame([(*r, None) for r in rows], "task long, field string, kind string, gold string, pred string, pixel_m double")
+    got = {r["field"]: r["score"] for r in evaluation.field_scores(frame).collect()}
+    # Of "a", "b", "a" the last places count: the two pairs of "b" and "a" agree, "a" with itself does not.
+    assert got == {"both_missing": 1.0, "text": 0.0, "empty_map": 1.0, "no_map": 0.0, "other": 1.0, "a__point_px": 1.0, "no_list": 0.0, "twice": pytest.approx(2 / 3)}
+
+
+def test_loop_keeps_what_it_cannot_resolve(spark):
+    items = spark.createDataFrame([(1, 2.0, None), (2, None, 4.0)], "index int, a double, steps double")
+    out = trajectory.loop(items, [{"call": "calc.add", "args": {"a": "<item.a>", "b": 1.0}}, {"call": "calc.mul", "args": {"a": "<value> from step[0].obs", "b": 2}}], grid_n=2)
+    assert [(r["row_idx"], r["col_idx"], r["last_obs"]["value"]) for r in out.orderBy("index").collect()] == [(0, 1, 6.0), (1, 0, None)]
+    assert trajectory.loop(items.limit(0), [{"call": "calc.add", "args": {"a": "<item.a>", "b": 1}}]).count() == 0
+    assert trajectory.loop(items, []).columns == ["index", "a", "last_obs"]
+    with pytest.raises(ValueError, match="unknown call"):
+        trajectory.loop(items, [{"call": "seg.flood", "args": {}}])
