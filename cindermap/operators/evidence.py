@@ -36,3 +36,30 @@ def prominent(rows: DataFrame, by: str, key: str, value: str, hints: list[str],
         order = F.when(F.lower(F.col(key)).contains(hint), i).otherwise(order)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order, key))
     return rows.withColumn("place", rank).where(F.col("place") <= most).select(by, "place", key, value)
+
+
+def class_statistics(mask: DataFrame, pixel_m: float, labels: dict[int, str], targets: list[int] | None = None) -> DataFrame:
+    """Pixels, area and label of each class of each mask; of ``targets`` if given (0 too, if it is one), else of the non-zero ones."""
+    kept = mask.where(F.col("value").isin(targets) if targets is not None else F.col("value") != 0)
+    counted = kept.groupBy("raster_id", F.col("value").alias("class")).agg(F.count(F.lit(1)).alias("pixel_count"))
+    label = F.col("class").cast("string")
+    for value, name in labels.items():
+        label = F.when(F.col("class") == value, name).otherwise(label)
+    return counted.select("raster_id", "class", label.alias("label"), "pixel_count", (F.col("pixel_count") * pixel_m * pixel_m).alias("area_m2"))
+
+
+def by_tool(items: DataFrame) -> DataFrame:
+    """Evidence items (tool, place, nonzero, area_m2, quadrant) rolled up by tool; ``regions`` lists the quadrants in the order of ``place``."""
+    regions = F.transform(F.array_sort(F.collect_list(F.when(F.col("quadrant").isNotNull(), F.struct("place", "quadrant")))), lambda q: q["quadrant"])
+    return items.groupBy("tool").agg(F.count(F.lit(1)).alias("mask_count"), F.sum("nonzero").alias("nonzero"), F.sum("area_m2").alias("area_m2"), regions.alias("regions"))
+
+
+def line_heights(series: DataFrame, by: str, t: str, value: str) -> DataFrame:
+    """Points of line charts: the ordinal of ``t`` within each ``by``, and value over the largest (over 1 if that is not positive)."""
+    placed = series.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy(t)) - 1)
+    return shares(placed, by, "ordinal", value).select(by, "ordinal", "height")
+
+
+def classes_present(mask: DataFrame) -> DataFrame:
+    """The sorted non-zero classes of each mask; an empty list for masks of zeros."""
+    return mask.groupBy("raster_id").agg(F.array_sort(F.collect_set(F.when(F.col("value") != 0, F.col("value")))).alias("classes"))

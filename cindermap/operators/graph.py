@@ -108,3 +108,55 @@ def shortest_path(edges: DataFrame, source: int) -> DataFrame:
 def repair_min_edges(edges: DataFrame, source: int) -> DataFrame:
     """Fewest damaged edges to repair, then least length, to each node."""
     return shortest(edges, source, F.struct(F.col("damaged").cast("long").alias("repairs"), F.col("length").cast("long").alias("length")))
+
+
+def routes(edges: DataFrame, source: int, target: int, repair: bool = False) -> DataFrame:
+    """Edges of the best route in each graph: graph, seq (from 1 at the source), u, v, length, damaged; v is the later node.
+
+    The route is shortest over intact edges, or with ``repair`` the one with fewest damaged edges and then the least length; its
+    damaged rows are the edges to repair. Of equal routes the one with fewest edges counts, then each step back takes the smallest node. Graphs without a route have no
+    rows, and neither has a route from a node to itself. A round writes the routes' next edges, so rounds grow with the longest route.
+    """
+    if not repair:
+        edges = edges.where("NOT damaged")
+    # Below the whole lengths a cost counts edges, so that every edge costs something and no route can circle.
+    spend = F.col("length").cast("long") * (1 << 20) + 1
+    cost = F.struct((F.col("damaged").cast("long") if repair else F.lit(0).cast("long")).alias("repairs"), spend.alias("length"))
+    best = shortest(edges, source, cost).select("graph", "node", F.struct("repairs", "length").alias("d"))
+    ways = edges.select("graph", F.col("u").alias("p"), F.col("v").alias("node"), "length", "damaged")
+    ways = ways.unionByName(edges.select("graph", F.col("v").alias("p"), F.col("u").alias("node"), "length", "damaged"))
+    before = best.select("graph", F.col("node").alias("p"), F.col("d").alias("pd"))
+    # Edges that lie on some best route; each node keeps the one from its smallest predecessor.
+    spent = F.struct((F.col("pd.repairs") + F.when(F.lit(repair) & F.col("damaged"), 1).otherwise(0)).alias("repairs"), (F.col("pd.length") + spend).alias("length"))
+    tight = ways.join(before, ["graph", "p"]).join(best, ["graph", "node"]).where(spent == F.col("d")).where(F.col("node") != source)
+    tree = staged(tight.groupBy("graph", "node").agg(F.min(F.struct("p", "length", "damaged")).alias("e")).select("graph", "node", "e.*"), "routes")
+    front = staged(best.where(F.col("node") == target).select("graph", F.col("node").alias("at"), F.lit(0).alias("back")), "routes")
+    found = []
+    while True:
+        hop = front.join(tree, (front["graph"] == tree["graph"]) & (F.col("at") == F.col("node")))
+        hop = staged(hop.select(front["graph"], "back", F.col("p").alias("u"), F.col("at").alias("v"), "length", "damaged"), "routes")
+        if hop.isEmpty():
+            break
+        found.append(hop)
+        front = hop.select("graph", F.col("u").alias("at"), (F.col("back") + 1).alias("back"))
+    rows = hop
+    for f in found:
+        rows = rows.unionByName(f)
+    hops = rows.groupBy("graph").agg(F.max("back").alias("most"))
+    return rows.join(hops, "graph").select("graph", (F.col("most") - F.col("back") + 1).alias("seq"), "u", "v", "length", "damaged")
+
+
+def farthest_pair(edges: DataFrame, purpose: str = "pairs") -> DataFrame:
+    """For each graph, the pair to route where none is named: the smallest node of the largest component (the one with the smallest
+    node on ties) and the node most edges away from it (the smallest on ties): graph, source, target, hops. Nodes are whole numbers from 0 to 2^32 - 1, graphs below 2^31."""
+    nodes = edges.select("graph", F.explode(F.array("u", "v")).alias("node")).distinct()
+    code = lambda c: F.col("graph") * (1 << 32) + F.col(c)
+    roots = components(edges.select(code("u").alias("a"), code("v").alias("b")), purpose).withColumnRenamed("node", "code")
+    sized = nodes.withColumn("code", code("node")).join(roots, "code")
+    sizes = sized.groupBy("graph", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("source"))
+    chosen = sizes.groupBy("graph").agg(F.max_by("source", F.struct("n", -F.col("source"))).alias("source"))
+    # One search for all graphs: each starts from the node that is renumbered to -1.
+    start = lambda c: F.when(F.col(c) == F.col("source"), -1).otherwise(F.col(c)).cast("long").alias(c)
+    own = edges.join(chosen, "graph").select("graph", start("u"), start("v"), F.lit(1).alias("length"), F.lit(False).alias("damaged"))
+    hops = shortest_path(own, -1).groupBy("graph").agg(F.max_by("node", F.struct("length", -F.col("node"))).alias("target"), F.max("length").alias("hops"))
+    return chosen.join(hops, "graph").select("graph", "source", "target", "hops")

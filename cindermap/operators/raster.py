@@ -175,3 +175,40 @@ def stretch_uint8(cells: DataFrame) -> DataFrame:
     ends = cells.groupBy("raster_id", "band").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     rows = cells.join(ends, ["raster_id", "band"])
     return rows.select("raster_id", "band", "r", "c", F.when(F.col("hi") > F.col("lo"), ((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0.0).cast("int").alias("value"))
+
+
+def neighbours8(mask: DataFrame) -> DataFrame:
+    """Of each non-zero cell, how many of the eight around it are non-zero: raster_id, r, c, neighbours. One shuffle, no join."""
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    votes = mask.where("value <> 0").select("raster_id", "r", "c", near).select("raster_id", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"))
+    return votes.groupBy("raster_id", "r", "c").agg(F.bool_or("own").alias("own"), (F.count(F.lit(1)) - 1).alias("neighbours")).where("own").drop("own")
+
+
+#: Colours of labels 0 to 3, and the weights by which colours are compared.
+LABEL_COLOURS = ((0, 0, 0), (255, 255, 255), (248, 179, 101), (255, 0, 0))
+COLOUR_WEIGHTS = (3, 4, 5)
+
+
+def colour_label(red: Column, green: Column, blue: Column) -> Column:
+    """Label of a colour; unknown colours, and missing channels, are 0. Colours of one weighted sum are one colour."""
+    weigh = lambda c: sum(x * w for x, w in zip(c, COLOUR_WEIGHTS))
+    own = weigh((red.cast("int"), green.cast("int"), blue.cast("int")))
+    out = F.lit(0)
+    for n, colour in enumerate(LABEL_COLOURS):
+        out = F.when(own == weigh(colour), n).otherwise(out)
+    return out
+
+
+def region_ids(regions: DataFrame) -> DataFrame:
+    """Regions of ``raster_components`` numbered from 1 within each raster, in reading order of their first cells."""
+    first = regions.groupBy("raster_id", "region").agg(F.count(F.lit(1)).alias("pixels"))
+    numbered = first.withColumn("id", F.row_number().over(Window.partitionBy("raster_id").orderBy("region")))
+    return regions.join(numbered, ["raster_id", "region"]).select("raster_id", "r", "c", "value", "id", "pixels")
+
+
+def mask_union(masks: list[DataFrame]) -> DataFrame:
+    """255 where any of the masks is non-zero, else 0, for each cell that any of them has."""
+    every = masks[0].select("raster_id", "r", "c", "value")
+    for m in masks[1:]:
+        every = every.unionByName(m.select("raster_id", "r", "c", "value"))
+    return every.groupBy("raster_id", "r", "c").agg(F.when(F.bool_or(F.col("value") != 0), 255).otherwise(0).alias("value"))

@@ -170,6 +170,46 @@ def zonal(layer: DataFrame, cells: DataFrame, nodata: float | None) -> DataFrame
     return hits.groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("pixel_count"), F.avg("p_value").alias("mean"), F.min("p_value").alias("min"), F.max("p_value").alias("max"), F.stddev_pop("p_value").alias("std"))
 
 
+def touches_cell(ring: Column, r: Column, c: Column) -> Column:
+    """Whether an edge of the ring meets the pixel (r, c), a unit square with its border."""
+
+    def meets(a: Column, b: Column) -> Column:
+        t0, t1, beside = F.lit(0.0), F.lit(1.0), F.lit(True)
+        for k, lo in (("x", c), ("y", r)):
+            d = (b[k] - a[k]).cast("double")
+            enter, leave = F.try_divide(lo - a[k], d), F.try_divide(lo + 1 - a[k], d)
+            beside = beside & ((d != 0) | ((a[k] >= lo) & (a[k] <= lo + 1)))
+            t0, t1 = F.greatest(t0, F.least(enter, leave)), F.least(t1, F.greatest(enter, leave))
+        return F.when(beside & (t0 <= t1), 1.0).otherwise(0.0)
+
+    return _edges(ring, meets) > 0
+
+
+def raster_stats(layer: DataFrame, cells: DataFrame, nodata: float | None, min_pixels: int = 1, all_touched: bool = False, size: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Statistics of the valid cells under each feature (raster_id, id, ring) of its raster, and of all features' cells together.
+
+    A ring of one vertex is a point and takes the cell around it; other rings take the cells whose centre they hold, or with
+    ``all_touched`` those they meet. Features of fewer than ``min_pixels`` valid cells are left out of both results. A cell
+    under several features counts once in the second result, which has one row a raster. Null and empty rings take no cell.
+    """
+    ok = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    ok = ok if nodata is None else ok & (F.col("value") != nodata)
+    px = cells.where(ok).select("raster_id", "r", "c", "value", F.floor(F.col("c") / size).alias("bx"), F.floor(F.col("r") / size).alias("by"))
+    shapes = with_bounds(layer.where(F.size("ring") > 0).select("raster_id", "id", "ring"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.floor(lo) / size), F.floor(F.floor(hi) / size)))
+    binned_shapes = shapes.select("*", span("x0", "x1").alias("bx")).select("*", span("y0", "y1").alias("by"))
+    near = px.join(binned_shapes, ["raster_id", "bx", "by"]).where("c <= x1 AND c + 1 >= x0 AND r <= y1 AND r + 1 >= y0")
+    point = (F.col("c") == F.floor("x0")) & (F.col("r") == F.floor("y0"))
+    inside = ring_contains(F.col("ring"), F.col("c") + 0.5, F.col("r") + 0.5)
+    taken = inside | touches_cell(F.col("ring"), F.col("r"), F.col("c")) if all_touched else inside
+    hits = near.where(F.when(F.size("ring") == 1, point).otherwise(taken)).select("raster_id", "id", "r", "c", "value")
+    measures = [F.count(F.lit(1)).alias("pixel_count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("std")]
+    features = hits.groupBy("raster_id", "id").agg(*measures).where(F.col("pixel_count") >= min_pixels)
+    kept = hits if min_pixels <= 1 else hits.join(features.select("raster_id", "id"), ["raster_id", "id"], "left_semi")
+    together = kept.groupBy("raster_id", "r", "c").agg(F.first("value").alias("value")).groupBy("raster_id").agg(*measures)
+    return features, together
+
+
 def dissolve(layer: DataFrame, by: str, pixel_m: float) -> DataFrame:
     """Members, summed area and bounds of each group."""
     return layer.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.sum(rect_area(pixel_m)).alias("area_m2"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

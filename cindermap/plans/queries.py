@@ -883,3 +883,102 @@ def matched_predictions(spark, d):
     place = F.when(n == 0, own).when(n == 1, own + 2).otherwise(own - 2)
     pred = c.where((n == 0) | (own % 7 != 0)).select(F.concat(F.lit("s"), F.when(n == 0, own).otherwise(-own).cast("string")).alias("sample_id"), own.alias("pos"), F.concat(F.lit("by id "), place.cast("string")).alias("pred"))
     return evaluation.matched(gold, pred).select(C("gold").alias("sample"), "pred")
+
+
+# --- more of rasters, layers, graphs and evidence --------------------------------------------------------------------
+
+
+@query("SELECT a.raster_id, a.r, a.c, count(b.raster_id) AS neighbours FROM mask a LEFT JOIN mask b ON a.raster_id = b.raster_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) AND b.value <> 0 WHERE a.value <> 0 GROUP BY ALL", "mask")
+def neighbours8(spark, d):
+    return raster.neighbours8(T.mask(spark, d))
+
+
+@query("SELECT raster_id, r, c, CASE WHEN CAST(trunc(value) AS INT) % 5 = 4 THEN 0 ELSE CAST(trunc(value) AS INT) % 5 END AS label FROM cells WHERE band = 1", "cells")
+def colour_labels(spark, d):
+    """Labels of colours made from values: four of the palette and one that is not."""
+    n = C("value").cast("int") % 5
+    channel = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in (*raster.LABEL_COLOURS, (10, 20, 30))]), n + 1)
+    return T.cells(spark, d).where("band = 1").select("raster_id", "r", "c", raster.colour_label(channel(0), channel(1), channel(2)).alias("label"))
+
+
+@query("WITH n AS (SELECT raster_id, r, c FROM mask WHERE value <> 0 UNION SELECT raster_id, r, c FROM cells WHERE band = 2 AND value > 30), every AS (SELECT raster_id, r, c FROM mask UNION SELECT raster_id, r, c FROM cells WHERE band = 2) SELECT e.raster_id, e.r, e.c, CASE WHEN n.r IS NULL THEN 0 ELSE 255 END AS value FROM every e LEFT JOIN n ON e.raster_id = n.raster_id AND e.r = n.r AND e.c = n.c", "cells", "mask")
+def mask_union(spark, d):
+    second = raster.threshold(T.cells(spark, d).where("band = 2"), 30.0, ">")
+    return raster.mask_union([T.mask(spark, d), second])
+
+
+@query("WITH RECURSIVE m AS (SELECT raster_id, r, c, r * 16 + c AS cell FROM mask WHERE value > 0), walk(raster_id, a, b) AS (SELECT raster_id, cell, cell FROM m UNION SELECT w.raster_id, w.a, y.cell FROM walk w JOIN m x ON w.raster_id = x.raster_id AND w.b = x.cell JOIN m y ON y.raster_id = x.raster_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1), roots AS (SELECT raster_id, a AS cell, min(b) AS root FROM walk GROUP BY ALL), ids AS (SELECT raster_id, root, count(*) AS pixels, row_number() OVER (PARTITION BY raster_id ORDER BY root) AS id FROM roots GROUP BY raster_id, root) SELECT raster_id, r, c, id, pixels FROM m JOIN roots USING (raster_id, cell) JOIN ids USING (raster_id, root)", "mask")
+def vectorize_ids(spark, d):
+    return raster.region_ids(graph.raster_components(T.mask(spark, d), same_class=False)).select("raster_id", "r", "c", "id", "pixels")
+
+
+SHAPES = "SELECT *, slot * 7 % 13 + 0.37 AS x, slot * 5 % 11 + 0.21 AS y, 3 + slot % 4 AS w, 4 + slot % 3 AS h FROM (SELECT DISTINCT l_suppkey AS raster_id, l_partkey % 50 AS slot FROM lineitem)"
+UNDER = f"SELECT s.raster_id, s.slot AS id, k.r, k.c, CAST(k.value AS DOUBLE) AS value FROM ({SHAPES}) s JOIN cells k ON k.raster_id = s.raster_id AND k.band = 1 AND k.value <> 1 WHERE CASE slot % 3 WHEN 0 THEN k.c = floor(x) AND k.r = floor(y) WHEN 1 THEN k.c + 0.5 BETWEEN x AND x + w AND k.r + 0.5 BETWEEN y AND y + h ELSE k.c + 0.5 > x AND k.r + 0.5 > y AND (k.c + 0.5 - x) / w + (k.r + 0.5 - y) / h < 1 END"
+MEASURES = "count(*) AS pixel_count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std"
+
+
+def shapes(spark, d):
+    """Points, rectangles and triangles over every raster."""
+    slot = C("l_partkey") % 50
+    x, y, w, h = slot * 7 % 13 + 0.37, slot * 5 % 11 + 0.21, 3 + slot % 4, 4 + slot % 3
+    at = lambda px, py: F.struct(px.cast("double").alias("x"), py.cast("double").alias("y"))
+    corners = [at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)]
+    ring = F.when(slot % 3 == 0, F.array(corners[0])).when(slot % 3 == 1, F.array(*corners)).otherwise(F.array(corners[0], corners[1], corners[3]))
+    return T.table(spark, d, "lineitem").select(C("l_suppkey").alias("raster_id"), slot.alias("id"), ring.alias("ring")).dropDuplicates(["raster_id", "id"])
+
+
+@query(f"SELECT raster_id, id, {MEASURES} FROM ({UNDER}) GROUP BY ALL HAVING count(*) >= 2", "cells")
+def raster_stats(spark, d):
+    got, _ = vector.raster_stats(shapes(spark, d), T.cells(spark, d).where("band = 1"), T.NODATA, 2)
+    return got.withColumns({"mean": six("mean"), "std": six("std"), "min": C("min").cast("double"), "max": C("max").cast("double")})
+
+
+@query(f"WITH u AS ({UNDER}), k AS (SELECT raster_id, id FROM u GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT DISTINCT raster_id, r, c, value FROM u JOIN k USING (raster_id, id)) SELECT raster_id, {MEASURES} FROM t GROUP BY ALL", "cells")
+def raster_stats_union(spark, d):
+    _, got = vector.raster_stats(shapes(spark, d), T.cells(spark, d).where("band = 1"), T.NODATA, 2)
+    return got.withColumns({"mean": six("mean"), "std": six("std"), "min": C("min").cast("double"), "max": C("max").cast("double")})
+
+
+@query("SELECT raster_id, value AS class, CASE value WHEN 1 THEN 'intact' WHEN 3 THEN 'damaged' ELSE CAST(value AS VARCHAR) END AS label, count(*) AS pixel_count, round(count(*) * 0.25, 6) AS area_m2 FROM mask WHERE value <> 0 GROUP BY ALL", "mask")
+def class_statistics(spark, d):
+    return evidence.class_statistics(T.mask(spark, d), 0.5, {1: "intact", 3: "damaged"}).withColumn("area_m2", six("area_m2"))
+
+
+@query("WITH e AS (SELECT raster_id, count(*) AS nonzero, CASE WHEN avg(r) < 8 THEN 'north' ELSE 'south' END || CASE WHEN avg(c) < 8 THEN 'west' ELSE 'east' END AS quadrant FROM mask WHERE value > 0 GROUP BY raster_id) SELECT 'tool' || raster_id % 4 AS tool, count(*) AS mask_count, sum(nonzero) AS nonzero, round(sum(nonzero) * 0.25, 6) AS area_m2, string_agg(quadrant, ',' ORDER BY raster_id) AS regions FROM e GROUP BY ALL", "mask")
+def evidence_by_tool(spark, d):
+    items = evidence.rollup(T.mask(spark, d), 0.5, T.SIDE).select(F.concat(F.lit("tool"), C("raster_id") % 4).alias("tool"), C("raster_id").alias("place"), "nonzero", "area_m2", "quadrant")
+    return evidence.by_tool(items).withColumns({"area_m2": six("area_m2"), "regions": F.array_join("regions", ",")})
+
+
+@query(f"SELECT series, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS ordinal, round(CAST(value AS DOUBLE) / max(value) OVER (PARTITION BY series), 6) AS height FROM ({SERIES})")
+def line_chart(spark, d):
+    series = T.table(spark, d, "events").groupBy(F.floor(C("user_id") / 3).alias("series"), (C("user_id") % 3).alias("t")).agg(F.count(F.lit(1)).alias("value"))
+    return evidence.line_heights(series, "series", "t", "value").withColumn("height", six("height"))
+
+
+@query("SELECT raster_id, coalesce(string_agg(value, ',' ORDER BY value), '') AS classes FROM (SELECT raster_id, CAST(value AS VARCHAR) AS value FROM mask WHERE value <> 0 GROUP BY ALL) GROUP BY raster_id", "mask")
+def classes_present(spark, d):
+    return evidence.classes_present(T.mask(spark, d)).where(F.size("classes") > 0).withColumn("classes", F.array_join("classes", ","))
+
+
+#: Routes by carrying the best path of every node; costs are lengths, above them repairs, and below them edges.
+ROUTES = """WITH RECURSIVE both_ways AS (SELECT graph, u, v, w FROM (SELECT graph, u, v, {w} AS w FROM edges {where}) UNION ALL SELECT graph, v, u, w FROM (SELECT graph, u, v, {w} AS w FROM edges {where})),
+walk(graph, node, d, path, n) AS (SELECT DISTINCT graph, CAST(3 AS BIGINT), CAST(0 AS HUGEINT), [CAST(3 AS BIGINT)], 0 FROM both_ways UNION ALL SELECT graph, node, min(d), arg_min(path, d), min(n) FROM (
+  SELECT b.graph, b.v AS node, walk.d + b.w AS d, list_append(walk.path, b.v) AS path, walk.n + 1 AS n FROM walk JOIN both_ways b ON walk.graph = b.graph AND walk.node = b.u WHERE walk.n < 14) GROUP BY graph, node),
+best AS (SELECT graph, arg_min(path, d) AS path FROM walk WHERE node = 17 GROUP BY graph), hops AS (SELECT graph, path[i] AS u, path[i + 1] AS v, CAST(i AS INT) AS seq FROM (SELECT graph, path, unnest(range(1, len(path))) AS i FROM best))
+SELECT h.graph, h.seq, h.u, h.v, e.length, e.damaged FROM hops h JOIN edges e ON e.graph = h.graph AND e.u = least(h.u, h.v) AND e.v = greatest(h.u, h.v)"""
+
+
+@query(ROUTES.format(w="CAST(length AS HUGEINT) * 1048576 + 1", where="WHERE NOT damaged"), "edges")
+def route(spark, d):
+    return graph.routes(T.edges(spark, d), 3, 17)
+
+
+@query(ROUTES.format(w="CAST(damaged AS HUGEINT) * 1000000000000000000 + CAST(length AS HUGEINT) * 1048576 + 1", where=""), "edges")
+def repair_route(spark, d):
+    return graph.routes(T.edges(spark, d), 3, 17, repair=True)
+
+
+@query("WITH RECURSIVE b AS (SELECT graph, u, v FROM edges UNION SELECT graph, v, u FROM edges), walk(graph, s, node, n) AS (SELECT DISTINCT graph, u, u, 0 FROM b UNION SELECT w.graph, w.s, b.v, w.n + 1 FROM walk w JOIN b ON w.graph = b.graph AND w.node = b.u WHERE w.n < 8), h AS (SELECT graph, s, node, min(n) AS n FROM walk GROUP BY ALL), c AS (SELECT graph, s, count(*) AS size FROM h GROUP BY ALL), src AS (SELECT graph, arg_max(s, size * 1000 - s) AS source FROM c GROUP BY graph), far AS (SELECT h.graph, source, node, n FROM h JOIN src ON h.graph = src.graph AND h.s = src.source) SELECT graph, source, arg_max(node, n * 1000 - node) AS target, max(n) AS hops FROM far GROUP BY ALL", "edges")
+def farthest_pair(spark, d):
+    return graph.farthest_pair(T.edges(spark, d).select("graph", "u", "v"))

@@ -22,6 +22,16 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     return _features(spark.read.schema(FEATURE).json(path))
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Features for a loop, of JSON files that hold an object with ``features`` or a bare list: pos and feature (JSON text).
+
+    Files without features, and an empty list, give one row of nulls each.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    listed = F.from_json(F.coalesce(F.get_json_object("value", "$.features"), F.col("value")), "array<string>")
+    return whole.select(F.posexplode_outer(listed).alias("pos", "feature"))
+
+
 def _features(rows: DataFrame) -> DataFrame:
     return rows.select(F.get_json_object("geometry", "$.type").alias("type"), F.get_json_object("geometry", "$.coordinates").alias("coordinates"), F.col("properties").alias("props"))
 
@@ -45,6 +55,21 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return edges.select(F.col("e.source").alias("u"), F.col("e.target").alias("v"), F.coalesce("e.length_m", "e.length", "e.weight", F.lit(1.0)).alias("length"), F.coalesce("e.damaged", F.lit(False)).alias("damaged"))
 
 
+def read_graphml(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of GraphML files: u, v, length and damaged as in ``read_graph``; attributes by the names that the file's keys declare.
+
+    Spark's XML reader splits the files by edge; the keys are one short table.
+    """
+    data = "data array<struct<_key:string,_VALUE:string>>"
+    names = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string").load(path).select(F.col("_id").alias("id"), F.col("`_attr.name`").alias("name"))
+    names = names.agg(F.map_from_entries(F.collect_set(F.struct("id", "name"))).alias("names"))
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path).withColumn("names", names.scalar())
+    facts = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda e: F.struct(F.coalesce(F.try_element_at(F.col("names"), e["_key"]), e["_key"]), e["_VALUE"])))
+    edges = edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), facts.alias("facts"))
+    number = lambda k: F.try_element_at("facts", F.lit(k)).try_cast("double")
+    return edges.select("u", "v", F.coalesce(number("length_m"), number("length"), number("weight"), F.lit(1.0)).alias("length"), F.lower(F.trim(F.coalesce(F.try_element_at("facts", F.lit("damaged")), F.lit("")))).isin("true", "1", "yes").alias("damaged"))
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """One row a task, with question_id ``<sample>_task<position>``."""
     rows = spark.read.schema(TASKS).json(path, multiLine=True).select("sample_id", F.posexplode("tasks").alias("pos", "task"))

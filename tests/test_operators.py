@@ -264,3 +264,67 @@ def test_loop_keeps_what_it_cannot_resolve(spark):
     assert trajectory.loop(items, []).columns == ["index", "a", "last_obs"]
     with pytest.raises(ValueError, match="unknown call"):
         trajectory.loop(items, [{"call": "seg.flood", "args": {}}])
+
+
+def test_routes_by_brute_force(spark):
+    import heapq
+    import random
+
+    random.seed(5)
+    rows = {}
+    for g in range(6):
+        for _ in range(14):
+            u, v = sorted(random.sample(range(8), 2))
+            rows[g, u, v] = (g, u, v, random.randint(0, 3), random.random() < 0.4)
+    frame = spark.createDataFrame(list(rows.values()), "graph long, u long, v long, length long, damaged boolean")
+
+    def best(g, repair):
+        near = {}
+        for gg, u, v, w, bad in rows.values():
+            if gg == g and (repair or not bad):
+                near.setdefault(u, []).append((v, (int(bad and repair), w, 1)))
+                near.setdefault(v, []).append((u, (int(bad and repair), w, 1)))
+        heap, done = [((0, 0, 0), 0)], {}
+        while heap:
+            cost, n = heapq.heappop(heap)
+            if n not in done:
+                done[n] = cost
+                for m, w in near.get(n, []):
+                    heapq.heappush(heap, (tuple(map(sum, zip(cost, w))), m))
+        return done.get(7)
+
+    for repair in (False, True):
+        got = graph.routes(frame, 0, 7, repair).orderBy("graph", "seq").collect()
+        for g in range(6):
+            hops, want = [r for r in got if r["graph"] == g], best(g, repair)
+            assert bool(hops) == (want is not None)
+            if hops:
+                assert (hops[0]["u"], hops[-1]["v"], [r["seq"] for r in hops]) == (0, 7, list(range(1, len(hops) + 1)))
+                assert all(a["v"] == b["u"] for a, b in zip(hops, hops[1:]))
+                assert (sum(r["damaged"] for r in hops), sum(r["length"] for r in hops), len(hops)) == want
+    assert graph.routes(frame.limit(0), 0, 7).count() == graph.routes(frame, 0, 0).count() == 0
+
+
+def test_all_touched_and_unions(spark):
+    cells = spark.createDataFrame([(1, r, c, float(r * 4 + c)) for r in range(4) for c in range(4)], "raster_id long, r int, c int, value double")
+    ring = "array<struct<x:double,y:double>>"
+    layer = spark.createDataFrame([(1, 1, [(0.6, 0.6), (1.4, 0.6), (1.4, 1.4), (0.6, 1.4)]), (1, 2, [(3.5, 3.5)]), (1, 3, []), (1, 4, None), (2, 5, [(0.0, 0.0)]), (1, 6, [(9.0, 9.0)])], f"raster_id long, id long, ring {ring}")
+    plain, _ = vector.raster_stats(layer, cells, None)
+    assert [(r["id"], r["pixel_count"]) for r in plain.orderBy("id").collect()] == [(2, 1)]
+    touched, together = vector.raster_stats(layer, cells, 15.0, all_touched=True)
+    assert [(r["id"], r["pixel_count"], r["mean"]) for r in touched.collect()] == [(1, 4, 2.5)]
+    assert [tuple(r)[:4] for r in together.collect()] == [(1, 4, 2.5, 0.0)]
+
+
+def test_feature_and_graphml_files(spark, tmp_path):
+    from cindermap.sources import files
+
+    for name, text in {"a": '{"features": [{"n": 1}, {"n": 2}]}', "b": "[{\"n\": 3}]", "c": "{}"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = files.read_features(spark, f"file://{tmp_path}/*.json").collect()
+    assert sorted((r["feature"] or "") for r in got) == ["", '{"n":1}', '{"n":2}', '{"n":3}']
+    (tmp_path / "g.graphml").write_text(
+        '<?xml version="1.0"?><graphml><key id="d0" for="edge" attr.name="length_m" attr.type="double"/><key id="d1" for="edge" attr.name="damaged" attr.type="boolean"/>'
+        '<graph edgedefault="undirected"><node id="1"/><node id="2"/><edge source="1" target="2"><data key="d0">2.5</data><data key="d1">True</data></edge><edge source="2" target="3"/></graph></graphml>'
+    )
+    assert sorted(tuple(r) for r in files.read_graphml(spark, f"file://{tmp_path}/g.graphml").collect()) == [("1", "2", 2.5, True), ("2", "3", 1.0, False)]
