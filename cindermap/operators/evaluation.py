@@ -21,6 +21,11 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def scalar(gold: Column, pred: Column, absolute: float = 1.0) -> Column:
     """Equal texts (two nulls too) score 1, else numbers that are close."""
     return F.when(gold.eqNullSafe(pred), 1.0).otherwise(F.coalesce(scoring.close(_number(gold), _number(pred), absolute), F.lit(0.0)))
@@ -28,8 +33,9 @@ def scalar(gold: Column, pred: Column, absolute: float = 1.0) -> Column:
 
 def ratio(gold: Column, pred: Column) -> Column:
     """Shares as fractions or percentages; what is no number is compared as a scalar without absolute tolerance."""
-    g, p = ratio_number(gold), ratio_number(pred)
-    return F.when(g.isNotNull() & p.isNotNull(), scoring.ratio_close(g, p)).otherwise(scalar(gold, pred, 0.0))
+    both = F.struct(ratio_number(gold).alias("g"), ratio_number(pred).alias("p"))
+    close = _once(both, lambda n: F.when(n["g"].isNotNull() & n["p"].isNotNull(), scoring.ratio_close(n["g"], n["p"])))
+    return F.coalesce(close, scalar(gold, pred, 0.0))
 
 
 def dictionary(gold: Column, pred: Column, pixel_m: Column) -> Column:
@@ -39,26 +45,30 @@ def dictionary(gold: Column, pred: Column, pixel_m: Column) -> Column:
     """
     as_map = lambda x: F.from_json(x, "map<string,string>")
     entries = lambda x: F.transform(F.map_entries(as_map(x)), lambda e: F.struct(same_key(e["key"]).alias("k"), e["value"].alias("v")))
-    g, p = entries(gold), entries(pred)
     reach = F.coalesce(POINT_PIXELS * pixel_m, F.lit(FALLBACK_M)) / METRES_A_DEGREE
 
-    def one(key: Column) -> Column:
-        of = lambda x: F.try_element_at(F.filter(x, lambda e: e["k"] == key), F.lit(-1))
-        there, gv, pv = of(p).isNotNull(), of(g)["v"], of(p)["v"]
-        gn, pn = _number(gv), _number(pv)
+    def pairs(b: Column) -> Column:
+        last = lambda x, key: F.try_element_at(F.filter(x, lambda e: e["k"] == key), F.lit(-1))
+        found = F.transform(F.array_distinct(F.transform(b["g"], lambda e: e["k"])), lambda key: F.struct(key.alias("k"), last(b["g"], key).alias("g"), last(b["p"], key).alias("p")))
+        return F.transform(found, lambda e: F.struct(e["k"].alias("k"), e["p"].isNotNull().alias("there"), e["g"]["v"].alias("gv"), e["p"]["v"].alias("pv"), _number(e["g"]["v"]).alias("gn"), _number(e["p"]["v"]).alias("pn")))
+
+    def one(e: Column) -> Column:
+        gn, pn = e["gn"], e["pn"]
         numbers = F.when(F.abs(gn) <= 1.5, scoring.ratio_close(gn, pn)).otherwise(F.greatest(scoring.close(gn, pn), scoring.ratio_close(gn, pn)))
-        near = F.when(key.rlike(r"(^|_)(lat|latitude|lon|lng|longitude)$"), (F.abs(pn - gn) <= reach).cast("double")).otherwise(numbers)
-        valued = F.when(key.rlike(r"^id$|_id$|osmid$"), scoring.exact(gv, pv)).when(gn.isNotNull() & pn.isNotNull(), near).otherwise(scalar(gv, pv))
-        return F.when(there, valued).otherwise(0.0)
+        near = F.when(e["k"].rlike(r"(^|_)(lat|latitude|lon|lng|longitude)$"), (F.abs(pn - gn) <= reach).cast("double")).otherwise(numbers)
+        valued = F.when(e["k"].rlike(r"^id$|_id$|osmid$"), scoring.exact(e["gv"], e["pv"])).when(gn.isNotNull() & pn.isNotNull(), near).otherwise(scalar(e["gv"], e["pv"]))
+        return F.when(e["there"], valued).otherwise(0.0)
+
+    def mean(scores: Column) -> Column:
+        return F.when(F.size(scores) == 0, 1.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
 
-    keys = F.array_distinct(F.transform(g, lambda e: e["k"]))
-    total = F.aggregate(F.transform(keys, one), F.lit(0.0), lambda a, x: a + x)
-    return F.when(g.isNull() | p.isNull(), 0.0).when(F.size(keys) == 0, 1.0).otherwise(total / F.size(keys))
+    both = F.struct(entries(gold).alias("g"), entries(pred).alias("p"))
+    return _once(both, lambda b: F.when(b["g"].isNull() | b["p"].isNull(), 0.0).otherwise(_once(F.transform(pairs(b), one), mean)))
 
 
 def set_of(gold: Column, pred: Column) -> Column:
     items = lambda x: F.transform(F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>")), canonical)
-    return scoring.set_f1(items(gold), items(pred))
+    return _once(F.struct(items(gold).alias("g"), items(pred).alias("p")), lambda b: scoring.set_f1(b["g"], b["p"]))
 
 
 def ranking(gold: Column, pred: Column) -> Column:
@@ -66,15 +76,20 @@ def ranking(gold: Column, pred: Column) -> Column:
 
     Of an item that is ranked twice its last place counts. Texts that are no lists score 0.
     """
-    g, p = F.from_json(gold, "array<string>"), F.from_json(pred, "array<string>")
     place = lambda x, v: -F.array_position(F.reverse(x), v)
-    both = F.filter(g, lambda v: F.array_contains(p, v))
-    ranks = F.transform(both, lambda v: F.struct(place(g, v).alias("g"), place(p, v).alias("p")))
-    n = F.size(both)
-    ahead = F.transform(ranks, lambda a, i: F.size(F.filter(F.slice(ranks, i + 2, n), lambda b: (b["g"] - a["g"]) * (b["p"] - a["p"]) > 0)))
-    same = (F.size(F.array_except(g, p)) == 0) & (F.size(F.array_except(p, g)) == 0)
-    share = F.aggregate(ahead, F.lit(0), lambda a, x: a + x) / (n * (n - 1) / 2)
-    return F.when(g.isNull() | p.isNull(), 0.0).when(n < 2, same.cast("double")).otherwise(share)
+
+    def share(ranks: Column) -> Column:
+        n = F.size(ranks)
+        ahead = F.transform(ranks, lambda a, i: F.size(F.filter(F.slice(ranks, i + 2, n), lambda b: (b["g"] - a["g"]) * (b["p"] - a["p"]) > 0)))
+        return F.when(n >= 2, F.aggregate(ahead, F.lit(0), lambda a, x: a + x) / (n * (n - 1) / 2))
+
+    def score(b: Column) -> Column:
+        g, p = b["g"], b["p"]
+        same = (F.size(F.array_except(g, p)) == 0) & (F.size(F.array_except(p, g)) == 0)
+        ranks = F.transform(F.filter(g, lambda v: F.array_contains(p, v)), lambda v: F.struct(place(g, v).alias("g"), place(p, v).alias("p")))
+        return F.when(g.isNull() | p.isNull(), 0.0).otherwise(F.coalesce(_once(ranks, share), same.cast("double")))
+
+    return _once(F.struct(F.from_json(gold, "array<string>").alias("g"), F.from_json(pred, "array<string>").alias("p")), score)
 
 
 def _points(fields: DataFrame, kind: str, first: str, second: str, hit) -> DataFrame:
