@@ -134,6 +134,12 @@ def focal(cells: DataFrame, stat: str, size: int, nodata: float | None, height:
     return base.select("raster_id", "r", "c", F.when(valid(F.col("value"), nodata), out).otherwise(F.col("value")).alias("value"))
 
 
+def decimate(cells: DataFrame, factor: int) -> DataFrame:
+    """Means of blocks of factor x factor cells; blocks at the far edges may be smaller, blocks without cells have no row. Nulls are left out of the mean."""
+    block = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
+    return cells.groupBy("raster_id", block("r"), block("c")).agg(F.avg("value").alias("value"))
+
+
 def resample_nearest(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
     """Each target cell takes the source cell under its centre."""
     h, w = max(1, int(height * factor)), max(1, int(width * factor))

@@ -21,6 +21,13 @@ def attribute_in(rows: DataFrame, name: str, allowed: list[str]) -> DataFrame:
     return rows.where(F.arrays_overlap(F.transform(F.split(F.col(name), ","), lambda t: F.trim(t)), F.array(*[F.lit(a) for a in allowed])))
 
 
+def only_named(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``name`` is one of ``wanted``'s; all rows if none is. Repeated and null names in ``wanted`` change nothing."""
+    hits = rows.join(wanted.select(name).distinct().withColumn("_hit", F.lit(True)), name, "left")
+    some = hits.agg(F.coalesce(F.bool_or("_hit"), F.lit(False))).scalar()
+    return hits.where(F.col("_hit") | ~some).select(*rows.columns)
+
+
 def group_by(rows: DataFrame, key: Column, amount: Column | None = None) -> DataFrame:
     """Count (and sum, rounded half to even, null where 0) by the first token of a comma list; null keys are left out."""
     first = F.trim(F.get(F.split(key.cast("string"), ","), F.lit(0)))

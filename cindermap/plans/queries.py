@@ -697,6 +697,14 @@ def tool_filter_semi(spark, d):
     return e.join(wanted, "event_type", "left_semi").select("event_id")
 
 
+@query("WITH w AS (SELECT event_type FROM events WHERE value > 99.5 GROUP BY 1 HAVING count(*) > 3) SELECT event_id, event_type FROM events WHERE event_type IN (SELECT event_type FROM w) OR NOT EXISTS (SELECT 1 FROM w)")
+def tool_filter_or_all(spark, d):
+    """Steps of the tools with more than three high values; all steps where no tool has."""
+    e = T.table(spark, d, "events")
+    wanted = e.where("value > 99.5").groupBy("event_type").count().where("count > 3")
+    return records.only_named(e, "event_type", wanted).select("event_id", "event_type")
+
+
 @query("SELECT user_id, event_type, event_id AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def predictions_last(spark, d):
     return scoring.merged_predictions(T.table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", C("event_id").alias("last_event"))
@@ -755,7 +763,7 @@ def road_centerline(spark, d):
 
 @query("SELECT raster_id, r // 4 AS r, c // 4 AS c, round(avg(value), 6) AS value FROM dem GROUP BY ALL", "dem")
 def decimated_read(spark, d):
-    return T.dem(spark, d).groupBy("raster_id", F.floor(C("r") / 4).cast("int").alias("r"), F.floor(C("c") / 4).cast("int").alias("c")).agg(six(F.avg("value")).alias("value"))
+    return raster.decimate(T.dem(spark, d), 4).withColumn("value", six("value"))
 
 
 @query("SELECT id, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, name FROM pois", "pois")

@@ -328,3 +328,17 @@ def test_feature_and_graphml_files(spark, tmp_path):
         '<graph edgedefault="undirected"><node id="1"/><node id="2"/><edge source="1" target="2"><data key="d0">2.5</data><data key="d1">True</data></edge><edge source="2" target="3"/></graph></graphml>'
     )
     assert sorted(tuple(r) for r in files.read_graphml(spark, f"file://{tmp_path}/g.graphml").collect()) == [("1", "2", 2.5, True), ("2", "3", 1.0, False)]
+
+
+def test_only_named_falls_back_to_all(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, tool string")
+    names = lambda *t: spark.createDataFrame([(x,) for x in t], "tool string")
+    ids = lambda wanted: sorted(r["id"] for r in records.only_named(rows, "tool", wanted).collect())
+    assert ids(names("b", "b", "z", None)) == [2]
+    assert ids(names("z", None)) == ids(names()) == [1, 2, 3]
+    assert records.only_named(rows.limit(0), "tool", names("a")).columns == ["id", "tool"]
+
+
+def test_decimate(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 1, 3.0), (1, 2, 0, None), (1, 4, 4, 7.0)], "raster_id long, r int, c int, value double")
+    assert sorted((r["r"], r["c"], r["value"]) for r in raster.decimate(cells, 2).collect() if r["value"]) == [(0, 0, 2.0), (2, 2, 7.0)]
