@@ -10,6 +10,7 @@ from cindermap.llm.shards import op6_size_tiered_shards
 from cindermap.llm.simhash import op2_simhash_near_dedup
 from cindermap.llm.substrings import op4_repeated_passages
 from cindermap.llm.tokenbin import op8_token_files
+from cindermap.llm.topk import OP11_SQL, op11_exact_top_k
 from cindermap.llm.toxicity import op3_toxicity
 from cindermap.llm.warc import OP7_SQL, op7_warc_archives
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_exact_top_k": op11_exact_top_k,
 }
-ORACLES = {"op7_warc_archives": OP7_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES = {"op7_warc_archives": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_exact_top_k": OP11_SQL}
