@@ -20,7 +20,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 other sizes (absent components count as zero). Rows with a null vec_id take no part. Rows that repeat a vec_id are candidates
 each, but not of the query with that vec_id; of query rows with one vec_id the smallest vector asks. Ties go to the smaller
 vec_id. Fewer candidates than k give all; empty tables give an empty result; other columns are ignored. Scores are exact at any
-size; those beyond 64 bits are held at the largest or smallest long.
+size; those beyond 64 bits are held at the largest or smallest long, and tie there.
 """
 
 from __future__ import annotations
@@ -212,8 +212,9 @@ class Block:
         own = [list(map(int, v)) for v in self.vectors]
         for q_id, query in zip(q_ids, queries, strict=True):
             q = list(map(int, query))
-            found = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(v, q, strict=True)), i) for v, i in zip(own, self.ids.tolist(), strict=True) if i != q_id))
-            yield np.full(len(found), q_id), np.array([i for _, i in found], np.int64), np.array([max(LONG.min, min(LONG.max, -s)) for s, _ in found], np.int64)
+            scores = (max(LONG.min, min(LONG.max, sum(a * b for a, b in zip(v, q, strict=True)))) for v in own)
+            found = heapq.nsmallest(k, ((-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != q_id))
+            yield np.full(len(found), q_id), np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
 
 
 def _search(widths: list[int], k: int):

@@ -23,8 +23,8 @@ def brute(rows, every, k=10):
             asking[i] = min(asking.get(i, x), x)
     out = []
     for q, x in asking.items():
-        found = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in usable if i != q)
-        out += [(q, rank, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(found[:k], 1)]
+        found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=False)))), i) for i, y in usable if i != q)
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found[:k], 1)]
     return sorted(out)
 
 
