@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cindermap.llm.align import op12_tokenizer_alignment
 from cindermap.llm.ann import op1_permutation_index
 from cindermap.llm.decontaminate import op5_benchmark_decontamination
 from cindermap.llm.linedup import OP9_SQL, op9_line_dedup
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_exact_top_k": op11_exact_top_k,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 ORACLES = {"op7_warc_archives": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_exact_top_k": OP11_SQL}
