@@ -9,6 +9,7 @@ from cindermap.llm.linedup import OP9_SQL, op9_line_dedup
 from cindermap.llm.packing import op10_best_fit_packing
 from cindermap.llm.shards import op6_size_tiered_shards
 from cindermap.llm.simhash import op2_simhash_near_dedup
+from cindermap.llm.spelling import op13_spelling_variants
 from cindermap.llm.substrings import op4_repeated_passages
 from cindermap.llm.tokenbin import op8_token_files
 from cindermap.llm.topk import OP11_SQL, op11_exact_top_k
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_exact_top_k": op11_exact_top_k,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op7_warc_archives": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_exact_top_k": OP11_SQL}
