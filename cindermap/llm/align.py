@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,26 +89,40 @@ class Tokens:
         return self if kept.all() else Tokens(self.ids[np.repeat(kept, self.counts)], self.counts[kept], self.words)
 
 
-def align(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[bytes, int, list[tuple[int, int]]]:
-    """Groups as text, their number, and all overlapping pairs of two token sequences that spell the same bytes."""
-    links, groups = [], []
-    i = j = i0 = j0 = 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
-    while True:
-        links.append((a[i], b[j]))
-        if a_end == b_end:
-            groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups).encode(), len(groups), links
-            i0, j0 = i, j
-            a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[j]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_sizes[i]
-        else:
-            j += 1
-            b_end += b_sizes[j]
+class Digits:
+    """The numbers below n in decimal digits, as one pool."""
+
+    def __init__(self, n: int):
+        written = [str(i).encode() for i in range(n)]
+        self.lengths = np.fromiter(map(len, written), np.int64, n)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(written), np.uint8)
+
+
+def align(a: Tokens, b: Tokens, digits: Digits) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (their tokens one after the other, ``counts`` a window) whose two sequences spell the same bytes: each one's groups
+    as text and number of groups, and all overlapping pairs with their number in each."""
+    a_end, b_end = np.cumsum(a.sizes), np.cumsum(b.sizes)
+    first = np.searchsorted(b_end, a_end - a.sizes, side="right")
+    overlaps = np.searchsorted(b_end - b.sizes, a_end, side="left") - first
+    pairs = np.repeat(a.ids, overlaps) * b.words.size + b.ids[spans(first, overlaps)]
+    a_cut, b_cut = b_end[np.searchsorted(b_end, a_end)] == a_end, a_end[np.searchsorted(a_end, b_end)] == b_end
+    a_first, b_first = np.cumsum(a.counts) - a.counts, np.cumsum(b.counts) - b.counts
+    # A group's A tokens stand before its B tokens: where each token comes in the text.
+    a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+    a_place = np.arange(len(a.ids)) + np.searchsorted(b_group, a_group, side="left")
+    b_place = np.arange(len(b.ids)) + np.searchsorted(a_group, b_group, side="right")
+    ids, after = np.empty(len(a.ids) + len(b.ids), np.int64), np.empty(len(a.ids) + len(b.ids), np.uint8)
+    for place, t, cut, mark in ((a_place, a, a_cut, "|"), (b_place, b, b_cut, ";")):
+        ids[place], after[place] = t.ids, np.where(cut, ord(mark), ord(","))
+    sizes = digits.lengths[ids]
+    ends = np.cumsum(sizes + 1)
+    text = np.empty(int(ends[-1]), np.uint8)
+    text[ends - 1] = after
+    text[spans(ends - 1 - sizes, sizes)] = digits.pool[spans(digits.starts[ids], sizes)]
+    edges = np.concatenate([[0], ends[np.cumsum(a.counts + b.counts) - 1]]).tolist()
+    raw = text.tobytes()
+    return [raw[x : y - 1] for x, y in zip(edges, edges[1:], strict=False)], np.add.reduceat(a_cut.astype(np.int64), a_first), pairs.astype(np.uint64), np.add.reduceat(overlaps, a_first)
 
 
 class Aligner:
@@ -124,6 +139,7 @@ class Aligner:
         self.a = Vocabulary(tokens)
         self.pieces = p = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b = Vocabulary([bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(p.get_piece_size())])
+        self.digits = Digits(max(self.a.size, self.b.size))
         self.known: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
 
     def encode(self, texts: pa.Array) -> tuple[Tokens, Tokens]:
@@ -133,7 +149,7 @@ class Aligner:
         own[np.cumsum(counts) - counts] = False
         pieces = self.pieces.encode(texts.to_pylist(), num_threads=1)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((x for own_pieces in pieces for x in own_pieces), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(pieces), np.int64, int(sizes.sum()))
         return Tokens(ids[own], counts - 1, self.a), Tokens(flat, sizes, self.b)
 
     def verified(self, a: Tokens, b: Tokens, texts: pa.Array) -> np.ndarray:
@@ -190,20 +206,23 @@ class Aligner:
             return counts, groups, np.zeros(0, np.uint64), np.zeros(0, np.int64), n_pairs
         a_from, b_from, n_windows = self.windows(a, b)
         shown, turn = self.distinct(a, b, a_from, b_from)
-        a_to, b_to = np.append(a_from[1:], len(a.ids)), np.append(b_from[1:], len(b.ids))
-        a_small, b_small = a.ids.astype(np.uint32), b.ids.astype(np.uint32)
-        found = []
-        for a0, a1, b0, b1 in zip(a_from[shown].tolist(), a_to[shown].tolist(), b_from[shown].tolist(), b_to[shown].tolist(), strict=True):
-            key = a_small[a0:a1].tobytes(), b_small[b0:b1].tobytes()
-            got = self.known.get(key)
-            if got is None:
-                text, n, links = align(a.ids[a0:a1].tolist(), a.sizes[a0:a1].tolist(), b.ids[b0:b1].tolist(), b.sizes[b0:b1].tolist())
-                got = text, n, np.array([x * self.b.size + y for x, y in links], np.uint64).tobytes()
-                if a1 - a0 + b1 - b0 <= LONGEST_WINDOW:
-                    if len(self.known) >= REMEMBERED_WINDOWS:
-                        self.known.clear()
-                    self.known[key] = got
-            found.append(got)
+        n_a, n_b = np.diff(np.append(a_from, len(a.ids)))[shown], np.diff(np.append(b_from, len(b.ids)))[shown]
+        a_own, b_own = spans(a_from[shown], n_a), spans(b_from[shown], n_b)
+        a_shown, b_shown = (Tokens(t.ids[own], n, t.words) for t, own, n in ((a, a_own, n_a), (b, b_own, n_b)))
+        a_raw, b_raw = (t.ids.astype(np.uint32).tobytes() for t in (a_shown, b_shown))
+        a_edges, b_edges = (np.concatenate([[0], np.cumsum(n) * 4]).tolist() for n in (n_a, n_b))
+        keys = [(a_raw[w:x], b_raw[y:z]) for w, x, y, z in zip(a_edges, a_edges[1:], b_edges, b_edges[1:], strict=False)]
+        found = list(map(self.known.get, keys))
+        new = np.fromiter((f is None for f in found), bool, len(found))
+        if new.any():
+            told, n_own, links, n_links = align(a_shown.of(new), b_shown.of(new), self.digits)
+            raw, ends = links.tobytes(), np.cumsum(n_links * 8).tolist()
+            if len(self.known) + len(told) > REMEMBERED_WINDOWS:
+                self.known.clear()
+            for i, text, n, x, y in zip(np.flatnonzero(new).tolist(), told, n_own.tolist(), [0, *ends], ends, strict=False):
+                found[i] = text, n, raw[x:y]
+                if len(keys[i][0]) + len(keys[i][1]) <= LONGEST_WINDOW * 4:
+                    self.known[keys[i]] = found[i]
         pool = np.frombuffer(b"".join(x for _, _, x in found), np.uint64)
         sizes = np.fromiter((len(x) // 8 for _, _, x in found), np.int64, len(found))
         n_groups = np.fromiter((n for _, n, _ in found), np.int64, len(found))
