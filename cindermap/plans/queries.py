@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cindermap.functions import answers as A
 from cindermap.functions import crs
 from cindermap.functions import scalar as S
 from cindermap.operators import evaluation, evidence, graph, perceive, raster, records, scoring, vector
-from cindermap.plans import trajectory
+from cindermap.plans import geometry, trajectory  # noqa: F401  geometry registers its own
+from cindermap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from cindermap.sources import files
 from cindermap.sources import tables as T
 from cindermap.sources.shared import shared_dir
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 C = F.col
 
 
-def query(sql: str | None, *views: str):
-    """Register a function under its name, with its SQL over the named derivations."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = T.with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
 def six(c) -> object:
     return F.round(c, 6)
 
@@ -335,7 +320,7 @@ def voronoi_assignment(spark, d):
 
 
 @query("SELECT a.id, count(*) AS pixel_count, round(avg(x.value), 6) AS mean, min(x.value) AS min, max(x.value) AS max, round(stddev_pop(x.value), 6) AS std FROM rects a JOIN (SELECT c + 16 * raster_id AS c, r, value FROM cells WHERE band = 1 AND value <> 1) x ON x.c + 0.5 > a.x0 AND x.c + 0.5 < a.x1 AND x.r + 0.5 > a.y0 AND x.r + 0.5 < a.y1 GROUP BY a.id", "rects", "cells")
-def raster_stats(spark, d):
+def zonal_rects(spark, d):
     mosaic = T.cells(spark, d).where("band = 1").select((C("c") + 16 * C("raster_id")).alias("c"), "r", "value")
     return vector.zonal(T.rects(spark, d), mosaic, T.NODATA).withColumns({"mean": six("mean"), "std": six("std")})
 
