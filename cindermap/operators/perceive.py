@@ -43,21 +43,26 @@ def band_scaled(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std != 0, (value - mean) / std).otherwise(0.0)
 
 
+def thinning_pass(grid: np.ndarray) -> np.ndarray:
+    """One pass of Zhang-Suen thinning, both halves; what lies beyond the grid is empty."""
+    m = np.pad(grid, 1)
+    for odd in (0, 1):
+        p = [np.roll(m, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
+        n = sum(x.astype(np.int8) for x in p)
+        turns = sum((~p[i] & p[(i + 1) % 8]).astype(np.int8) for i in range(8))
+        a, b = (p[0] & p[2] & p[4], p[2] & p[4] & p[6]) if odd == 0 else (p[0] & p[2] & p[6], p[0] & p[4] & p[6])
+        m = m & ~((n >= 2) & (n <= 6) & (turns == 1) & ~a & ~b)
+    return m[1:-1, 1:-1]
+
+
 def thinned(mask: np.ndarray) -> np.ndarray:
-    """One-pixel lines of a boolean mask (Zhang-Suen thinning)."""
-    m = np.pad(mask.astype(bool), 1)
+    """One-pixel lines of a boolean mask."""
+    m = mask.astype(bool)
     while True:
-        removed = False
-        for odd in (0, 1):
-            p = [np.roll(m, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]  # north, then clockwise
-            n = sum(x.astype(int) for x in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            a, b = (p[0] & p[2] & p[4], p[2] & p[4] & p[6]) if odd == 0 else (p[0] & p[2] & p[6], p[0] & p[4] & p[6])
-            gone = m & (n >= 2) & (n <= 6) & (turns == 1) & ~a & ~b
-            removed |= bool(gone.any())
-            m = m & ~gone
-        if not removed:
-            return m[1:-1, 1:-1]
+        after = thinning_pass(m)
+        if (after == m).all():
+            return m
+        m = after
 
 
 def centerlines(mask: DataFrame, height: int, width: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators import overlay
+from cindermap.operators import overlay, roads
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
 
@@ -97,3 +97,63 @@ def iou_polygons(spark, d):
     moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1).alias("x"), (p["y"] + C("class") / 2).alias("y"))))
     pairs = shapes(spark, d, triangles=False).select("id", C("rings").alias("a_rings"), moved.alias("b_rings"))
     return overlay.measured(pairs).select("id", F.round("shared", 4).alias("shared"), F.round("together", 4).alias("together"), six(C("iou")).alias("iou"))
+
+
+# --- road networks ---------------------------------------------------------------------------------------------------
+# A crossing a supplier: four straight roads of one pixel's width, damaged towards their tips. Its centre, the four pixels around
+# it and the tips are nodes.
+
+ARM = "SELECT s_suppkey AS raster_id, d, dr, dc, 24 + s_suppkey % 5 AS r, 24 + s_suppkey % 7 AS c, 8 + s_suppkey * (d + 3) % 9 AS n, s_suppkey * (d + 1) % (8 + s_suppkey * (d + 3) % 9) AS k FROM supplier, (VALUES (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)) a(d, dr, dc)"
+ARMS = f"""arms AS (SELECT *, (r + dr) * 65536 + c + dc AS near, (r + n * dr) * 65536 + c + n * dc AS tip, least(k, n - 3) >= 0.5 * (n - 3) AND k > 0 AS damaged FROM ({ARM})),
+  lines AS (
+    SELECT raster_id, least(near, tip) AS u, greatest(near, tip) AS v, n - 1.0 AS length, damaged FROM arms
+    UNION ALL SELECT raster_id, least(near, r * 65536 + c), greatest(near, r * 65536 + c), 1.0, false FROM arms
+    UNION ALL SELECT a.raster_id, least(a.near, b.near), greatest(a.near, b.near), 1.41421356237, false FROM arms a JOIN arms b ON a.raster_id = b.raster_id AND b.d = (a.d + 1) % 4)"""
+
+
+def crossings(spark, d) -> DataFrame:
+    """Mask cells: 1 intact, 2 flooded, 3 blocked."""
+    s = C("s_suppkey")
+    arm = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(((-1, 0), (0, 1), (1, 0), (0, -1)))]))
+    arms = T.table(spark, d, "supplier").select(s.alias("raster_id"), arm.alias("a")).select("raster_id", "a.*")
+    n = 8 + C("raster_id") * (C("d") + 3) % 9
+    arms = arms.withColumns({"n": n, "k": C("raster_id") * (C("d") + 1) % n}).select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("n").cast("long"))).alias("i"))
+    value = F.when(C("i") <= C("n") - C("k"), 1).otherwise(2 + C("d") % 2)
+    cells = arms.select("raster_id", (24 + C("raster_id") % 5 + C("i") * C("dr")).cast("int").alias("r"), (24 + C("raster_id") % 7 + C("i") * C("dc")).cast("int").alias("c"), value.alias("value"))
+    return cells.groupBy("raster_id", "r", "c").agg(F.min("value").alias("value"))
+
+
+@query(f"WITH {ARMS} SELECT raster_id, u, v, round(CAST(length AS DOUBLE), 6) AS length, damaged FROM lines")
+def centerline_edges(spark, d):
+    return roads.centerlines(crossings(spark, d), 64, 64).select("raster_id", "u", "v", six(C("length")).alias("length"), "damaged")
+
+
+@query(f"WITH {ARMS} SELECT raster_id AS graph, node, CAST(node // 65536 AS INT) AS r, CAST(node % 65536 AS INT) AS c, count(*) AS degree FROM (SELECT raster_id, u AS node FROM lines UNION ALL SELECT raster_id, v FROM lines) GROUP BY ALL")
+def centerline_graph(spark, d):
+    return roads.road_graph(roads.centerlines(crossings(spark, d), 64, 64))[0]
+
+
+#: kind 0: from beside the upper road to beside the right one; 1: along the upper road; 2: from its tip to the centre; 3: from a far corner; 4: in a graph without roads.
+ROUTES = f"""WITH {ARMS}, up AS (SELECT * FROM arms WHERE d = 0), x AS (
+  SELECT up.raster_id, up.r, up.c, up.n, up.damaged AS u_hurt, b.damaged AS r_hurt, 2 + up.raster_id % 5 AS i, 2 + up.raster_id % 4 AS j FROM up JOIN arms b ON b.raster_id = up.raster_id AND b.d = 1)
+SELECT raster_id * 10 AS id, 'ok' AS status, round(CAST(CASE WHEN u_hurt THEN 0 ELSE i - 1 END + 1.41421356237 + CASE WHEN r_hurt THEN 0 ELSE j - 1 END AS DOUBLE), 6) AS distance_px,
+  r - CASE WHEN u_hurt THEN 1 ELSE i END AS start_r, c AS start_c, r AS end_r, c + CASE WHEN r_hurt THEN 1 ELSE j END AS end_c, CAST(CASE WHEN u_hurt THEN 0 ELSE i - 1 END + 2 + CASE WHEN r_hurt THEN 0 ELSE j - 1 END AS INT) AS pixels FROM x
+UNION ALL SELECT raster_id * 10 + 1, 'ok', CASE WHEN u_hurt THEN 0 ELSE 3 END, r - CASE WHEN u_hurt THEN 1 ELSE 2 END, c, r - CASE WHEN u_hurt THEN 1 ELSE 5 END, c, CASE WHEN u_hurt THEN 1 ELSE 4 END FROM x
+UNION ALL SELECT raster_id * 10 + 2, CASE WHEN u_hurt AND n > 11 THEN 'snapped_on_damaged' ELSE 'ok' END, CASE WHEN NOT u_hurt THEN n WHEN n <= 11 THEN 1 END, r - CASE WHEN u_hurt AND n <= 11 THEN 1 ELSE n END, c, r, c, CASE WHEN NOT u_hurt THEN n + 1 WHEN n <= 11 THEN 2 END FROM x
+UNION ALL SELECT raster_id * 10 + 3, 'snap_failed', NULL, 0, 0, r, c, NULL FROM x
+UNION ALL SELECT raster_id * 10 + 4, 'no_roads', NULL, r, c, r, c, NULL FROM x"""
+
+
+@query(ROUTES)
+def snapped_routes(spark, d):
+    _, edges = roads.road_graph(roads.centerlines(crossings(spark, d), 64, 64))
+    s = C("s_suppkey")
+    r, c, i, j, n = 24 + s % 5, 24 + s % 7, 2 + s % 5, 2 + s % 4, 8 + s * 3 % 9
+    zero = F.lit(0).cast("long")
+    asked = [(0, s, r - i, c - 1, r + 1, c + j), (1, s, r - 2, c, r - 5, c), (2, s, r - n, c, r, c), (3, s, zero, zero, r, c), (4, -s, r, c, r, c)]
+    names = ("graph", "sr", "sc", "er", "ec")
+    each = F.explode(F.array(*[F.struct((s * 10 + k).alias("id"), *[x.cast("long").alias(a) for x, a in zip(rest, names)]) for k, *rest in asked]))
+    requests = T.table(spark, d, "supplier").select(each.alias("q")).select("q.*")
+    found = roads.snapped_routes(edges, requests)
+    ends = [C(e).cast("long").alias(e) for e in ("start_r", "start_c", "end_r", "end_c")]
+    return found.select("id", "status", six(C("distance_px")).alias("distance_px"), *ends, F.when(C("path").isNotNull(), F.size("path")).alias("pixels"))
