@@ -1,13 +1,19 @@
 """Operator 5: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-1. Benchmark items are cut into word n-grams. A filter of fixed size (``FILTER_BITS`` bits, whatever the benchmark's
-   size) lets each task drop, while it scans documents, nearly all n-grams that no item has.
-2. The n-grams that pass are joined to the items' n-grams, all of which are seeds. None is left out for being frequent:
-   copies raise the frequency of the very n-grams that edited copies keep.
-3. A document and an item that share a seed are a candidate. The item is aligned with the stretches of the document
-   around the seeds (+``MATCH``, ``MISMATCH``, ``GAP`` a word), as wide as the gaps that a passage of ``min_score`` can
-   have; score over the item's best possible score is the pair's score, and pairs of at least ``min_score`` are reported.
-   A stretch that shares too few words with the item to reach ``min_score`` in any order is not aligned.
+1. Benchmark items are cut into pairs of neighbouring words. A filter of fixed size (``FILTER_BITS`` bits, whatever the benchmark's
+   size) lets each task drop, while it scans documents, nearly all pairs that no item has.
+2. Of an item only its rarest pairs, by the number of documents that hold them, are seeds. A passage of ``min_score`` can lose
+   so much score and no more, and a replaced or lost word costs at least 3 and two pairs, so of an item's G pairs at least t = G - 2/3 of
+   that score are left. Whatever its most frequent t - l pairs are, a passage that keeps t holds l of the others; those are the
+   seeds, and a document that holds l of them is a candidate (l is a third of t, at least 1). Frequent openings and phrases
+   so join nothing, and no frequency is a limit: an item that thousands of documents copy loses no seed that its copies need.
+3. The item is aligned with the stretches of the document around the seeds (+``MATCH``, ``MISMATCH``, ``GAP`` a word), as wide as the gaps that a
+   passage of ``min_score`` can have; score over the item's best possible score is the pair's score, and pairs of at least
+   ``min_score`` are reported. A stretch that shares too few words with the item to reach ``min_score`` in any order is not
+   aligned. Documents and their candidates stream past each other in the order of documents; nothing is collected.
+
+What is lost: an inserted word costs only 1 and one pair, so a copy with words inserted at many places can reach ``min_score`` with fewer than t
+pairs. It is found if it keeps l seeds all the same, and lost else; with a word inserted after each of its words it keeps none.
 
 Words are runs of letters and digits, lower case. Defined cases: null or empty texts and items of fewer than n words
 match nothing; rows with a null doc_id or item_id take no part (and stay in ``drop_contaminated``); rows that repeat a doc_id
@@ -23,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cindermap.llm.common import staged, table
 
-N, MIN_SCORE = 3, 0.5
+N, MIN_SCORE = 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 1 << 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -50,16 +56,26 @@ def grams(own: list[str], n: int = N) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
-def _item_grams(n: int):
+def _item_grams(n: int, min_score: float):
+    """Each item's distinct n-grams with their places, how many of them can be seeds, and how many of those a candidate holds."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids, offsets, hashes = [], [], []
-            for item_id, text in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                own = grams(split(text), n)
-                ids += [item_id] * len(own)
-                offsets += range(len(own))
-                hashes.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), pa.array(ids, pa.int64()), pa.array(offsets, pa.int32())], ["gram", "item_id", "at"])
+            keys, hashes, places, seeds, least = [], [], [], [], []
+            for key, text in zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                own = split(text)
+                found: dict[int, list[int]] = {}
+                for i, g in enumerate(grams(own, n).tolist()):
+                    found.setdefault(g, []).append(i)
+                lost = MATCH * len(own) * (1 - min_score) * n // (MATCH - MISMATCH)
+                kept = max(1, len(found) - int(lost))
+                held = max(1, kept // 3)
+                keys += [key] * len(found)
+                hashes += found
+                places += found.values()
+                seeds += [len(found) - kept + held] * len(found)
+                least += [held] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(seeds, pa.int32()), pa.array(least, pa.int32())], ["gram", "item", "at", "seeds", "least"])
 
     return cut
 
@@ -67,17 +83,22 @@ def _item_grams(n: int):
 def _scan(n: int, bits: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids, hashes, places = [], [], []
-            for doc_id, text in zip(rows.column("doc_id"), rows.column("text"), strict=True):
+            keys, sizes, hashes, places = [], [], [], []
+            for key, text in zip(rows.column("doc").to_pylist(), rows.column("text"), strict=True):
                 own = grams(split(text.as_py()), n)
                 slot = own & (FILTER_BITS - 1)
                 hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 if len(hit):
-                    for g in np.unique(own[hit]):
-                        ids.append(doc_id.as_py())
-                        hashes.append(int(g))
-                        places.append(hit[own[hit] == g].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "gram", "places"])
+                    order = hit[np.argsort(own[hit], kind="stable")]
+                    held, first = np.unique(own[order], return_index=True)
+                    keys += [key] * len(held)
+                    hashes.append(held)
+                    places.append(order)
+                    sizes.append(np.diff(np.append(first, len(order))))
+            flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(flat(sizes))]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat(places).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(flat(hashes), pa.int64()), found], ["doc", "gram", "places"])
 
     return scan
 
@@ -130,33 +151,50 @@ def aligned(item: list[str], own: list[str], diagonals: list[int], min_score: fl
 
 
 def _verify(min_score: float):
+    """Rows come document by document: its text first, then the items to align it with."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for rows in batches:
             out = []
-            for doc_id, text, found in zip(rows.column("doc_id"), rows.column("text"), rows.column("found"), strict=True):
-                own = split(text.as_py())
-                for x in found.as_py():
-                    item = split(x["item"])
-                    score, end = aligned(item, own, x["diagonals"], min_score)
+            columns = [rows.column(c) for c in ("doc", "doc_id", "text", "item_id", "diagonals")]
+            for doc, doc_id, text, item_id, diagonals in zip(*columns, strict=True):
+                if item_id.as_py() is None:
+                    at, own = doc.as_py(), (doc_id.as_py(), split(text.as_py()))
+                elif doc.as_py() == at:
+                    score, end = aligned(split(text.as_py()), own[1], diagonals.as_py(), min_score)
                     if score >= min_score:
-                        out.append((doc_id.as_py(), x["item_id"], score, end))
+                        out.append((own[0], item_id.as_py(), score, end))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["doc_id", "item_id", "score", "end_word"])
 
     return verify
 
 
+def seeded(hits: DataFrame, item_grams: DataFrame) -> DataFrame:
+    """Candidates: doc, item and the diagonals on which they share seeds. ``hits`` are the documents' n-grams that items may have."""
+    frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("item").orderBy("df", "gram"))
+    # What no document holds comes first: it takes seeds' places, as the bound counts all of an item's n-grams.
+    ranked = item_grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rarest)
+    seeds = staged(ranked.where("rank <= seeds AND df > 0").select("gram", "item", "at", "least"), "seeds")
+    found = hits.join(seeds, "gram").select("doc", "item", "least", "places", "at")
+    each = F.flatten(F.transform("places", lambda p: F.transform("at", lambda a: p - a)))
+    pairs = found.select("doc", "item", "least", each.alias("diagonals")).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("held"), F.max("least").alias("least"), F.array_distinct(F.flatten(F.collect_list("diagonals"))).alias("diagonals"))
+    return pairs.where("held >= least").select("doc", "item", "diagonals")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score and end_word of each document that holds (most of) an item."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    item_grams = staged(items.mapInArrow(_item_grams(n), "gram long, item_id long, at int"), "item-grams")
-    scanned = docs.mapInArrow(_scan(n, gram_filter(item_grams)), "doc_id long, gram long, places array<int>")
-    hits = staged(scanned, "gram-hits")
-    found = hits.join(item_grams, "gram").select("doc_id", "item_id", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("diagonal"))
-    pairs = found.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
-    named = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    each = named.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("found"))
-    checked = docs.join(each, "doc_id").mapInArrow(_verify(min_score), "doc_id long, item_id long, score double, end_word int")
+    key = lambda c: F.xxhash64(c, "text")
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").dropDuplicates().withColumn("item", key("item_id"))
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc", key("doc_id"))
+    item_grams = staged(items.mapInArrow(_item_grams(n, min_score), "gram long, item long, at array<int>, seeds int, least int"), "item-grams")
+    hits = staged(docs.mapInArrow(_scan(n, gram_filter(item_grams)), "doc long, gram long, places array<int>"), "gram-hits")
+    pairs = staged(seeded(hits, item_grams), "candidates")
+    asked = pairs.join(items, "item").select("doc", F.lit(None).cast("long").alias("doc_id"), "text", "item_id", "diagonals")
+    held = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("array<int>").alias("diagonals"))
+    rows = held.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("item_id").isNotNull(), "item_id")
+    checked = rows.mapInArrow(_verify(min_score), "doc_id long, item_id long, score double, end_word int")
     return checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("best")).select("doc_id", "item_id", "best.score", "best.end_word")
 
 

@@ -386,6 +386,39 @@ def test_edited_copies_beside_exact_ones(spark):
     assert got == {1: 1.0, 2: 36 / 48, 3: 36 / 48, 4: 36 / 48, 5: 32 / 48}
 
 
+def test_every_third_word_replaced_and_shared_openings(spark):
+    """Copies without a common run of three words are found; an opening that all documents and items share makes no candidates."""
+    item = [f"own{i}" for i in range(24)]
+    third = [w if i % 3 != 2 else f"new{i}" for i, w in enumerate(item)]
+    opening = "which of the following"
+    items = [(7, " ".join(item))] + [(100 + i, f"{opening} {passage(300 + i, 14)}") for i in range(40)]
+    rows = [(1, f"{passage(41, 50)} {' '.join(third)} {passage(42, 30)}")] + [(10 + i, f"{opening} {' '.join(f'd{i}x{j}' for j in range(30))}") for i in range(200)]
+    rows += [(1000 + i, f"{passage(500 + i, 9)} {t}") for i, (_, t) in enumerate(items[1:4])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got.pop((1, 7)) >= 0.5 and {k for k, v in got.items() if v == 1.0} == {(1000 + i, 100 + i) for i in range(3)}
+    named = docs.withColumn("doc", F.col("doc_id"))
+    grams = bench.withColumn("item", F.col("item_id")).mapInArrow(decontaminate._item_grams(2, 0.5), "gram long, item long, at array<int>, seeds int, least int")
+    hits = named.mapInArrow(decontaminate._scan(2, decontaminate.gram_filter(grams)), "doc long, gram long, places array<int>")
+    assert decontaminate.seeded(hits, grams).where("doc >= 10 AND doc < 1000").count() == 0
+
+
+def test_pairs_against_all_alignments(spark, small):
+    """On the smallest tables: every pair, aligned whole."""
+    docs = [(r["doc_id"], decontaminate.split(r["text"])) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    bench = [(r["item_id"], decontaminate.split(r["text"])) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    want = set()
+    for i, item in bench:
+        for d, own in docs:
+            if len(set(item) & set(own)) * 2 >= len(set(item)):
+                code = {}
+                a = np.array([code.setdefault(w, len(code)) for w in item])
+                if decontaminate.align(a, np.array([code.get(w, -1) for w in own], np.int64))[0] >= len(item):
+                    want.add((d, i))
+    found = decontaminate.op5_benchmark_decontamination(spark, small)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and want
+
+
 def test_alignment_against_the_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(30):
