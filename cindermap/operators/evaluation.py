@@ -8,13 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.functions.answers import is_ratio_name, ratio_number, same_key
-from cindermap.functions.scalar import canonical, haversine_m
-from cindermap.operators import scoring
+from cindermap.functions.answers import is_ratio_name, json_object, ratio_number, same_key
+from cindermap.functions.scalar import haversine_m, normalize_text
+from cindermap.operators import overlay, scoring
+from cindermap.sources import files
+from cindermap.sources.shared import staged
 
 POINT_PIXELS, FALLBACK_M, METRES_A_DEGREE = 20.0, 20.0, 111_320.0
 #: Endings of the two halves of a point.
 LAT, LON, ROW, COL = r"_(latitude|lat)$", r"_(longitude|lon)$", r"_row$", r"_col$"
+#: The names under which a map holds a point, in the order in which they are looked for.
+PIXEL_KEYS = (("pixel_row", "pixel_col"), ("row", "col"), ("r", "c"), ("y", "x"))
+PLACE_KEYS = (("latitude", "longitude"), ("lat", "lon"), ("lat", "lng"), ("y", "x"))
+LEAST_IOU = 0.5
+#: Predictions that say there is no polygon.
+NO_POLYGON = ("", "none", "null", "n/a", "na", "nan", "[]", "{}")
 
 
 def _number(text: Column) -> Column:
@@ -54,7 +62,7 @@ def dictionary(gold: Column, pred: Column, pixel_m: Column) -> Column:
 
     def one(e: Column) -> Column:
         gn, pn = e["gn"], e["pn"]
-        numbers = F.when(F.abs(gn) <= 1.5, scoring.ratio_close(gn, pn)).otherwise(F.greatest(scoring.close(gn, pn), scoring.ratio_close(gn, pn)))
+        numbers = F.when(F.abs(gn) <= 1.5, scoring.ratio_close(gn, pn)).otherwise(scoring.ratio_close(gn, pn, 1.0))
         near = F.when(e["k"].rlike(r"(^|_)(lat|latitude|lon|lng|longitude)$"), (F.abs(pn - gn) <= reach).cast("double")).otherwise(numbers)
         valued = F.when(e["k"].rlike(r"^id$|_id$|osmid$"), scoring.exact(e["gv"], e["pv"])).when(gn.isNotNull() & pn.isNotNull(), near).otherwise(scalar(e["gv"], e["pv"]))
         return F.when(e["there"], valued).otherwise(0.0)
@@ -67,7 +75,15 @@ def dictionary(gold: Column, pred: Column, pixel_m: Column) -> Column:
 
 
 def set_of(gold: Column, pred: Column) -> Column:
-    items = lambda x: F.transform(F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>")), canonical)
+    """F1 of two sets of normalized texts: the items of a JSON list, or what stands between the commas of any other text. Nulls and JSON objects are empty sets."""
+
+    def items(x: Column) -> Column:
+        text = F.trim(x)
+        listed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+        parts = F.filter(F.split(x, ","), lambda p: F.trim(p) != "")
+        found = F.when(listed.isNotNull(), F.transform(listed, lambda v: F.coalesce(v, F.lit("None")))).when(text.startswith("{") & json_object(text).isNotNull(), F.array().cast("array<string>")).otherwise(parts)
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), normalize_text)
+
     return _once(F.struct(items(gold).alias("g"), items(pred).alias("p")), lambda b: scoring.set_f1(b["g"], b["p"]))
 
 
@@ -102,18 +118,75 @@ def _points(fields: DataFrame, kind: str, first: str, second: str, hit) -> DataF
     return pairs.where("halves = 2").select("task", F.concat("field", F.lit("__point_geo" if kind == "point_haversine" else "__point_px")).alias("field"), F.coalesce(hit.cast("double"), F.lit(0.0)).alias("score"))
 
 
+def _coordinates(text: Column, keys: tuple) -> Column:
+    """(a, b) of a point given as a JSON list of two numbers or a map that holds both; null if it is neither."""
+    t = F.trim(text)
+    listed = F.transform(F.when(t.startswith("["), F.from_json(t, "array<string>")), _number)
+    mapped = F.when(t.startswith("{"), F.from_json(t, "map<string,string>"))
+    point = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
+    from_list = F.when(F.size(listed) == 2, point(F.get(listed, F.lit(0)), F.get(listed, F.lit(1))))
+    return F.coalesce(from_list, *[point(*[_number(F.try_element_at(mapped, F.lit(k))) for k in pair]) for pair in keys])
+
+
+def lone_point(gold: Column, pred: Column, kind: Column, pixel_m: Column) -> Column:
+    """A point in one value: within 20 pixels, or 20 pixel sizes in metres (20 m if unknown); what is no point is compared as a scalar."""
+
+    def score(keys: tuple, near) -> Column:
+        both = F.struct(_coordinates(gold, keys).alias("g"), _coordinates(pred, keys).alias("p"))
+        return _once(both, lambda b: F.when(b["g"].isNotNull() & b["p"].isNotNull(), F.coalesce(near(b["g"], b["p"]).cast("double"), F.lit(0.0))))
+
+    reach = F.coalesce(POINT_PIXELS * pixel_m, F.lit(FALLBACK_M))
+    pixel = score(PIXEL_KEYS, lambda g, p: F.hypot(p["a"] - g["a"], p["b"] - g["b"]) <= POINT_PIXELS)
+    place = score(PLACE_KEYS, lambda g, p: haversine_m(p["a"], p["b"], g["a"], g["b"]) <= reach)
+    return F.coalesce(F.when(kind == "point_pixel", pixel).otherwise(place), scalar(gold, pred))
+
+
+def polygon_scores(fields: DataFrame) -> DataFrame:
+    """task, field, score of polygon_iou fields, whose gold and pred are GeoJSON texts: 1 if their largest polygons (the first, if two are) have an
+    intersection of at least half of their union. Where the gold text has a ``dora_grid``, predictions without a crs are pixels and
+    are placed by its transform. Equal texts score 1; an empty prediction scores 1 if the gold text has no polygon; unreadable texts score 0."""
+    gold, pred = (files.geojson_polygons(F.col(c)) for c in ("gold", "pred"))
+    largest = lambda polygons: F.array_max(F.transform(polygons, lambda rings, i: F.struct(overlay.area_of(rings).alias("area"), (-i).alias("nth"), rings.alias("rings"))))["rings"]
+    grid = F.from_json(F.get_json_object("gold", "$.dora_grid.transform"), "array<double>")
+    t = lambda i: F.get(grid, F.lit(i))
+    world = lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((t(0) * p["x"] + t(1) * p["y"] + t(2)).alias("x"), (t(3) * p["x"] + t(4) * p["y"] + t(5)).alias("y"))))
+    rows = fields.select("task", "field", "gold", "pred", largest(gold).alias("a_rings"), largest(pred).alias("b_rings"), gold.isNotNull().alias("readable"))
+    pixels = grid.isNotNull() & F.get_json_object("pred", "$.crs").isNull()
+    rows = rows.withColumn("b_rings", F.when(pixels, world(F.col("b_rings"))).otherwise(F.col("b_rings"))).withColumn("id", F.struct("task", "field"))
+    both = overlay.measured(rows.where("a_rings IS NOT NULL AND b_rings IS NOT NULL").select("id", "a_rings", "b_rings"))
+    none = F.lower(F.trim(F.coalesce("pred", F.lit("none")))).isin(*NO_POLYGON) | files.geojson_polygons(F.col("pred")).isNotNull()
+    score = F.when(F.col("gold") == F.col("pred"), 1.0).when(F.col("iou").isNotNull(), ((F.col("iou") >= LEAST_IOU) & (F.col("together") > 0)).cast("double"))
+    score = score.when(F.col("readable") & F.col("a_rings").isNull() & F.col("b_rings").isNull() & none, 1.0).otherwise(0.0)
+    return rows.join(both, "id", "left").select("task", "field", score.alias("score"))
+
+
 def field_scores(fields: DataFrame) -> DataFrame:
-    """task, field, score. Kinds: scalar_continuous, scalar_count, ratio_pct, exact_match, scalar_dict, set_f1, ranking_kendall, point_haversine and
-    point_pixel (two fields make one row), ignore (no row); any other kind is compared exactly."""
-    gold, pred, kind = F.col("gold"), F.col("pred"), F.col("kind")
+    """task, field, score. Kinds: scalar_continuous, scalar_count, ratio_pct, exact_match, scalar_dict, set_f1, ranking_kendall, polygon_iou,
+    point_haversine and point_pixel (two fields named as a point's halves make one row, a half without the other none, any other such field is a point
+    of its own), ignore (no row); any other kind is compared exactly.
+
+    The fields are written once; every group of kinds is a scan of its own, so that the simple ones run as compiled code.
+    """
+    fields = staged(fields.select("task", "field", "kind", "gold", "pred", "pixel_m"), "fields")
+    gold, pred, kind, pixel_m = (F.col(c) for c in ("gold", "pred", "kind", "pixel_m"))
     share = (kind == "ratio_pct") | ((kind == "scalar_continuous") & is_ratio_name(F.col("field")))
-    score = F.when(share, ratio(gold, pred)).when(kind.isin("scalar_continuous", "scalar_count"), scalar(gold, pred))
-    score = score.when(kind == "scalar_dict", dictionary(gold, pred, F.col("pixel_m"))).when(kind == "set_f1", set_of(gold, pred)).when(kind == "ranking_kendall", ranking(gold, pred)).otherwise(scoring.exact(gold, pred))
-    single = fields.where(~kind.isin("ignore", "point_haversine", "point_pixel")).select("task", "field", score.alias("score"))
+    numbers = kind.isin("ratio_pct", "scalar_continuous", "scalar_count")
+    nested = {"scalar_dict": dictionary(gold, pred, pixel_m), "set_f1": set_of(gold, pred), "ranking_kendall": ranking(gold, pred)}
+    half = F.when(kind == "point_haversine", F.col("field").rlike(f"{LAT}|{LON}")).otherwise(F.col("field").rlike(f"{ROW}|{COL}"))
+    points = kind.isin("point_haversine", "point_pixel")
+    told = lambda rows, score: rows.select("task", "field", score.alias("score"))
+    parts = [told(fields.where(numbers), F.when(share, ratio(gold, pred)).otherwise(scalar(gold, pred)))]
+    parts += [told(fields.where(kind == k), score) for k, score in nested.items()]
+    parts += [told(fields.where(points & ~half), lone_point(gold, pred, kind, pixel_m)), polygon_scores(fields.where(kind == "polygon_iou"))]
+    parts += [told(fields.where(~numbers & ~points & ~F.coalesce(kind, F.lit("")).isin("ignore", "polygon_iou", *nested) | kind.isNull()), scoring.exact(gold, pred))]
     metres = haversine_m(F.col("pred1"), F.col("pred2"), F.col("gold1"), F.col("gold2"))
-    geo = _points(fields, "point_haversine", LAT, LON, metres <= F.coalesce(POINT_PIXELS * F.col("pixel_m"), F.lit(FALLBACK_M)))
+    parts += [_points(fields, "point_haversine", LAT, LON, metres <= F.coalesce(POINT_PIXELS * F.col("pixel_m"), F.lit(FALLBACK_M)))]
     pixels = F.hypot(F.col("pred1") - F.col("gold1"), F.col("pred2") - F.col("gold2"))
-    return single.unionByName(geo).unionByName(_points(fields, "point_pixel", ROW, COL, pixels <= POINT_PIXELS))
+    parts += [_points(fields, "point_pixel", ROW, COL, pixels <= POINT_PIXELS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def matched(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ def close(gold: Column, pred: Column, absolute: float = 1.0, relative: float = 0
     return F.when(F.isnan(g) | F.isnan(p), (F.isnan(g) & F.isnan(p)).cast("double")).otherwise(F.coalesce(near.cast("double"), F.lit(0.0)))
 
 
-def ratio_close(gold: Column, pred: Column) -> Column:
-    """Fractions and percentages are one: if exactly one side is at most 1.5, that side times 100 is tried too. No absolute tolerance."""
-    plain = close(gold, pred, 0.0)
+def ratio_close(gold: Column, pred: Column, absolute: float = 0.0) -> Column:
+    """Fractions and percentages are one: if exactly one side is at most 1.5, the prediction is also tried in the gold's form, with the same tolerance."""
+    plain = close(gold, pred, absolute)
     small_gold, small_pred = F.abs(gold) <= 1.5, F.abs(pred) <= 1.5
-    scaled = F.when(small_gold & ~small_pred, close(gold, pred / 100, 0.0)).when(small_pred & ~small_gold, close(gold, pred * 100, 0.0)).otherwise(0.0)
+    scaled = F.when(small_gold & ~small_pred, close(gold, pred / 100, absolute)).when(small_pred & ~small_gold, close(gold, pred * 100, absolute)).otherwise(0.0)
     return F.greatest(plain, scaled)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindermap.functions.scalar import haversine_m
+from cindermap.operators.raster import valid
 from cindermap.sources.shared import staged
 
 
@@ -53,6 +54,17 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
     return _edges(ring, crosses) % 2 == 1
 
 
+def on_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on an edge."""
+
+    def on(a: Column, b: Column) -> Column:
+        straight = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        between = (x >= F.least(a["x"], b["x"])) & (x <= F.greatest(a["x"], b["x"])) & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"]))
+        return (straight & between).cast("double")
+
+    return _edges(ring, on) > 0
+
+
 def with_bounds(layer: DataFrame) -> DataFrame:
     """x0, y0, x1, y1 of the column ``ring``."""
     at = lambda f, k: f(F.transform("ring", lambda p: p[k]))
@@ -60,10 +72,11 @@ def with_bounds(layer: DataFrame) -> DataFrame:
 
 
 def point_in_ring(points: DataFrame, layer: DataFrame, size: int = 16) -> DataFrame:
-    """Pairs of points and polygons (column ``ring``) around them: candidates by grid cell, then ray casting."""
+    """Pairs of points and polygons (column ``ring``) strictly around them, so not on their edges: candidates by grid cell, then ray casting."""
     both = binned(points, size, "p_").join(binned(with_bounds(layer), size, "a_"), ["bx", "by"])
     inside = (F.col("p_px") >= F.col("a_x0")) & (F.col("p_px") <= F.col("a_x1")) & (F.col("p_py") >= F.col("a_y0")) & (F.col("p_py") <= F.col("a_y1"))
-    return both.where(inside).where(ring_contains(F.col("a_ring"), F.col("p_px"), F.col("p_py")))
+    at = F.col("a_ring"), F.col("p_px"), F.col("p_py")
+    return both.where(inside).where(ring_contains(*at) & ~on_ring(*at))
 
 
 def filter_by_area(layer: DataFrame, min_m2: float, pixel_m: float) -> DataFrame:
@@ -164,45 +177,59 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, size: int = 16) -> DataFrame
 
 def zonal(layer: DataFrame, cells: DataFrame, nodata: float | None) -> DataFrame:
     """Statistics of the valid cells whose centre lies in a rectangle; one raster, cells and layer in one pixel frame."""
-    ok = cells.where(F.col("value").isNotNull() if nodata is None else F.col("value") != nodata)
+    ok = cells.where(valid(F.col("value"), nodata))
     points = ok.select((F.col("c") + 0.5).alias("px"), (F.col("r") + 0.5).alias("py"), "value")
     hits = point_in_polygon(points, layer)
     return hits.groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("pixel_count"), F.avg("p_value").alias("mean"), F.min("p_value").alias("min"), F.max("p_value").alias("max"), F.stddev_pop("p_value").alias("std"))
 
 
-def touches_cell(ring: Column, r: Column, c: Column) -> Column:
-    """Whether an edge of the ring meets the pixel (r, c), a unit square with its border."""
-
-    def meets(a: Column, b: Column) -> Column:
-        t0, t1, beside = F.lit(0.0), F.lit(1.0), F.lit(True)
-        for k, lo in (("x", c), ("y", r)):
-            d = (b[k] - a[k]).cast("double")
-            enter, leave = F.try_divide(lo - a[k], d), F.try_divide(lo + 1 - a[k], d)
-            beside = beside & ((d != 0) | ((a[k] >= lo) & (a[k] <= lo + 1)))
-            t0, t1 = F.greatest(t0, F.least(enter, leave)), F.least(t1, F.greatest(enter, leave))
-        return F.when(beside & (t0 <= t1), 1.0).otherwise(0.0)
+def _ring_edges(ring: Column) -> Column:
+    after = F.concat(F.slice(ring, 2, F.greatest(F.lit(0), F.size(ring) - 1)), F.slice(ring, 1, 1))
+    number = lambda p, k: p[k].cast("double")
+    return F.zip_with(ring, after, lambda a, b: F.struct(number(a, "x").alias("ax"), number(a, "y").alias("ay"), number(b, "x").alias("bx"), number(b, "y").alias("by")))
 
-    return _edges(ring, meets) > 0
 
+def burnt(layer: DataFrame, by: list[str], all_touched: bool = False) -> DataFrame:
+    """The cells of shapes (column ``ring``) as runs: the columns ``by``, r, c0, c1, each cell of a shape in at least one of them.
 
-def raster_stats(layer: DataFrame, cells: DataFrame, nodata: float | None, min_pixels: int = 1, all_touched: bool = False, size: int = 16) -> tuple[DataFrame, DataFrame]:
+    A ring of one vertex is a point and takes the cell around it; other rings take the cells whose centre they hold, by the
+    crossings of their edges with each row's middle, or with ``all_touched`` also those that an edge meets. Null and empty rings take none.
+    """
+    shapes = with_bounds(layer.where(F.size("ring") > 0).select(*by, "ring"))
+    rows = lambda lo, hi: F.explode(F.filter(F.sequence(lo.cast("long"), F.greatest(lo, hi).cast("long")), lambda r: r <= hi))
+    run = lambda lo, hi: F.struct(lo.cast("long").alias("c0"), hi.cast("long").alias("c1"))
+    points = shapes.where(F.size("ring") == 1).select(*by, F.floor("y0").alias("r"), run(F.floor("x0"), F.floor("x0")).alias("run"))
+    lined = shapes.where(F.size("ring") > 1).withColumn("edges", _ring_edges(F.col("ring")))
+    # A centre is inside from the first crossing to the one before the second.
+    crossed = lined.select(*by, "edges", rows(F.ceil(F.col("y0") - 0.5), F.floor(F.col("y1") - 0.5)).alias("r"))
+    y = F.col("r") + 0.5
+    at = F.transform(F.filter("edges", lambda e: (e["ay"] > y) != (e["by"] > y)), lambda e: (e["bx"] - e["ax"]) * ((y - e["ay"]) / (e["by"] - e["ay"])) + e["ax"])
+    crossed = crossed.select(*by, "r", F.array_sort(at).alias("x")).where(F.size("x") > 1)
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda k: run(F.ceil(F.get("x", 2 * k) - 0.5), F.ceil(F.get("x", 2 * k + 1) - 0.5) - 1))
+    runs = points.unionByName(crossed.select(*by, "r", F.explode(pairs).alias("run")))
+    if all_touched:
+        edges = lined.select(*by, F.explode("edges").alias("e")).select(*by, "e.*")
+        low, high = F.least("ay", "by"), F.greatest("ay", "by")
+        met = edges.select("*", rows(F.ceil(low - 1), F.floor(high)).alias("r"))
+        # The part of the edge within the row, borders included.
+        place = lambda v: F.when(F.col("ay") == F.col("by"), F.lit(None)).otherwise(F.col("ax") + (F.col("bx") - F.col("ax")) * F.try_divide(F.greatest(low, F.least(high, v)) - F.col("ay"), F.col("by") - F.col("ay")))
+        a, b = F.coalesce(place(F.col("r")), F.col("ax")), F.coalesce(place(F.col("r") + 1), F.col("bx"))
+        runs = runs.unionByName(met.select(*by, "r", run(F.ceil(F.least(a, b) - 1), F.floor(F.greatest(a, b))).alias("run")))
+    return runs.select(*by, "r", "run.c0", "run.c1").where("c0 <= c1")
+
+
+def raster_stats(layer: DataFrame, cells: DataFrame, nodata: float | None, min_pixels: int = 1, all_touched: bool = False, width: int = 64) -> tuple[DataFrame, DataFrame]:
     """Statistics of the valid cells under each feature (raster_id, id, ring) of its raster, and of all features' cells together.
 
-    A ring of one vertex is a point and takes the cell around it; other rings take the cells whose centre they hold, or with
-    ``all_touched`` those they meet. Features of fewer than ``min_pixels`` valid cells are left out of both results. A cell
-    under several features counts once in the second result, which has one row a raster. Null and empty rings take no cell.
+    Features are burnt into runs of cells once (``burnt``), which meet the raster's cells by row and stretch of ``width`` columns. Null, NaN
+    and infinite values are not valid. Features of fewer than ``min_pixels`` valid cells are left out of both results. A cell under several
+    features counts once in the second result, which has one row a raster.
     """
-    ok = F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
-    ok = ok if nodata is None else ok & (F.col("value") != nodata)
-    px = cells.where(ok).select("raster_id", "r", "c", "value", F.floor(F.col("c") / size).alias("bx"), F.floor(F.col("r") / size).alias("by"))
-    shapes = with_bounds(layer.where(F.size("ring") > 0).select("raster_id", "id", "ring"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.floor(lo) / size), F.floor(F.floor(hi) / size)))
-    binned_shapes = shapes.select("*", span("x0", "x1").alias("bx")).select("*", span("y0", "y1").alias("by"))
-    near = px.join(binned_shapes, ["raster_id", "bx", "by"]).where("c <= x1 AND c + 1 >= x0 AND r <= y1 AND r + 1 >= y0")
-    point = (F.col("c") == F.floor("x0")) & (F.col("r") == F.floor("y0"))
-    inside = ring_contains(F.col("ring"), F.col("c") + 0.5, F.col("r") + 0.5)
-    taken = inside | touches_cell(F.col("ring"), F.col("r"), F.col("c")) if all_touched else inside
-    hits = near.where(F.when(F.size("ring") == 1, point).otherwise(taken)).select("raster_id", "id", "r", "c", "value")
+    px = cells.where(valid(F.col("value"), nodata)).select("raster_id", "r", "c", "value", F.floor(F.col("c") / width).alias("stretch"))
+    runs = burnt(layer, ["raster_id", "id"], all_touched).where("r >= 0 AND c1 >= 0")
+    runs = runs.select("*", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("c0")) / width), F.floor(F.col("c1") / width))).alias("stretch"))
+    hits = px.join(runs, ["raster_id", "r", "stretch"]).where("c BETWEEN c0 AND c1").select("raster_id", "id", "r", "c", "value")
+    hits = hits.dropDuplicates(["raster_id", "id", "r", "c"]) if all_touched else hits
     measures = [F.count(F.lit(1)).alias("pixel_count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("std")]
     features = hits.groupBy("raster_id", "id").agg(*measures).where(F.col("pixel_count") >= min_pixels)
     kept = hits if min_pixels <= 1 else hits.join(features.select("raster_id", "id"), ["raster_id", "id"], "left_semi")
