@@ -22,7 +22,8 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_file(path: str, chunks) -> int:
-    """Write the chunks to ``path``. A retried or speculative task cannot leave half a file: the name appears by a rename."""
+    """Write the chunks to ``path``. A retried or speculative task cannot leave half a file: the name appears by a rename, and where a
+    store refuses to rename onto the file of an earlier attempt at the same task, that file stays."""
     fs, name = store(path)
     fs.create_dir(posixpath.dirname(name), recursive=True)
     half, size = f"{name}.{uuid.uuid4().hex}.tmp", 0
@@ -30,10 +31,20 @@ def write_file(path: str, chunks) -> int:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    fs.move(half, name)
+    moved(fs, half, name)
     return size
 
 
+def moved(fs: pafs.FileSystem, half: str, name: str) -> None:
+    """Give a whole file its name; the same file of an earlier attempt may be there already."""
+    try:
+        fs.move(half, name)
+    except OSError:
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(half)
+
+
 def read_file(path: str) -> bytes:
     fs, name = store(path)
     with fs.open_input_stream(name, compression=None) as f:

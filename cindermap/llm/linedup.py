@@ -44,7 +44,7 @@ SHARD_KEYS = 1_000_000
 #: Shards that a worker keeps in memory.
 KEPT_SHARDS = 8
 #: Bytes of text whose lines are probed together, in whole Arrow batches.
-PROBED = 16 << 20
+PROBED, ROW_BYTES = 16 << 20, 64
 NO_ID = -(2**63)
 COUNTS = pa.schema([("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
 _shards: OrderedDict[str, "PerfectHash"] = OrderedDict()
@@ -234,11 +234,11 @@ def kept_lines(docs: list[tuple[pa.Array, pa.Array]], folder: str, shards: int,
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches put together until they hold ``PROBED`` bytes of text."""
+    """Batches put together until they hold ``PROBED`` bytes of text; a row counts ``ROW_BYTES`` beside its text."""
     held, size = [], 0
     for rows in batches:
         held.append(rows)
-        size += pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0
+        size += (pc.sum(pc.binary_length(rows.column("text"))).as_py() or 0) + ROW_BYTES * rows.num_rows
         if size >= PROBED:
             yield held
             held, size = [], 0

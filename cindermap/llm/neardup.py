@@ -192,6 +192,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int
     found = near_duplicate_groups(docs, shingle, max_bits, similarity).where("doc_id IS NOT NULL")
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("at.doc_id", "at.text_hash")
     first = first.toDF("_doc", "_text")
-    rows = docs.where("doc_id IS NOT NULL").withColumn("_near_text_hash", F.xxhash64("text"))
-    kept = rows.join(first, (rows["doc_id"] == first["_doc"]) & (rows["_near_text_hash"] == first["_text"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_near_text_hash"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    mark = "_near_text_hash"
+    while mark in {c.lower() for c in docs.columns}:
+        mark = f"_{mark}"
+    rows = docs.where("doc_id IS NOT NULL").withColumn(mark, F.xxhash64("text"))
+    kept = rows.join(first, (rows["doc_id"] == first["_doc"]) & (rows[mark] == first["_text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns).union(docs.where("doc_id IS NULL"))

@@ -6,12 +6,15 @@ files of about the target's size or, if they are too little, one of the next tie
 shards stay for readers of old versions until ``vacuum``.
 
 Every change names the version it is based on. A writer claims the next version by creating the claim file of its first
-attempt, which one writer alone can; it then renames the manifest into place. Who finds the version taken looks at the newest
-manifest again and makes its change on that one: an append adds its shards, a merge is dropped if a shard of its run has gone
-(another compactor was faster). A claim without a manifest expires after ``lease`` seconds; then the next attempt may be
-claimed, which voids the former one. If the slow writer's manifest is there after all, the new attempt passes it on
-unchanged, and as shards have unique names, a writer sees whether its change is already in. Readers see only versions
-whose last attempt has a manifest, so they see a version whole or not at all.
+attempt, which one writer alone can, and writes its draft of the manifest. Renaming the claim decides: to ``won`` by its writer, who then
+renames the draft into place, or to ``void`` by another writer that finds the claim older than ``lease`` seconds; a file can be renamed
+once, so a version has one manifest, and a slow writer learns that it was voided. A writer that dies between its two renames has won,
+and whoever comes next puts its draft into place. Who finds the version taken looks at the newest manifest again and makes
+its change on that one: an append adds its shards, a merge is dropped if a shard of its run has gone (another compactor was
+faster). A manifest that is there counts, whatever claims come later; readers see a version whole or not at all.
+
+This needs a file system whose exclusive creation and renames are atomic (HDFS, POSIX); plain object stores are not. Claims' ages are taken
+from its clock alone.
 
 Rows are only copied, partition by partition, without a shuffle; each row is written about log_FAN(target / arrival) times.
 The driver handles file names and sizes, never rows.
@@ -30,6 +33,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +44,10 @@ from cindermap.llm.common import shared_dir, table
 TARGET, FAN = 32 << 20, 4
 #: Seconds after which a claim without a manifest counts as a dead writer's.
 LEASE = 60.0
-#: The claim and the manifest of an attempt at a version.
-NAME = re.compile(r"(\d+)\.(\d+)\.(claim|json)")
+#: Seconds for which ``vacuum`` keeps shards that no manifest lists: their writers may be about to commit them.
+ORPHANS = 86_400.0
+#: What there can be of an attempt at a version.
+NAME = re.compile(r"(\d+)\.(\d+)\.(claim|draft|won|void|json)")
 
 
 @dataclass(frozen=True)
@@ -84,7 +90,7 @@ class Lake:
 
     def versions(self) -> dict[int, int]:
         """The committed versions, and the attempt that counts for each."""
-        return {v: max(tries) for v, tries in self._attempts().items() if "json" in tries[max(tries)]}
+        return {v: min(own) for v, tries in self._attempts().items() if (own := [k for k, kinds in tries.items() if "json" in kinds])}
 
     def version(self) -> int:
         return max(self.versions(), default=0)
@@ -95,34 +101,68 @@ class Lake:
         return self._read(version, known[version]) if version else []
 
     def _read(self, version: int, attempt: int) -> list[Shard]:
-        text = self.spark.read.text(self._file(version, attempt, "json").toString(), wholetext=True).first()[0]
+        stream = self._fs.open(self._file(version, attempt, "json"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
         return [Shard(**x) for x in json.loads(text)["shards"]]
 
+    def _renamed(self, version: int, attempt: int, kind: str, to: str) -> bool:
+        """Whether we renamed the file; False if another writer did."""
+        try:
+            return bool(self._fs.rename(self._file(version, attempt, kind), self._file(version, attempt, to)))
+        except Py4JJavaError:
+            if self._fs.exists(self._file(version, attempt, kind)):
+                raise
+            return False
+
+    def _age(self, path) -> float:
+        """Seconds since the file was written, by the file system's own clock."""
+        probe = self._path(f"{self.folder}/manifests/.clock-{uuid.uuid4().hex}")
+        self._fs.create(probe, True).close()
+        now = self._fs.getFileStatus(probe).getModificationTime()
+        self._fs.delete(probe, False)
+        return (now - self._fs.getFileStatus(path).getModificationTime()) / 1000
+
     def _claim(self, version: int) -> int | None:
         """The number of our attempt at a version; None if it is committed or another writer is at it."""
         tries = self._attempts().get(version, {})
         last = max(tries, default=-1)
-        if last >= 0:
-            if "json" in tries[last]:
+        if any("json" in kinds for kinds in tries.values()):
+            return None
+        if last >= 0 and "won" in tries[last]:
+            self._renamed(version, last, "draft", "json")  # its writer died before this, or is just doing it
+            return None
+        if last >= 0 and "void" not in tries[last]:
+            claim = self._file(version, last, "claim")
+            try:
+                if self._age(claim) < self.lease:
+                    return None
+            except Py4JJavaError:
+                if self._fs.exists(claim):
+                    raise
                 return None
-            age = time.time() - self._fs.getFileStatus(self._file(version, last, "claim")).getModificationTime() / 1000
-            if age < self.lease:
+            if not self._renamed(version, last, "claim", "void"):
                 return None
         return last + 1 if self._fs.createNewFile(self._file(version, last + 1, "claim")) else None
 
-    def _publish(self, version: int, attempt: int, shards: list[Shard]) -> None:
-        """The rename makes the manifest visible whole; the name is this attempt's own."""
-        half = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(half, False)
+    def _publish(self, version: int, attempt: int, shards: list[Shard]) -> bool:
+        """Commit an attempt that we claimed; False if it was voided meanwhile."""
+        out = self._fs.create(self._file(version, attempt, "draft"), True)
         try:
             out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             out.close()
-        if not self._fs.rename(half, self._file(version, attempt, "json")):
+        if not self._renamed(version, attempt, "claim", "won"):
+            return False
+        if not self._renamed(version, attempt, "draft", "json") and not self._fs.exists(self._file(version, attempt, "json")):
             raise OSError(f"cannot write the manifest of version {version}")
+        return True
 
     def update(self, change: Callable[[list[Shard]], list[Shard] | None]) -> bool:
         """Commit ``change(newest manifest)``; on the then newest one if another writer is faster. False if it gives None: nothing to do (any more)."""
+        pause = 0.05
         while True:
             base = self.version()
             shards = change(self.manifest(base))
@@ -130,14 +170,9 @@ class Lake:
                 return False
             attempt = self._claim(base + 1)
             if attempt is None:
-                time.sleep(0.05)
-                continue
-            earlier = [k for k, kinds in self._attempts()[base + 1].items() if k < attempt and "json" in kinds]
-            if earlier:
-                self._publish(base + 1, attempt, self._read(base + 1, max(earlier)))
-                continue
-            self._publish(base + 1, attempt, shards)
-            if max(self._attempts()[base + 1]) == attempt:
+                time.sleep(pause)
+                pause = min(2.0, pause * 1.5)
+            elif base + 1 not in self.versions() and self._publish(base + 1, attempt, shards):
                 return True
 
     def _new(self, merged: int) -> str:
@@ -214,11 +249,27 @@ class Lake:
         rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards))
         return rows.select("*", F.xxhash64(name).alias(self.shard_column), F.regexp_extract(name, "^m([0-9]+)-", 1).cast("int").alias(self.merged_column))
 
-    def vacuum(self) -> int:
-        """Delete the shards that the newest version does not list; readers of older versions must have ended."""
-        used = {s.path for s in self.manifest()}
-        gone = [s.path for v in sorted(self.versions())[:-1] for s in self.manifest(v) if s.path not in used]
-        return sum(bool(self._fs.delete(self._path(p), False)) for p in dict.fromkeys(gone))
+    def vacuum(self, orphans: float = ORPHANS) -> int:
+        """Delete the shards that the newest version does not list, and all manifests before it; readers of older versions must have ended.
+        Shards that no manifest lists are dead writers' if they are older than ``orphans`` seconds. Returns the number of shards deleted."""
+        known = self.versions()
+        newest = max(known, default=0)
+        used = {s.path for s in self.manifest(newest)}
+        gone = {s.path for v in known if v != newest for s in self.manifest(v)} - used
+        top = self._path(f"{self.folder}/shards")
+        walk = self._fs.listFiles(top, True) if self._fs.exists(top) else None
+        while walk is not None and walk.hasNext():
+            path = walk.next().getPath()
+            name = str(path.toString())
+            if name.endswith(".parquet") and name not in used | gone and self._age(path) > orphans:
+                gone.add(name)
+        deleted = sum(bool(self._fs.delete(self._path(p), False)) for p in sorted(gone))
+        for version, tries in self._attempts().items():
+            if version < newest:
+                for attempt, kinds in tries.items():
+                    for kind in kinds:
+                        self._fs.delete(self._file(version, attempt, kind), False)
+        return deleted
 
 
 def op6_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindermap.llm.common import batch, shared_dir, store, table
+from cindermap.llm.common import batch, moved, shared_dir, store, table
 from cindermap.llm.tokens import encoded_texts
 
 NO_ID = -(2**63)
@@ -58,8 +58,8 @@ def _write_part(folder: str, tokenizer: str, end_id: int, dtype: np.dtype):
         with fs.open_output_stream(f"{half}.idx") as out:
             out.write(np.concatenate([[0], np.cumsum(sizes), ids]).astype("<i8").tobytes())
         # A part gets its name when it is whole, so a task that is run again replaces it.
-        fs.move(f"{half}.bin", f"{name}.bin")
-        fs.move(f"{half}.idx", f"{name}.idx")
+        moved(fs, f"{half}.bin", f"{name}.bin")
+        moved(fs, f"{half}.idx", f"{name}.idx")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(ids)], "n_tokens": [int(np.sum(sizes))]})
 
     return write

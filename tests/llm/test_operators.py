@@ -515,6 +515,46 @@ def test_dead_and_slow_writers(spark):
     assert lake.manifest(done[0]) == slow and ids_in(lake) == sorted([*range(10), 5])
 
 
+def test_late_claims_and_dead_winners(spark):
+    table, lake = filled(spark, arrivals=1, rows=10, lease=0.0)
+    last = lake.version()
+    # A claim that comes late for a committed version hides nothing.
+    assert lake._fs.createNewFile(lake._file(last, 7, "claim"))
+    assert lake.version() == last and len(ids_in(lake)) == 10
+    lake.append(table.where("id < 2").coalesce(1))
+    assert len(ids_in(lake)) == 12
+    # A slow writer whose claim was voided learns it, and its change is made on the version of the one who took over.
+    slow = shards.Lake(spark, lake.folder, table.schema, lease=0.0)
+    real = slow._publish
+
+    def overtaken(version, attempt, own):
+        slow._publish = real
+        lake.append(table.where("id = 3").coalesce(1))
+        return real(version, attempt, own)
+
+    slow._publish = overtaken
+    slow.append(table.where("id = 4").coalesce(1))
+    assert ids_in(lake) == sorted([*range(10), 0, 1, 3, 4])
+    # A writer that dies after it has won: the next one puts its manifest into place.
+    rename = lake._renamed
+    lake._renamed = lambda v, k, a, b: False if b == "json" else rename(v, k, a, b)
+    with pytest.raises(OSError):
+        lake.append(table.where("id = 5").coalesce(1))
+    lake._renamed = rename
+    slow.append(table.where("id = 6").coalesce(1))
+    assert ids_in(lake) == sorted([*range(10), 0, 1, 3, 4, 5, 6])
+    # Vacuum: old manifests go, what no manifest lists only after its time.
+    table.where("id = 7").coalesce(1).write.parquet(lake._new(0))
+    assert lake.vacuum() == 0 and len(lake.versions()) == 1 and lake.vacuum(orphans=-1.0) == 1
+    assert ids_in(lake) == sorted([*range(10), 0, 1, 3, 4, 5, 6])
+
+
+def test_near_dedup_keeps_a_column_of_its_own_name(spark):
+    rows = [(1, passage(2, 80), 5), (2, passage(2, 80), 6), (3, passage(9, 80), 7)]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _near_text_hash long"))
+    assert sorted((r["doc_id"], r["_near_text_hash"]) for r in kept.collect()) == [(1, 5), (3, 7)]
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
