@@ -5,9 +5,9 @@ name it and at what rank. A query reads the files of its own pivots and adds up,
 orders' footrule distance falls below that of orders with nothing in common; the vectors of smallest footrule distance are
 compared exactly, and the nearest stay.
 
-Vectors are dealt to blocks of about ``BLOCK`` rows by a hash, each block with inverted files of its own; the stated
-queries go to every block, in chunks (``CHUNK``), so no task holds more than a block and a chunk, and hot pivots are spread
-over all blocks. Each block reranks ``SHARE`` of its rows and returns a query's k best, so that what is shuffled grows
+Vectors are dealt to blocks of about ``BLOCK`` rows by a hash, each block with inverted files of its own; hot pivots so are spread over all
+blocks. Every vector is shuffled once. The stated queries go to every block and stream past it batch by batch, so a task holds one block
+and one batch, however many queries there are. Each block reranks ``SHARE`` of its rows and returns a query's k best, so that what is shuffled grows
 with queries times blocks times k. Equal vectors of a block are indexed once, with all their ids, and entries that tie with the
 last one to be reranked are reranked too, so a hot vector keeps neither its smaller ids nor other vectors out. Pivots are
 the distinct vectors of a bounded sample (the ``PIVOTS`` smallest hashes of vec_id); all rows are indexed.
@@ -20,7 +20,7 @@ empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cindermap.llm.common import table
 
 PIVOTS, PREFIX, SHARE = 256, 64, 0.12
-BLOCK, CHUNK = 4096, 4096
+BLOCK = 4096
 K = 10
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -70,38 +70,65 @@ class InvertedFiles:
         return p * (p + 1) - 2 * near
 
 
-def _search(pivots: np.ndarray, prefix: int, share: float, k: int) -> Callable[[pa.Table], pa.Table]:
-    def search(rows: pa.Table) -> pa.Table:
-        ids, is_query = rows.column("vec_id").to_numpy(), rows.column("is_query").to_numpy()
-        x = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        own, queries, own_ids, query_ids = x[~is_query], x[is_query], ids[~is_query], ids[is_query]
+class Block:
+    """Vectors with their inverted files. Equal vectors are one entry, with the rows that hold it in the order of their ids."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int, share: float, k: int):
+        self.ids, self.pivots, self.prefix, self.k = ids, pivots, prefix, k
+        self.distinct, entry = np.unique(vectors, axis=0, return_inverse=True)
+        self.entry = entry.ravel()
+        self.by_entry = np.lexsort((ids, self.entry))
+        self.held = np.bincount(self.entry)
+        self.starts = np.cumsum(self.held) - self.held
+        self.files = InvertedFiles(nearest_pivots(self.distinct, pivots, prefix), len(pivots))
+        self.most = min(len(self.distinct), max(20 * k, round(share * len(vectors))))
+        by_id = np.argsort(ids, kind="stable")
+        self.sorted_ids, self.by_id = ids[by_id], by_id
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
-        if len(own) and len(queries):
-            # Equal vectors are one entry, with the rows that hold it in the order of their ids.
-            distinct, entry = np.unique(own, axis=0, return_inverse=True)
-            entry = entry.ravel()
-            by_entry = np.lexsort((own_ids, entry))
-            held = np.bincount(entry)
-            starts = np.cumsum(held) - held
-            files = InvertedFiles(nearest_pivots(distinct, pivots, prefix), len(pivots))
-            most = min(len(distinct), max(20 * k, round(share * len(own))))
-            for order, q, q_id in zip(nearest_pivots(queries, pivots, prefix), queries, query_ids, strict=True):
-                apart = files.footrule(order)
-                near = np.flatnonzero(apart <= np.partition(apart, most - 1)[most - 1])
-                same_id = np.bincount(entry[own_ids == q_id], minlength=len(held))
-                near = near[held[near] > same_id[near]]
-                if not len(near):
-                    continue
-                score = np.sqrt(((distinct[near] - q) ** 2).sum(1))
-                kept = np.flatnonzero(score <= np.partition(score, min(k, len(near)) - 1)[min(k, len(near)) - 1])
-                rows_of = [by_entry[starts[e] : starts[e] + min(held[e], k + same_id[e])] for e in near[kept]]
-                score = np.repeat(score[kept], list(map(len, rows_of)))
-                found = own_ids[np.concatenate(rows_of)]
-                found, score = found[found != q_id], score[found != q_id]
-                best = np.lexsort((found, score))[:k]
-                out.append((np.full(len(best), q_id), found[best], score[best]))
+        for order, q, q_id in zip(nearest_pivots(queries, self.pivots, self.prefix), queries, q_ids, strict=True):
+            apart = self.files.footrule(order)
+            near = np.flatnonzero(apart <= np.partition(apart, self.most - 1)[self.most - 1])
+            a, b = np.searchsorted(self.sorted_ids, [q_id, q_id + 1])
+            same_id = np.bincount(self.entry[self.by_id[a:b]], minlength=len(self.held))
+            near = near[self.held[near] > same_id[near]]
+            if not len(near):
+                continue
+            score = np.sqrt(((self.distinct[near] - q) ** 2).sum(1))
+            kept = np.flatnonzero(score <= np.partition(score, min(self.k, len(near)) - 1)[min(self.k, len(near)) - 1])
+            rows_of = [self.by_entry[self.starts[e] : self.starts[e] + min(self.held[e], self.k + same_id[e])] for e in near[kept]]
+            score = np.repeat(score[kept], list(map(len, rows_of)))
+            found = self.ids[np.concatenate(rows_of)]
+            found, score = found[found != q_id], score[found != q_id]
+            best = np.lexsort((found, score))[: self.k]
+            out.append((np.full(len(best), q_id), found[best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
+def _search(pivots: np.ndarray, prefix: int, share: float, k: int):
+    """Rows come block by block, a block's vectors before its queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ready = None, [], None
+        for rows in batches:
+            block, is_query = rows.column("block").to_numpy(), rows.column("is_query").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(block)], strict=True):
+                if a == b:
+                    continue
+                if block[a] != at:
+                    at, held, ready = block[a], [], None
+                part = rows.slice(a, b - a)
+                own = part.column("vec_id").to_numpy(), part.column("embedding").flatten().to_numpy().reshape(b - a, -1)
+                if not is_query[a]:
+                    held.append(own)
+                    continue
+                if held:
+                    ready, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True)), pivots, prefix, share, k), []
+                if ready is not None:
+                    yield ready.search(*own)
 
     return search
 
@@ -109,16 +136,16 @@ def _search(pivots: np.ndarray, prefix: int, share: float, k: int) -> Callable[[
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance in double precision) of each query's k nearest found."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & usable())
-    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("queries")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    size, n, queries = sizes[0] if sizes else (0, 0, 0)
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
+    size, n = sizes[0][:2] if sizes else (0, 0)
     rows = rows.where(F.size("embedding") == size)
     drawn = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     marks = np.unique(np.array([r["embedding"] for r in drawn], float).reshape(len(drawn), size), axis=0)
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-queries // CHUNK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    stored = rows.withColumn("is_query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
-    asked = rows.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))
-    found = stored.unionByName(asked).groupBy("block", "chunk").applyInArrow(_search(marks, min(prefix, max(1, len(marks))), share, k), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-n // BLOCK))
+    stored = rows.withColumn("is_query", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int"))
+    asked = rows.where("is_query").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = stored.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "is_query")
+    found = dealt.mapInArrow(_search(marks, min(prefix, max(1, len(marks))), share, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
