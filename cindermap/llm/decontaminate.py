@@ -150,21 +150,33 @@ def aligned(item: list[str], own: list[str], diagonals: list[int], min_score: fl
     return best / (MATCH * len(item)), end
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of a task once, so that a row that repeats very often is no large group."""
+    seen: set[int] = set()
+    for rows in batches:
+        keys = rows.column("doc").to_pylist()
+        kept = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        yield rows.select(["doc", "doc_id", "text"]).take(pa.array(kept, pa.int64()))
+
+
 def _verify(min_score: float):
     """Rows come document by document: its text first, then the items to align it with."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
+        at, own, named, whole = None, None, None, None
         for rows in batches:
             out = []
             columns = [rows.column(c) for c in ("doc", "doc_id", "text", "item_id", "diagonals")]
             for doc, doc_id, text, item_id, diagonals in zip(*columns, strict=True):
                 if item_id.as_py() is None:
-                    at, own = doc.as_py(), (doc_id.as_py(), split(text.as_py()))
+                    if doc.as_py() != at:
+                        at, own, named = doc.as_py(), None, doc_id.as_py()
+                        whole = text
                 elif doc.as_py() == at:
-                    score, end = aligned(split(text.as_py()), own[1], diagonals.as_py(), min_score)
+                    own = split(whole.as_py()) if own is None else own
+                    score, end = aligned(split(text.as_py()), own, diagonals.as_py(), min_score)
                     if score >= min_score:
-                        out.append((own[0], item_id.as_py(), score, end))
+                        out.append((named, item_id.as_py(), score, end))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["doc_id", "item_id", "score", "end_word"])
 
     return verify
@@ -192,7 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: f
     hits = staged(docs.mapInArrow(_scan(n, gram_filter(item_grams)), "doc long, gram long, places array<int>"), "gram-hits")
     pairs = staged(seeded(hits, item_grams), "candidates")
     asked = pairs.join(items, "item").select("doc", F.lit(None).cast("long").alias("doc_id"), "text", "item_id", "diagonals")
-    held = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("array<int>").alias("diagonals"))
+    # All texts are dealt out once, with their candidates behind them: one shuffle, the same at every size.
+    held = docs.mapInArrow(_once, "doc long, doc_id long, text string").select("*", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("array<int>").alias("diagonals"))
     rows = held.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("item_id").isNotNull(), "item_id")
     checked = rows.mapInArrow(_verify(min_score), "doc_id long, item_id long, score double, end_word int")
     return checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("best")).select("doc_id", "item_id", "best.score", "best.end_word")
