@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators import overlay, roads
+from cindermap.operators import overlay, proximity, roads, vector
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
 
@@ -150,10 +150,86 @@ def snapped_routes(spark, d):
     s = C("s_suppkey")
     r, c, i, j, n = 24 + s % 5, 24 + s % 7, 2 + s % 5, 2 + s % 4, 8 + s * 3 % 9
     zero = F.lit(0).cast("long")
-    asked = [(0, s, r - i, c - 1, r + 1, c + j), (1, s, r - 2, c, r - 5, c), (2, s, r - n, c, r, c), (3, s, zero, zero, r, c), (4, -s, r, c, r, c)]
+    asked = [(0, s, r - i, c - 1, r + 1, c + j), (1, s, r - 2, c, r - 5, c), (2, s, r - n, c, r, c), (3, s, zero, zero, r, c), (4, -1 - s, r, c, r, c)]
     names = ("graph", "sr", "sc", "er", "ec")
     each = F.explode(F.array(*[F.struct((s * 10 + k).alias("id"), *[x.cast("long").alias(a) for x, a in zip(rest, names)]) for k, *rest in asked]))
     requests = T.table(spark, d, "supplier").select(each.alias("q")).select("q.*")
     found = roads.snapped_routes(edges, requests)
     ends = [C(e).cast("long").alias(e) for e in ("start_r", "start_c", "end_r", "end_c")]
     return found.select("id", "status", six(C("distance_px")).alias("distance_px"), *ends, F.when(C("path").isNotNull(), F.size("path")).alias("pixels"))
+
+
+# --- distances, buffers, cells ---------------------------------------------------------------------------------------
+
+
+def geometries(spark, d, lines: bool) -> DataFrame:
+    """Shapes without triangles as filled geometries; with ``lines``, of the rectangles: lower edges (even ids) and whole rectangles."""
+    if not lines:
+        return shapes(spark, d, triangles=False).select("id", "class", C("rings").alias("parts"), F.lit(True).alias("filled"))
+    at = lambda x, y: F.struct(C(x).cast("double").alias("x"), C(y).cast("double").alias("y"))
+    even = C("id") % 2 == 0
+    part = F.when(even, F.array(at("x0", "y0"), at("x1", "y0"))).otherwise(F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")))
+    return T.rects(spark, d).select("id", "class", F.array(part).alias("parts"), (~even).alias("filled"))
+
+
+#: Distances by rectangles that make up the shapes; an even id of the other layer is its lower edge.
+DISTANCES = """pieces AS (
+  SELECT id, class, x0, y0, x1, y1 FROM rects WHERE id % 3 = 2
+  UNION ALL SELECT id, class, x0, y0, x1, (y0 + y1) / 2.0 FROM rects WHERE id % 3 = 1 UNION ALL SELECT id, class, x0, y0, (x0 + x1) / 2.0, y1 FROM rects WHERE id % 3 = 1
+  UNION ALL SELECT id, class, x0, y0, x1, y0 + (y1 - y0) / 4.0 FROM rects WHERE id % 3 = 0 UNION ALL SELECT id, class, x0, y1 - (y1 - y0) / 4.0, x1, y1 FROM rects WHERE id % 3 = 0
+  UNION ALL SELECT id, class, x0, y0, x0 + (x1 - x0) / 4.0, y1 FROM rects WHERE id % 3 = 0 UNION ALL SELECT id, class, x1 - (x1 - x0) / 4.0, y0, x1, y1 FROM rects WHERE id % 3 = 0
+), gaps AS (
+  SELECT a.id AS a_id, b.id AS b_id, greatest(0.0, a.x0 - b.x1, b.x0 - a.x1) AS dx, greatest(0.0, a.y0 - b.y1, b.y0 - CASE WHEN a.id % 2 = 0 THEN a.y0 ELSE a.y1 END) AS dy
+  FROM rects a JOIN pieces b ON a.class = 0 AND b.class = 1
+), far AS (SELECT a_id, b_id, min(sqrt(CAST(dx AS DOUBLE) * dx + CAST(dy AS DOUBLE) * dy)) AS distance FROM gaps GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS rank FROM far)"""
+
+
+def nearest_of(spark, d, k: int) -> DataFrame:
+    return proximity.nearest_geometries(geometries(spark, d, True).where("class = 0"), geometries(spark, d, False).where("class = 1"), k)
+
+
+def told_pairs(found: DataFrame) -> DataFrame:
+    """The connector's own length beside the distance."""
+    return found.select("a_id", C("rank").cast("int").alias("rank"), "b_id", six(C("distance")).alias("distance"), six(F.hypot(C("ax") - C("bx"), C("ay") - C("by"))).alias("link"))
+
+
+@query(f"WITH {DISTANCES} SELECT a_id, CAST(rank AS INT) AS rank, b_id, round(distance, 6) AS distance, round(distance, 6) AS link FROM ranked WHERE rank = 1", "rects")
+def nearest_geometry_k1(spark, d):
+    return told_pairs(nearest_of(spark, d, 1))
+
+
+@query(f"WITH {DISTANCES} SELECT a_id, CAST(rank AS INT) AS rank, b_id, round(distance, 6) AS distance, round(distance, 6) AS link FROM ranked WHERE rank <= 3", "rects")
+def nearest_geometry_k3(spark, d):
+    return told_pairs(nearest_of(spark, d, 3))
+
+
+@query(f"WITH {DISTANCES} SELECT a_id, CAST(rank AS INT) AS rank, b_id, round(distance, 6) AS distance, round(distance, 6) AS link FROM ranked ORDER BY distance, a_id, rank LIMIT 1", "rects")
+def closest_pair(spark, d):
+    return told_pairs(proximity.closest_pair(nearest_of(spark, d, 1)))
+
+
+#: A round corner of n quarters, with 16 segments a quarter, has n / 4 * 32 sin(2 pi / 64) r^2.
+ROUND = "32 * sin(pi() / 32)"
+
+
+@query(f"SELECT id, r AS distance, round(CASE id % 3 WHEN 2 THEN w * h + 2 * r * (w + h) + {ROUND} * r * r WHEN 1 THEN 0.75 * w * h + 2 * r * (w + h) - r * r + 1.25 * {ROUND} * r * r ELSE w * h + 2 * r * (w + h) + {ROUND} * r * r - greatest(0, w / 2 - 2 * r) * greatest(0, h / 2 - 2 * r) END, 6) AS area FROM (SELECT id, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM rects), (VALUES (CAST(0.125 AS DOUBLE)), (0.25)) k(r)", "rects")
+def buffer_outlines(spark, d):
+    """The area is that of the outline."""
+    made = proximity.buffers(geometries(spark, d, False), [0.125, 0.25])
+    return made.select("id", "distance", six(F.abs(F.aggregate("rings", F.lit(0.0), lambda t, r: t + overlay.signed_area(r)))).alias("area"))
+
+
+@query(f"SELECT id, r AS distance, round(CASE WHEN id % 2 = 0 THEN CASE WHEN r > 0 THEN 2 * r * w + {ROUND} * r * r ELSE 0 END WHEN r > 0 THEN w * h + 2 * r * (w + h) + {ROUND} * r * r ELSE (w + 2 * r) * (h + 2 * r) END, 6) AS area FROM (SELECT id, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM rects), (VALUES (CAST(2.5 AS DOUBLE)), (-0.25)) k(r)", "rects")
+def buffer_lines(spark, d):
+    """Lines, and rectangles that also shrink."""
+    return proximity.buffers(geometries(spark, d, True), [2.5, -0.25]).select("id", "distance", six(C("area")).alias("area"))
+
+
+@query("WITH s AS (SELECT DISTINCT px, py FROM sites) SELECT count(*) AS cells, count(*) AS own, round(CAST((max(px) - min(px) + 20) * (max(py) - min(py) + 20) AS DOUBLE), 4) AS area FROM s", "sites")
+def voronoi_cells(spark, d):
+    """Cells over the sites' bounds, widened by ten: how many, how many hold their own site, and their areas' sum."""
+    sites = T.sites(spark, d)
+    ends = sites.agg(F.min("px") - 10, F.min("py") - 10, F.max("px") + 10, F.max("py") + 10).first()
+    cells = proximity.voronoi(sites, tuple(map(float, ends))).join(sites.select("id", "px", "py"), "id")
+    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(vector.ring_contains(C("ring"), C("px"), C("py"))).alias("own"), F.round(F.sum("area"), 4).alias("area"))
