@@ -182,7 +182,7 @@ def _signed(ring: np.ndarray) -> float:
 
 
 def buffered(parts: list[np.ndarray], filled: bool, distance: float) -> tuple[float, list[np.ndarray]]:
-    """Area and rings of what lies within ``distance`` of a geometry; for a negative one, of what is left of a polygon that far from its border."""
+    """Area and rings of what lies within ``distance`` of a geometry; for a negative one, of what is left of a polygon that far from its border. A polygon's rings must not cross themselves."""
     radius, pieces = abs(distance), []
     if distance <= 0 and not filled:
         return 0.0, []
