@@ -1,11 +1,11 @@
-"""Registered queries over general polygons, lines and road networks, each with its SQL for DuckDB."""
+"""Registered queries over general polygons, lines, road networks and nested arguments, each with its SQL for DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators import overlay, proximity, roads, vector
+from cindermap.operators import arguments, overlay, proximity, roads, vector
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
 
@@ -233,3 +233,33 @@ def voronoi_cells(spark, d):
     ends = sites.agg(F.min("px") - 10, F.min("py") - 10, F.max("px") + 10, F.max("py") + 10).first()
     cells = proximity.voronoi(sites, tuple(map(float, ends))).join(sites.select("id", "px", "py"), "id")
     return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(vector.ring_contains(C("ring"), C("px"), C("py"))).alias("own"), F.round(F.sum("area"), 4).alias("area"))
+
+
+# --- nested arguments ------------------------------------------------------------------------------------------------
+
+
+def nested(k, path: str, *, extra: bool = False) -> object:
+    """An argument object with a map, a list in it, a file and a list written as text."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return text('{"k": ', k, ', "m": {"a": [', k, ', "x"', ', 9' if extra else "", '], "p": "', path, k, '.png"}, "on": true, "s": "[', k, ', {\\"t\\": null}]"}')
+
+
+LEAVES = [("/k", "'number'", "k"), ("/m/a/0", "'number'", "k"), ("/m/a/1", "'string'", "'x'"), ("/m/p", "'string'", "'/data/in_' || k || '.png'"), ("/on", "'boolean'", "'true'"), ("/s/0", "'number'", "k"), ("/s/1/t", "'null'", "NULL")]
+
+
+@query(" UNION ALL ".join(f"SELECT event_id, '{path}' AS path, {kind} AS kind, {leaf} AS leaf FROM (SELECT event_id, CAST(event_id % 50 AS VARCHAR) AS k FROM events)" for path, kind, leaf in LEAVES))
+def argument_leaves(spark, d):
+    rows = T.table(spark, d, "events").select("event_id", nested(C("event_id") % 50, "/data/in_").alias("args"))
+    nodes = arguments.walked(rows, ["event_id"], "args", coerce=True)
+    return nodes.where("kind NOT IN ('object', 'array')").select("event_id", "path", "kind", "leaf")
+
+
+@query("SELECT event_id AS task, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 WHEN 3 THEN 1.0 ELSE 0.0 END AS score FROM events")
+def argument_accuracy(spark, d):
+    """One step a task: the same arguments, another number, a longer list, another input file, another tool."""
+    e, n = T.table(spark, d, "events"), C("event_id") % 5
+    k = C("event_id") % 50
+    told = lambda call, args: e.select(C("event_id").alias("task"), F.lit(1).alias("step"), call.alias("call"), args.alias("args"), F.lit(None).cast("string").alias("obs"))
+    other = F.when(n == 1, F.regexp_replace(nested(k, "/g/in_"), r'^\{"k": \d+', '{"k": 500')).when(n == 2, nested(k, "/g/in_", extra=True)).when(n == 3, nested(k, "/p/raw_")).otherwise(nested(k, "/g/in_"))
+    gold, pred = told(F.lit("ras.area"), nested(k, "/g/in_")), told(F.when(n == 4, "ras.stats").otherwise("ras_area(x)"), other)
+    return arguments.parameter_accuracy(gold, pred, "task")
