@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +40,60 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _tile_regions(same_class: bool):
-    """Regions within one tile by union-find; a region's number is its smallest cell number."""
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cell").reset_index(drop=True)
-        at, values, root = {rc: i for i, rc in enumerate(zip(rows["r"], rows["c"]))}, rows["value"].to_numpy(), list(range(len(rows)))
+#: Cells whose tiles are labelled together.
+LABELLED = 200_000
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
 
-        for (r, c), i in at.items():
-            for near in ((r - 1, c), (r, c - 1)):
-                j = at.get(near)
-                if j is not None and (not same_class or values[i] == values[j]):
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        cells = rows["cell"].to_numpy()
-        return rows.assign(region=[cells[find(i)] for i in range(len(rows))])
-
-    return label
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0..n-1 reaches over the edges (a, b): roots take over the smaller of two roots, then paths are cut short."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _tile_regions(same_class: bool, tile: int):
+    """Regions within tiles; a region's number is its smallest cell number. Rows come tile by tile, row by row; many tiles are one array."""
+
+    def label(rows: pa.Table) -> pa.RecordBatch:
+        r, c, value, cell = (rows.column(k).to_numpy() for k in ("r", "c", "value", "cell"))
+        at = np.stack([rows.column(k).to_numpy() for k in ("raster_id", "tr", "tc")])
+        number = np.concatenate([[0], np.cumsum((np.diff(at, axis=1) != 0).any(0))])
+        key = number * tile * tile + (r % tile).astype(np.int64) * tile + c % tile
+        below = np.searchsorted(key, key + tile)
+        below[below == len(key)] = 0
+        beside = np.flatnonzero((np.diff(key) == 1) & (np.diff(c) == 1) & (np.diff(number) == 0))
+        under = np.flatnonzero((key[below] == key + tile) & (r % tile < tile - 1))
+        a, b = np.concatenate([beside, under]), np.concatenate([beside + 1, below[under]])
+        kept = value[a] == value[b] if same_class else np.ones(len(a), bool)
+        region = cell[joined(len(cell), a[kept], b[kept])]
+        names = [n for n in rows.column_names if n not in ("tr", "tc", "cell")]
+        return pa.RecordBatch.from_arrays([*(rows.column(n).combine_chunks() for n in names), pa.array(region, pa.int64())], [*names, "region"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for rows in batches:
+            held.append(rows)
+            size += rows.num_rows
+            if size < LABELLED:
+                continue
+            whole = pa.Table.from_batches(held)
+            last = np.stack([whole.column(k).to_numpy() for k in ("raster_id", "tr", "tc")])
+            cut = np.flatnonzero((np.diff(last, axis=1) != 0).any(0))  # a tile stays whole: its last rows may still come
+            if len(cut):
+                yield label(whole.slice(0, int(cut[-1]) + 1))
+                held = whole.slice(int(cut[-1]) + 1).to_batches()
+                size = whole.num_rows - int(cut[-1]) - 1
+        if size:
+            yield label(pa.Table.from_batches(held))
+
+    return run
 
 
 def raster_components(mask: DataFrame, same_class: bool, tile: int = 256) -> DataFrame:
@@ -69,8 +103,9 @@ def raster_components(mask: DataFrame, same_class: bool, tile: int = 256) -> Dat
     """
     cell = (F.col("raster_id") * (1 << 20) + F.col("r")) * (1 << 20) + F.col("c")
     cells = mask.where("value > 0").select("raster_id", "r", "c", "value", cell.alias("cell"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", region long"
-    labelled = staged(cells.groupBy("raster_id", "tr", "tc").applyInPandas(_tile_regions(same_class), schema).drop("tr", "tc", "cell"), "regions")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name not in ("tr", "tc", "cell")) + ", region long"
+    dealt = cells.repartition("raster_id", "tr", "tc").sortWithinPartitions("raster_id", "tr", "tc", "r", "c")
+    labelled = staged(dealt.mapInArrow(_tile_regions(same_class, tile), schema), "regions")
     links = None
     for axis in ("r", "c"):
         last = labelled.where(F.col(axis) % tile == tile - 1).withColumn(axis, F.col(axis) + 1).select("raster_id", "r", "c", F.col("value").alias("other"), F.col("region").alias("a"))

@@ -6,6 +6,10 @@ other join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,56 +253,99 @@ def merge_overlapping(layer: DataFrame, components) -> DataFrame:
     return named.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max_by("id", F.struct("area", -F.col("id"))).alias("largest_id"))
 
 
-def convex_hulls(points: DataFrame, by: str) -> DataFrame:
-    """Vertices (closing one included) and area of the hull of each group's points.
+def _hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise from the leftmost; points on its edges are no corners."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
 
-    A group's points are first thinned, in Spark, to the extreme ones of each column, all a hull can touch.
-    """
-    thin = points.groupBy(by, "px").agg(F.min("py").alias("lo"), F.max("py").alias("hi"))
-    packed = thin.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("px", "lo", "hi"))).alias("columns"))
+    def chain(rows: np.ndarray) -> list:
+        out: list = []
+        for p in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
 
-    from pyspark.sql.functions import udf
+    return np.array(chain(points) + chain(points[::-1]))
 
-    @udf("vertices int, area double")
-    def hull(columns):
-        def chain(pts):
-            out = []
-            for p in pts:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
 
-        pts = sorted({(c["px"], y) for c in columns for y in (c["lo"], c["hi"])})
-        ring = pts if len(pts) < 3 else chain(pts)[:-1] + chain(pts[::-1])[:-1]
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
-        return len(ring) + (len(ring) > 2), float(area)
+def convex_hulls(points: DataFrame, by: str, block: int = 4096) -> DataFrame:
+    """Vertices (closing one included) and area of the hull of each group's points.
 
-    return packed.select(by, hull("columns").alias("h")).select(by, "h.vertices", "h.area")
+    Points are dealt out without a shuffle and every Arrow batch leaves the corners of its groups' hulls, of which no hull corner is missing; they are thinned
+    to the extreme ones of each column and again, by blocks of columns, to hull corners, so that the last step sees few points whatever the group's size.
+    """
+    kind = points.schema[by].dataType.simpleString()
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            codes = rows.column("g").dictionary_encode()
+            which = codes.indices.to_numpy(zero_copy_only=False)
+            xy = np.stack([rows.column(k).to_numpy(zero_copy_only=False) for k in ("px", "py")], 1)
+            order = np.argsort(which, kind="stable")
+            own = [(int(which[part[0]]), _hull(xy[part])) for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1) if len(part)]
+            names = codes.dictionary.take(pa.array(np.repeat([i for i, _ in own], [len(h) for _, h in own]).astype(np.int32)))
+            flat = np.concatenate([h for _, h in own]) if own else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([names, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["g", "px", "py"])
+
+    named = points.where(F.col(by).isNotNull() & F.col("px").isNotNull() & F.col("py").isNotNull()).select(F.col(by).alias("g"), F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    first = named.mapInArrow(corners, f"g {kind}, px double, py double")
+    thin = first.groupBy("g", "px").agg(F.min("py").alias("lo"), F.max("py").alias("hi")).select("g", "px", F.explode(F.array("lo", "hi")).alias("py"))
+    # Neighbouring columns together, then the corners of all blocks.
+    again = thin.repartition("g", F.floor(F.col("px") / block)).mapInArrow(corners, f"g {kind}, px double, py double")
+
+    def closed(rows: pa.Table) -> pa.Table:
+        ring = _hull(np.stack([rows.column(k).to_numpy() for k in ("px", "py")], 1))
+        x, y = ring.T
+        area = abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+        return pa.table({"g": rows.column("g").slice(0, 1), "vertices": pa.array([len(ring) + (len(ring) > 2)], pa.int32()), "area": pa.array([area])})
+
+    return again.groupBy("g").applyInArrow(closed, f"g {kind}, vertices int, area double").withColumnRenamed("g", by)
+
+
+def _kept(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices Douglas-Peucker keeps: of each stretch the farthest from its chord, while that is farther than the tolerance."""
+    keep = np.zeros(len(line), bool)
+    keep[[0, -1]] = True
+    stretches = [(0, len(line) - 1)]
+    while stretches:
+        i, j = stretches.pop()
+        if j - i < 2:
+            continue
+        a, d, p = line[i], line[j] - line[i], line[i + 1 : j]
+        square = float(d @ d)
+        t = np.clip((p - a) @ d / square, 0, 1) if square else np.zeros(len(p))
+        far = np.hypot(*(p - a - t[:, None] * d).T)
+        m = int(far.argmax())
+        if far[m] > tolerance:
+            keep[i + 1 + m] = True
+            stretches += [(i, i + 1 + m), (i + 1 + m, j)]
+    return keep
+
+
+def simplified_lines(vertices: DataFrame, by: str, order: str, tolerance: float) -> DataFrame:
+    """Douglas-Peucker: g (the value of ``by``), vertices of each line before and after, and the vertices that are left (an array of x, y). A line is one
+    row of the result, and one group; many lines are worked on in a batch."""
+    kind = vertices.schema[by].dataType.simpleString()
+    at = F.struct(F.col(order).alias("o"), F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
+    bare = F.transform(F.array_sort(F.collect_list("at")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    packed = vertices.select(F.col(by).alias("g"), at.alias("at")).groupBy("g").agg(bare.alias("vertices"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            column = rows.column("vertices")
+            ends, xy = column.offsets.to_numpy(), np.stack([column.values.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], 1)
+            keep = np.concatenate([np.zeros(0, bool), *(_kept(xy[a:b], tolerance) for a, b in zip(ends, ends[1:], strict=False))])
+            xy = xy[ends[0] : ends[-1]][keep]
+            after = np.diff(np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]])
+            points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+            left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(after)]).astype(np.int32)), points)
+            yield pa.RecordBatch.from_arrays([rows.column("g"), pa.array(np.diff(ends).astype(np.int32)), pa.array(after.astype(np.int32)), left], ["g", "before", "after", "vertices"])
+
+    return packed.mapInArrow(run, f"g {kind}, before int, after int, vertices array<struct<x:double,y:double>>")
 
 
 def simplified(vertices: DataFrame, by: str, order: str, tolerance: float) -> DataFrame:
-    """Vertices of each line before and after Douglas-Peucker."""
-    packed = vertices.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "px", "py"))).alias("vertices"))
-
-    from pyspark.sql.functions import udf
-
-    @udf("before int, after int")
-    def peucker(line):
-        pts, keep, spans = [(p["px"], p["py"]) for p in line], {0, len(line) - 1}, [(0, len(line) - 1)]
-        while spans:
-            i, j = spans.pop()
-            (ax, ay), (bx, by_) = pts[i], pts[j]
-            far, at = 0.0, None
-            for m in range(i + 1, j):
-                (x, y), dx, dy = pts[m], bx - ax, by_ - ay
-                t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
-                d = ((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) ** 0.5
-                if d > far:
-                    far, at = d, m
-            if at is not None and far > tolerance:
-                keep.add(at)
-                spans += [(i, at), (at, j)]
-        return len(pts), len(keep)
-
-    return packed.select(by, peucker("vertices").alias("s")).select(by, "s.before", "s.after")
+    """Numbers of vertices of each line before and after Douglas-Peucker."""
+    return simplified_lines(vertices, by, order, tolerance).select(F.col("g").alias(by), "before", "after")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators import arguments, overlay, proximity, roads, vector
+from cindermap.operators import arguments, overlay, proximity, roads, vector, warp
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
 
@@ -263,3 +263,35 @@ def argument_accuracy(spark, d):
     other = F.when(n == 1, F.regexp_replace(nested(k, "/g/in_"), r'^\{"k": \d+', '{"k": 500')).when(n == 2, nested(k, "/g/in_", extra=True)).when(n == 3, nested(k, "/p/raw_")).otherwise(nested(k, "/g/in_"))
     gold, pred = told(F.lit("ras.area"), nested(k, "/g/in_")), told(F.when(n == 4, "ras.stats").otherwise("ras_area(x)"), other)
     return arguments.parameter_accuracy(gold, pred, "task")
+
+
+# --- warps and densities ---------------------------------------------------------------------------------------------
+
+CUBIC = "CASE WHEN abs({t}) <= 1 THEN (1.5 * abs({t}) - 2.5) * {t} * {t} + 1 WHEN abs({t}) < 2 THEN ((2.5 - 0.5 * abs({t})) * abs({t}) - 4) * abs({t}) + 2 ELSE 0 END"
+
+
+@query(f"WITH t AS (SELECT i.i AS r, j.j AS c, CAST((i.i + 0.5) * 16 / 20 - 0.5 AS DOUBLE) AS y, CAST((j.j + 0.5) * 16 / 20 - 0.5 AS DOUBLE) AS x FROM range(20) i(i), range(20) j(j)), taps AS (SELECT r, c, {CUBIC.format(t='(y - (floor(y) + k.k))')} * {CUBIC.format(t='(x - (floor(x) + l.l))')} AS w, greatest(0, least(15, floor(y) + k.k)) AS sr, greatest(0, least(15, floor(x) + l.l)) AS sc FROM t, range(-1, 3) k(k), range(-1, 3) l(l)) SELECT raster_id, CAST(t.r AS INT) AS r, CAST(t.c AS INT) AS c, round(sum(w * value), 8) AS value FROM taps t JOIN dem d ON d.r = t.sr AND d.c = t.sc GROUP BY ALL", "dem")
+def resample_cubic(spark, d):
+    return warp.resample(T.dem(spark, d), T.SIDE, T.SIDE, 0.5, 0.4, "cubic").withColumn("value", F.round("value", 8))
+
+
+#: A frame in UTM zone 33.
+UTM_FRAME = (30.0, 0.0, 500_000.0, 0.0, -30.0, 5_000_000.0)
+
+
+@query("SELECT raster_id, count(*) AS cells, count(*) AS same FROM dem GROUP BY raster_id", "dem")
+def reproject_round_trip(spark, d):
+    """Elevations to degrees, finely, and back to their own frame by the nearest cell: all come back."""
+    cells = T.dem(spark, d)
+    fine = (0.00005, 0.0, 14.999, 0.0, -0.00005, 45.155)
+    there = warp.reproject(cells, T.SIDE, T.SIDE, UTM_FRAME, "EPSG:32633", "EPSG:4326", "nearest", (fine, 160, 180))
+    back = warp.reproject(there, 160, 180, fine, "EPSG:4326", "EPSG:32633", "nearest", (UTM_FRAME, T.SIDE, T.SIDE))
+    both = back.withColumnRenamed("value", "own").join(cells, ["raster_id", "r", "c"])
+    return both.groupBy("raster_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(C("own") == C("value")).alias("same"))
+
+
+@query("WITH f AS (SELECT count(*) AS n, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1, var_samp(px) * power(count(*), -1.0 / 3) AS xx, var_samp(py) * power(count(*), -1.0 / 3) AS yy, covar_samp(px, py) * power(count(*), -1.0 / 3) AS xy FROM pois), g AS (SELECT i, j, x0 + (x1 - x0) * i / 199.0 AS gx, y0 + (y1 - y0) * j / 199.0 AS gy FROM f, range(200) a(i), range(200) b(j)), p AS (SELECT CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, count(*) AS w FROM pois GROUP BY ALL), k AS (SELECT i, j, sum(w * exp(-0.5 / (xx * yy - xy * xy) * (yy * (gx - px) * (gx - px) + xx * (gy - py) * (gy - py) - 2 * xy * (gx - px) * (gy - py)))) / any_value(2 * pi() * sqrt(xx * yy - xy * xy) * n) AS density FROM g, p, f GROUP BY i, j) SELECT round(max(density) * 1000000, 4) AS kde_max, round(avg(density) * 1000000, 4) AS kde_mean, count(*) AS cells FROM k", "pois")
+def heatmap_density(spark, d):
+    """The largest and the mean density, in millionths."""
+    density, _ = warp.heatmap(T.pois(spark, d))
+    return density.agg(F.round(F.max("density") * 1_000_000, 4).alias("kde_max"), F.round(F.avg("density") * 1_000_000, 4).alias("kde_mean"), F.count(F.lit(1)).alias("cells"))
