@@ -1,11 +1,11 @@
-"""Registered queries over general polygons, lines, road networks and nested arguments, each with its SQL for DuckDB."""
+"""Registered queries over general polygons, lines, road networks, nested arguments, warps and summaries, each with its SQL for DuckDB."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindermap.operators import arguments, overlay, proximity, roads, vector, warp
+from cindermap.operators import arguments, overlay, proximity, roads, summary, vector, warp
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
 
@@ -295,3 +295,30 @@ def heatmap_density(spark, d):
     """The largest and the mean density, in millionths."""
     density, _ = warp.heatmap(T.pois(spark, d))
     return density.agg(F.round(F.max("density") * 1_000_000, 4).alias("kde_max"), F.round(F.avg("density") * 1_000_000, 4).alias("kde_mean"), F.count(F.lit(1)).alias("cells"))
+
+
+# --- summaries -------------------------------------------------------------------------------------------------------
+
+NAMES = ["Before_After_{n}.png", "damage_board{n}.png", "pie_{n}.png", "report{n}.tif", "road_map_{n}.png", "pre_{n}.tif", "pre_post_{n}.tif", "scene{n}.tif"]
+
+
+@query("SELECT p_partkey, ['before_after_panel', 'situation_board', 'chart', 'report_page', 'damage_or_hazard_map', 'pre_disaster_image', 'post_disaster_image', 'context_image'][1 + p_partkey % 8] AS role FROM part")
+def image_roles(spark, d):
+    key = C("p_partkey")
+    name = F.get(F.array(*[F.concat(F.lit("/in/map/" + n.split("{n}")[0]), key.cast("string"), F.lit(n.split("{n}")[1])) for n in NAMES]), (key % 8).cast("int"))
+    return T.table(spark, d, "part").select("p_partkey", summary.image_role(name).alias("role"))
+
+
+@query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS place FROM (SELECT user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL)), t AS (SELECT user_id, string_agg(k || '=' || n, ', ' ORDER BY place) AS shown FROM s WHERE place <= 4 GROUP BY user_id) SELECT c_custkey AS task, CASE WHEN c_custkey % 2 = 0 THEN 'Image-aware LLM summary unavailable' ELSE 'LLM summary unavailable' END || '; using trajectory statistics only. Key outputs include ' || coalesce(shown, 'no prominent quantitative statistics were extracted') || '.' || CASE WHEN c_custkey % 3 = 0 THEN ' Recovery should prioritize critical infrastructure, housing, and environmental stabilization in that order where feasible.' ELSE '' END AS summary, c_custkey % 3 = 0 AS recommendations, 'low' AS confidence FROM customer LEFT JOIN t ON user_id = c_custkey")
+def summary_fallback(spark, d):
+    e = T.table(spark, d, "events").groupBy(C("user_id").alias("task"), C("event_type").alias("key")).agg(F.count(F.lit(1)).alias("value"))
+    place = F.row_number().over(Window.partitionBy("task").orderBy("key"))
+    key = C("c_custkey")
+    tasks = T.table(spark, d, "customer").select(key.alias("task"), F.when(key % 3 == 0, "Plan the REPAIR of roads").otherwise("Count the roads").alias("question"), ((key + 1) % 2).alias("images"))
+    return summary.fallback(tasks, e.withColumn("place", place), "task")
+
+
+@query("SELECT o_orderkey, o_custkey % 5 AS place, CAST(o_custkey % 5 // 3 AS INT) AS row, CAST(o_custkey % 5 % 3 AS INT) AS col, CAST(20 + o_custkey % 5 % 3 * 440 AS INT) AS x, CAST(70 + o_custkey % 5 // 3 * 360 AS INT) AS y, 't' || (o_custkey % 5 + 1) AS label FROM orders")
+def panel_places(spark, d):
+    images = T.table(spark, d, "orders").select("o_orderkey", (C("o_custkey") % 5).alias("place"))
+    return summary.panels(images, "o_orderkey", "place", 3)

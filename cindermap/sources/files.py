@@ -180,3 +180,10 @@ def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> Data
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("has"), F.sha2("content", 256).alias("digest"))
     status = F.when(F.col("digest").isNull(), "missing").when(F.col("has") != F.col("size"), "size").when(F.col("digest") != F.col("sha256"), "digest").otherwise("ok")
     return manifest.join(found, "name", "left").select("name", status.alias("status"))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """An evaluation's rows as JSON lines (``path``/json) and as a table of text with two blanks between columns (``path``/text)."""
+    rows.write.json(f"{path}/json")
+    cells = [F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), 14, " ") for c in rows.columns]
+    rows.select(F.rtrim(F.concat_ws("  ", *cells)).alias("value")).write.text(f"{path}/text")

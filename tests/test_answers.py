@@ -42,3 +42,20 @@ def test_halves_of_points(spark):
     rows = [(1, "a_row", "point_pixel", "1", "5"), (1, "a_col", "point_pixel", "1", None), (2, "a_row", "point_pixel", "1", "1"), (3, "spot", "point_pixel", "[1, 1]", "[1, 2]"), (4, "n", "ignore", "1", "1"), (5, "n", None, "1", "1.0")]
     fields = spark.createDataFrame([(*r, None) for r in rows], "task long, field string, kind string, gold string, pred string, pixel_m double")
     assert sorted(map(tuple, evaluation.field_scores(fields).collect())) == [(1, "a__point_px", 1.0), (3, "spot", 1.0), (5, "n", 1.0)]
+
+
+def test_summary_helpers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cindermap.operators import summary
+    from cindermap.sources import files
+
+    text = "one two " + "x" * 60 + " three " + " ".join(["word"] * 20)
+    lines = spark.range(1).select(summary.wrapped(F.lit(text)).alias("w"), summary.wrapped(F.lit(None).cast("string")).alias("n")).first()
+    assert " ".join(lines["w"]) == text and lines["n"] == [] and all(len(x) <= 48 or " " not in x for x in lines["w"]) and lines["w"][0] == "one two"
+    modes = spark.range(1).select(*[c.alias(n) for n, c in summary.task_mode(F.lit("Briefing on the SCENE")).items()]).first()
+    assert tuple(modes) == (False, True, True)
+    rows = spark.createDataFrame([("D1", 0.5), ("overall", None)], "dimension string, score double")
+    files.write_results(rows, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 2
+    assert sorted(r["value"].split() for r in spark.read.text(str(tmp_path / "r/text")).collect()) == [["D1", "0.5"], ["overall", "-"]]
