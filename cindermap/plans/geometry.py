@@ -139,9 +139,9 @@ ROUTES = f"""WITH {ARMS}, up AS (SELECT * FROM arms WHERE d = 0), x AS (
 SELECT raster_id * 10 AS id, 'ok' AS status, round(CAST(CASE WHEN u_hurt THEN 0 ELSE i - 1 END + 1.41421356237 + CASE WHEN r_hurt THEN 0 ELSE j - 1 END AS DOUBLE), 6) AS distance_px,
   r - CASE WHEN u_hurt THEN 1 ELSE i END AS start_r, c AS start_c, r AS end_r, c + CASE WHEN r_hurt THEN 1 ELSE j END AS end_c, CAST(CASE WHEN u_hurt THEN 0 ELSE i - 1 END + 2 + CASE WHEN r_hurt THEN 0 ELSE j - 1 END AS INT) AS pixels FROM x
 UNION ALL SELECT raster_id * 10 + 1, 'ok', CASE WHEN u_hurt THEN 0 ELSE 3 END, r - CASE WHEN u_hurt THEN 1 ELSE 2 END, c, r - CASE WHEN u_hurt THEN 1 ELSE 5 END, c, CASE WHEN u_hurt THEN 1 ELSE 4 END FROM x
-UNION ALL SELECT raster_id * 10 + 2, CASE WHEN u_hurt AND n > 11 THEN 'snapped_on_damaged' ELSE 'ok' END, CASE WHEN NOT u_hurt THEN n WHEN n <= 11 THEN 1 END, r - CASE WHEN u_hurt AND n <= 11 THEN 1 ELSE n END, c, r, c, CASE WHEN NOT u_hurt THEN n + 1 WHEN n <= 11 THEN 2 END FROM x
-UNION ALL SELECT raster_id * 10 + 3, 'snap_failed', NULL, 0, 0, r, c, NULL FROM x
-UNION ALL SELECT raster_id * 10 + 4, 'no_roads', NULL, r, c, r, c, NULL FROM x"""
+UNION ALL SELECT raster_id * 10 + 2, CASE WHEN u_hurt AND n > 11 THEN 'snapped_on_damaged' ELSE 'ok' END, CASE WHEN NOT u_hurt THEN n WHEN n <= 11 THEN 1 END, r - CASE WHEN u_hurt AND n <= 11 THEN 1 ELSE n END, c, r, c, CASE WHEN NOT u_hurt THEN n + 1 WHEN n <= 11 THEN 2 ELSE 0 END FROM x
+UNION ALL SELECT raster_id * 10 + 3, 'snap_failed', NULL, 0, 0, r, c, 0 FROM x
+UNION ALL SELECT raster_id * 10 + 4, 'no_roads', NULL, r, c, r, c, 0 FROM x"""
 
 
 @query(ROUTES)
@@ -156,7 +156,7 @@ def snapped_routes(spark, d):
     requests = T.table(spark, d, "supplier").select(each.alias("q")).select("q.*")
     found = roads.snapped_routes(edges, requests)
     ends = [C(e).cast("long").alias(e) for e in ("start_r", "start_c", "end_r", "end_c")]
-    return found.select("id", "status", six(C("distance_px")).alias("distance_px"), *ends, F.when(C("path").isNotNull(), F.size("path")).alias("pixels"))
+    return found.select("id", "status", six(C("distance_px")).alias("distance_px"), *ends, F.when(C("path").isNotNull(), F.size("path")).otherwise(0).alias("pixels"))
 
 
 # --- distances, buffers, cells ---------------------------------------------------------------------------------------
