@@ -39,7 +39,7 @@ def test_sql_of_the_registered_queries(spark, small):
 
     from cindermap.llm.queries import ORACLES, QUERIES
 
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     for name, sql in ORACLES.items():
         want = duckdb.sql(sql).fetchall()
