@@ -21,6 +21,8 @@ LAT, LON, ROW, COL = r"_(latitude|lat)$", r"_(longitude|lon)$", r"_row$", r"_col
 PIXEL_KEYS = (("pixel_row", "pixel_col"), ("row", "col"), ("r", "c"), ("y", "x"))
 PLACE_KEYS = (("latitude", "longitude"), ("lat", "lon"), ("lat", "lng"), ("y", "x"))
 LEAST_IOU = 0.5
+#: The member of a gold GeoJSON text that holds its image's pixel grid, where the caller names no other.
+GRID_KEY = "pixel_grid"
 #: Predictions that say there is no polygon.
 NO_POLYGON = ("", "none", "null", "n/a", "na", "nan", "[]", "{}")
 
@@ -141,13 +143,13 @@ def lone_point(gold: Column, pred: Column, kind: Column, pixel_m: Column) -> Col
     return F.coalesce(F.when(kind == "point_pixel", pixel).otherwise(place), scalar(gold, pred))
 
 
-def polygon_scores(fields: DataFrame) -> DataFrame:
+def polygon_scores(fields: DataFrame, grid_key: str = GRID_KEY) -> DataFrame:
     """task, field, score of polygon_iou fields, whose gold and pred are GeoJSON texts: 1 if their largest polygons (the first, if two are) have an
-    intersection of at least half of their union. Where the gold text has a ``dora_grid``, predictions without a crs are pixels and
+    intersection of at least half of their union. Where the gold text has the member ``grid_key``, with a transform, predictions without a crs are pixels and
     are placed by its transform. Equal texts score 1; an empty prediction scores 1 if the gold text has no polygon; unreadable texts score 0."""
     gold, pred = (files.geojson_polygons(F.col(c)) for c in ("gold", "pred"))
     largest = lambda polygons: F.array_max(F.transform(polygons, lambda rings, i: F.struct(overlay.area_of(rings).alias("area"), (-i).alias("nth"), rings.alias("rings"))))["rings"]
-    grid = F.from_json(F.get_json_object("gold", "$.dora_grid.transform"), "array<double>")
+    grid = F.from_json(F.get_json_object("gold", f"$.{grid_key}.transform"), "array<double>")
     t = lambda i: F.get(grid, F.lit(i))
     world = lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((t(0) * p["x"] + t(1) * p["y"] + t(2)).alias("x"), (t(3) * p["x"] + t(4) * p["y"] + t(5)).alias("y"))))
     rows = fields.select("task", "field", "gold", "pred", largest(gold).alias("a_rings"), largest(pred).alias("b_rings"), gold.isNotNull().alias("readable"))
@@ -160,7 +162,7 @@ def polygon_scores(fields: DataFrame) -> DataFrame:
     return rows.join(both, "id", "left").select("task", "field", score.alias("score"))
 
 
-def field_scores(fields: DataFrame) -> DataFrame:
+def field_scores(fields: DataFrame, grid_key: str = GRID_KEY) -> DataFrame:
     """task, field, score. Kinds: scalar_continuous, scalar_count, ratio_pct, exact_match, scalar_dict, set_f1, ranking_kendall, polygon_iou,
     point_haversine and point_pixel (two fields named as a point's halves make one row, a half without the other none, any other such field is a point
     of its own), ignore (no row); any other kind is compared exactly.
@@ -177,7 +179,7 @@ def field_scores(fields: DataFrame) -> DataFrame:
     told = lambda rows, score: rows.select("task", "field", score.alias("score"))
     parts = [told(fields.where(numbers), F.when(share, ratio(gold, pred)).otherwise(scalar(gold, pred)))]
     parts += [told(fields.where(kind == k), score) for k, score in nested.items()]
-    parts += [told(fields.where(points & ~half), lone_point(gold, pred, kind, pixel_m)), polygon_scores(fields.where(kind == "polygon_iou"))]
+    parts += [told(fields.where(points & ~half), lone_point(gold, pred, kind, pixel_m)), polygon_scores(fields.where(kind == "polygon_iou"), grid_key)]
     parts += [told(fields.where(~numbers & ~points & ~F.coalesce(kind, F.lit("")).isin("ignore", "polygon_iou", *nested) | kind.isNull()), scoring.exact(gold, pred))]
     metres = haversine_m(F.col("pred1"), F.col("pred2"), F.col("gold1"), F.col("gold2"))
     parts += [_points(fields, "point_haversine", LAT, LON, metres <= F.coalesce(POINT_PIXELS * F.col("pixel_m"), F.lit(FALLBACK_M)))]

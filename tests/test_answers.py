@@ -23,7 +23,7 @@ CASES = [
     ("polygon_iou", json.dumps({"type": "FeatureCollection", "features": []}), "none", 1.0), ("polygon_iou", json.dumps({"type": "Polygon", "coordinates": [RING]}), "None", 0.0),
     ("polygon_iou", json.dumps({"type": "FeatureCollection", "features": []}), json.dumps({"type": "Polygon", "coordinates": [RING]}), 0.0), ("polygon_iou", "not json", "null", 0.0),
     (
-        "polygon_iou", json.dumps({"type": "Feature", "dora_grid": {"transform": [2, 0, 100, 0, -2, 50]}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1]]], [[[100, 30], [120, 30], [120, 50], [100, 50]]]]}}),
+        "polygon_iou", json.dumps({"type": "Feature", "pixel_grid": {"transform": [2, 0, 100, 0, -2, 50]}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1]]], [[[100, 30], [120, 30], [120, 50], [100, 50]]]]}}),
         json.dumps({"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": [RING]}}]}), 1.0,
     ),
     # the rest as before
