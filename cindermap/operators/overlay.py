@@ -12,6 +12,7 @@ after those on borders between covered cells have cancelled in an aggregation.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.operators.graph import components
-from cindermap.sources.shared import staged
+from cindermap.sources.shared import spread, staged, tasks
 
 POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{POINT}>>"
@@ -184,6 +185,147 @@ def outline(edges: Edges, op: Op, roles: int = 2) -> list[tuple[float, float, fl
     return out + (level(before, [], top) if top is not None else [])
 
 
+def _ends(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts, for each value."""
+    first = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    return np.maximum.accumulate(np.where(first, np.arange(len(values)), 0)) if len(values) else np.zeros(0, np.int64)
+
+
+def _meetings(x0: np.ndarray, y0: np.ndarray, y1: np.ndarray, slope: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlay and height of the places at which two edges of an overlay cross; edges lie overlay by overlay."""
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    whose, heights = [], []
+    for n in np.unique(counts):
+        own = np.flatnonzero(counts == n)
+        if n < 2:
+            continue
+        i, j = np.triu_indices(n, 1)
+        at_once = max(1, AT_ONCE // len(i))
+        for part in (own[a : a + at_once] for a in range(0, len(own), at_once)):
+            p, q = starts[part][:, None] + i, starts[part][:, None] + j
+            low, high = np.maximum(y0[p], y0[q]), np.minimum(y1[p], y1[q])
+            k, m = np.nonzero(low < high)
+            p, q, low, high = p[k, m], q[k, m], low[k, m], high[k, m]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # From an edge's lower end, so that large coordinates cost no digits.
+                y = y0[q] + (x0[p] + slope[p] * (y0[q] - y0[p]) - x0[q]) / (slope[q] - slope[p])
+            met = (y > low) & (y < high)
+            whose.append(part[k[met]])
+            heights.append(y[met])
+    return (np.concatenate(whose), np.concatenate(heights)) if whose else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def swept(overlays: list[list[tuple[int, list[np.ndarray]]]], ops: list[Op], roles: int = 2, outlined: bool = False) -> tuple[np.ndarray, list[list[tuple[float, float, float, float]]]]:
+    """Areas (a row for each of the ``ops``) of overlays, each a list of (role, rings), and the pieces of the first one's outlines, if wanted. Small
+    overlays are swept together, about ``AT_ONCE`` pairs of edges at once; large ones one by one, slab by slab."""
+    areas, pieces, at = [np.zeros((len(ops), 0))], [], 0
+    pairs = [sum(len(ring) for _, rings in polygons for ring in rings) ** 2 for polygons in overlays]
+    while at < len(overlays):
+        end, cost = at + 1, pairs[at]
+        while end < len(overlays) and cost + pairs[end] <= AT_ONCE:
+            cost += pairs[end]
+            end += 1
+        some = (_together if cost <= AT_ONCE else _one_by_one)(overlays[at:end], ops, roles, outlined)
+        areas.append(some[0])
+        pieces += some[1]
+        at = end
+    return np.concatenate(areas, 1), pieces
+
+
+def _one_by_one(overlays: list, ops: list[Op], roles: int, outlined: bool) -> tuple[np.ndarray, list]:
+    made = [Edges(polygons) for polygons in overlays]
+    areas = np.array([[swept_area(edges, op, roles) for edges in made] for op in ops])
+    return areas, [outline(edges, ops[0], roles) if outlined and area > EPS else [] for edges, area in zip(made, areas[0], strict=True)]
+
+
+def _together(overlays: list, ops: list[Op], roles: int, outlined: bool) -> tuple[np.ndarray, list]:
+    total, none = len(overlays), [[] for _ in overlays]
+    flat = [(k, s, r, ring) for k, polygons in enumerate(overlays) for s, (r, rings) in enumerate(polygons) for ring in rings if len(ring)]
+    if not flat:
+        return np.zeros((len(ops), total)), none
+    sizes = np.array([len(ring) for *_, ring in flat])
+    own, shape, role = (np.repeat(np.array([f[i] for f in flat], np.int64), sizes) for i in range(3))
+    xy = np.concatenate([ring for *_, ring in flat])
+    after = np.arange(1, len(xy) + 1)
+    last = np.cumsum(sizes)
+    after[last - 1] = last - sizes
+    sloping = xy[:, 1] != xy[after, 1]
+    a, b, own, shape, role = xy[sloping], xy[after][sloping], own[sloping], shape[sloping], role[sloping]
+    up = (a[:, 1] < b[:, 1])[:, None]
+    (x0, y0), (x1, y1) = np.where(up, a, b).T, np.where(up, b, a).T
+    if not len(x0):
+        return np.zeros((len(ops), total)), none
+    slope = (x1 - x0) / (y1 - y0)
+    counts = np.bincount(own, minlength=total)
+    first_edge = np.concatenate([[0], np.cumsum(counts)])
+
+    def place(edge: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(y == y1[edge], x1[edge], x0[edge] + slope[edge] * (y - y0[edge]))
+
+    met, heights = _meetings(x0, y0, y1, slope, counts)
+    whose, heights = np.concatenate([own, own, met]), np.concatenate([y0, y1, heights])
+    order = np.lexsort((heights, whose))
+    whose, heights = whose[order], heights[order]
+    fresh = np.concatenate([[True], (whose[1:] != whose[:-1]) | (heights[1:] != heights[:-1])])
+    whose, heights = whose[fresh], heights[fresh]
+    below = np.flatnonzero(whose[1:] == whose[:-1])  # a slab lies between heights i and i + 1
+    # Every slab with its overlay's edges, of which those that cross it stay.
+    near = counts[whose[below]]
+    if near.sum() > 16 * AT_ONCE:
+        if total == 1:
+            return _one_by_one(overlays, ops, roles, outlined)
+        halves = [_together(part, ops, roles, outlined) for part in (overlays[: total // 2], overlays[total // 2 :])]
+        return np.concatenate([h[0] for h in halves], 1), halves[0][1] + halves[1][1]
+    slab = np.repeat(below, near)
+    edge = np.arange(len(slab)) - np.repeat(np.cumsum(near) - near, near) + first_edge[whose[slab]]
+    crossing = (y0[edge] <= heights[slab]) & (y1[edge] >= heights[slab + 1])
+    slab, edge = slab[crossing], edge[crossing]
+    x = place(edge, (heights[slab] + heights[slab + 1]) / 2)
+    order = np.lexsort((x, slab))
+    slab, edge, x = slab[order], edge[order], x[order]
+    # Every second edge of a polygon leaves it.
+    by_shape = np.lexsort((shape[edge], slab))
+    key = slab[by_shape] * (int(shape.max()) + 1) + shape[edge[by_shape]]
+    turn = np.empty(len(slab), np.int64)
+    turn[by_shape] = (np.arange(len(key)) - _ends(key)) % 2
+    start = _ends(slab)
+
+    def within(steps: np.ndarray) -> np.ndarray:
+        count = np.cumsum(steps)
+        return count - (count - steps)[start] > 0
+
+    states = [within((1 - 2 * turn) * (role[edge] == r)) for r in range(roles)]
+    goes_on = np.concatenate([slab[1:] == slab[:-1], [False]])
+    width = np.concatenate([np.diff(x), [0.0]]) * (heights[slab + 1] - heights[slab])
+    insides = [op(states) & goes_on for op in ops]
+    areas = np.stack([np.bincount(whose[slab], np.where(i, width, 0.0), total) for i in insides])
+    if not outlined:
+        return areas, none
+    hits = np.flatnonzero(insides[0] & (np.concatenate([np.diff(x), [0.0]]) > EPS * 1e-3))
+    if not len(hits):
+        return areas, none
+    apart = np.concatenate([[True], (slab[hits[1:]] != slab[hits[:-1]]) | (x[hits[1:]] - x[hits[:-1] + 1] > EPS * 1e-3)])
+    left, right = hits[apart], hits[np.concatenate([apart[1:], [True]])] + 1
+    own_slab = slab[left]
+    low, high = heights[own_slab], heights[own_slab + 1]
+    a, b, c, d = place(edge[left], low), place(edge[right], low), place(edge[left], high), place(edge[right], high)
+    sides = [np.stack([c, high, a, low], 1), np.stack([b, low, d, high], 1)]
+    # Level pieces of outline where only one side of a height is inside, the inside on their left.
+    one = np.ones(len(a), np.int64)
+    height = np.concatenate([own_slab + 1, own_slab + 1, own_slab, own_slab])
+    mark, above, step = np.concatenate([c, d, a, b]), np.concatenate([0 * one, 0 * one, one, one]), np.concatenate([one, -one, one, -one])
+    order = np.lexsort((step, above, mark, height))
+    height, mark, above, step = height[order], mark[order], above[order], step[order]
+    under, over = np.cumsum(step * (above == 0)) > 0, np.cumsum(step * above) > 0
+    i = np.flatnonzero((height[1:] == height[:-1]) & (mark[1:] > mark[:-1] + EPS) & (under[:-1] != over[:-1]))
+    y, p, q = heights[height[i]], mark[i], mark[i + 1]
+    sides.append(np.where(over[i][:, None], np.stack([p, y, q, y], 1), np.stack([q, y, p, y], 1)))
+    rows, item = np.concatenate(sides), np.concatenate([whose[own_slab], whose[own_slab], whose[height[i]]])
+    order = np.argsort(item, kind="stable")
+    cuts = np.searchsorted(item[order], np.arange(1, total))
+    return areas, [list(map(tuple, part.tolist())) for part in np.split(rows[order], cuts)]
+
+
 def linked(pieces: list[tuple[float, float, float, float]]) -> list[np.ndarray]:
     """Rings of directed pieces; where rings touch they part; vertices on straight lines go."""
     key = lambda x, y: (round(x / EPS), round(y / EPS))
@@ -197,16 +339,16 @@ def linked(pieces: list[tuple[float, float, float, float]]) -> list[np.ndarray]:
         while after[start]:
             ring, at, came = [], start, None
             while True:
-                near = [k for k in [at, *((at[0] + i, at[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1))] if after.get(k)]
-                if not near:
+                ways = after.get(at) or next((after[k] for i in (-1, 0, 1) for j in (-1, 0, 1) if after.get(k := (at[0] + i, at[1] + j))), None)
+                if not ways:
                     break
-                ways = after[near[0]]
                 if came is not None and len(ways) > 1:
-                    turn = lambda w: (np.arctan2(w[2][1] - w[1][1], w[2][0] - w[1][0]) - came) % (2 * np.pi)  # noqa: E731,B023
-                    ways.sort(key=lambda w: (turn(w) + np.pi) % (2 * np.pi))  # the sharpest left turn comes last
+                    arrived = math.atan2(came[1], came[0])
+                    turn = lambda w: (math.atan2(w[2][1] - w[1][1], w[2][0] - w[1][0]) - arrived) % (2 * math.pi)  # noqa: E731,B023
+                    ways.sort(key=lambda w: (turn(w) + math.pi) % (2 * math.pi))  # the sharpest left turn comes last
                 to, p, q = ways.pop()
                 ring.append(p)
-                came = float(np.arctan2(q[1] - p[1], q[0] - p[0]))
+                came = q[0] - p[0], q[1] - p[1]
                 at = to
                 if at == start:
                     break
@@ -235,7 +377,8 @@ def candidates(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
         span = lambda k: F.explode(F.sequence(F.floor(F.col(f"{prefix}{k}0") / size), F.floor(F.col(f"{prefix}{k}1") / size)))
         return named.select("*", span("x").alias("bx")).select("*", span("y").alias("by"))
 
-    both = dealt(a, "a_").join(dealt(b, "b_"), ["bx", "by"])
+    # Both sides grow with their layers: neither is sent to every task, whatever their files' size promises.
+    both = dealt(a, "a_").join(dealt(b, "b_").hint("merge"), ["bx", "by"])
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     shared = (x0 < F.least("a_x1", "b_x1")) & (y0 < F.least("a_y1", "b_y1"))
     return both.where(shared & (F.col("bx") == F.floor(x0 / size)) & (F.col("by") == F.floor(y0 / size))).select("a_id", "a_rings", "b_id", "b_rings")
@@ -244,14 +387,10 @@ def candidates(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
 def _pieces(with_rings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            kept, areas, rings = [], [], []
-            for i, (a, b) in enumerate(zip(rings_of(rows.column("a_rings")), rings_of(rows.column("b_rings")), strict=True)):
-                edges = Edges([(0, a), (1, b)])
-                area = swept_area(edges, BOTH)
-                if area > EPS:
-                    kept.append(i)
-                    areas.append(area)
-                    rings.append(linked(outline(edges, BOTH)) if with_rings else [])
+            overlays = [[(0, a), (1, b)] for a, b in zip(rings_of(rows.column("a_rings")), rings_of(rows.column("b_rings")), strict=True)]
+            found, outlines = swept(overlays, [BOTH], outlined=with_rings)
+            kept = np.flatnonzero(found[0] > EPS)
+            areas, rings = found[0][kept], [linked(outlines[i]) for i in kept] if with_rings else []
             own = rows.take(pa.array(kept, pa.int64()))
             columns = [own.column("a_id"), own.column("b_id"), pa.array(areas, pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, rings_column(rings)] if with_rings else columns, ["a_id", "b_id", "area", "rings"][: 4 if with_rings else 3])
@@ -263,7 +402,7 @@ def pieces(a: DataFrame, b: DataFrame, size: int = 16, with_rings: bool = True)
     """a_id, b_id, area and outline of what each two polygons (id, rings) of the layers share, where that has an area."""
     pairs = candidates(a, b, size)
     ids = f"a_id {a.schema['id'].dataType.simpleString()}, b_id {b.schema['id'].dataType.simpleString()}, area double"
-    return pairs.mapInArrow(_pieces(with_rings), ids + (f", rings {RINGS}" if with_rings else ""))
+    return spread(pairs).mapInArrow(_pieces(with_rings), ids + (f", rings {RINGS}" if with_rings else ""))
 
 
 def measured(pairs: DataFrame) -> DataFrame:
@@ -271,55 +410,90 @@ def measured(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            areas = []
-            for a, b in zip(rings_of(rows.column("a_rings")), rings_of(rows.column("b_rings")), strict=True):
-                edges = Edges([(0, a), (1, b)])
-                areas.append((swept_area(edges, BOTH), swept_area(edges, EITHER)))
-            shared, together = np.array(areas).reshape(-1, 2).T
+            overlays = [[(0, a), (1, b)] for a, b in zip(rings_of(rows.column("a_rings")), rings_of(rows.column("b_rings")), strict=True)]
+            (shared, together), _ = swept(overlays, [BOTH, EITHER])
             ratio = np.divide(shared, together, out=np.ones(len(shared)), where=together > EPS)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(shared), pa.array(together), pa.array(ratio)], ["id", "shared", "together", "iou"])
 
     empty = F.array().cast(RINGS)
     named = pairs.select("id", *[F.coalesce(c, empty).alias(c) for c in ("a_rings", "b_rings")])
-    return named.mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, shared double, together double, iou double")
-
-
-def _cell(size: float, with_outline: bool, clip: bool):
-    """Sweeps the polygons of one result and grid cell: role 0 is united (or, for ``clip``, cut by the union of role 1); role 2 is the cell."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        bx, by = rows.column("bx")[0].as_py(), rows.column("by")[0].as_py()
-        x0, y0, x1, y1 = bx * size, by * size, (bx + 1) * size, (by + 1) * size
-        cell = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
-        edges = Edges([*zip(rows.column("role").to_pylist(), rings_of(rows.column("rings")), strict=True), (2, [cell])])
-        op: Op = (lambda i: i[0] & i[1] & i[2]) if clip else (lambda i: i[0] & i[2])
-        area = swept_area(edges, op, 3)
-        found = outline(edges, op, 3) if with_outline and area > EPS else []
-        inner, border = [], defaultdict(list)
-        for x, y, u, v in found:
-            if x == u and x in (x0, x1) or y == v and y in (y0, y1):
-                border[(x == u, x if x == u else y)].append((x, y, u, v))
-            else:
-                inner.append((x, y, u, v))
-        for (upright, _), own in border.items():  # pieces on a border that continue each other become one, so that neighbours cancel
-            own.sort(key=lambda s: min(s[1], s[3]) if upright else min(s[0], s[2]))
-            joined = [list(own[0])]
-            for s in own[1:]:
-                a = joined[-1]
-                if a[2:] == list(s[:2]):
-                    a[2:] = s[2:]
-                elif a[:2] == list(s[2:]):
-                    a[:2] = s[:2]
-                else:
-                    joined.append(list(s))
-            inner += map(tuple, joined)
-        struct = pa.list_(pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")]))
-        told = pa.array([[dict(zip(("x0", "y0", "x1", "y1"), map(float, s), strict=True)) for s in inner]], struct)
-        return pa.table({"result": rows.column("result").slice(0, 1), "area": pa.array([area]), "segments": told})
+    return spread(named, "id").mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, shared double, together double, iou double")
+
+
+def _cells(size: float, with_outline: bool, clip: bool):
+    """Sweeps the polygons of each result and grid cell, whose rows follow each other: role 0 is united (or, for ``clip``, cut by the union of role 1); role 2 is the cell."""
+    op: Op = (lambda i: i[0] & i[1] & i[2]) if clip else (lambda i: i[0] & i[2])
+    struct = pa.list_(pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")]))
+
+    def told(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        role, rings, ends = rows.column("role").to_pylist(), rings_of(rows.column("rings")), [*starts[1:].tolist(), rows.num_rows]
+        overlays, frames = [], []
+        for i, j, bx, by in zip(starts.tolist(), ends, rows.column("bx").take(starts).to_pylist(), rows.column("by").take(starts).to_pylist(), strict=True):
+            x0, y0, x1, y1 = bx * size, by * size, (bx + 1) * size, (by + 1) * size
+            overlays.append([*zip(role[i:j], rings[i:j], strict=True), (2, [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)])])
+            frames.append((x0, y0, x1, y1))
+        areas, found = swept(overlays, [op], 3, with_outline)
+        lines = [_joined(pieces, *frame) if area > EPS else [] for pieces, frame, area in zip(found, frames, areas[0], strict=True)] if with_outline else [[] for _ in frames]
+        xy = np.array([s for own in lines for s in own], float).reshape(-1, 4).T
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(own) for own in lines])]).astype(np.int32))
+        segments = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([*map(pa.array, xy)], ["x0", "y0", "x1", "y1"])).cast(struct)
+        return pa.RecordBatch.from_arrays([rows.column("result").take(starts).combine_chunks(), pa.array(areas[0]), segments], ["result", "area", "segments"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            starts = _starts(batch)
+            if len(starts) < 2 and (len(held) < 2 or _same(held[-2], batch)):
+                continue  # all of one cell, which may go on
+            rows = pa.Table.from_batches(held)
+            whole = rows.num_rows - batch.num_rows + int(starts[-1])
+            if whole:
+                done = rows.slice(0, whole)
+                yield told(done, _starts(done))
+            held = [batch.slice(int(starts[-1]))]
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield told(rows, _starts(rows))
 
     return run
 
 
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The rows at which another number of the group starts."""
+    group = rows.column("cell").to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column("cell").to_numpy()
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
+def _same(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    return before.column("cell")[-1] == after.column("cell")[0]
+
+
+def _joined(found: list, x0: float, y0: float, x1: float, y1: float) -> list:
+    """Pieces of outline, of which those on the cell's border that continue each other are one, so that neighbours cancel."""
+    inner, border = [], defaultdict(list)
+    for x, y, u, v in found:
+        if x == u and x in (x0, x1) or y == v and y in (y0, y1):
+            border[(x == u, x if x == u else y)].append((x, y, u, v))
+        else:
+            inner.append((x, y, u, v))
+    for (upright, _), own in border.items():
+        own.sort(key=lambda s: min(s[1], s[3]) if upright else min(s[0], s[2]))
+        joined = [list(own[0])]
+        for s in own[1:]:
+            a = joined[-1]
+            if a[2:] == list(s[:2]):
+                a[2:] = s[2:]
+            elif a[:2] == list(s[2:]):
+                a[:2] = s[:2]
+            else:
+                joined.append(list(s))
+        inner += map(tuple, joined)
+    return inner
+
+
 def _rings(rows: pa.Table) -> pa.Table:
     """Rings of one result's pieces; those that lie on each other in opposite directions cancel where they overlap."""
     lines = np.stack([rows.column(k).to_numpy() for k in ("x0", "y0", "x1", "y1")], 1)
@@ -342,7 +516,9 @@ def _gathered(parts: DataFrame, size: float, with_rings: bool, clip: bool) -> Da
     kind = parts.schema["result"].dataType.simpleString()
     spans = lambda k: F.explode(F.sequence(F.floor(F.col(f"{k}0") / size), F.floor(F.col(f"{k}1") / size)))
     dealt = bounds(parts).select("*", spans("x").alias("bx")).select("*", spans("y").alias("by")).select("result", "role", "rings", "bx", "by")
-    cells = staged(dealt.groupBy("result", "bx", "by").applyInArrow(_cell(size, with_rings, clip), f"result {kind}, area double, segments {SEGMENTS}"), "cells")
+    # A cell's rows follow each other; a task sweeps many small cells together.
+    dealt = dealt.withColumn("cell", F.to_json(F.struct("result", "bx", "by"))).repartition(tasks(parts), "cell").sortWithinPartitions("cell")
+    cells = staged(dealt.mapInArrow(_cells(size, with_rings, clip), f"result {kind}, area double, segments {SEGMENTS}"), "cells")
     areas = cells.groupBy("result").agg(F.sum("area").alias("area")).where(F.col("area") > EPS)
     if not with_rings:
         return areas
@@ -353,7 +529,7 @@ def _gathered(parts: DataFrame, size: float, with_rings: bool, clip: bool) -> Da
     back = F.col("way") < 0
     turned = [F.when(back, F.col(q)).otherwise(F.col(p)).alias(k) for p, q, k in (("a", "c", "x0"), ("b", "d", "y0"), ("c", "a", "x1"), ("d", "b", "y1"))]
     rings = left.select("result", *turned).groupBy("result").applyInArrow(_rings, f"result {kind}, rings {RINGS}")
-    return areas.join(rings, "result")
+    return areas.join(rings.hint("merge"), "result")
 
 
 def union(layer: DataFrame, by: str, size: float = 16, with_rings: bool = True) -> DataFrame:
@@ -370,8 +546,9 @@ def clip(layer: DataFrame, regions: DataFrame, size: float = 16, with_rings: boo
     cells = lambda t: t.select("*", spans("x").alias("cx")).select("*", spans("y").alias("cy"))
     cut = cells(bounds(regions.select("rings").distinct())).select("rings", "cx", "cy")
     # A region meets a polygon through each of their common cells; one row of it is enough.
-    near = cells(own).select("id", "cx", "cy").join(cut, ["cx", "cy"]).select("id", "rings").distinct()
-    parts = own.join(near.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("result"), F.lit(0).alias("role"), "rings")
+    near = cells(own).select("id", "cx", "cy").join(cut.hint("merge"), ["cx", "cy"]).select("id", "rings").distinct()
+    near = staged(near, "near")
+    parts = own.join(near.select("id").distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("result"), F.lit(0).alias("role"), "rings")
     made = _gathered(parts.unionByName(near.select(F.col("id").alias("result"), F.lit(1).alias("role"), "rings")), size, with_rings, clip=True)
     return made.withColumnRenamed("result", "id")
 
@@ -381,11 +558,11 @@ def merged(layer: DataFrame, size: float = 16, with_rings: bool = True) -> DataF
     member of largest area, the smallest id on ties), area and rings. Polygons that only touch stay apart."""
     own = staged(layer.select("id", "rings"), "layer")
     links = pieces(own, own.select("id", "rings"), int(size), with_rings=False).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    named = own.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", "rings", F.coalesce("root", "id").alias("root"))
+    named = own.join(components(links).withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", "rings", F.coalesce("root", "id").alias("root"))
     named = staged(named.withColumn("own_area", area_of(F.col("rings"))), "groups")
     told = named.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max_by("id", F.struct("own_area", -F.col("id"))).alias("largest_id"))
-    lone = told.where("members = 1").join(named.select("root", F.col("own_area").alias("area"), "rings"), "root")
-    many = told.where("members > 1").join(union(named.join(told.where("members > 1").select("root"), "root", "left_semi"), "root", size, with_rings), "root")
+    lone = told.where("members = 1").join(named.select("root", F.col("own_area").alias("area"), "rings").hint("merge"), "root")
+    many = told.where("members > 1").join(union(named.join(told.where("members > 1").select("root").hint("merge"), "root", "left_semi"), "root", size, with_rings).hint("merge"), "root")
     return (lone if with_rings else lone.drop("rings")).unionByName(many)
 
 

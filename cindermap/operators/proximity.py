@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindermap.operators.overlay import EPS, RINGS, Edges, linked, outline, rings_column, rings_of, swept_area
-from cindermap.sources.shared import staged
+from cindermap.operators.overlay import EPS, RINGS, linked, rings_column, rings_of, swept
+from cindermap.sources.shared import spread, staged
 
 #: Segments of a quarter of a circle.
 QUARTER = 16
@@ -181,11 +181,11 @@ def _signed(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
 
 
-def buffered(parts: list[np.ndarray], filled: bool, distance: float) -> tuple[float, list[np.ndarray]]:
-    """Area and rings of what lies within ``distance`` of a geometry; for a negative one, of what is left of a polygon that far from its border. A polygon's rings must not cross themselves."""
+def _around(parts: list[np.ndarray], filled: bool, distance: float) -> list[tuple[int, list[np.ndarray]]]:
+    """The polygons whose overlay is a buffer: role 0 the geometry, 1 what is added to it, 2 what is taken away from it."""
     radius, pieces = abs(distance), []
     if distance <= 0 and not filled:
-        return 0.0, []
+        return []
     for i, p in enumerate(parts):
         if filled:
             outer = i == 0 or not holds(parts[:1], *p[0])  # as in a list of rings of which the first, or one outside it, surrounds
@@ -195,22 +195,34 @@ def buffered(parts: list[np.ndarray], filled: bool, distance: float) -> tuple[fl
             pieces.append(_arc(p[0], 0.0, 2 * np.pi, radius)[:-1])
         else:
             pieces += _strips(np.concatenate([p, p[-2:0:-1]]), radius)
-    edges = Edges([(0, parts if filled else []), *((1, [x]) for x in pieces)])
-    op = (lambda i: i[0] | i[1]) if distance > 0 else (lambda i: i[0] & ~i[1])
-    area = swept_area(edges, op)
-    return (area, linked(outline(edges, op))) if area > EPS else (0.0, [])
+    return [(0, parts if filled else []), *((1 if distance > 0 else 2, [x]) for x in pieces)]
+
+
+def all_buffered(geometries: list[tuple[list[np.ndarray], bool, float]], outlined: bool = True) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Area and rings of what lies within ``distance`` of each geometry (parts, filled, distance); for a negative one, of what is left of a polygon that far
+    from its border. A polygon's rings must not cross themselves."""
+    (areas,), found = swept([_around(*g) for g in geometries], [lambda i: (i[0] | i[1]) & ~i[2]], 3, outlined)
+    some = areas > EPS
+    return np.where(some, areas, 0.0), [linked(pieces) if own else [] for pieces, own in zip(found, some, strict=True)]
+
+
+def buffered(parts: list[np.ndarray], filled: bool, distance: float) -> tuple[float, list[np.ndarray]]:
+    """``all_buffered`` of one geometry."""
+    areas, rings = all_buffered([(parts, filled, distance)])
+    return float(areas[0]), rings[0]
 
 
-def buffers(layer: DataFrame, distances: list[float]) -> DataFrame:
-    """id, distance, area and rings of the buffers of every geometry (id, parts, filled), round at corners and ends (``QUARTER`` segments a quarter)."""
+def buffers(layer: DataFrame, distances: list[float], with_rings: bool = True) -> DataFrame:
+    """id, distance, area and, if wanted, rings of the buffers of every geometry (id, parts, filled), round at corners and ends (``QUARTER`` segments a quarter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            made = [buffered(p, f, d) for p, f, d in zip(rings_of(rows.column("parts")), rows.column("filled").to_pylist(), rows.column("distance").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("distance"), pa.array([a for a, _ in made], pa.float64()), rings_column([r for _, r in made])], ["id", "distance", "area", "rings"])
+            areas, rings = all_buffered([*zip(rings_of(rows.column("parts")), rows.column("filled").to_pylist(), rows.column("distance").to_pylist(), strict=True)], with_rings)
+            told = [rows.column("id"), rows.column("distance"), pa.array(areas)]
+            yield pa.RecordBatch.from_arrays([*told, rings_column(rings)] if with_rings else told, ["id", "distance", "area", "rings"][: 4 if with_rings else 3])
 
     each = layer.where(F.size(F.flatten("parts")) > 0).select("id", "parts", "filled", F.explode(F.array(*[F.lit(float(d)) for d in distances])).alias("distance"))
-    return each.mapInArrow(run, f"id {layer.schema['id'].dataType.simpleString()}, distance double, area double, rings {RINGS}")
+    return spread(each, "id").mapInArrow(run, f"id {layer.schema['id'].dataType.simpleString()}, distance double, area double" + (f", rings {RINGS}" if with_rings else ""))
 
 
 # --- Voronoi cells ---------------------------------------------------------------------------------------------------

@@ -223,7 +223,7 @@ def buffer_outlines(spark, d):
 @query(f"SELECT id, r AS distance, round(CASE WHEN id % 2 = 0 THEN CASE WHEN r > 0 THEN 2 * r * w + {ROUND} * r * r ELSE 0 END WHEN r > 0 THEN w * h + 2 * r * (w + h) + {ROUND} * r * r ELSE (w + 2 * r) * (h + 2 * r) END, 6) AS area FROM (SELECT id, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM rects), (VALUES (CAST(2.5 AS DOUBLE)), (-0.25)) k(r)", "rects")
 def buffer_lines(spark, d):
     """Lines, and rectangles that also shrink."""
-    return proximity.buffers(geometries(spark, d, True), [2.5, -0.25]).select("id", "distance", six(C("area")).alias("area"))
+    return proximity.buffers(geometries(spark, d, True), [2.5, -0.25], with_rings=False).select("id", "distance", six(C("area")).alias("area"))
 
 
 @query("WITH s AS (SELECT DISTINCT px, py FROM sites) SELECT count(*) AS cells, count(*) AS own, round(CAST((max(px) - min(px) + 20) * (max(py) - min(py) + 20) AS DOUBLE), 4) AS area FROM s", "sites")

@@ -28,3 +28,14 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks to deal rows to that each cost much: four a core, and as many as a shuffle has."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to ``tasks`` (by its keys, if any are named): a small file, or a small shuffle, is else one task, however much its rows become or cost."""
+    return df.repartition(tasks(df), *keys)

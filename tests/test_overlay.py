@@ -157,3 +157,28 @@ def test_files_of_polygons_and_graphs(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b<&\"", 1.5, True, [1, 2]), ("b", "c", 2.0, False, None)], "u string, v string, length double, damaged boolean, pixels array<int>")
     files.write_graphml(edges, str(tmp_path / "g"))
     assert sorted(map(tuple, files.read_graphml(spark, str(tmp_path / "g")).collect())) == [("a", 'b<&"', 1.5, True), ("b", "c", 2.0, False)]
+
+
+def test_swept_together_and_one_by_one(monkeypatch):
+    """Overlays swept together, each by itself, and in halves have the same areas and outlines."""
+    rng = np.random.default_rng(11)
+    overlays = [[(0, [star(rng, n)]), (1, [star(rng, 5)]), (1, [star(rng, 4)])] for n in (3, 6, 6, 9, 20)] + [[], [(0, [])]]
+    ops = [overlay.EITHER, overlay.BOTH]
+    areas, outlines = overlay.swept(overlays, ops, outlined=True)
+    one, lines = overlay._one_by_one(overlays[:5], ops, 2, True)
+    assert np.allclose(areas[:, :5], one) and (areas[:, 5:] == 0).all() and outlines[5:] == [[], []]
+    area = lambda pieces: sum(proximity._signed(r) / 2 for r in overlay.linked(pieces))
+    assert [area(p) for p in outlines[:5]] == pytest.approx(one[0].tolist()) == [area(p) for p in lines]
+    monkeypatch.setattr(overlay, "AT_ONCE", 40)
+    assert np.allclose(overlay.swept(overlays, ops)[0], areas)
+
+
+def test_one_file_is_many_tasks(spark):
+    """Shapes of one small file are buffered, measured and swept in many tasks."""
+    layer = spark.range(40).coalesce(1).selectExpr("id", "array(array(named_struct('x', double(3 * id), 'y', 0D), named_struct('x', 3 * id + 2D, 'y', 0D), named_struct('x', 3 * id + 2D, 'y', 2D))) AS rings")
+    made = proximity.buffers(layer.selectExpr("id", "rings AS parts", "true AS filled"), [0.5], with_rings=False)
+    assert made.columns == ["id", "distance", "area"] and made.rdd.getNumPartitions() >= 4 and made.count() == 40
+    pairs = overlay.measured(layer.selectExpr("id", "rings AS a_rings", "rings AS b_rings"))
+    assert pairs.rdd.getNumPartitions() >= 4 and {r["iou"] for r in pairs.collect()} == {1.0}
+    clipped = overlay.clip(layer, layer.where("id % 2 = 0"), 4, with_rings=False)
+    assert {r["id"]: r["area"] for r in clipped.collect()} == {i: pytest.approx(2.0) for i in range(0, 40, 2)}
