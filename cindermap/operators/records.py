@@ -58,12 +58,12 @@ def reduce_by(rows: DataFrame, by: str, value: str, index: str, mode: str) -> Da
     return kept.groupBy(by).agg((F.max if mode == "max" else F.min)(value).alias("best_value"), F.max_by(index, key).alias("best_index"))
 
 
-def chart_data(rows: DataFrame, label: Column, fallback: Column, value: Column, top_k: int, digits: int) -> DataFrame:
-    """Labelled values, largest first; repeated labels get a number; rounded half to even."""
-    named = rows.select("id", F.coalesce(F.when(F.trim(label) != "", label), fallback).alias("label"), value.cast("double").alias("value")).where("value IS NOT NULL")
-    top = named.orderBy(F.desc("value"), "id").limit(top_k)
+def chart_data(rows: DataFrame, label: Column, fallback: Column, value: Column, top_k: int, digits: int, by: Column | None = None) -> DataFrame:
+    """Labelled values of the rows largest by ``by`` (the value itself, if not given), not rounded yet; repeated labels get a number, the largest rounded value first; rounded half to even."""
+    named = rows.select("id", F.coalesce(F.when(F.trim(label) != "", label), fallback).alias("label"), value.cast("double").alias("value"), (value if by is None else by).alias("by")).where("value IS NOT NULL")
+    top = named.orderBy(F.desc("by"), "id").limit(top_k).withColumn("value", F.bround("value", digits))
     again = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("value"), "id"))
-    return top.withColumn("n", again).select("id", F.when(F.col("n") > 1, F.concat("label", F.lit(" ("), F.col("n"), F.lit(")"))).otherwise(F.col("label")).alias("label"), F.bround("value", digits).alias("value"))
+    return top.withColumn("n", again).select("id", F.when(F.col("n") > 1, F.concat("label", F.lit(" ("), F.col("n"), F.lit(")"))).otherwise(F.col("label")).alias("label"), "value")
 
 
 def priority_score(rows: DataFrame, criteria: dict[str, float], top_k: int) -> DataFrame:

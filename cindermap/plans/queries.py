@@ -448,7 +448,7 @@ ORACLES |= {"reduce_max": T.with_views(FIRST.format(order="DESC"), "steps"), "re
 
 @query("SELECT id, CASE WHEN n > 1 THEN label || ' (' || n || ')' ELSE label END AS label, value FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY value DESC, id) AS n FROM (SELECT id, types AS label, round(population, 1) AS value FROM pois ORDER BY population DESC, id LIMIT 25))", "pois")
 def chart_data(spark, d):
-    return records.chart_data(T.pois(spark, d).withColumn("population", F.round("population", 1)), C("types"), C("name"), C("population"), 25, 1)
+    return records.chart_data(T.pois(spark, d), C("types"), C("name"), F.round("population", 1), 25, 1, by=C("population"))
 
 
 @query("SELECT id, round(0.7 * need + 3 * region, 4) AS score FROM sites ORDER BY 0.7 * need + 3 * region DESC, id LIMIT 15", "sites")

@@ -342,3 +342,12 @@ def test_only_named_falls_back_to_all(spark):
 def test_decimate(spark):
     cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 1, 3.0), (1, 2, 0, None), (1, 4, 4, 7.0)], "raster_id long, r int, c int, value double")
     assert sorted((r["r"], r["c"], r["value"]) for r in raster.decimate(cells, 2).collect() if r["value"]) == [(0, 0, 2.0), (2, 2, 7.0)]
+
+
+def test_chart_data_takes_the_largest_unrounded(spark):
+    """Values that are equal once rounded are told apart before: the largest are taken, whatever their ids."""
+    rows = spark.createDataFrame([(1, "a", 9.96), (2, "a", 10.04), (3, "b", 10.01), (4, "b", 3.0)], "id long, label string, value double")
+    got = records.chart_data(rows, F.col("label"), F.col("label"), F.round("value", 1), 2, 1, by=F.col("value")).collect()
+    assert {(r["id"], r["label"], r["value"]) for r in got} == {(2, "a", 10.0), (3, "b", 10.0)}
+    got = records.chart_data(rows, F.col("label"), F.col("label"), F.col("value"), 3, 1).collect()
+    assert {(r["id"], r["label"], r["value"]) for r in got} == {(1, "a", 10.0), (2, "a (2)", 10.0), (3, "b", 10.0)}
