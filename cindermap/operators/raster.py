@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows asked of every raster that are still sent to every task.
+FEW = 1 << 18
+
 
 def valid(value: Column, nodata: float | None) -> Column:
     ok = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value) < float("inf"))
@@ -140,27 +143,34 @@ def decimate(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy("raster_id", block("r"), block("c")).agg(F.avg("value").alias("value"))
 
 
+def frame_cells(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """tr, tc of the target cells, which are the same for every raster."""
+    at = cells.sparkSession.range(height * width)
+    return at.select(F.floor(F.col("id") / width).cast("int").alias("tr"), (F.col("id") % width).cast("int").alias("tc"))
+
+
+def asked_of_all(cells: DataFrame, asked: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``cells`` of all rasters joined with what is asked of each of them (about ``rows`` rows): sent to every task if that is little, else shuffled. The cells are never sent."""
+    return cells.join(F.broadcast(asked) if rows <= FEW else asked.hint("merge"), keys)
+
+
 def resample_nearest(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
     """Each target cell takes the source cell under its centre."""
     h, w = max(1, int(height * factor)), max(1, int(width * factor))
-    ids = cells.select("raster_id").distinct()
-    grid = ids.select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("tr")).select("*", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("tc"))
-    at = grid.withColumn("r", F.floor((F.col("tr") + 0.5) * height / h).cast("int")).withColumn("c", F.floor((F.col("tc") + 0.5) * width / w).cast("int"))
-    return at.join(cells.select("raster_id", "r", "c", "value"), ["raster_id", "r", "c"]).select("raster_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "value")
+    at = frame_cells(cells, h, w).withColumn("r", F.floor((F.col("tr") + 0.5) * height / h).cast("int")).withColumn("c", F.floor((F.col("tc") + 0.5) * width / w).cast("int"))
+    return asked_of_all(cells.select("raster_id", "r", "c", "value"), at, ["r", "c"], h * w).select("raster_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "value")
 
 
 def resample_bilinear(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
     """Each target cell takes the weighted mean of the four source cells around its centre; edge cells repeat outward."""
     h, w = max(1, int(height * factor)), max(1, int(width * factor))
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = cells.select("raster_id").distinct().select("raster_id", steps(h).alias("tr")).select("*", steps(w).alias("tc"))
     centre = lambda c, n, full: F.greatest(F.lit(0.0), F.least(F.lit(full - 1.0), (F.col(c) + 0.5) * full / n - 0.5))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    at = grid.withColumn("y", centre("tr", h, height)).withColumn("x", centre("tc", w, width)).select("*", near.alias("n"))
+    at = frame_cells(cells, h, w).withColumn("y", centre("tr", h, height)).withColumn("x", centre("tc", w, width)).select("*", near.alias("n"))
     r, c = F.floor("y") + F.col("n.i"), F.floor("x") + F.col("n.j")
     weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("y") - r)) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("x") - c))
-    asked = at.select("raster_id", "tr", "tc", r.cast("int").alias("r"), c.cast("int").alias("c"), weight.alias("weight")).where("weight > 0")
-    took = asked.join(cells.select("raster_id", "r", "c", "value"), ["raster_id", "r", "c"])
+    asked = at.select("tr", "tc", r.cast("int").alias("r"), c.cast("int").alias("c"), weight.alias("weight")).where("weight > 0")
+    took = asked_of_all(cells.select("raster_id", "r", "c", "value"), asked, ["r", "c"], 4 * h * w)
     return took.groupBy("raster_id", F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 

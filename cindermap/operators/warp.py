@@ -1,7 +1,7 @@
 """Rasters resampled at any place: other pixel sizes and other projections, by nearest, bilinear or cubic kernels; and densities of points.
 
-A target cell asks for the source cells under its kernel, a join on (raster, row, column); nothing is read but those. Projections are column
-arithmetic, so a whole warp is one lazy plan.
+A target cell asks for the source cells under its kernel, a join on (row, column); rasters of one frame ask for the same cells, so places are worked
+out once, whatever the number of rasters. Projections are column arithmetic, so a whole warp is one lazy plan.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.functions import crs
+from cindermap.operators.raster import FEW, asked_of_all, frame_cells
 from cindermap.sources.shared import staged
 
 #: Source cells on each side of the place, and the kernel's weight at a distance.
@@ -31,32 +32,39 @@ def kernel(method: str, t: Column) -> Column:
     return F.when(a <= 1, (1.5 * a - 2.5) * a * a + 1).when(a < 2, ((2.5 - 0.5 * a) * a - 4) * a + 2).otherwise(0.0)
 
 
-def sampled(cells: DataFrame, places: DataFrame, height: int, width: int, method: str, edges: str = "repeat") -> DataFrame:
+def sampled(cells: DataFrame, places: DataFrame, height: int, width: int, method: str, edges: str = "repeat", rows: int | None = None) -> DataFrame:
     """raster_id, r, c, value: the cells' (raster_id, r, c, value) values at the places (raster_id, r, c, y, x in source cells, 0 at the first one's centre).
 
-    ``edges``: beyond the border the border's cells repeat, or (``none``) places outside have no row. Missing, null and NaN cells are left out and the
-    other weights shared anew; a place without any has no row. Unknown methods are bilinear.
+    Places without a raster_id, about ``rows`` of them, are asked of every raster. ``edges``: beyond the border the border's cells repeat, or (``none``)
+    places outside have no row. Missing, null and NaN cells are left out and the other weights shared anew; a place without any has no row. Unknown
+    methods are bilinear.
     """
     method = method if method in TAPS else "bilinear"
     own = cells.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("raster_id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("value").cast("double").alias("value"))
     if edges == "none":
         places = places.where((F.col("y") >= -0.5) & (F.col("y") < height - 0.5) & (F.col("x") >= -0.5) & (F.col("x") < width - 0.5))
     inside = lambda k, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), k)).cast("int")
+    own_places = ["raster_id"] if "raster_id" in places.columns else []
+    low, high = TAPS[method]
+
+    def met(asked: DataFrame) -> DataFrame:
+        if own_places:
+            return own.join(asked.hint("merge"), ["raster_id", "sr", "sc"])
+        return asked_of_all(own, asked, ["sr", "sc"], (high - low + 1) ** 2 * (rows or FEW + 1))
+
     if method == "nearest":
         at = places.withColumns({"sr": inside(F.floor(F.col("y") + 0.5), height), "sc": inside(F.floor(F.col("x") + 0.5), width)})
-        return at.join(own, ["raster_id", "sr", "sc"]).select("raster_id", "r", "c", "value")
-    low, high = TAPS[method]
+        return met(at.select(*own_places, "r", "c", "sr", "sc")).select("raster_id", "r", "c", "value")
     step = F.array(*[F.lit(i) for i in range(low, high + 1)])
     tapped = places.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j"))
     y, x = F.floor("y") + F.col("i"), F.floor("x") + F.col("j")
-    asked = tapped.select("raster_id", "r", "c", inside(y, height).alias("sr"), inside(x, width).alias("sc"), (kernel(method, F.col("y") - y) * kernel(method, F.col("x") - x)).alias("w")).where("w <> 0")
-    took = asked.join(own, ["raster_id", "sr", "sc"]).groupBy("raster_id", "r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("total"), F.sum("w").alias("w"))
+    asked = tapped.select(*own_places, "r", "c", inside(y, height).alias("sr"), inside(x, width).alias("sc"), (kernel(method, F.col("y") - y) * kernel(method, F.col("x") - x)).alias("w")).where("w <> 0")
+    took = met(asked).groupBy("raster_id", "r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("total"), F.sum("w").alias("w"))
     return took.where(F.abs("w") > 1e-12).select("raster_id", "r", "c", (F.col("total") / F.col("w")).alias("value"))
 
 
-def _grid(rasters: DataFrame, height: int, width: int) -> DataFrame:
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return rasters.select("raster_id").distinct().select("raster_id", steps(height).alias("r")).select("*", steps(width).alias("c"))
+def _grid(cells: DataFrame, height: int, width: int) -> DataFrame:
+    return frame_cells(cells, height, width).withColumnsRenamed({"tr": "r", "tc": "c"})
 
 
 def resample(cells: DataFrame, height: int, width: int, pixel_m: float, target_m: float, method: str = "bilinear") -> DataFrame:
@@ -66,7 +74,7 @@ def resample(cells: DataFrame, height: int, width: int, pixel_m: float, target_m
     scale = (abs(pixel_m) or 1.0) / target_m
     h, w = max(1, int(height * scale)), max(1, int(width * scale))
     centre = lambda c, n, full: (F.col(c) + 0.5) * full / n - 0.5
-    return sampled(cells, _grid(cells, h, w).withColumns({"y": centre("r", h, height), "x": centre("c", w, width)}), height, width, method)
+    return sampled(cells, _grid(cells, h, w).withColumns({"y": centre("r", h, height), "x": centre("c", w, width)}), height, width, method, rows=h * w)
 
 
 def to_degrees(name: str, x: Column, y: Column) -> tuple[Column, Column]:
@@ -122,9 +130,9 @@ def reproject(cells: DataFrame, height: int, width: int, transform: tuple[float,
     a, b, c, d, e, f = transform
     world = _grid(cells, h, w).withColumns({"wx": x - c, "wy": y - f})
     det = a * e - b * d
-    places = world.select("raster_id", "r", "c", ((a * F.col("wy") - d * F.col("wx")) / det - 0.5).alias("y"), ((e * F.col("wx") - b * F.col("wy")) / det - 0.5).alias("x"))
-    # Written once: the series of the projections would else be computed for each tap.
-    return sampled(cells, staged(places, "places"), height, width, method, "none")
+    places = world.select("r", "c", ((a * F.col("wy") - d * F.col("wx")) / det - 0.5).alias("y"), ((e * F.col("wx") - b * F.col("wy")) / det - 0.5).alias("x"))
+    # Written once: the series of the projections would else be computed for each tap. They are the same for every raster.
+    return sampled(cells, staged(places, "places"), height, width, method, "none", h * w)
 
 
 def heatmap(points: DataFrame, bandwidth: float | None = None) -> tuple[DataFrame, dict]:

@@ -286,7 +286,7 @@ def reproject_round_trip(spark, d):
     fine = (0.00005, 0.0, 14.999, 0.0, -0.00005, 45.155)
     there = warp.reproject(cells, T.SIDE, T.SIDE, UTM_FRAME, "EPSG:32633", "EPSG:4326", "nearest", (fine, 160, 180))
     back = warp.reproject(there, 160, 180, fine, "EPSG:4326", "EPSG:32633", "nearest", (UTM_FRAME, T.SIDE, T.SIDE))
-    both = back.withColumnRenamed("value", "own").join(cells, ["raster_id", "r", "c"])
+    both = back.withColumnRenamed("value", "own").join(cells.hint("merge"), ["raster_id", "r", "c"])
     return both.groupBy("raster_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(C("own") == C("value")).alias("same"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cindermap.sources.shared import spread
+
 SIDE = 16
 NODATA = 1.0
 
@@ -31,7 +33,7 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense elevations, one raster a supplier."""
     side = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("raster_id"), F.explode(side).alias("r")).select("raster_id", "r", F.explode(side).alias("c"))
+    grid = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("raster_id")), "raster_id").select("raster_id", F.explode(side).alias("r")).select("raster_id", "r", F.explode(side).alias("c"))
     return grid.withColumn("value", ((F.col("raster_id") * 7 + F.col("r") * F.col("r") * 3 + F.col("c") * 5 + F.col("r") * F.col("c")) % 97).cast("double"))
 
 

@@ -78,3 +78,24 @@ def test_heatmap(spark):
         warp.heatmap(points.limit(1))
     with pytest.raises(ValueError):
         warp.heatmap(points.withColumn("py", F.col("px") * 2))
+
+
+def test_rasters_of_a_frame_are_asked_the_same(spark):
+    """No raster's cells are sent to every task, and places of all rasters give what places of each of them give."""
+    from cindermap.operators import raster as R
+    from cindermap.sources import tables as T
+
+    dem = T.dem(spark, "/root/testdata/sf0.001")
+    assert dem.rdd.getNumPartitions() >= 8
+    made = warp.resample(dem, T.SIDE, T.SIDE, 0.5, 0.4, "cubic")
+    for found in (made, R.resample_nearest(dem, T.SIDE, T.SIDE, 0.4), R.resample_bilinear(dem, T.SIDE, T.SIDE, 0.4)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "rightHint=(strategy=broadcast)" in plan and "supplier" not in plan[plan.index("Join") :].split("Range")[-1]
+    grid = np.random.default_rng(4).uniform(0, 9, (6, 6))
+    two = raster(spark, grid).unionByName(raster(spark, grid * 2).withColumn("raster_id", F.lit(2).cast("long")))
+    places = spark.createDataFrame([(r, c, r * 1.3 - 0.4, c * 1.1 - 0.2) for r in range(5) for c in range(5)], "r int, c int, y double, x double")
+    each = places.crossJoin(spark.createDataFrame([(1,), (2,)], "raster_id long"))
+    for method in ("nearest", "bilinear", "cubic"):
+        for rows in (25, None):
+            one, other = ({(r["raster_id"], r["r"], r["c"]): r["value"] for r in warp.sampled(two, p, 6, 6, method, "none", rows).collect()} for p in (places, each))
+            assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k]) for k in one)
