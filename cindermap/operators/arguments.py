@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cindermap.functions.answers import looks_like_path
 from cindermap.functions.scalar import normalize_text, normalize_tool
 from cindermap.operators.scoring import close
-from cindermap.sources.shared import staged
+from cindermap.sources.shared import spread, staged
 
 #: Steps that are no calls of their own, and a gold value that a run fills in.
 WRAPPERS = ("tool.loop", "tool.reduce")
@@ -30,7 +30,7 @@ def walked(rows: DataFrame, keys: list[str], text: str, coerce: bool = False) ->
 
     With ``coerce``, strings that hold a JSON list or object are that, at any depth. Texts that are not JSON have one node of kind null.
     """
-    level, nodes = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("value")), None
+    level, nodes = spread(rows.select(*keys, text), *keys).select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("value")), None
     while True:
         if coerce:
             inner = F.trim(F.try_variant_get("value", "$", "string"))
@@ -38,10 +38,11 @@ def walked(rows: DataFrame, keys: list[str], text: str, coerce: bool = False) ->
             parsed = F.when((_kind(F.col("value")) == "string") & boxed, F.try_parse_json(inner))
             level = level.withColumn("value", F.coalesce(parsed, "value"))
             # What came out of a string may be a string of that kind again only within; it is walked like any other.
-        told = level.select(*keys, "path", _kind(F.col("value")).alias("kind"), F.to_json("value").alias("json"), F.try_variant_get("value", "$", "string").alias("scalar"))
-        size = F.when(F.col("kind") == "array", F.json_array_length("json")).when(F.col("kind") == "object", F.size(F.json_object_keys("json")))
+        told = level.select(*keys, "path", _kind(F.col("value")).alias("kind"), "value")
         held = F.col("kind").isin("array", "object")
-        told = staged(told.select(*keys, "path", "kind", size.alias("size"), F.when(~held & (F.col("kind") != "null"), F.col("scalar")).alias("leaf"), F.when(held, F.col("json")).alias("json")), "nodes")
+        told = told.select(*keys, "path", "kind", F.when(held, F.to_json("value")).alias("json"), F.when(~held & (F.col("kind") != "null"), F.try_variant_get("value", "$", "string")).alias("leaf"))
+        size = F.when(F.col("kind") == "array", F.json_array_length("json")).when(F.col("kind") == "object", F.size(F.json_object_keys("json")))
+        told = staged(told.select(*keys, "path", "kind", size.alias("size"), "leaf", "json"), "nodes")
         nodes = told.drop("json") if nodes is None else nodes.unionByName(told.drop("json"))
         inside = told.where("size > 0")
         if inside.isEmpty():
@@ -92,19 +93,20 @@ def parameter_accuracy(gold: DataFrame, pred: DataFrame, by: str) -> DataFrame:
     gold steps: 1 if the prediction has none.
     """
     sides = {s: staged(flat_steps(x, by), "steps") for s, x in (("g", gold), ("p", pred))}
+    # The tables below are written compactly and all grow with the tasks: no join sends one to every task, whatever its files' size promises.
     tasks = gold.select(by).union(pred.select(by)).distinct()
     nodes = {s: walked(x, [by, "i"], "args") for s, x in sides.items()}
-    calls = {s: x.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("i", "call"))).alias(f"{s}_calls")) for s, x in sides.items()}
     g, p = (x.select(by, "i", "path", *[F.col(c).alias(f"{s}_{c}") for c in ("kind", "size", "leaf")]) for s, x in nodes.items())
-    rows = g.where("path <> ''").join(p, [by, "i", "path"], "left")
-    for s in ("g", "p"):
-        rows = rows.join(outputs(sides[s], by).select(by, F.col("file").alias(f"{s}_leaf"), F.col("i").alias(f"{s}_from")), [by, f"{s}_leaf"], "left").join(calls[s], by, "left")
+    rows = g.where("path <> ''").join(p.hint("merge"), [by, "i", "path"], "left")
+    call = {s: sides[s].select(by, F.col("i").alias("from"), F.col("call").alias(f"{s}_call")) for s in sides}
+    same = call["g"].join(call["p"].hint("merge"), [by, "from"]).where(F.col("g_call") == F.col("p_call")).select(by, "from", F.lit(True).alias("same"))
+    for s in ("g", "p"):  # who put a file out, and whether both sides call one tool there
+        made = outputs(sides[s], by).withColumnRenamed("i", "from").join(same.hint("merge"), [by, "from"], "left")
+        rows = rows.join(made.select(by, F.col("file").alias(f"{s}_leaf"), F.col("from").alias(f"{s}_from"), F.coalesce("same", F.lit(False)).alias(f"{s}_same")).hint("merge"), [by, f"{s}_leaf"], "left")
     gv, pv = F.col("g_leaf"), F.coalesce("p_leaf", F.when(F.col("p_kind") == "null", "None"))
     kind, there = F.col("g_kind"), F.col("p_kind").isNotNull()
     made_g, made_p = F.col("g_from").isNotNull(), F.col("p_from").isNotNull()
-    at = lambda calls, i: F.try_element_at(F.col(calls), F.col(i))
-    same_tool = lambda i: at("g_calls", i).isNotNull() & (at("g_calls", i) == at("p_calls", i))
-    role = (~made_g & ~made_p) | (made_g & made_p & (F.col("g_from") == F.col("p_from"))) | (made_g & ~made_p & same_tool("g_from")) | (made_p & ~made_g & same_tool("p_from"))
+    role = (~made_g & ~made_p) | (made_g & made_p & (F.col("g_from") == F.col("p_from"))) | (made_g & ~made_p & F.col("g_same")) | (made_p & ~made_g & F.col("p_same"))
     alike = ((_base(gv) != "") & (_base(gv) == _base(pv))) | ((_without_hashes(_base(gv)) != "") & (_without_hashes(_base(gv)) == _without_hashes(_base(pv))))
     named = normalize_text(gv) == normalize_text(pv)
     file = looks_like_path(gv) | looks_like_path(pv)
@@ -116,8 +118,8 @@ def parameter_accuracy(gold: DataFrame, pred: DataFrame, by: str) -> DataFrame:
     argument = F.get(F.split("path", "/"), F.lit(1))
     shared = rows.withColumn("ok", there & F.coalesce(match, F.lit(False))).groupBy(by, "i", argument.alias("argument")).agg(F.bool_and("ok").alias("ok"))
     shares = shared.groupBy(by, "i").agg(F.avg(F.col("ok").cast("double")).alias("share"))
-    steps = sides["g"].select(by, "i", "call").join(sides["p"].select(by, "i", F.col("call").alias("own")), [by, "i"], "left").join(shares, [by, "i"], "left")
+    steps = sides["g"].select(by, "i", "call").join(sides["p"].select(by, "i", F.col("call").alias("own")).hint("merge"), [by, "i"], "left").join(shares.hint("merge"), [by, "i"], "left")
     score = F.when(F.col("call") == F.col("own"), F.coalesce("share", F.lit(1.0))).otherwise(0.0)
     scores = steps.groupBy(by).agg(F.avg(score).alias("score"))
     empty = sides["p"].select(by).distinct().withColumn("some", F.lit(True))
-    return tasks.join(scores, by, "left").join(empty, by, "left").select(by, F.coalesce("score", F.when(F.col("some"), 0.0).otherwise(1.0)).alias("score"))
+    return tasks.join(scores.hint("merge"), by, "left").join(empty.hint("merge"), by, "left").select(by, F.coalesce("score", F.when(F.col("some"), 0.0).otherwise(1.0)).alias("score"))

@@ -60,3 +60,15 @@ def test_files_by_role(spark):
     ])
     got = {r["task"]: r["score"] for r in arguments.parameter_accuracy(gold, pred, "task").collect()}
     assert got == {1: 1.0, 2: pytest.approx(2 / 3), 3: 1.0, 4: 0.0, 5: 0.5, 6: 0.5, 7: 0.0}
+
+
+def test_no_side_is_sent_to_every_task(spark):
+    """Steps and arguments grow with the tasks: their joins shuffle both sides. One small file's texts are walked in many tasks."""
+    rows = spark.range(50).coalesce(1).selectExpr("id AS task", "1L AS step", "'ras.area' AS call", "'{\"k\": [1, 2]}' AS args", "CAST(NULL AS string) AS obs")
+    scores = arguments.parameter_accuracy(rows, rows, "task")
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("rightHint=(strategy=merge)" in line for line in joins if "task#" in line)
+    assert {r["score"] for r in scores.collect()} == {1.0}
+    nodes = arguments.walked(rows, ["task"], "args")
+    assert nodes.count() == 200 and len({f.rsplit("/", 1)[0] for f in nodes.inputFiles()}) == 3 and len(nodes.inputFiles()) > 6
