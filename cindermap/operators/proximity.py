@@ -122,12 +122,12 @@ def nearest_geometries(a: DataFrame, b: DataFrame, k: int = 1, size: float = 16)
         most = lambda ax: F.greatest(F.col(f"a_{ax}1"), F.col(f"b_{ax}1")) - F.least(F.col(f"a_{ax}0"), F.col(f"b_{ax}0"))
         corner = lambda ax, s=size: F.floor(F.greatest(F.col(f"a_{ax}0") - s, F.col(f"b_{ax}0")) / s)
         # Only the cell of the lower corner of what the widened bounds share reports a pair.
-        pairs = asked.join(there, ["cx", "cy"]).where((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
+        pairs = asked.join(there.hint("merge"), ["cx", "cy"]).where((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
         pairs = pairs.select("a_id", "b_id", F.hypot(gap("x"), gap("y")).alias("low"), F.hypot(most("x"), most("y")).alias("high"))
         kth = F.row_number().over(Window.partitionBy("a_id").orderBy("high", "b_id"))
         cut = pairs.withColumn("nth", kth).where(F.col("nth") == k).select("a_id", F.col("high").alias("cut"))
-        close = pairs.join(cut, "a_id", "left").where(F.col("cut").isNull() | (F.col("low") <= F.col("cut"))).select("a_id", "b_id")
-        full = close.join(left.select("a_id", "a_parts", "a_filled"), "a_id").join(b.select("b_id", "b_parts", "b_filled"), "b_id")
+        close = pairs.join(cut.hint("merge"), "a_id", "left").where(F.col("cut").isNull() | (F.col("low") <= F.col("cut"))).select("a_id", "b_id")
+        full = spread(close.join(left.select("a_id", "a_parts", "a_filled").hint("merge"), "a_id").join(b.select("b_id", "b_parts", "b_filled").hint("merge"), "b_id"), "a_id")
         kinds = f"a_id {a.schema['a_id'].dataType.simpleString()}, b_id {b.schema['b_id'].dataType.simpleString()}, {FAR}"
         rank = F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))
         ranked = staged(full.mapInArrow(_distances, kinds).withColumn("rank", rank).where(F.col("rank") <= k), "near")
@@ -135,8 +135,8 @@ def nearest_geometries(a: DataFrame, b: DataFrame, k: int = 1, size: float = 16)
             part = ranked
         else:
             settled = ranked.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") >= k) & (F.col("far") <= size)).select("a_id")
-            part = ranked.join(settled, "a_id", "left_semi")
-            left = staged(left.join(settled, "a_id", "left_anti"), "unsettled")
+            part = ranked.join(settled.hint("merge"), "a_id", "left_semi")
+            left = staged(left.join(settled.hint("merge"), "a_id", "left_anti"), "unsettled")
         part = part.select("a_id", "rank", "b_id", "distance", "ax", "ay", "bx", "by")
         done = part if done is None else done.unionByName(part)
         if size >= widest or left.isEmpty():

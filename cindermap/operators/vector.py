@@ -166,7 +166,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, size: int = 16) -> DataFrame
         asked = asked.select("*", F.explode(step).alias("i")).select("*", F.explode(step).alias("j")).withColumn("bx", F.col("cx") + F.col("i")).withColumn("by", F.col("cy") + F.col("j"))
         there = b.select(F.col("id").alias("b_id"), F.col("px").alias("qx"), F.col("py").alias("qy"), cell("px").alias("bx"), cell("py").alias("by"))
         dx, dy = F.col("ax") - F.col("qx"), F.col("ay") - F.col("qy")
-        found = asked.join(there, ["bx", "by"]).withColumn("d2", dx * dx + dy * dy)
+        found = asked.join(there.hint("merge"), ["bx", "by"]).withColumn("d2", dx * dx + dy * dy)
         ranked = staged(found.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "d2"), "nearest")
         if size >= widest:
             return ranked if done is None else done.unionByName(ranked)

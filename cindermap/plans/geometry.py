@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cindermap.operators import arguments, overlay, proximity, roads, summary, vector, warp
 from cindermap.plans.registry import query
 from cindermap.sources import tables as T
+from cindermap.sources.shared import spread
 
 C = F.col
 
@@ -115,7 +116,7 @@ def crossings(spark, d) -> DataFrame:
     """Mask cells: 1 intact, 2 flooded, 3 blocked."""
     s = C("s_suppkey")
     arm = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(((-1, 0), (0, 1), (1, 0), (0, -1)))]))
-    arms = T.table(spark, d, "supplier").select(s.alias("raster_id"), arm.alias("a")).select("raster_id", "a.*")
+    arms = spread(T.table(spark, d, "supplier").select(s), "s_suppkey").select(s.alias("raster_id"), arm.alias("a")).select("raster_id", "a.*")
     n = 8 + C("raster_id") * (C("d") + 3) % 9
     arms = arms.withColumns({"n": n, "k": C("raster_id") * (C("d") + 1) % n}).select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("n").cast("long"))).alias("i"))
     value = F.when(C("i") <= C("n") - C("k"), 1).otherwise(2 + C("d") % 2)

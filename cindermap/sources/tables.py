@@ -1,7 +1,7 @@
 """Tables of a data folder, and the rasters, layers, graphs and trajectories that the queries derive from them.
 
 Every derivation uses whole numbers only and grows with its table: one raster a supplier, tiles of rectangles a
-block of parts, one road graph a block of orders.
+block of parts, one road graph a block of orders. Small tables, of which a row becomes or costs much, are dealt to every core first.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     x0 = key * 31 % 97 + 100 * F.floor(key / 500)
     y0 = key * 7 % 89
-    return table(spark, sf_dir, "part").select(key.alias("id"), (F.col("p_size") % 3).alias("class"), F.col("p_brand").alias("brand"), x0.alias("x0"), y0.alias("y0"), (x0 + 1 + F.col("p_size") % 9).alias("x1"), (y0 + 1 + F.col("p_size") % 5).alias("y1"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey").select(key.alias("id"), (F.col("p_size") % 3).alias("class"), F.col("p_brand").alias("brand"), x0.alias("x0"), y0.alias("y0"), (x0 + 1 + F.col("p_size") % 9).alias("x1"), (y0 + 1 + F.col("p_size") % 5).alias("y1"))
 
 
 def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey").select(
         key.alias("id"), F.col("c_name").alias("name"), F.concat(F.col("c_mktsegment"), F.when(key % 3 == 0, ", Shelter").otherwise(", school")).alias("types"),
         ((key * 37 % 1800).cast("double") / 10 - 90).alias("lat"), ((key * 91 % 3600).cast("double") / 10 - 180).alias("lon"),
         (key * 13 % 97 + 100 * F.floor(key / 375)).alias("px"), (key * 29 % 89).alias("py"), F.col("c_acctbal").alias("population"),
@@ -56,7 +56,7 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_name").alias("name"), (key * 17 % 97 + 100 * F.floor(key / 25)).alias("px"), (key * 41 % 89).alias("py"), F.abs(F.floor("s_acctbal")).alias("need"), F.col("s_nationkey").alias("region"))
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey"), "s_suppkey").select(key.alias("id"), F.col("s_name").alias("name"), (key * 17 % 97 + 100 * F.floor(key / 25)).alias("px"), (key * 41 % 89).alias("py"), F.abs(F.floor("s_acctbal")).alias("need"), F.col("s_nationkey").alias("region"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,3 +351,13 @@ def test_chart_data_takes_the_largest_unrounded(spark):
     assert {(r["id"], r["label"], r["value"]) for r in got} == {(2, "a", 10.0), (3, "b", 10.0)}
     got = records.chart_data(rows, F.col("label"), F.col("label"), F.col("value"), 3, 1).collect()
     assert {(r["id"], r["label"], r["value"]) for r in got} == {(1, "a", 10.0), (2, "a (2)", 10.0), (3, "b", 10.0)}
+
+
+def test_small_tables_are_dealt_out(spark, small):
+    """A file that is one task becomes many before a row becomes or costs much."""
+    from cindermap.plans.geometry import crossings
+    from cindermap.sources import tables as T
+
+    for made in (T.rects(spark, small), T.pois(spark, small), T.sites(spark, small), T.dem(spark, small)):
+        assert made.rdd.getNumPartitions() >= 8
+    assert "REPARTITION_BY_NUM" in crossings(spark, small)._jdf.queryExecution().executedPlan().toString()
