@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindermap.operators import overlay, proximity, vector
+from cindermap.plans import queries
 from cindermap.sources import files
 
 LAYER = f"id long, g string, rings {overlay.RINGS}"
@@ -148,6 +149,13 @@ def test_points_on_borders_and_infinite_cells(spark):
     assert one.first()["pixel_count"] == 2 and one.first()["mean"] == union.first()["mean"] == 2.0
 
 
+def test_shapes_are_told_apart_without_sorting_their_rings(spark, small):
+    shapes = queries.shapes(spark, small)
+    assert "SortAggregate" not in shapes._jdf.queryExecution().executedPlan().toString()
+    assert shapes.count() == shapes.select("raster_id", "id").distinct().count() > 0
+    assert {r["n"] for r in shapes.select(F.size("ring").alias("n")).distinct().collect()} == {1, 3, 4}
+
+
 def test_files_of_polygons_and_graphs(spark, tmp_path):
     rows = layer(spark, [(1, "x", [square(0, 0, 4, 4), square(1, 1, 3, 3)]), (2, "y", [square(5, 5, 6, 6)]), (3, "z", [])])
     files.write_polygons(rows, str(tmp_path / "p"), ["id", "g"])
