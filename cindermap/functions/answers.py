@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cindermap.functions.scalar import once
+
 #: Endings by which a manifest's text is a file.
 FILE_ENDINGS = (".png", ".tif", ".tiff", ".jpg", ".jpeg", ".geojson", ".json", ".shp")
 
@@ -81,12 +83,15 @@ def is_ratio_name(field: Column) -> Column:
 
 def same_key(key: Column) -> Column:
     """One spelling of a key: "Phase 2", "phase_2" and "P2" are p2, "phase t1" is t1, "rank 3" is 3; else words joined by _, the last in singular."""
-    s = F.lower(F.trim(key.cast("string")))
-    found = lambda pattern: F.regexp_extract(s, pattern, 1)
-    t, p, rank = found(r"^(?:phase[\s_]*t|t[\s_]*)(\d+)$"), found(r"^(?:phase[\s_]*|p[\s_]*)(\d+)$"), found(r"^rank[\s_]*(\d+)$")
-    words = F.trim(F.regexp_replace(s, r"[\s\-_]+", "_"), F.lit("_"))
-    singular = F.regexp_replace(words, r"(?<=[^_]{2}[^_s])s$", "")
-    return F.when(t != "", F.concat(F.lit("t"), t)).when(p != "", F.concat(F.lit("p"), p)).when(rank != "", rank).otherwise(singular)
+
+    def spelled(s: Column) -> Column:
+        found = lambda pattern: F.regexp_extract(s, pattern, 1)
+        t, p, rank = found(r"^(?:phase[\s_]*t|t[\s_]*)(\d+)$"), found(r"^(?:phase[\s_]*|p[\s_]*)(\d+)$"), found(r"^rank[\s_]*(\d+)$")
+        words = F.trim(F.regexp_replace(s, r"[\s\-_]+", "_"), F.lit("_"))
+        singular = F.regexp_replace(words, r"(?<=[^_]{2}[^_s])s$", "")
+        return F.when(t != "", F.concat(F.lit("t"), t)).when(p != "", F.concat(F.lit("p"), p)).when(rank != "", rank).otherwise(singular)
+
+    return once(F.lower(F.trim(key.cast("string"))), spelled)
 
 
 def pixel_size(manifest: Column) -> Column:

@@ -53,6 +53,11 @@ def label(template: str, **columns: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_text(x: Column) -> Column:
     """Lower case; punctuation becomes spaces; runs of spaces become one."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"(?U)[^\w\s]", " "), r"\s+", " "))
@@ -66,12 +71,15 @@ def normalize_tool(x: Column) -> Column:
 
 def canonical(x: Column) -> Column:
     """Form in which answers are compared: whole numbers without decimals, else ``normalize_text``, one spelling for booleans and for phases ("Phase 3" and "p_3" are "p3", "phase t1" is "t1")."""
-    t = normalize_text(x)
     whole = F.regexp_extract(F.trim(x), r"^(-?\d+)(\.0+)?$", 1)
-    phase = lambda pattern: F.regexp_extract(t, pattern, 1)
-    t1, p1 = phase(r"^(?:phase[\s_]*t|t[\s_]+)(\d+)$"), phase(r"^(?:phase[\s_]*|p[\s_]+)(\d+)$")
-    out = F.when(whole != "", whole).when(t.isin("true", "yes"), "true").when(t.isin("false", "no"), "false")
-    return out.when(t1 != "", F.concat(F.lit("t"), t1)).when(p1 != "", F.concat(F.lit("p"), p1)).otherwise(t)
+
+    def spelled(t: Column) -> Column:
+        phase = lambda pattern: F.regexp_extract(t, pattern, 1)
+        t1, p1 = phase(r"^(?:phase[\s_]*t|t[\s_]+)(\d+)$"), phase(r"^(?:phase[\s_]*|p[\s_]+)(\d+)$")
+        out = F.when(t.isin("true", "yes"), "true").when(t.isin("false", "no"), "false")
+        return out.when(t1 != "", F.concat(F.lit("t"), t1)).when(p1 != "", F.concat(F.lit("p"), p1)).otherwise(t)
+
+    return F.when(whole != "", whole).otherwise(once(normalize_text(x), spelled))
 
 
 def pixel_to_world(r: Column, c: Column, transform: tuple[float, ...]) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindermap.functions.answers import is_ratio_name, json_object, ratio_number, same_key
-from cindermap.functions.scalar import haversine_m, normalize_text
+from cindermap.functions.scalar import haversine_m, normalize_text, once
 from cindermap.operators import overlay, scoring
 from cindermap.sources import files
 from cindermap.sources.shared import staged
@@ -31,11 +31,6 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def _once(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def scalar(gold: Column, pred: Column, absolute: float = 1.0) -> Column:
     """Equal texts (two nulls too) score 1, else numbers that are close."""
     return F.when(gold.eqNullSafe(pred), 1.0).otherwise(F.coalesce(scoring.close(_number(gold), _number(pred), absolute), F.lit(0.0)))
@@ -44,7 +39,7 @@ def scalar(gold: Column, pred: Column, absolute: float = 1.0) -> Column:
 def ratio(gold: Column, pred: Column) -> Column:
     """Shares as fractions or percentages; what is no number is compared as a scalar without absolute tolerance."""
     both = F.struct(ratio_number(gold).alias("g"), ratio_number(pred).alias("p"))
-    close = _once(both, lambda n: F.when(n["g"].isNotNull() & n["p"].isNotNull(), scoring.ratio_close(n["g"], n["p"])))
+    close = once(both, lambda n: F.when(n["g"].isNotNull() & n["p"].isNotNull(), scoring.ratio_close(n["g"], n["p"])))
     return F.coalesce(close, scalar(gold, pred, 0.0))
 
 
@@ -73,7 +68,7 @@ def dictionary(gold: Column, pred: Column, pixel_m: Column) -> Column:
         return F.when(F.size(scores) == 0, 1.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
 
     both = F.struct(entries(gold).alias("g"), entries(pred).alias("p"))
-    return _once(both, lambda b: F.when(b["g"].isNull() | b["p"].isNull(), 0.0).otherwise(_once(F.transform(pairs(b), one), mean)))
+    return once(both, lambda b: F.when(b["g"].isNull() | b["p"].isNull(), 0.0).otherwise(once(F.transform(pairs(b), one), mean)))
 
 
 def set_of(gold: Column, pred: Column) -> Column:
@@ -81,12 +76,12 @@ def set_of(gold: Column, pred: Column) -> Column:
 
     def items(x: Column) -> Column:
         text = F.trim(x)
-        listed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+        listed = F.transform(F.when(text.startswith("["), F.from_json(text, "array<string>")), lambda v: F.coalesce(v, F.lit("None")))
         parts = F.filter(F.split(x, ","), lambda p: F.trim(p) != "")
-        found = F.when(listed.isNotNull(), F.transform(listed, lambda v: F.coalesce(v, F.lit("None")))).when(text.startswith("{") & json_object(text).isNotNull(), F.array().cast("array<string>")).otherwise(parts)
-        return F.transform(F.coalesce(found, F.array().cast("array<string>")), normalize_text)
+        other = F.when(text.startswith("{") & json_object(text).isNotNull(), F.array().cast("array<string>")).otherwise(parts)
+        return F.transform(F.coalesce(listed, other, F.array().cast("array<string>")), normalize_text)
 
-    return _once(F.struct(items(gold).alias("g"), items(pred).alias("p")), lambda b: scoring.set_f1(b["g"], b["p"]))
+    return once(F.struct(items(gold).alias("g"), items(pred).alias("p")), lambda b: scoring.set_f1(b["g"], b["p"]))
 
 
 def ranking(gold: Column, pred: Column) -> Column:
@@ -105,9 +100,9 @@ def ranking(gold: Column, pred: Column) -> Column:
         g, p = b["g"], b["p"]
         same = (F.size(F.array_except(g, p)) == 0) & (F.size(F.array_except(p, g)) == 0)
         ranks = F.transform(F.filter(g, lambda v: F.array_contains(p, v)), lambda v: F.struct(place(g, v).alias("g"), place(p, v).alias("p")))
-        return F.when(g.isNull() | p.isNull(), 0.0).otherwise(F.coalesce(_once(ranks, share), same.cast("double")))
+        return F.when(g.isNull() | p.isNull(), 0.0).otherwise(F.coalesce(once(ranks, share), same.cast("double")))
 
-    return _once(F.struct(F.from_json(gold, "array<string>").alias("g"), F.from_json(pred, "array<string>").alias("p")), score)
+    return once(F.struct(F.from_json(gold, "array<string>").alias("g"), F.from_json(pred, "array<string>").alias("p")), score)
 
 
 def _points(fields: DataFrame, kind: str, first: str, second: str, hit) -> DataFrame:
@@ -135,7 +130,7 @@ def lone_point(gold: Column, pred: Column, kind: Column, pixel_m: Column) -> Col
 
     def score(keys: tuple, near) -> Column:
         both = F.struct(_coordinates(gold, keys).alias("g"), _coordinates(pred, keys).alias("p"))
-        return _once(both, lambda b: F.when(b["g"].isNotNull() & b["p"].isNotNull(), F.coalesce(near(b["g"], b["p"]).cast("double"), F.lit(0.0))))
+        return once(both, lambda b: F.when(b["g"].isNotNull() & b["p"].isNotNull(), F.coalesce(near(b["g"], b["p"]).cast("double"), F.lit(0.0))))
 
     reach = F.coalesce(POINT_PIXELS * pixel_m, F.lit(FALLBACK_M))
     pixel = score(PIXEL_KEYS, lambda g, p: F.hypot(p["a"] - g["a"], p["b"] - g["b"]) <= POINT_PIXELS)

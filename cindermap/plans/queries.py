@@ -13,7 +13,7 @@ from cindermap.plans import geometry, trajectory  # noqa: F401  geometry registe
 from cindermap.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from cindermap.sources import files
 from cindermap.sources import tables as T
-from cindermap.sources.shared import shared_dir
+from cindermap.sources.shared import shared_dir, spread
 
 C = F.col
 
@@ -849,7 +849,8 @@ def evaluated(spark, d):
         text(k % 30 + 10), own, text(F.lit(12.5) + (k % 7) / 100000.0), F.lit("45"), F.lit("other"),
     ]
     made = [F.struct(F.lit(f).alias("field"), F.lit(t).alias("kind"), g.cast("string").alias("gold"), p.cast("string").alias("pred")) for f, t, g, p in zip(EVAL_FIELDS, EVAL_KINDS, gold, pred)]
-    fields = T.table(spark, d, "orders").select(C("o_orderkey").alias("task"), F.lit(0.2).alias("pixel_m"), F.explode(F.array(*made)).alias("f")).select("task", "pixel_m", "f.*")
+    orders = spread(T.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    fields = orders.select(C("o_orderkey").alias("task"), F.lit(0.2).alias("pixel_m"), F.explode(F.array(*made)).alias("f")).select("task", "pixel_m", "f.*")
     return evaluation.field_scores(fields)
 
 

@@ -3,8 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from cindermap.functions import answers
+from cindermap.functions.scalar import canonical
 from cindermap.operators import evaluation
+from cindermap.plans import queries
 
 RING = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
 CASES = [
@@ -38,6 +42,19 @@ def test_rules(spark):
         assert got[i] == pytest.approx(want), (kind, gold, pred)
 
 
+def test_texts_are_normalized_once(spark):
+    plan = spark.createDataFrame([("Phase 3", "p_3")], "a string, b string").select(canonical(F.col("a")).alias("c"), answers.same_key(F.col("b")).alias("k"))
+    assert [tuple(r) for r in plan.collect()] == [("p3", "p3")]
+    assert plan._jdf.queryExecution().analyzed().toString().count("lower(") == 2
+
+
+def test_orders_are_dealt_out_before_their_fields_are_made(spark, small, monkeypatch):
+    made = []
+    monkeypatch.setattr(evaluation, "field_scores", lambda fields: made.append(fields) or fields)
+    assert queries.evaluated(spark, small) is made[0]
+    assert made[0].rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_halves_of_points(spark):
     rows = [(1, "a_row", "point_pixel", "1", "5"), (1, "a_col", "point_pixel", "1", None), (2, "a_row", "point_pixel", "1", "1"), (3, "spot", "point_pixel", "[1, 1]", "[1, 2]"), (4, "n", "ignore", "1", "1"), (5, "n", None, "1", "1.0")]
     fields = spark.createDataFrame([(*r, None) for r in rows], "task long, field string, kind string, gold string, pred string, pixel_m double")
