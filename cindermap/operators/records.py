@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindermap.sources.shared import staged, tasks
+
 
 def search_by_name(pois: DataFrame, name: str, exact: bool = False) -> DataFrame:
     own = F.lower(F.coalesce("name", F.lit("")))
@@ -23,9 +25,19 @@ def attribute_in(rows: DataFrame, name: str, allowed: list[str]) -> DataFrame:
 
 def only_named(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
     """Rows whose ``name`` is one of ``wanted``'s; all rows if none is. Repeated and null names in ``wanted`` change nothing."""
-    hits = rows.join(wanted.select(name).distinct().withColumn("_hit", F.lit(True)), name, "left")
-    some = hits.agg(F.coalesce(F.bool_or("_hit"), F.lit(False))).scalar()
-    return hits.where(F.col("_hit") | ~some).select(*rows.columns)
+    named = wanted.select(name).distinct().withColumn("_hit", F.lit(True))
+    names = staged(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n")).join(named, name, "left"), "names")
+    total, some = names.agg(F.sum("_n"), F.bool_or("_hit")).first()
+    if not some:
+        return rows
+    # Names that would fill a task by themselves are no more than there are tasks; the rest are dealt out by name.
+    often = F.col("_n") >= total / tasks(rows)
+    common, rare = names.where(often), names.where(~often & F.col("_hit"))
+    out = rows.join(F.broadcast(common.where("_hit").select(name)), name, "left_semi").select(*rows.columns)
+    if rare.isEmpty():
+        return out
+    rest = rows.join(F.broadcast(common.select(name)), name, "left_anti")
+    return out.unionByName(rest.join(rare.select(name).hint("merge"), name, "left_semi"))
 
 
 def group_by(rows: DataFrame, key: Column, amount: Column | None = None) -> DataFrame:

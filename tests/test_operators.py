@@ -330,6 +330,20 @@ def test_feature_and_graphml_files(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_graphml(spark, f"file://{tmp_path}/g.graphml").collect()) == [("1", "2", 2.5, True), ("2", "3", 1.0, False)]
 
 
+def test_only_named_does_not_sort_a_frequent_name(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("tool"))
+    names = lambda *values: spark.createDataFrame([(v,) for v in values], "tool string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        common = records.only_named(rows, "tool", names("hot", "other"))
+        assert "SortMergeJoin" not in common._jdf.queryExecution().executedPlan().toString() and common.count() == 2000
+        both = records.only_named(rows, "tool", names("hot", "n1", "n3", "n3", None))
+        assert both.columns == ["id", "tool"] and sorted(r["id"] for r in both.collect()) == sorted([1, 3, *range(0, 4000, 2)])
+        assert sorted(r["id"] for r in records.only_named(rows, "tool", names("n5")).collect()) == [5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_only_named_falls_back_to_all(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, tool string")
     names = lambda *t: spark.createDataFrame([(x,) for x in t], "tool string")
