@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cindermap.llm.common import staged, table
+from cindermap.llm.common import give_back, staged, table
 
 N, MIN_SCORE = 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -108,7 +108,10 @@ def gram_filter(item_grams: DataFrame) -> np.ndarray:
     slots = item_grams.select((F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
     bits = np.zeros(FILTER_BITS, np.uint8)
     bits[slots] = 1
-    return np.packbits(bits, bitorder="little")
+    packed = np.packbits(bits, bitorder="little")
+    del slots, bits
+    give_back()
+    return packed
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindermap.llm.common import table
+from cindermap.llm.common import give_back, table
 
 #: Bounds of the labelled sample.
 POSITIVES, NEGATIVES = 1500, 3000
@@ -336,7 +336,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     toxic = rows.column("toxic").to_numpy().astype(int)
     drawn = [max(1, int((toxic == k).sum())) for k in (0, 1)]
     tokens, own = numbered(rows.column("tokens").combine_chunks())
-    return train(tokens, own, toxic.tolist(), (counts.get(0, 0) / drawn[0], counts.get(1, 0) / drawn[1]))
+    del rows, ids
+    model = train(tokens, own, toxic.tolist(), (counts.get(0, 0) / drawn[0], counts.get(1, 0) / drawn[1]))
+    del tokens, own
+    give_back()
+    return model
 
 
 def largest_margins(model: Model, texts: pa.Array) -> np.ndarray:

@@ -303,6 +303,18 @@ def test_kernel_against_plain_triple_counts():
     assert np.allclose(model.margins(tokens), np.maximum(got @ [1.0, -0.5, 0.25, 2.0] + 0.1, toxicity.LOWEST), atol=1e-5)
 
 
+def test_toxicity_training_leaves_the_driver_no_memory(spark):
+    """A sample of many distinct tokens; what the driver's Python holds besides mapped files, in MB."""
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024  # noqa: E731, SIM115
+    letters = lambda c: F.translate(F.sha2(F.concat_ws(" ", "doc_id", c.cast("string")), 256), "0123456789", "ghijklmnop")[1:9]
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(100)), letters), F.when(F.col("id") % 4 == 0, "scoundrel")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    toxicity.fit(docs.limit(100), labels)
+    before = held()
+    model = toxicity.fit(docs, labels)
+    assert model is not None and held() - before < 25
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.0}

@@ -70,6 +70,23 @@ def test_clip_is_idempotent_and_threshold_complements(spark):
     assert over + under == 36
 
 
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, purpose: written.append(purpose) or staged(df, purpose))
+    found = lambda rows: dict(map(tuple, graph.components(spark.createDataFrame(rows, "a long, b long")).collect()))
+    assert found([(5, 1), (1, 7), (7, 1), (9, 2), (3, 3), (None, 4)]) == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2}
+    assert found([]) == {}
+    assert len(written) == 2  # stars need no round
+    for rows in ([(3, 1), (3, 2)], [(3, 2), (2, 1)], [(1, 3), (2, 3), (2, 4)]):
+        assert found(rows) == dict.fromkeys({x for row in rows for x in row}, 1)
+    edges = [(i, i + 1) for i in range(-20, 20)] + [(100 + int(i * 997 * math.pi) % 211, 100 + int(i * 769 * math.pi) % 211) for i in range(150)]
+    root = {x: x for row in edges for x in row}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert found(edges) == {x: r for x, r in root.items() if any(x in row for row in edges if row[0] != row[1])}
+
+
 def test_diagonal_cells_are_two_components(spark):
     mask = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 1, 1), (0, 1, 2, 2)], "raster_id long, r int, c int, value int")
     assert graph.raster_components(mask, False).select("region").distinct().count() == 2
