@@ -3,20 +3,25 @@
 A pixel's code is r * 65536 + c; nodes are named by their pixel's code. Rasters are worked on in tiles with a margin as wide as what a
 round can reach, so results do not depend on the tile; lines are put together from pixels by pointer jumping, whose rounds are
 logarithmic in the longest line. Every round is written to the shared folder.
+
+Both sides of nearly all joins here grow with the rasters. Pixels in order take half a byte each in a file, and rows exploded from a small table look
+as small as that table, so Spark would send them all through the driver: ``large`` keeps it from that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindermap.operators.graph import components, raster_components
 from cindermap.operators.perceive import thinning_pass
-from cindermap.sources.shared import staged
+from cindermap.sources.shared import staged, tasks
 
 #: The least object, what makes an edge damaged, turns, junctions, snapping, and a diagonal step's length.
 LEAST_PIXELS, DAMAGED_RATIO, DAMAGED_PIXELS = 32, 0.5, 1
@@ -28,6 +33,10 @@ DIAGONAL = 1.41421356237
 ROW = 1 << 16
 #: Thinning passes a round; the margin is twice as wide.
 PASSES = 8
+#: Cells of the arrays that hold many tiles, and rows of tiles that are put into them together.
+AREA, HELD = 1 << 20, 100_000
+#: Empty cells around each tile of such an array.
+RIM = 2
 LINE = "raster_id long, head long, way long, piece int, u long, v long, u_turn boolean, v_turn boolean, pixels array<struct<r:int,c:int>>, hit array<boolean>"
 
 
@@ -35,26 +44,77 @@ def code(r: Column, c: Column) -> Column:
     return r.cast("long") * ROW + c
 
 
-def by_tile(cells: DataFrame, tile: int, margin: int, work: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
-    """``work`` (a boolean grid with a margin, its first row and column) on each tile of the cells (raster_id, r, c). What it returns for the
-    tile itself (0 none, more: kept) is the new cells' ``state``."""
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, whatever size Spark takes it for."""
+    return df.hint("merge")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, tr, tc = key
-        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
-        r0, c0 = int(r.min()) - 2, int(c.min()) - 2
-        grid = np.zeros((int(r.max()) - r0 + 3, int(c.max()) - c0 + 3), bool)
-        grid[r - r0, c - c0] = True
-        state = work(grid, r0, c0)
-        r, c = np.nonzero(state)
-        found = state[r, c]
-        r, c = r + r0, c + c0
-        own = (r // tile == tr) & (c // tile == tc)
-        return pd.DataFrame({"raster_id": key[0], "r": r[own], "c": c[own], "state": found[own]})
 
+def by_tile(cells: DataFrame, tile: int, margin: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``work`` (a boolean grid, and the row and the column of its cells) on each tile of the cells (raster_id, r, c), with a margin. What it returns
+    for the tile itself (0 none, more: kept) is the new cells' ``state``. A grid holds many tiles, one below the other, ``RIM`` empty cells around each:
+    a cell of the result may depend on cells of the grid that lie that far from it, or on farther ones over cells that are not empty."""
     reach = lambda k: F.explode(F.sequence(F.floor((F.col(k) - margin) / tile), F.floor((F.col(k) + margin) / tile)))
-    dealt = cells.select("raster_id", "r", "c").select("*", reach("r").alias("tr")).select("*", reach("c").alias("tc"))
-    return dealt.groupBy("raster_id", "tr", "tc").applyInPandas(run, "raster_id long, r int, c int, state int")
+    named = cells.select(F.col("raster_id").cast("long").alias("raster_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    dealt = named.select("*", reach("r").alias("tr")).select("*", reach("c").alias("tc"))
+    dealt = dealt.repartition(tasks(cells), "raster_id", "tr", "tc").sortWithinPartitions("raster_id", "tr", "tc")
+    return dealt.mapInArrow(_tiled(tile, work), "raster_id long, r int, c int, state int")
+
+
+def _tiled(tile: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
+    """``work`` on rows (raster_id, r, c, tr, tc) that come tile by tile."""
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        r, c, tr, tc = (rows.column(k).to_numpy() for k in ("r", "c", "tr", "tc"))
+        raster = rows.column("raster_id").combine_chunks()
+        starts = _firsts(rows)
+        ends = np.concatenate([starts[1:], [len(r)]])
+        (top, bottom), (left, right) = ((np.minimum.reduceat(k, starts) - RIM, np.maximum.reduceat(k, starts) + RIM + 1) for k in (r, c))
+        high, wide = (bottom - top).tolist(), (right - left).tolist()
+        a = 0
+        while a < len(starts):
+            b, height, width = a + 1, high[a], wide[a]
+            while b < len(starts) and (height + high[b]) * max(width, wide[b]) <= AREA:
+                height, width, b = height + high[b], max(width, wide[b]), b + 1
+            own = slice(int(starts[a]), int(ends[b - 1]))
+            of = np.repeat(np.arange(a, b), ends[a:b] - starts[a:b])
+            line = np.repeat(np.arange(a, b), high[a:b])  # the tile of each of the grid's rows
+            first = np.concatenate([[0], np.cumsum(high[a:b])])[:-1]
+            grid = np.zeros((height, width), bool)
+            grid[first[of - a] + r[own] - top[of], c[own] - left[of]] = True
+            row = np.arange(height) - first[line - a] + top[line]
+            state = work(grid, row[:, None], left[line][:, None] + np.arange(width))
+            i, j = np.nonzero(state)
+            at, i_row, i_column = line[i], row[i], left[line[i]] + j
+            kept = (i_row // tile == tr[starts[at]]) & (i_column // tile == tc[starts[at]])
+            found = [pa.array(k[kept].astype(np.int32)) for k in (i_row, i_column, state[i, j])]
+            yield pa.RecordBatch.from_arrays([raster.take(pa.array(starts[at[kept]])), *found], ["raster_id", "r", "c", "state"])
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for rows in batches:
+            held.append(rows)
+            size += rows.num_rows
+            if size < HELD:
+                continue
+            whole = pa.Table.from_batches(held)
+            cut = int(_firsts(whole)[-1])  # a tile stays whole: its last rows may still come
+            if cut:
+                yield from told(whole.slice(0, cut))
+                held = whole.slice(cut).to_batches()
+                size = whole.num_rows - cut
+        if size:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
+def _firsts(rows: pa.Table) -> np.ndarray:
+    """The rows at which another tile starts; a null raster is a raster."""
+    raster = rows.column("raster_id")
+    at = np.stack([pc.fill_null(raster, 0).to_numpy(), raster.is_null().to_numpy().astype(np.int64), rows.column("tr").to_numpy(), rows.column("tc").to_numpy()])
+    return np.flatnonzero(np.concatenate([[True], (np.diff(at, axis=1) != 0).any(0)]))
 
 
 def grown(grid: np.ndarray) -> np.ndarray:
@@ -66,8 +126,7 @@ def grown(grid: np.ndarray) -> np.ndarray:
 def closed(cells: DataFrame, height: int, width: int, tile: int) -> DataFrame:
     """Gaps of a pixel closed (grown, then shrunk by a 3 x 3 square); beyond the raster's border nothing grows and nothing shrinks."""
 
-    def work(grid: np.ndarray, r0: int, c0: int) -> np.ndarray:
-        r, c = np.arange(grid.shape[0])[:, None] + r0, np.arange(grid.shape[1])[None] + c0
+    def work(grid: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         inside = (r >= 0) & (r < height) & (c >= 0) & (c < width)
         return (~grown(inside & ~grown(grid)) & inside).astype(int)
 
@@ -77,11 +136,13 @@ def closed(cells: DataFrame, height: int, width: int, tile: int) -> DataFrame:
 def skeleton(cells: DataFrame, tile: int) -> DataFrame:
     """Lines of one pixel's width (Zhang-Suen thinning): rounds of ``PASSES`` passes until no tile changes."""
 
-    def work(grid: np.ndarray, r0: int, c0: int) -> np.ndarray:
-        changed = False
+    def work(grid: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         before = grid
         for _ in range(PASSES):
-            grid = thinning_pass(grid)
+            now = thinning_pass(grid)
+            if (now == grid).all():
+                break
+            grid = now
         changed = before != grid
         near = grown(changed) if changed.any() else changed  # a pixel next to a change says so
         return grid.astype(int) + (grid & near)
@@ -110,24 +171,24 @@ def chains(pixels: DataFrame) -> DataFrame:
     by the smaller way. Rings without a node have no line."""
     offsets = F.array(*[F.lit(i * ROW + j).cast("long") for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     near = pixels.select("raster_id", "p", F.col("hit").alias("p_hit"), F.explode(F.transform(offsets, lambda o: o + F.col("p"))).alias("q"))
-    arcs = near.join(pixels.select("raster_id", F.col("p").alias("q"), F.col("hit").alias("q_hit")), ["raster_id", "q"])
+    arcs = near.join(large(pixels.select("raster_id", F.col("p").alias("q"), F.col("hit").alias("q_hit"))), ["raster_id", "q"])
     arcs = staged(arcs.select("raster_id", "p", "q", "p_hit", "q_hit"), "arcs")
     degree = arcs.groupBy("raster_id", "p").agg(F.count(F.lit(1)).alias("degree"), F.sum("q").alias("both"))
     node = F.col("degree") != 2
-    told = arcs.join(degree, ["raster_id", "p"])
+    told = arcs.join(large(degree), ["raster_id", "p"])
     # Where an arc's line starts, as far as is known: at itself if it leaves a node, else at the arc before it.
     reach = told.select("raster_id", "p", "q", F.when(node, F.col("p")).otherwise(F.col("both") - F.col("q")).alias("hp"), F.when(node, F.col("q")).otherwise(F.col("p")).alias("hq"), F.when(node, 0).otherwise(1).alias("place"), node.alias("done"))
     reach = staged(reach, "lines")
     while True:
         ahead = reach.select("raster_id", F.col("p").alias("hp"), F.col("q").alias("hq"), F.col("hp").alias("np"), F.col("hq").alias("nq"), F.col("place").alias("more"), F.col("done").alias("there"))
-        going = reach.where("NOT done").join(ahead, ["raster_id", "hp", "hq"])
+        going = reach.where("NOT done").join(large(ahead), ["raster_id", "hp", "hq"])
         moved = going.select("raster_id", "p", "q", F.col("np").alias("hp"), F.col("nq").alias("hq"), (F.col("place") + F.col("more")).alias("place"), F.col("there").alias("done"), F.col("there").alias("new"))
         after = staged(reach.where("done").withColumn("new", F.lit(False)).unionByName(moved), "lines")
         reach = after.drop("new")
         if after.where("new").isEmpty():  # what is left runs in rings
             break
     hits = arcs.select("raster_id", "p", "q", "q_hit", "p_hit")
-    lines = reach.where("done").join(hits, ["raster_id", "p", "q"]).groupBy("raster_id", F.col("hp").alias("head"), F.col("hq").alias("way"))
+    lines = reach.where("done").join(large(hits), ["raster_id", "p", "q"]).groupBy("raster_id", F.col("hp").alias("head"), F.col("hq").alias("way"))
     lines = lines.agg(F.array_sort(F.collect_list(F.struct("place", "q", F.col("q_hit").alias("hit"), "p"))).alias("path"), F.max(F.when(F.col("place") == 0, F.col("p_hit"))).alias("head_hit"))
     last = F.element_at("path", -1)
     return lines.where((F.col("head") < last["q"]) | ((F.col("head") == last["q"]) & (F.col("way") <= last["p"])))
@@ -166,11 +227,11 @@ def centerlines(mask: DataFrame, height: int, width: int, intact: tuple = (1,),
     """
     roads = mask.where(F.col("value").isin(*intact, *damaged)).select("raster_id", "r", "c", "value")
     regions = raster_components(roads.withColumn("value", F.lit(1)), same_class=False, tile=tile)
-    large = regions.groupBy("raster_id", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PIXELS)
-    kept = regions.join(large, ["raster_id", "region"], "left_semi").select("raster_id", "r", "c")
+    stay = regions.groupBy("raster_id", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PIXELS)
+    kept = regions.join(large(stay), ["raster_id", "region"], "left_semi").select("raster_id", "r", "c")
     thin = skeleton(staged(closed(kept, height, width, tile), "closed"), tile)
     hurt = roads.where(F.col("value").isin(*damaged)).select("raster_id", "r", "c", F.lit(True).alias("hurt")).distinct()
-    pixels = thin.join(hurt, ["raster_id", "r", "c"], "left").select("raster_id", code(F.col("r"), F.col("c")).alias("p"), F.coalesce("hurt", F.lit(False)).alias("hit"))
+    pixels = thin.join(large(hurt), ["raster_id", "r", "c"], "left").select("raster_id", code(F.col("r"), F.col("c")).alias("p"), F.coalesce("hurt", F.lit(False)).alias("hit"))
     cut = chains(staged(pixels, "pixels")).mapInPandas(_split, LINE)
     first = F.row_number().over(Window.partitionBy("raster_id", F.least("u", "v"), F.greatest("u", "v")).orderBy("head", "way", "piece"))
     edges = staged(cut.withColumn("nth", first).where("nth = 1").drop("nth"), "cut-lines")
@@ -182,7 +243,7 @@ def relaxed_junctions(edges: DataFrame) -> DataFrame:
     ends = edges.select("raster_id", F.explode(F.array("u", "v")).alias("node"))
     degree = staged(ends.groupBy("raster_id", "node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     for side in ("u", "v"):
-        edges = edges.join(degree.select("raster_id", F.col("node").alias(side), F.col("degree").alias(f"{side}_degree")), ["raster_id", side])
+        edges = edges.join(large(degree.select("raster_id", F.col("node").alias(side), F.col("degree").alias(f"{side}_degree"))), ["raster_id", side])
     junction = {s: F.col(f"{s}_degree") >= JUNCTION_DEGREE for s in ("u", "v")}
     trim = {s: F.when(junction[s], JUNCTION_TRIM).otherwise(0) for s in ("u", "v")}
     # The left end is that of the node made first, and turns are made after all others: from a turn to a node the ends change sides.
@@ -196,12 +257,12 @@ def relaxed_junctions(edges: DataFrame) -> DataFrame:
     groups = components(short.select(wide("u").alias("a"), wide("v").alias("b")), "junctions")
     placed = edges.withColumn("wu", wide("u")).withColumn("wv", wide("v"))
     for side in ("u", "v"):
-        placed = placed.join(groups.select(F.col("node").alias(f"w{side}"), F.col("root").alias(f"{side}_group")), f"w{side}", "left")
+        placed = placed.join(large(groups.select(F.col("node").alias(f"w{side}"), F.col("root").alias(f"{side}_group"))), f"w{side}", "left")
     placed = staged(placed.drop("wu", "wv"), "junctions")
     arms = placed.where("NOT damaged AND NOT (u_group <=> v_group)").select(F.explode(F.array("u_group", "v_group")).alias("group")).where(F.col("group").isNotNull())
     free = arms.groupBy("group").agg(F.count(F.lit(1)).alias("arms")).where(F.col("arms") >= INTACT_ARMS)
     inner = F.when(F.col("u_group") == F.col("v_group"), F.col("u_group"))
-    told = placed.withColumn("group", inner).join(free, "group", "left")
+    told = placed.withColumn("group", inner).join(large(free), "group", "left")
     return told.withColumn("damaged", F.col("damaged") & ~(F.col("arms").isNotNull() & (F.col("length") <= CONNECTOR_PX)))
 
 

@@ -2,11 +2,15 @@
 
 import heapq
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cindermap.operators import perceive, roads
+from cindermap.plans import queries
+from cindermap.sources.shared import staged
 
 STEPS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 
@@ -176,3 +180,32 @@ def test_routes(spark):
         assert path[0] == a and path[-1] == b and abs(length(path) - best[b]) < 1e-6
         assert all(q in ways[p] for p, q in zip(path, path[1:], strict=False))
     assert {"ok", "snap_failed"} <= seen
+
+
+def test_tiles_together(monkeypatch):
+    """Tiles of one array do not see each other, wherever batches and arrays end; a null raster is a raster, and a cell may come twice."""
+    rng = np.random.default_rng(9)
+    grids = {i: rng.random((20, 20)) < 0.2 for i in (None, -1, 0, 3, 4)}
+    rows = [(i, r, c, tr, tc) for i, g in grids.items() for tr in range(-1, 4) for tc in range(-1, 4) for r, c in np.argwhere(g).tolist() if 8 * tr - 2 <= r < 8 * tr + 10 and 8 * tc - 2 <= c < 8 * tc + 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(k, t) for k, t in zip(zip(*[x for x in rows for _ in range(2)], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["raster_id", "r", "c", "tr", "tc"])
+    want = {(i, r, c) for i, g in grids.items() for r, c in np.argwhere(~roads.grown(~roads.grown(np.pad(g, 4)))[4:-4, 4:-4]).tolist()}
+    for held, area, cut in ((1, 1, 7), (40, 700, 100), (10**6, 10**6, 10**6)):
+        monkeypatch.setattr(roads, "HELD", held)
+        monkeypatch.setattr(roads, "AREA", area)
+        found = roads._tiled(8, lambda grid, r, c: ~roads.grown(~roads.grown(grid)) & (r >= 0) & (r < 20) & (c >= 0) & (c < 20))(iter([batch.slice(i, cut) for i in range(0, len(batch), cut)]))
+        got = [(x["raster_id"], x["r"], x["c"]) for part in found for x in part.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["centerline_edges"])
+def test_joins_are_shuffled(spark, tmp_path, monkeypatch, name):
+    """Files of pixels and rows exploded from few look small, but no join may send them all through the driver."""
+    spark.createDataFrame([(1, "a", 0, 1.0), (2, "b", 0, 2.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    plans = {}
+    monkeypatch.setattr(roads, "staged", lambda df, purpose: plans.update({purpose: plan(df)}) or staged(df, purpose))
+    made = queries.QUERIES[name](spark, str(tmp_path))
+    plans["result"] = plan(made)
+    assert sum(p.count("SortMergeJoin") for p in plans.values()) > 5 and made.count()
+    for purpose, p in plans.items():  # but regions that tiles share, which few pixels do
+        assert set(re.findall(r"Broadcast\w*Join \[(\w+)#", p)) <= {"region"} and "BroadcastNestedLoopJoin" not in p, purpose
