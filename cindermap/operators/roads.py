@@ -290,7 +290,7 @@ def snapped(edges: DataFrame, points: DataFrame, reach: int) -> DataFrame:
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     asked = points.select("id", "side", "graph", "r", "c", F.explode(around).alias("i")).select("*", F.explode(around).alias("j")).withColumns({"bx": cell("c") + F.col("j"), "by": cell("r") + F.col("i")})
     far = (F.col("pr") - F.col("r")) * (F.col("pr") - F.col("r")) + (F.col("pc") - F.col("c")) * (F.col("pc") - F.col("c"))
-    near = asked.join(samples, ["graph", "bx", "by"]).withColumn("d2", far).where(F.col("d2") <= reach * reach)
+    near = asked.join(large(samples), ["graph", "bx", "by"]).withColumn("d2", far).where(F.col("d2") <= reach * reach)
     nearest = F.rank().over(Window.partitionBy("id", "side").orderBy("d2", "pr", "pc"))
     near = near.withColumn("nearest", nearest).where(F.col("nearest") <= SNAP_SAMPLES)
     best = F.row_number().over(Window.partitionBy("id", "side").orderBy("damaged", "d2", "pr", "pc", "u", "v", "at"))
@@ -309,15 +309,15 @@ def snapped_routes(edges: DataFrame, requests: DataFrame, pixel_m: float = 1.0,
     side = lambda name, r, c: requests.select("id", "graph", F.lit(name).alias("side"), F.col(r).alias("r"), F.col(c).alias("c"))
     picks = snapped(edges, side("s", "sr", "sc").unionByName(side("t", "er", "ec")), reach)
     # How far the pixel lies from the edge's two ends along it.
-    own = picks.join(edges.select("graph", "u", "v", "pixels"), ["graph", "u", "v"])
+    own = picks.join(large(edges.select("graph", "u", "v", "pixels")), ["graph", "u", "v"])
     own = own.withColumn("to_u", steps_length(F.slice("pixels", 1, F.col("at") + 1))).withColumn("to_v", steps_length(F.slice("pixels", F.col("at") + 1, F.size("pixels") - F.col("at"))))
     own = staged(own.withColumn("p", code(F.col("pr"), F.col("pc"))), "snaps")
     fields = ("u", "v", "at", "pr", "pc", "damaged", "to_u", "to_v", "p", "pixels")
     ends = requests.select("id", "graph", "sr", "sc", "er", "ec")
     for s in ("s", "t"):
-        ends = ends.join(own.where(F.col("side") == s).select("id", *[F.col(f).alias(f"{s}_{f}") for f in fields]), "id", "left")
+        ends = ends.join(large(own.where(F.col("side") == s).select("id", *[F.col(f).alias(f"{s}_{f}") for f in fields])), "id", "left")
     known = edges.select("graph").distinct().withColumn("known", F.lit(True))
-    ends = ends.join(known, "graph", "left")
+    ends = ends.join(large(known), "graph", "left")
     missing = F.col("s_u").isNull() | F.col("t_u").isNull()
     problem = F.when(F.col("known").isNull(), "no_roads").when(missing, "snap_failed").when(F.col("s_damaged") | F.col("t_damaged"), "snapped_on_damaged")
     ends = staged(ends.withColumn("problem", problem), "requests")
@@ -325,7 +325,7 @@ def snapped_routes(edges: DataFrame, requests: DataFrame, pixel_m: float = 1.0,
     # The cut edges: from the start to its edge's ends, from the target's edge's ends to the target, and between the two on one edge.
     first = open_.select("id", F.explode(F.array(F.struct(F.col("s_u").alias("node"), F.col("s_to_u").alias("w")), F.struct(F.col("s_v").alias("node"), F.col("s_to_v").alias("w")))).alias("e"))
     start = open_.select("id", "graph", F.col("s_p").alias("node"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("before"), F.lit(0).alias("hops"))
-    leave = first.select("id", F.col("e.node").alias("to"), F.col("e.w").alias("w")).join(open_.select("id", F.col("s_p").alias("from")), "id")
+    leave = first.select("id", F.col("e.node").alias("to"), F.col("e.w").alias("w")).join(large(open_.select("id", F.col("s_p").alias("from"))), "id")
     arrive = open_.select("id", F.explode(F.array(F.struct(F.col("t_u").alias("node"), F.col("t_to_u").alias("w")), F.struct(F.col("t_v").alias("node"), F.col("t_to_v").alias("w")))).alias("e"), F.col("t_p").alias("to")).select("id", F.col("e.node").alias("from"), "to", F.col("e.w").alias("w"))
     same = (F.col("s_u") == F.col("t_u")) & (F.col("s_v") == F.col("t_v"))
     straight = open_.where(same).select("id", F.col("s_p").alias("from"), F.col("t_p").alias("to"), F.abs(F.col("s_to_u") - F.col("t_to_u")).alias("w"))
@@ -336,8 +336,8 @@ def snapped_routes(edges: DataFrame, requests: DataFrame, pixel_m: float = 1.0,
     best = staged(start, "front")
     front = best
     while True:
-        offers = front.join(both, [front["graph"] == both["graph"], front["node"] == both["from"]]).select("id", front["graph"], F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("from").alias("before"), (F.col("hops") + 1).alias("hops"))
-        own_offers = front.join(extra.withColumnRenamed("id", "own"), (F.col("id") == F.col("own")) & (front["node"] == F.col("from"))).select("id", "graph", F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("from").alias("before"), (F.col("hops") + 1).alias("hops"))
+        offers = front.join(large(both), [front["graph"] == both["graph"], front["node"] == both["from"]]).select("id", front["graph"], F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("from").alias("before"), (F.col("hops") + 1).alias("hops"))
+        own_offers = front.join(large(extra.withColumnRenamed("id", "own")), (F.col("id") == F.col("own")) & (front["node"] == F.col("from"))).select("id", "graph", F.col("to").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("from").alias("before"), (F.col("hops") + 1).alias("hops"))
         offer = offers.unionByName(own_offers).groupBy("id", "graph", "node").agg(F.min(F.struct("d", "hops", "before")).alias("offer"))
         better = F.col("d").isNull() | (F.col("offer.d") < F.col("d"))
         after = best.join(offer, ["id", "graph", "node"], "full").withColumn("moved", F.coalesce(better & F.col("offer").isNotNull(), F.lit(False)))
@@ -347,12 +347,12 @@ def snapped_routes(edges: DataFrame, requests: DataFrame, pixel_m: float = 1.0,
         if front.isEmpty():
             break
     way = _walked(best, open_.select("id", F.col("t_p").alias("node")))
-    target = open_.select("id", F.col("t_p").alias("node")).join(best.select("id", "node", "d"), ["id", "node"]).select("id", "d")
+    target = open_.select("id", F.col("t_p").alias("node")).join(large(best.select("id", "node", "d")), ["id", "node"]).select("id", "d")
     # A step's pixels: the edge's, or the part of it between the cut and the step's other end.
-    hop = way.select("id", "graph", "node", "before", "nth").join(ends.select("id", *[f"{s}_{f}" for s in ("s", "t") for f in ("p", "u", "v", "at", "pixels")]), "id")
+    hop = way.select("id", "graph", "node", "before", "nth").join(large(ends.select("id", *[f"{s}_{f}" for s in ("s", "t") for f in ("p", "u", "v", "at", "pixels")])), "id")
     line = intact.select("graph", F.col("u"), F.col("v"), "pixels", F.col("length").alias("w"))
     line = line.unionByName(line.select("graph", F.col("v").alias("u"), F.col("u").alias("v"), F.reverse("pixels").alias("pixels"), "w"))
-    hop = hop.join(line.select("graph", F.col("u").alias("before"), F.col("v").alias("node"), F.col("pixels").alias("whole")), ["graph", "before", "node"], "left")
+    hop = hop.join(large(line.select("graph", F.col("u").alias("before"), F.col("v").alias("node"), F.col("pixels").alias("whole"))), ["graph", "before", "node"], "left")
 
     def part(pixels: Column, i: Column, j: Column) -> Column:
         """Pixels i to j (from 0), in the direction from i to j."""
@@ -366,7 +366,7 @@ def snapped_routes(edges: DataFrame, requests: DataFrame, pixel_m: float = 1.0,
     pieces = F.coalesce(on_s, on_t, F.col("whole"))
     hop = hop.withColumn("piece", F.when(F.col("before").isNull(), F.array(F.struct(F.floor(b / ROW).cast("int").alias("r"), (b % ROW).cast("int").alias("c")))).otherwise(F.slice(pieces, 2, F.greatest(F.lit(0), F.size(pieces) - 1))))
     path = hop.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda s: s["piece"])).alias("path"))
-    told = ends.join(target, "id", "left").join(path, "id", "left")
+    told = ends.join(large(target), "id", "left").join(large(path), "id", "left")
     pixel = lambda s, k, mine: F.when(F.col("problem").isin("no_roads", "snap_failed"), F.col(mine)).otherwise(F.col(f"{s}_{k}"))
     return told.select(
         "id", F.coalesce("problem", F.when(F.col("d").isNull(), "no_path").otherwise("ok")).alias("status"), F.col("d").alias("distance_px"), (F.col("d") * pixel_m).alias("distance_m"),
@@ -380,11 +380,11 @@ def _walked(tree: DataFrame, targets: DataFrame) -> DataFrame:
     jump = staged(tree.select("id", "node", F.col("before").alias("far")).where("far IS NOT NULL"), "jumps")
     on = targets
     while True:
-        ahead = on.join(jump, ["id", "node"]).select("id", F.col("far").alias("node"))
+        ahead = on.join(large(jump), ["id", "node"]).select("id", F.col("far").alias("node"))
         more = staged(on.unionByName(ahead).distinct(), "way")
         if jump.isEmpty():
             break
         on = more
         next_ = jump.select("id", F.col("node").alias("far"), F.col("far").alias("farther"))
-        jump = staged(jump.join(next_, ["id", "far"]).select("id", "node", F.col("farther").alias("far")), "jumps")
-    return more.join(tree, ["id", "node"]).withColumn("nth", F.col("hops"))
+        jump = staged(jump.join(large(next_), ["id", "far"]).select("id", "node", F.col("farther").alias("far")), "jumps")
+    return more.join(large(tree), ["id", "node"]).withColumn("nth", F.col("hops"))

@@ -197,7 +197,7 @@ def test_tiles_together(monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["centerline_edges", "centerline_graph"])
+@pytest.mark.parametrize("name", ["centerline_edges", "centerline_graph", "snapped_routes"])
 def test_joins_are_shuffled(spark, tmp_path, monkeypatch, name):
     """Files of pixels and rows exploded from few look small, but no join may send them all through the driver."""
     spark.createDataFrame([(1, "a", 0, 1.0), (2, "b", 0, 2.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
