@@ -6,8 +6,8 @@ cells. One sweep decides every overlay: between two neighbouring heights of vert
 order at the middle tells where the result lies, exactly, whatever touches or coincides.
 
 Pairs are swept one by one. Unions (of a group's polygons, or of a clip's regions) are swept grid cell by grid cell, after
-identical polygons are made one, so a large union is many tasks: areas are summed, and pieces of outline meet again in one row a result,
-after those on borders between covered cells have cancelled in an aggregation.
+identical polygons are made one, so a large union is many tasks: areas are summed, and pieces of outline meet again in blocks of cells, after those on borders between covered
+cells have cancelled in an aggregation. Rings inside a block are put together there; only pieces that hang together over blocks' borders meet across them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cindermap.operators.graph import components
+from cindermap.operators.graph import components, joined
 from cindermap.sources.shared import spread, staged, tasks
 
 POINT = "struct<x:double,y:double>"
@@ -31,6 +31,8 @@ SEGMENTS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 AT_ONCE = 1 << 20
 #: Vertices nearer than this are one, and pieces of less area are none.
 EPS = 1e-9
+#: Cells on a side of the blocks in which rings are put together.
+BLOCK = 16
 Op = Callable[[list[np.ndarray]], np.ndarray]
 
 
@@ -439,6 +441,12 @@ def _cells(size: float, with_outline: bool, clip: bool):
         segments = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([*map(pa.array, xy)], ["x0", "y0", "x1", "y1"])).cast(struct)
         return pa.RecordBatch.from_arrays([rows.column("result").take(starts).combine_chunks(), pa.array(areas[0]), segments], ["result", "area", "segments"])
 
+    return _by_cell(told)
+
+
+def _by_cell(told: Callable[[pa.Table, np.ndarray], pa.RecordBatch]):
+    """``told`` (rows of whole cells, and the rows at which a cell starts) on rows whose cells (``cell``) follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -494,9 +502,8 @@ def _joined(found: list, x0: float, y0: float, x1: float, y1: float) -> list:
     return inner
 
 
-def _rings(rows: pa.Table) -> pa.Table:
-    """Rings of one result's pieces; those that lie on each other in opposite directions cancel where they overlap."""
-    lines = np.stack([rows.column(k).to_numpy() for k in ("x0", "y0", "x1", "y1")], 1)
+def _cancelled(lines: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """Pieces of outline without what lies on each other in opposite directions."""
     pieces, axes = [], defaultdict(lambda: ([], []))
     for x0, y0, x1, y1 in lines.tolist():
         if x0 == x1:
@@ -508,37 +515,145 @@ def _rings(rows: pa.Table) -> pa.Table:
     for (upright, at), (forward, backward) in axes.items():
         for a, _, b, _ in level(backward, forward, 0.0):
             pieces.append((at, a, at, b) if upright else (a, at, b, at))
-    return pa.table({"result": rows.column("result").slice(0, 1), "rings": rings_column([linked(pieces)])})
-
+    return pieces
+
+
+def _hanging(lines: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """For each piece the first one it hangs together with, over vertices of its cell that ``linked`` takes for one."""
+    n, near = len(lines), []
+    ends = np.concatenate([lines[:, :2], lines[:, 2:]])
+    at = np.rint(ends / EPS)
+    whose = np.concatenate([cell, cell])
+    for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):  # places that differ by one at most share one of these
+        near.append(np.stack([whose, at[:, 0] + i, at[:, 1] + j]))
+    key = np.concatenate(near, 1)
+    order = np.lexsort(key)
+    fresh = (np.diff(key[:, order], axis=1, prepend=np.nan) != 0).any(0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return joined(n + int(fresh.sum()), np.tile(np.arange(n), 8), n + number)[:n]
+
+
+def _blocks(size: float):
+    """Of the pieces of each result and block, whose rows follow each other, a row with the rings that lie within it, and one for all pieces that hang
+    together and reach its border (``lines``), with the places where they do (``ends``)."""
+    side = BLOCK * size
+    segment = pa.list_(pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")]))
+    place = pa.list_(pa.struct([(k, pa.float64()) for k in ("x", "y")]))
 
-def _gathered(parts: DataFrame, size: float, with_rings: bool, clip: bool) -> DataFrame:
-    """``parts`` (result, role, rings) swept cell by cell: result, area and, if wanted, rings; results without area have no row."""
+    def told(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        xy = np.stack([rows.column(k).to_numpy() for k in ("x0", "y0", "x1", "y1")], 1)
+        found = [np.array(_cancelled(part), float).reshape(-1, 4) for part in np.split(xy, starts[1:])]
+        cell, lines = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+        group = _hanging(lines, cell)
+        left, low = (rows.column(k).to_numpy()[starts][cell] * side for k in ("bx", "by"))
+        border = np.zeros((len(lines), 2), bool)  # of a piece's start and end
+        for k, at in ((0, left), (1, low)):
+            for end in (0, 1):
+                here = lines[:, 2 * end + k]
+                slack = 8 * EPS + 1e-12 * np.abs(here)
+                border[:, end] |= (np.abs(here - at) <= slack) | (np.abs(here - at - side) <= slack)
+        open_ = np.zeros(len(lines), bool)
+        open_[group[border.any(1)]] = True
+        open_ = open_[group]
+        results, rings, parts, ends = [], [], [], []
+        inner = np.split(lines[~open_], np.searchsorted(cell[~open_], np.arange(1, len(found))))
+        for i, pieces in zip(starts.tolist(), inner, strict=True):
+            if len(pieces):
+                results.append(i)
+                rings.append(linked(pieces.tolist()))
+                parts.append(np.zeros((0, 4)))
+                ends.append(np.zeros((0, 2)))
+        rest = np.flatnonzero(open_)
+        rest = rest[np.argsort(group[rest], kind="stable")]
+        for own in np.split(rest, np.flatnonzero(np.diff(group[rest])) + 1) if len(rest) else []:
+            results.append(int(starts[cell[own[0]]]))
+            rings.append([])
+            parts.append(lines[own])
+            ends.append(np.concatenate([lines[own, :2][border[own, 0]], lines[own, 2:][border[own, 1]]]))
+
+        def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+            flat = np.concatenate(arrays) if arrays else np.zeros((0, kind.value_type.num_fields))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(k) for k in flat.T], [f.name for f in kind.value_type])).cast(kind)
+
+        taken = rows.column("result").combine_chunks().take(pa.array(results, pa.int64()))
+        return pa.RecordBatch.from_arrays([taken, rings_column(rings), listed(parts, segment), listed(ends, place)], ["result", "rings", "lines", "ends"])
+
+    return _by_cell(told)
+
+
+def _linked(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Rings of the pieces of each cell."""
+    xy = np.stack([rows.column(k).to_numpy() for k in ("x0", "y0", "x1", "y1")], 1)
+    rings = [linked(part.tolist()) for part in np.split(xy, starts[1:])]
+    return pa.RecordBatch.from_arrays([rows.column("result").combine_chunks().take(pa.array(starts)), rings_column(rings)], ["result", "rings"])
+
+
+def _ring_rows(cells: DataFrame, size: float) -> DataFrame:
+    """Rings of what was swept cell by cell (result, segments): result and rings, many rows a result, each of what one block holds or of what hangs together."""
+    kind = cells.schema["result"].dataType.simpleString()
+    s = cells.select("result", F.explode("segments").alias("s")).select("result", "s.*")
+    swap = (F.col("x1") < F.col("x0")) | ((F.col("x1") == F.col("x0")) & (F.col("y1") < F.col("y0")))
+    ends = [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x1", "x0", "a"), ("y1", "y0", "b"), ("x0", "x1", "c"), ("y0", "y1", "d"))]
+    left = s.select("result", *ends, F.when(swap, -1).otherwise(1).alias("way")).groupBy("result", "a", "b", "c", "d").agg(F.sum("way").alias("way")).where("way <> 0")
+    back = F.col("way") < 0
+    turned = [F.when(back, F.col(q)).otherwise(F.col(p)).alias(k) for p, q, k in (("a", "c", "x0"), ("b", "d", "y0"), ("c", "a", "x1"), ("d", "b", "y1"))]
+    pieces = left.select("result", *turned)
+    block = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / (BLOCK * size))
+    dealt = pieces.withColumns({"bx": block("x0", "x1"), "by": block("y0", "y1")})
+    dealt = dealt.withColumn("cell", F.to_json(F.struct("result", "bx", "by"))).repartition(tasks(cells), "cell").sortWithinPartitions("cell")
+    blocks = dealt.mapInArrow(_blocks(size), f"result {kind}, rings {RINGS}, lines {SEGMENTS}, ends array<{POINT}>")
+    blocks = staged(blocks.withColumn("part", F.monotonically_increasing_id()), "blocks")
+    # Pieces of several blocks hang together where they reach a border at one place.
+    steps = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in (0, 1) for j in (0, 1)])
+    at = blocks.select("part", "result", F.explode("ends").alias("p")).select("part", "result", F.explode(steps).alias("d"), "p")
+    at = at.select("part", "result", (F.rint(F.col("p.x") / EPS) + F.col("d.i")).alias("x"), (F.rint(F.col("p.y") / EPS) + F.col("d.j")).alias("y"))
+    met = at.groupBy("result", "x", "y").agg(F.collect_set("part").alias("parts")).where("size(parts) > 1")
+    roots = components(met.select(F.array_min("parts").alias("a"), F.explode("parts").alias("b")), "outlines")
+    rest = blocks.where("size(lines) > 0").select("part", "result", "lines").join(roots.hint("merge"), F.col("part") == F.col("node"), "left")
+    rest = rest.select("result", F.coalesce("root", "part").alias("cell"), F.explode("lines").alias("s")).select("result", "cell", "s.*")
+    rest = rest.repartition(tasks(cells), "cell").sortWithinPartitions("cell").mapInArrow(_by_cell(_linked), f"result {kind}, rings {RINGS}")
+    return blocks.where("size(rings) > 0").select("result", "rings").unionByName(rest.where("size(rings) > 0"))
+
+
+def _swept_cells(parts: DataFrame, size: float, with_outline: bool, clip: bool) -> tuple[DataFrame, DataFrame]:
+    """``parts`` (result, role, rings) swept cell by cell: the cells (result, area, segments), and result and area; results without area have no row there."""
     kind = parts.schema["result"].dataType.simpleString()
     spans = lambda k: F.explode(F.sequence(F.floor(F.col(f"{k}0") / size), F.floor(F.col(f"{k}1") / size)))
     dealt = bounds(parts).select("*", spans("x").alias("bx")).select("*", spans("y").alias("by")).select("result", "role", "rings", "bx", "by")
     # A cell's rows follow each other; a task sweeps many small cells together.
     dealt = dealt.withColumn("cell", F.to_json(F.struct("result", "bx", "by"))).repartition(tasks(parts), "cell").sortWithinPartitions("cell")
-    cells = staged(dealt.mapInArrow(_cells(size, with_rings, clip), f"result {kind}, area double, segments {SEGMENTS}"), "cells")
-    areas = cells.groupBy("result").agg(F.sum("area").alias("area")).where(F.col("area") > EPS)
+    cells = staged(dealt.mapInArrow(_cells(size, with_outline, clip), f"result {kind}, area double, segments {SEGMENTS}"), "cells")
+    return cells, cells.groupBy("result").agg(F.sum("area").alias("area")).where(F.col("area") > EPS)
+
+
+def _gathered(parts: DataFrame, size: float, with_rings: bool, clip: bool) -> DataFrame:
+    """``parts`` (result, role, rings) swept cell by cell: result, area and, if wanted, rings; results without area have no row."""
+    cells, areas = _swept_cells(parts, size, with_rings, clip)
     if not with_rings:
         return areas
-    s = cells.select("result", F.explode("segments").alias("s")).select("result", "s.*")
-    swap = (F.col("x1") < F.col("x0")) | ((F.col("x1") == F.col("x0")) & (F.col("y1") < F.col("y0")))
-    ends = [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x1", "x0", "a"), ("y1", "y0", "b"), ("x0", "x1", "c"), ("y0", "y1", "d"))]
-    left = s.select("result", *ends, F.when(swap, -1).otherwise(1).alias("way")).groupBy("result", "a", "b", "c", "d").agg(F.sum("way").alias("way")).where("way <> 0")
-    back = F.col("way") < 0
-    turned = [F.when(back, F.col(q)).otherwise(F.col(p)).alias(k) for p, q, k in (("a", "c", "x0"), ("b", "d", "y0"), ("c", "a", "x1"), ("d", "b", "y1"))]
-    rings = left.select("result", *turned).groupBy("result").applyInArrow(_rings, f"result {kind}, rings {RINGS}")
+    rings = _ring_rows(cells, size).groupBy("result").agg(F.flatten(F.collect_list("rings")).alias("rings"))
     return areas.join(rings.hint("merge"), "result")
 
 
 def union(layer: DataFrame, by: str, size: float = 16, with_rings: bool = True) -> DataFrame:
     """The union of each group's polygons: ``by``, area and rings. A null group is a group; identical polygons are swept once."""
-    parts = layer.select(F.struct(F.col(by)).alias("result"), F.lit(0).alias("role"), "rings").dropDuplicates(["result", "rings"])
-    made = _gathered(parts, size, with_rings, clip=False)
+    made = _gathered(_united(layer, by), size, with_rings, clip=False)
     return made.select(F.col(f"result.{by}").alias(by), *made.columns[1:])
 
 
+def union_lengths(layer: DataFrame, by: str, size: float = 16) -> DataFrame:
+    """The union of each group's polygons, measured: ``by``, area and the outline's length. Rings are measured where they are made, so no row holds a group's outline."""
+    cells, areas = _swept_cells(_united(layer, by), size, True, clip=False)
+    lengths = _ring_rows(cells, size).groupBy("result").agg(F.sum(length_of(F.col("rings"))).alias("length"))
+    return areas.join(lengths.hint("merge"), "result").select(F.col(f"result.{by}").alias(by), "area", "length")
+
+
+def _united(layer: DataFrame, by: str) -> DataFrame:
+    return layer.select(F.struct(F.col(by)).alias("result"), F.lit(0).alias("role"), "rings").dropDuplicates(["result", "rings"])
+
+
 def clip(layer: DataFrame, regions: DataFrame, size: float = 16, with_rings: bool = True) -> DataFrame:
     """What of each polygon (id, rings) lies in the union of the regions' rings: id, area and rings; polygons outside have no row."""
     own = bounds(layer.select("id", "rings"))

@@ -76,8 +76,8 @@ def intersect_merged(spark, d):
 
 @query(f"WITH {QUARTERS}, cells AS (SELECT DISTINCT brand AS k, cx, cy FROM quarters), told AS ({OUTLINE.format(cells='cells')}) SELECT k AS brand, round(area, 4) AS area, round(length, 4) AS length FROM told", "rects")
 def dissolve_union(spark, d):
-    made = overlay.union(shapes(spark, d, triangles=False), "brand")
-    return made.select("brand", F.round("area", 4).alias("area"), F.round(overlay.length_of(C("rings")), 4).alias("length"))
+    made = overlay.union_lengths(shapes(spark, d, triangles=False), "brand")
+    return made.select("brand", F.round("area", 4).alias("area"), F.round("length", 4).alias("length"))
 
 
 @query(f"WITH {QUARTERS}, roi AS (SELECT DISTINCT cx, cy FROM quarters WHERE class = 2), cells AS (SELECT id AS k, cx, cy FROM quarters JOIN roi USING (cx, cy) WHERE class <> 2), told AS ({OUTLINE.format(cells='cells')}) SELECT k AS id, round(area, 4) AS area, round(length, 4) AS length FROM told", "rects")

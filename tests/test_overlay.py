@@ -190,3 +190,26 @@ def test_one_file_is_many_tasks(spark):
     assert pairs.rdd.getNumPartitions() >= 4 and {r["iou"] for r in pairs.collect()} == {1.0}
     clipped = overlay.clip(layer, layer.where("id % 2 = 0"), 4, with_rings=False)
     assert {r["id"]: r["area"] for r in clipped.collect()} == {i: pytest.approx(2.0) for i in range(0, 40, 2)}
+
+
+def test_rings_are_put_together_in_blocks(spark, monkeypatch):
+    """What hangs together over blocks' borders is one ring, the rest stays in its block: no row or task holds a whole outline."""
+    rng = np.random.default_rng(13)
+    shapes = [(i, "ab"[i % 2], [(star(rng, 6) + rng.uniform(-20, 40, 2)).tolist()]) for i in range(40)]
+    shapes += [(100, None, [square(-8, -8, 24, 24), square(0, 0, 16, 16)]), (101, None, [square(-8, 24, -4, 30)]), (102, None, [square(24, 24, 30, 30)]), (103, None, [square(2, 2, 3, 3)])]
+    shapes += [(200 + i, "c", [square(8 * i, 0, 8 * i + 8, 8)]) for i in range(20)] + [(300 + i, "d", [square(20 * i, 0, 20 * i + 2, 3)]) for i in range(30)]
+    shapes = layer(spark, shapes)
+    monkeypatch.setattr(overlay, "BLOCK", 2)
+    got = {r["g"]: r for r in overlay.union(shapes, "g", 4).collect()}
+    monkeypatch.setattr(overlay, "BLOCK", 1 << 10)
+    want = {r["g"]: r for r in overlay.union(shapes, "g", 4).collect()}
+    size = lambda r: sorted(round(abs(area([np.array([(p["x"], p["y"]) for p in x])])), 6) for x in r["rings"])
+    assert set(got) == set(want) == {"a", "b", "c", "d", None}
+    assert all(size(got[g]) == size(want[g]) and abs(got[g]["area"] - want[g]["area"]) < 1e-6 for g in got)
+    assert size(got["c"]) == [1280.0] and size(got["d"]) == [6.0] * 30 and len(got[None]["rings"]) >= 4
+    monkeypatch.setattr(overlay, "BLOCK", 2)
+    told = {r["g"]: (r["area"], r["length"]) for r in overlay.union_lengths(shapes, "g", 4).collect()}
+    length = {r["g"]: r["n"] for r in overlay.union(shapes, "g", 4).select("g", overlay.length_of(F.col("rings")).alias("n")).collect()}
+    assert all(told[g] == (pytest.approx(got[g]["area"]), pytest.approx(length[g])) for g in got) and told["c"][1] == 336.0
+    cells, _ = overlay._swept_cells(overlay._united(shapes.where("g = 'd'"), "g"), 4, True, clip=False)
+    assert overlay._ring_rows(cells, 4).select(F.size("rings").alias("n")).agg(F.count("n").alias("rows"), F.max("n").alias("most")).first() == (30, 1)
